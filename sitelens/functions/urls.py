@@ -1,7 +1,11 @@
-"""URL scalars as Column expressions.
-
-Everything here is a native Catalyst expression except ``resolve_url``
-(RFC 3986 reference resolution), which is an Arrow-batched pandas UDF.
+"""URL scalars as native expressions.
+
+Each helper takes a SQL expression text (usually a column name) and
+returns a Column built with one ``F.expr`` call; the ``*_sql`` variants
+return the text so helpers nest without extra round trips to the JVM.
+Catalyst sees ordinary built-in expressions (regexp_extract, lower,
+concat ...), all inside whole-stage codegen.  The only Python piece is
+``resolve_url`` (RFC 3986 reference resolution), an Arrow-batched UDF.
 """
 
 from __future__ import annotations
@@ -18,170 +22,228 @@ from sitelens.config import NON_CONTENT_SEGMENTS, SECTION_SKIP_SEGMENTS
 
 # RFC 3986 appendix B: scheme=2, authority=4, path=5, query=7, fragment=9.
 URI_PATTERN = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?"
+_URI = "r'(?s)" + URI_PATTERN + "'"
+
+
+def _lits(values: Iterable[str]) -> str:
+    return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+
+
+# ---------------------------------------------------------------------------
+# SQL text builders
+# ---------------------------------------------------------------------------
+def part_sql(e: str, group: int) -> str:
+    return f"regexp_extract({e}, {_URI}, {group})"
+
+
+def scheme_sql(e: str) -> str:
+    return f"lower({part_sql(e, 2)})"
+
+
+def netloc_sql(e: str) -> str:
+    return part_sql(e, 4)
+
+
+def raw_path_sql(e: str) -> str:
+    return part_sql(e, 5)
+
+
+def path_sql(e: str) -> str:
+    return f"regexp_replace({raw_path_sql(e)}, r';[^/]*$', '')"
+
+
+def query_sql(e: str) -> str:
+    return f"CASE WHEN {part_sql(e, 6)} <> '' THEN {part_sql(e, 7)} END"
+
+
+def fragment_sql(e: str) -> str:
+    return f"CASE WHEN contains({e}, '#') THEN {part_sql(e, 9)} END"
+
+
+def host_sql(e: str) -> str:
+    return rf"lower(regexp_extract({netloc_sql(e)}, r'^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)', 1))"
+
+
+def canonical_sql(e: str) -> str:
+    p = path_sql(e)
+    path = f"CASE WHEN {p} = '' OR {p} = '/' THEN '/' ELSE regexp_replace({p}, '/$', '') END"
+    return f"lower(concat({scheme_sql(e)}, '://', {netloc_sql(e)}, {path}))"
+
+
+def strip_fragment_sql(e: str) -> str:
+    return f"substring_index({e}, '#', 1)"
+
+
+def suffix_sql(path: str) -> str:
+    name = f"regexp_extract({path}, r'([^/]*)/*$', 1)"
+    return rf"lower(regexp_extract({name}, r'^.+(\.[^.]+)$', 1))"
+
+
+def non_content_sql(path: str) -> str:
+    segs = f"split(btrim(lower({path}), '/'), '/')"
+    return f"arrays_overlap({segs}, array({_lits(NON_CONTENT_SEGMENTS)}))"
+
+
+def title_case_sql(e: str) -> str:
+    return rf"array_join(transform(regexp_extract_all({e}, r'(\p{{L}}+|\P{{L}}+)', 1), r -> initcap(r)), '')"
+
+
+def section_sql(url: str, hostname: str) -> str:
+    net = netloc_sql(url)
+    trimmed = f"btrim({path_sql(url)}, '/')"
+    first = f"substring_index({trimmed}, '/', 1)"
+    base = rf"regexp_replace({first}, r'\.[^.]*$', '')"
+    pretty = title_case_sql(f"translate({base}, '-_', '  ')")
+    return (
+        f"CASE WHEN {net} <> '' AND {net} <> {hostname} THEN 'External' "
+        f"WHEN {trimmed} = '' THEN 'Home' "
+        f"WHEN lower({first}) IN ({_lits(SECTION_SKIP_SEGMENTS)}) THEN CAST(NULL AS STRING) "
+        f"ELSE {pretty} END"
+    )
+
+
+# Characters a WHATWG URL serialiser percent-encodes, besides controls and
+# non-ASCII: space and  " < > ` { }
+_ENCODE = r"""r'[^\x21-\x7e]|["<>`{}]'"""
 
 
-def _c(col: Column | str) -> Column:
-    return F.col(col) if isinstance(col, str) else col
+def _percent_encode_sql(e: str) -> str:
+    enc = (
+        f"array_join(transform(regexp_extract_all({e}, r'(?s)(.)', 1), "
+        f"ch -> CASE WHEN ch = ' ' THEN '%20' WHEN ch RLIKE {_ENCODE} THEN url_encode(ch) ELSE ch END), '')"
+    )
+    return f"CASE WHEN {e} RLIKE {_ENCODE} THEN {enc} ELSE {e} END"
+
 
+def valid_http_sql(e: str) -> str:
+    return f"({scheme_sql(e)} IN ('http', 'https') AND {host_sql(e)} <> '')"
+
+
+def normalize_sql(e: str) -> str:
+    scheme = scheme_sql(e)
+    net = f"lower({netloc_sql(e)})"
+    net = (
+        f"CASE WHEN ({scheme} = 'http' AND endswith({net}, ':80')) OR ({scheme} = 'https' AND endswith({net}, ':443')) "
+        f"THEN regexp_replace({net}, ':[0-9]+$', '') ELSE {net} END"
+    )
+    rp = raw_path_sql(e)
+    path = f"CASE WHEN {rp} = '' THEN '/' ELSE {rp} END"
+    q, frag = query_sql(e), fragment_sql(e)
+    out = (
+        f"concat({scheme}, '://', {net}, {_percent_encode_sql(path)}, "
+        f"coalesce(concat('?', {_percent_encode_sql(q)}), ''), "
+        f"coalesce(concat('#', {_percent_encode_sql(frag)}), ''))"
+    )
+    return f"CASE WHEN {valid_http_sql(e)} THEN {out} END"
 
-def _part(col: Column | str, group: int) -> Column:
-    return F.regexp_extract(_c(col), "(?s)" + URI_PATTERN, group)
 
+def is_home_sql(url: str, hostname: str) -> str:
+    return f"(regexp_replace({url}, '/+$', '') = concat('https://', {hostname}))"
 
-def url_scheme(col: Column | str) -> Column:
+
+# ---------------------------------------------------------------------------
+# Column helpers (one JVM call each)
+# ---------------------------------------------------------------------------
+def url_scheme(e: str) -> Column:
     """Lower-cased scheme ('' when absent)."""
-    return F.lower(_part(col, 2))
+    return F.expr(scheme_sql(e))
 
 
-def url_netloc(col: Column | str) -> Column:
+def url_netloc(e: str) -> Column:
     """Authority as written ('' when absent); port and case kept."""
-    return _part(col, 4)
+    return F.expr(netloc_sql(e))
 
 
-def url_raw_path(col: Column | str) -> Column:
+def url_raw_path(e: str) -> Column:
     """Path including any ``;params`` of the last segment."""
-    return _part(col, 5)
+    return F.expr(raw_path_sql(e))
 
 
-def url_path(col: Column | str) -> Column:
+def url_path(e: str) -> Column:
     """Path without the ``;params`` of the last segment (stdlib split)."""
-    return F.regexp_replace(url_raw_path(col), ";[^/]*$", "")
+    return F.expr(path_sql(e))
 
 
-def url_query(col: Column | str) -> Column:
+def url_query(e: str) -> Column:
     """Query without '?', NULL when the URL has no '?'."""
-    c = _c(col)
-    return F.when(F.regexp_extract(c, "(?s)" + URI_PATTERN, 6) != "", _part(c, 7))
+    return F.expr(query_sql(e))
 
 
-def url_fragment(col: Column | str) -> Column:
+def url_fragment(e: str) -> Column:
     """Fragment without '#', NULL when the URL has no '#'."""
-    c = _c(col)
-    return F.when(c.contains("#"), _part(c, 9))
+    return F.expr(fragment_sql(e))
 
 
-def url_host(col: Column | str) -> Column:
+def url_host(e: str) -> Column:
     """Host name: netloc without user info and port, lower-cased."""
-    net = url_netloc(col)
-    return F.lower(F.regexp_extract(net, r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1))
+    return F.expr(host_sql(e))
 
 
-def canonical_url(col: Column | str) -> Column:
-    """Scheme://netloc/path, no params/query/fragment, one trailing '/'
-    removed unless root, the whole string lower-cased."""
-    path = url_path(col)
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    path = F.when((path != "/") & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(
-        path
-    )
-    return F.lower(F.concat(url_scheme(col), F.lit("://"), url_netloc(col), path))
+def canonical_url(e: str) -> Column:
+    """Scheme://netloc/path without params/query/fragment, one trailing
+    '/' removed unless root, the whole string lower-cased."""
+    return F.expr(canonical_sql(e))
 
 
-def strip_fragment(col: Column | str) -> Column:
+def strip_fragment(e: str) -> Column:
     """Text before the first '#'."""
-    return F.substring_index(_c(col), "#", 1)
+    return F.expr(strip_fragment_sql(e))
 
 
-def same_domain(netloc: Column | str, hostname: Column | str) -> Column:
+def same_domain(netloc: str, hostname: str) -> Column:
     """P5: netloc empty or exactly the site's host (port included)."""
-    n = _c(netloc)
-    return (n == "") | (n == _c(hostname))
+    return F.expr(f"({netloc} = '' OR {netloc} = {hostname})")
 
 
-def path_suffix(path: Column | str) -> Column:
-    """Lower-cased suffix of the last path segment ('' when none).
-
-    Follows ``PurePosixPath.suffix``: trailing slashes are ignored, a
-    leading dot does not start a suffix, a final dot is no suffix.
-    """
-    name = F.regexp_extract(_c(path), r"([^/]*)/*$", 1)
-    return F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
+def path_suffix(path: str) -> Column:
+    """Lower-cased suffix of the last path segment ('' when none),
+    following ``PurePosixPath.suffix``: trailing slashes are ignored, a
+    leading dot does not start a suffix, a final dot is no suffix."""
+    return F.expr(suffix_sql(path))
 
 
-def extension_allowed(path: Column | str, extensions: Iterable[str]) -> Column:
+def extension_allowed(path: str, extensions: Iterable[str]) -> Column:
     """Suffix in the allow list; '' in the list admits no suffix."""
     exts = sorted({e.strip().lower() for e in extensions})
-    return path_suffix(path).isin(exts)
+    return F.expr(f"{suffix_sql(path)} IN ({_lits(exts)})")
 
 
-def non_content_path(path: Column | str) -> Column:
+def non_content_path(path: str) -> Column:
     """Some segment of the lower-cased path is a non-content name."""
-    segs = F.split(F.btrim(F.lower(_c(path)), F.lit("/")), "/")
-    return F.arrays_overlap(segs, F.array(*[F.lit(s) for s in NON_CONTENT_SEGMENTS]))
+    return F.expr(non_content_sql(path))
 
 
-def title_case(col: Column | str) -> Column:
+def title_case(e: str) -> Column:
     """Python ``str.title``: each run of letters gets an upper-case first
     letter and lower-case rest; other characters are kept."""
-    runs = F.regexp_extract_all(_c(col), F.lit(r"(\p{L}+|\P{L}+)"), 1)
-    return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
+    return F.expr(title_case_sql(e))
 
 
-def section_name(url: Column | str, hostname: Column | str) -> Column:
+def section_name(url: str, hostname: str) -> Column:
     """H2 section of a page URL; NULL means the page is left out."""
-    net = url_netloc(url)
-    trimmed = F.btrim(url_path(url), F.lit("/"))
-    first = F.substring_index(trimmed, "/", 1)
-    base = F.regexp_replace(first, r"\.[^.]*$", "")
-    pretty = title_case(F.translate(base, "-_", "  "))
-    skip = F.lower(first).isin(list(SECTION_SKIP_SEGMENTS))
-    return (
-        F.when((net != "") & (net != _c(hostname)), F.lit("External"))
-        .when(trimmed == "", F.lit("Home"))
-        .when(skip, F.lit(None).cast("string"))
-        .otherwise(pretty)
-    )
+    return F.expr(section_sql(url, hostname))
 
 
-# Characters a WHATWG URL serialiser percent-encodes in a path, besides
-# controls and non-ASCII.
-_ENCODE_RE = r'[^\x21-\x7e]|["<>`{}]'
-
-
-def _percent_encode(col: Column) -> Column:
-    chars = F.regexp_extract_all(col, F.lit("(?s)(.)"), 1)
-    enc = F.transform(
-        chars,
-        lambda ch: F.when(ch == " ", F.lit("%20"))
-        .when(ch.rlike(_ENCODE_RE), F.url_encode(ch))
-        .otherwise(ch),
-    )
-    return F.when(col.rlike(_ENCODE_RE), F.array_join(enc, "")).otherwise(col)
-
-
-def valid_http_url(col: Column | str) -> Column:
+def valid_http_url(e: str) -> Column:
     """P9 predicate: http(s) scheme and a non-empty host."""
-    return url_scheme(col).isin("http", "https") & (url_host(col) != "")
+    return F.expr(valid_http_sql(e))
 
 
-def normalize_http_url(col: Column | str) -> Column:
+def normalize_http_url(e: str) -> Column:
     """P9 serialisation: lower-case scheme and host, drop the default port,
-    '/' for an empty path, percent-encode spaces and non-ASCII."""
-    c = _c(col)
-    scheme = url_scheme(c)
-    net = F.lower(url_netloc(c))
-    net = F.when(
-        ((scheme == "http") & net.endswith(":80")) | ((scheme == "https") & net.endswith(":443")),
-        F.regexp_replace(net, ":[0-9]+$", ""),
-    ).otherwise(net)
-    path = url_raw_path(c)
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    q = url_query(c)
-    frag = url_fragment(c)
-    out = F.concat(
-        scheme,
-        F.lit("://"),
-        net,
-        _percent_encode(path),
-        F.coalesce(F.concat(F.lit("?"), _percent_encode(q)), F.lit("")),
-        F.coalesce(F.concat(F.lit("#"), _percent_encode(frag)), F.lit("")),
-    )
-    return F.when(valid_http_url(c), out)
+    '/' for an empty path, percent-encode spaces and non-ASCII; NULL for a
+    URL that is not http(s) with a host."""
+    return F.expr(normalize_sql(e))
 
 
-def is_home(url: Column | str, hostname: Column | str) -> Column:
+def is_home(url: str, hostname: str) -> Column:
     """P10: URL without trailing slashes equals https://<host>."""
-    return F.rtrim(_c(url), F.lit("/")) == F.concat(F.lit("https://"), _c(hostname))
+    return F.expr(is_home_sql(url, hostname))
+
+
+def origin(url: str) -> Column:
+    """scheme://netloc of a URL."""
+    return F.expr(f"concat({scheme_sql(url)}, '://', {netloc_sql(url)})")
 
 
 # ---------------------------------------------------------------------------
@@ -190,7 +252,10 @@ def is_home(url: Column | str, hostname: Column | str) -> Column:
 def _join_one(base: str | None, href: str | None) -> str | None:
     if base is None or href is None:
         return None
-    return urljoin(base, href)
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
 
 
 @F.pandas_udf(T.StringType())
@@ -198,26 +263,12 @@ def _urljoin_udf(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([_join_one(b, h) for b, h in zip(base, href)], dtype=object)
 
 
-_SIMPLE_ROOT_RELATIVE = r"^/([^/\s\x00-\x1f][^\s\x00-\x1f]*)?$"
-_DOT_SEGMENT = r"(^|/)\.{1,2}([/?#]|$)"
-
-
-def simple_root_relative(href: Column | str) -> Column:
-    """Hrefs whose resolution is plain concatenation with the origin."""
-    h = _c(href)
-    return h.rlike(_SIMPLE_ROOT_RELATIVE) & ~h.rlike(_DOT_SEGMENT)
-
-
 def resolve_url(base: Column | str, href: Column | str) -> Column:
     """``urljoin(base, href)`` over Arrow batches.
 
     A Python UDF inside a conditional is still evaluated for every row, so
-    there is no native branch here; callers with mostly root-relative hrefs
-    can test ``simple_root_relative`` and concatenate with the origin.
+    there is no native branch here.
     """
-    return _urljoin_udf(_c(base), _c(href))
-
-
-def origin(url: Column | str) -> Column:
-    """scheme://netloc of a URL."""
-    return F.concat(url_scheme(url), F.lit("://"), url_netloc(url))
+    b = F.col(base) if isinstance(base, str) else base
+    h = F.col(href) if isinstance(href, str) else href
+    return _urljoin_udf(b, h)

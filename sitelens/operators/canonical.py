@@ -31,7 +31,7 @@ def canonicalize(pages: DataFrame) -> DataFrame:
     """
     p = pages.withColumn("canonical", canonical_url("url")).withColumn("conf_sum", _conf_sum())
     agg = p.groupBy("run_id", "canonical").agg(
-        F.max_by(F.struct(*PAGE_COLS), F.struct(F.col("conf_sum"), -F.col("ord"))).alias("w"),
+        F.min_by(F.struct(*PAGE_COLS), F.struct(-F.col("conf_sum"), F.col("ord"))).alias("w"),
         F.min("ord").alias("ord"),
     )
     return agg.select("run_id", F.col("canonical").alias("url"), *[F.col("w")[c].alias(c) for c in PAGE_COLS], "ord")

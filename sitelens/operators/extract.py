@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from sitelens.config import DESCRIPTION_TIERS, EXTRACT_EVENT_DESC_MAX, NO_SOURCE, TITLE_TIERS
 from sitelens.functions.html import extract_signals
-from sitelens.functions.urls import normalize_http_url
+from sitelens.functions.urls import normalize_sql
 
 
-def url_key(col: Column | str) -> Column:
+def url_key(e: str) -> Column:
     """Join key of a URL: its P9 serialisation (falls back to the text)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(normalize_http_url(c), c)
+    return F.expr(f"coalesce({normalize_sql(e)}, {e})")
 
 
 def capture_index(captures: DataFrame) -> DataFrame:

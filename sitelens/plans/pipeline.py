@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sitelens.config import PipelineParams
 from sitelens.functions.urls import canonical_url
 from sitelens.operators import canonical, document, extract
+from sitelens.session import ensure_checkpoint_dir, materialize
 from sitelens.sources.fixtures import host_of
 
 
@@ -52,10 +53,12 @@ def finish_sites(
     captures: DataFrame,
     params: PipelineParams,
     validators: DataFrame | None = None,
+    index: DataFrame | None = None,
+    signals: DataFrame | None = None,
 ) -> PipelineResult:
     """Extraction, canonicalization, scoring and generation for all sites."""
-    index = extract.capture_index(captures)
-    signals = extract.page_signals(captures, index)
+    index = index if index is not None else extract.capture_index(captures)
+    signals = signals if signals is not None else extract.page_signals(captures, index)
     outcomes = extract.extraction_outcomes(discovered, index, validators, params.incremental)
     pages = extract.extracted_pages(outcomes, signals)
     canon = canonical.canonicalize(pages)
@@ -84,3 +87,30 @@ def index_captured_pages(
 ) -> PipelineResult:
     params = params or PipelineParams()
     return finish_sites(sites, captured_candidates(sites, captures), captures, params)
+
+
+@dataclass
+class FullResult:
+    discovery: object
+    stages: PipelineResult
+
+
+def run_pipeline(
+    sites: DataFrame,
+    captures: DataFrame,
+    params: PipelineParams | None = None,
+    validators: DataFrame | None = None,
+) -> FullResult:
+    """All five stages for every site: tiered discovery, extraction,
+    canonicalization, scoring and generation."""
+    from sitelens.operators import discovery as discovery_mod
+
+    params = params or PipelineParams()
+    ensure_checkpoint_dir(captures.sparkSession)
+    # Both are read by every discovery round and by extraction: materialise
+    # them once (small rows, no bodies) in the reliable checkpoint folder.
+    index = materialize(extract.capture_index(captures), "capture-index")
+    signals = materialize(extract.page_signals(captures, index), "signals")
+    disc = discovery_mod.discover(sites, captures, index, signals, params.spider, params.sitemap_max_depth)
+    stages = finish_sites(sites, disc.discovered, captures, params, validators, index=index, signals=signals)
+    return FullResult(discovery=disc, stages=stages)

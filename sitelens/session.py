@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,11 +28,40 @@ _RUNTIME_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sitelens`` importable in the Python workers of this session.
+
+    Arrow UDFs and ``mapInArrow`` functions are pickled by reference, so the
+    executors need the package: it is zipped once and added with
+    ``addPyFile`` (what ``--py-files`` does at submit time).
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="sitelens-pkg-")
+    archive = os.path.join(out_dir, "sitelens.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def prepare_session(spark: SparkSession) -> SparkSession:
-    """Apply the runtime options the library relies on (idempotent)."""
+    """Apply the runtime options the library relies on (idempotent) and
+    ship the package to the Python workers."""
     for key, value in _RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
@@ -88,3 +119,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="sitelens-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` once as Parquet under the session's
+    reliable checkpoint folder and reading it back.
+
+    Unlike ``Dataset.checkpoint()`` the plan runs a single time, and the
+    read-back gets column pruning and filter pushdown.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/sitelens/{name}-{uuid.uuid4().hex}"
+    t0 = time.time()
+    df.write.mode("overwrite").parquet(path)
+    if os.environ.get("SITELENS_TRACE"):
+        print(f"[materialize] {name}: {time.time() - t0:.2f}s", flush=True)
+    return spark.read.parquet(path)
