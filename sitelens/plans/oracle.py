@@ -219,8 +219,226 @@ SELECT s.run_id,
 FROM sites s LEFT JOIN sc USING (run_id)"""
 
 
+
+
+# ---------------------------------------------------------------------------
+# P9 normalisation and link filters in DuckDB terms
+# ---------------------------------------------------------------------------
+_URI_D = r"'(?s)^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?'"
+_ENC_RE = """'[^\\x21-\\x7e]|["<>`{}]'"""
+
+
+def d_part(e: str, g: int) -> str:
+    return f"regexp_extract({e}, {_URI_D}, {g})"
+
+
+def d_enc(e: str) -> str:
+    return (
+        f"CASE WHEN regexp_matches({e}, {_ENC_RE}) THEN array_to_string(list_transform("
+        f"regexp_extract_all({e}, '(?s).'), lambda c: CASE WHEN c = ' ' THEN '%20' "
+        f"WHEN regexp_matches(c, {_ENC_RE}) THEN url_encode(c) ELSE c END), '') ELSE {e} END"
+    )
+
+
+def d_norm(e: str) -> str:
+    """P9 serialisation (NULL when not http(s) with a host)."""
+    scheme = f"lower({d_part(e, 2)})"
+    net = f"lower({d_part(e, 4)})"
+    host = f"regexp_extract({net}, '^(?:[^@]*@)?(\\[[^\\]]*\\]|[^:]*)', 1)"
+    net2 = (
+        f"CASE WHEN ({scheme} = 'http' AND suffix({net}, ':80')) OR ({scheme} = 'https' AND suffix({net}, ':443')) "
+        f"THEN regexp_replace({net}, ':[0-9]+$', '') ELSE {net} END"
+    )
+    rp = d_part(e, 5)
+    path = f"CASE WHEN {rp} = '' THEN '/' ELSE {rp} END"
+    q = f"CASE WHEN {d_part(e, 6)} <> '' THEN '?' || {d_enc(d_part(e, 7))} ELSE '' END"
+    fr = f"CASE WHEN contains({e}, '#') THEN '#' || {d_enc(d_part(e, 9))} ELSE '' END"
+    return (
+        f"CASE WHEN {scheme} IN ('http', 'https') AND {host} <> '' THEN "
+        f"{scheme} || '://' || {net2} || {d_enc(path)} || {q} || {fr} END"
+    )
+
+
+def d_path(e: str) -> str:
+    return f"regexp_replace({d_part(e, 5)}, ';[^/]*$', '')"
+
+
+def d_suffix(path: str) -> str:
+    return f"lower(regexp_extract(regexp_extract({path}, '([^/]*)/*$', 1), '^.+(\\.[^.]+)$', 1))"
+
+
+def d_non_content(path: str) -> str:
+    return (
+        f"list_has_any(string_split(trim(lower({path}), '/'), '/'), "
+        "['login','logout','signup','register','cart','checkout','admin','wp-admin','wp-login','account','search'])"
+    )
+
+
+# Links of every captured page of the link-graph hosts (G1 input):
+# original anchors (root-relative in the driver pages) then the fixture's
+# navigation anchors, resolved, filtered and deduplicated per page.
+_LINKS = r"""
+t3 AS (SELECT run_id, hostname FROM sites WHERE length(hostname) % 4 = 3),
+pg_cap AS (
+  SELECT url_nf AS url_key, arg_max(page_id, page_id) AS page_id
+  FROM site_pages GROUP BY url_nf
+),
+cap_status AS (
+  SELECT c.url_key, CASE WHEN p.page_id % 10 = 0 THEN 500 WHEN p.page_id % 11 = 0 THEN 304 ELSE 200 END AS status,
+         p.html, p.host, p.i
+  FROM pg_cap c JOIN site_pages p USING (page_id)
+),
+home_cap AS (
+  SELECT 'https://' || hostname || '/' AS url_key, 200 AS status, hostname FROM t3
+),
+orig_href AS (
+  SELECT c.url_key AS src, c.host, unnest(regexp_extract_all(c.html, '<a href="([^"]*)"', 1)) AS href,
+         generate_subscripts(regexp_extract_all(c.html, '<a href="([^"]*)"', 1), 1) AS pos,
+         len(regexp_extract_all(c.html, '<a href="([^"]*)"', 1)) AS n_orig
+  FROM cap_status c WHERE length(c.host) % 4 = 3
+),
+n_orig AS (
+  SELECT c.url_key AS src, c.host, c.i, len(regexp_extract_all(c.html, '<a href="([^"]*)"', 1)) AS n
+  FROM cap_status c WHERE length(c.host) % 4 = 3
+),
+nav_href AS (
+  SELECT o.src, o.host, t.url_nf AS href, o.n + k.k + 1 AS pos
+  FROM n_orig o
+  CROSS JOIN (VALUES (0, 2, 0), (1, 2, 1), (2, 0, 1)) AS k(k, mul, add)
+  JOIN site_pages t ON t.host = o.host AND t.i = CASE WHEN k.mul = 0 THEN 1 ELSE o.i * k.mul + k.add END
+),
+home_href AS (
+  SELECT 'https://' || t3.hostname || '/' AS src, t3.hostname AS host, p.url_nf AS href, 1 AS pos
+  FROM t3 JOIN site_pages p ON p.host = t3.hostname AND p.i = 1
+),
+all_href AS (
+  SELECT src, host, CASE WHEN starts_with(href, '/') AND NOT starts_with(href, '//')
+                         THEN regexp_extract(src, '^[^:/?#]+://[^/?#]*', 0) || href ELSE href END AS link, pos
+  FROM (SELECT src, host, href, pos FROM orig_href UNION ALL SELECT * FROM nav_href UNION ALL SELECT * FROM home_href)
+),
+links AS (
+  SELECT src, host, dst, min(pos) AS pos FROM (
+    SELECT src, host, pos, """ + d_norm("split_part(link, '#', 1)") + r""" AS dst, link
+    FROM all_href
+    WHERE (""" + d_part("link", 4) + r""" = '' OR """ + d_part("link", 4) + r""" = host)
+      AND split_part(link, '#', 1) <> ''
+      AND """ + d_suffix(d_path("link")) + r""" IN ('', '.htm', '.html', '.md', '.txt')
+      AND NOT """ + d_non_content(d_path("link")) + r"""
+  ) WHERE dst IS NOT NULL GROUP BY src, host, dst
+),
+expand_status AS (
+  SELECT url_key, status FROM cap_status UNION ALL SELECT url_key, status FROM home_cap
+),
+"""
+
+
+def _bfs_levels(max_depth: int = 3, budget: int = 100) -> str:
+    parts = [
+        """
+v0 AS (SELECT run_id, hostname, 'https://' || hostname || '/' AS u, 0 AS depth, CAST(0 AS BIGINT) AS rnk FROM t3),
+seen0 AS (SELECT run_id, hostname, u, depth, rnk FROM v0)"""
+    ]
+    for d in range(max_depth + 1):
+        parts.append(
+            f"""
+e{d} AS (
+  SELECT v.run_id, v.hostname, v.rnk AS src_rank, l.dst, l.pos
+  FROM v{d} v JOIN expand_status s ON s.url_key = v.u AND s.status = 200
+  JOIN links l ON l.src = v.u
+)"""
+        )
+        if d == max_depth:
+            break
+        parts.append(
+            f"""
+c{d + 1} AS (
+  SELECT e.run_id, e.hostname, e.dst AS u, min(e.src_rank * 1000000 + e.pos) AS k
+  FROM e{d} e WHERE NOT EXISTS (SELECT 1 FROM seen{d} s WHERE s.run_id = e.run_id AND s.u = e.dst)
+  GROUP BY e.run_id, e.hostname, e.dst
+),
+v{d + 1} AS (
+  SELECT * FROM (
+    SELECT c.run_id, c.hostname, c.u, {d + 1} AS depth,
+           o.off + row_number() OVER (PARTITION BY c.run_id ORDER BY c.k, c.u) - 1 AS rnk
+    FROM c{d + 1} c JOIN (SELECT run_id, count(*) AS off FROM seen{d} GROUP BY run_id) o USING (run_id)
+  ) WHERE rnk < {budget}
+),
+seen{d + 1} AS (SELECT * FROM seen{d} UNION ALL SELECT * FROM v{d + 1})"""
+        )
+    edges = " UNION ALL ".join(f"SELECT * FROM e{d}" for d in range(max_depth + 1))
+    parts.append(
+        f"""
+bfs_edges AS ({edges}),
+bfs_visited AS (SELECT * FROM seen{max_depth}),
+bfs_ranked AS (
+  SELECT v.run_id, v.u, v.depth, v.rnk, coalesce(c.n, 0) AS inlinks,
+         row_number() OVER (PARTITION BY v.run_id ORDER BY coalesce(c.n, 0) DESC, v.depth, v.u) AS importance
+  FROM bfs_visited v LEFT JOIN (SELECT run_id, dst, count(*) AS n FROM bfs_edges GROUP BY run_id, dst) c
+    ON c.run_id = v.run_id AND c.dst = v.u
+)"""
+    )
+    return ",".join(parts)
+
+
+# Candidates of every tier from the fixture rules (not by parsing files).
+_CANDIDATES = r"""
+host_n AS (SELECT host, count(*) AS n FROM site_pages GROUP BY host),
+cand AS (
+  SELECT s.run_id,
+         CASE WHEN p.i % 2 = 1 THEN p.url_nf
+              ELSE 'https://' || p.host || regexp_replace(p.url_nf, '^[^:/?#]+://([^/?#]*)', '') END AS raw_url,
+         'llms' AS source, {'tier': 1, 'key': [CAST(5 + p.i AS BIGINT)]} AS ord
+  FROM site_pages p JOIN sites s ON s.hostname = p.host WHERE p.tier = 0
+  UNION ALL
+  SELECT run_id, 'https://' || hostname || '/llms-full.txt', 'robots', {'tier': 2, 'key': [CAST(2 AS BIGINT)]}
+  FROM sites WHERE length(hostname) % 4 = 1
+  UNION ALL
+  SELECT s.run_id, p.url_nf, 'sitemap', {'tier': 2, 'key': [CAST(4 AS BIGINT), 1, CAST(p.i - 1 AS BIGINT)]}
+  FROM site_pages p JOIN sites s ON s.hostname = p.host WHERE p.tier = 1
+  UNION ALL
+  SELECT s.run_id, p.url_nf, 'sitemap',
+         CASE WHEN h.n > 4 AND p.i % 2 = 1 THEN {'tier': 3, 'key': [CAST(0 AS BIGINT), 0, 1, CAST((p.i - 1) // 2 AS BIGINT)]}
+              WHEN h.n > 4 THEN {'tier': 3, 'key': [CAST(0 AS BIGINT), 1, 1, CAST(p.i // 2 - 1 AS BIGINT)]}
+              ELSE {'tier': 3, 'key': [CAST(1 AS BIGINT), CAST(p.i - 1 AS BIGINT)]} END
+  FROM site_pages p JOIN sites s ON s.hostname = p.host JOIN host_n h ON h.host = p.host WHERE p.tier = 2
+  UNION ALL
+  SELECT run_id, u, 'crawl', {'tier': 4, 'key': [CAST(importance AS BIGINT)]} FROM bfs_ranked WHERE importance <= 50
+),
+discovered AS (
+  SELECT run_id, url, arg_min(source, ord) AS provenance, min(ord) AS ord FROM (
+    SELECT run_id, """ + d_norm("raw_url") + r""" AS url, source, ord FROM cand
+  ) WHERE url IS NOT NULL GROUP BY run_id, url
+),
+pipe_caps AS (
+  SELECT url_key, status, """ + _TITLE_EXPR + r""" AS title FROM cap_status
+  UNION ALL SELECT url_key, status, hostname FROM home_cap
+),
+pipe_pages AS (
+  SELECT d.run_id, d.url, c.title, CASE WHEN coalesce(c.title, '') <> '' THEN 1.0 ELSE 0.0 END AS conf, d.ord
+  FROM discovered d JOIN pipe_caps c ON c.url_key = d.url WHERE c.status = 200
+),
+pipe_canon AS (
+  SELECT run_id, """ + canon("url") + r""" AS url, title, conf, ord FROM pipe_pages
+),
+canon_pages AS (
+  SELECT run_id, url, arg_min(title, {'c': -conf, 'o': ord}) AS title, CAST(NULL AS VARCHAR) AS description, min(ord) AS ord
+  FROM pipe_canon GROUP BY run_id, url
+),
+pipe_links AS (SELECT run_id, count(*) AS links FROM discovered GROUP BY run_id)
+"""
+
+
+def _pipeline_ctes() -> str:
+    return _LINKS + _bfs_levels() + "," + _CANDIDATES
+
+
+def _oracle_site_index_pipeline() -> str:
+    return _with(_pipeline_ctes(), _document_sql("canon_pages", "pipe_links")) + _documents_select()
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "site_index_captured": _oracle_site_index_captured(),
         "site_scores_captured": _oracle_scores_captured(),
+        "site_index_pipeline": _oracle_site_index_pipeline(),
     }

@@ -133,11 +133,15 @@ def page_captures(spark: SparkSession, sf_dir: str, link_graph: bool = False) ->
     )
 
 
+def _xml_text(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def _urlset(locs: Column) -> Column:
     """sitemaps.org urlset document from an array of URLs."""
     return F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'),
-        F.array_join(F.transform(locs, lambda u: F.concat(F.lit("  <url><loc>"), u, F.lit("</loc></url>\n"))), ""),
+        F.array_join(F.transform(locs, lambda u: F.concat(F.lit("  <url><loc>"), _xml_text(u), F.lit("</loc></url>\n"))), ""),
         F.lit("</urlset>\n"),
     )
 
@@ -146,7 +150,7 @@ def _sitemap_index(children: Column) -> Column:
     return F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'),
         F.array_join(
-            F.transform(children, lambda u: F.concat(F.lit("  <sitemap><loc>"), u, F.lit("</loc></sitemap>\n"))), ""
+            F.transform(children, lambda u: F.concat(F.lit("  <sitemap><loc>"), _xml_text(u), F.lit("</loc></sitemap>\n"))), ""
         ),
         F.lit("</sitemapindex>\n"),
     )
