@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from sitelens.config import PipelineParams
 from sitelens.plans import pipeline
@@ -51,7 +51,7 @@ def full_pipeline(spark: SparkSession, sf: str) -> pipeline.FullResult:
     read one of its outputs within a session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _PIPELINE_CACHE:
-        sites, caps = crawl_inputs(spark, sf)
+        sites, caps = crawl_inputs_cached(spark, sf)
         _PIPELINE_CACHE[key] = pipeline.run_pipeline(sites, caps, PipelineParams())
     return _PIPELINE_CACHE[key]
 
@@ -62,9 +62,253 @@ def q_site_index_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return full_pipeline(spark, sf).stages.artifacts
 
 
+# ---------------------------------------------------------------------------
+# Per-operator views of the full pipeline (discovery, scan, extraction,
+# canonical pages, documents, milestones)
+# ---------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from sitelens.operators import document, linkgraph  # noqa: E402
+from sitelens.operators.discovery import discovery_milestones  # noqa: E402
+
+
+def _key_text(c: str = "ord.key") -> F.Column:
+    return F.array_join(F.col(c).cast("array<string>"), ".")
+
+
+def q_d1_llms_links(spark, sf):
+    """Links listed in each site's llms.txt (first [text](href) per
+    line, resolved against the site), invalid ones included."""
+    c = full_pipeline(spark, sf).discovery.candidates
+    return c.filter(F.col("source") == "llms").select("run_id", "raw_url", F.col("ord.key")[0].alias("line_no"))
+
+
+def q_d2_robots_hints(spark, sf):
+    """D2: 'llms:' hints of robots.txt (column-0 keyword, any case)."""
+    c = full_pipeline(spark, sf).discovery.candidates
+    return c.filter(F.col("source") == "robots").select("run_id", "raw_url", F.col("ord.key")[0].alias("line_no"))
+
+
+def q_d4_sitemap_urls(spark, sf):
+    """URLs from robots-listed and well-known sitemaps, sitemap
+    indexes expanded depth-first with the cycle guard."""
+    c = full_pipeline(spark, sf).discovery.candidates
+    return c.filter(F.col("source") == "sitemap").select(
+        "run_id", "raw_url", F.col("ord.tier").alias("tier"), _key_text().alias("ord_key")
+    )
+
+
+def q_d6_tier_gate(spark, sf):
+    """Strategies that ran per site under the tier gate."""
+    log = full_pipeline(spark, sf).discovery.strategy_log
+    return log.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list("strategy")), ",").alias("strategies"))
+
+
+def q_d8_discovered(spark, sf):
+    """De-duplicated discovered URLs, first source wins."""
+    d = full_pipeline(spark, sf).discovery.discovered
+    return d.select("run_id", "url", "provenance", F.col("ord.tier").alias("tier"), _key_text().alias("ord_key"))
+
+
+def q_d9_spider_top(spark, sf):
+    """The 50 most important scanned URLs per site."""
+    scan = full_pipeline(spark, sf).discovery.scan
+    return linkgraph.top_pages(scan, 50).select(
+        F.col("site").alias("run_id"), F.col("url_key").alias("url"), "importance", "inlinks", "depth"
+    )
+
+
+def q_d10_strategy_log(spark, sf):
+    """Success, failed-probe status and URL count per strategy run."""
+    return full_pipeline(spark, sf).discovery.strategy_log
+
+
+def q_g1_page_links(spark, sf):
+    """G1: filtered same-domain links of every expanded page, in order."""
+    e = full_pipeline(spark, sf).discovery.scan.edges
+    w = F.row_number().over(Window.partitionBy("site", "src").orderBy("pos"))
+    return e.select(F.col("site").alias("run_id"), "src", "dst", w.alias("link_order"))
+
+
+def q_g2_bfs_visited(spark, sf):
+    """URLs visited by the bounded BFS with depth, BFS rank and
+    whether they expanded."""
+    v = full_pipeline(spark, sf).discovery.scan.visited
+    return v.select(F.col("site").alias("run_id"), F.col("url_key").alias("url"), "depth", F.col("rank").alias("bfs_rank"), "expanded")
+
+
+def q_g3_inlinks(spark, sf):
+    """In-link counts of visited URLs."""
+    scan = full_pipeline(spark, sf).discovery.scan
+    return linkgraph.inlink_counts(scan).select(F.col("site").alias("run_id"), F.col("url_key").alias("url"), "inlinks")
+
+
+def q_g4_importance(spark, sf):
+    """Importance rank (in-links desc, depth, URL) of visited URLs."""
+    scan = full_pipeline(spark, sf).discovery.scan
+    return linkgraph.rank_pages(scan).select(
+        F.col("site").alias("run_id"), F.col("url_key").alias("url"), "importance", "inlinks", "depth"
+    )
+
+
+def q_g6_scan_audit(spark, sf):
+    """Per scanned page: depth, links found, in-link score at scan time."""
+    scan = full_pipeline(spark, sf).discovery.scan
+    return linkgraph.page_scan_audit(scan).select(
+        F.col("site").alias("run_id"), F.col("url_key").alias("url"), "depth", "links_found", "inlink_score"
+    )
+
+
+def q_g7_scan_summary(spark, sf):
+    """Pages scanned and unique link targets per scanned site."""
+    scan = full_pipeline(spark, sf).discovery.scan
+    return linkgraph.scan_summary(scan).withColumnRenamed("site", "run_id")
+
+
+def q_e7_outcomes(spark, sf):
+    """Extraction outcome per discovered URL."""
+    o = full_pipeline(spark, sf).stages.outcomes
+    return o.select("run_id", "url", "outcome", "reason", F.col("outcome_status").alias("status_code"))
+
+
+def q_e8_pages(spark, sf):
+    """Page records with provenance and confidence."""
+    p = full_pipeline(spark, sf).stages.pages
+    return p.select(
+        "run_id", "url", "title", "description",
+        F.col("provenance.discovery").alias("discovery"),
+        F.col("provenance.title").alias("title_source"),
+        F.col("confidence.title").alias("title_confidence"),
+        F.col("provenance.description").alias("description_source"),
+        F.col("confidence.description").alias("description_confidence"),
+    )
+
+
+def q_e10_validators(spark, sf):
+    """Validators taken from the responses of extracted pages."""
+    st = full_pipeline(spark, sf).stages
+    v = st.outcomes.filter(F.col("outcome") == "extracted")
+    return v.select("run_id", "url", "etag", "last_modified")
+
+
+def q_c1_canonical_pages(spark, sf):
+    """One page per canonical URL (best confidence, first on ties)."""
+    c = full_pipeline(spark, sf).stages.canonical_pages
+    return c.select("run_id", "url", "title", F.col("ord.tier").alias("tier"), _key_text().alias("ord_key"))
+
+
+def q_c3_scores(spark, sf):
+    """Coverage / confidence / redundancy / total per site."""
+    return full_pipeline(spark, sf).stages.scores
+
+
+def q_c4_sections(spark, sf):
+    """C4: sections per site with their order and entry counts."""
+    st = full_pipeline(spark, sf)
+    sites, _caps = crawl_inputs_cached(spark, sf)
+    e = document.sectioned_entries(st.stages.canonical_pages, sites)
+    agg = e.groupBy("run_id", "section").agg(F.min("sec_ord").alias("sec_ord"), F.count(F.lit(1)).cast("long").alias("entries"))
+    w = Window.partitionBy("run_id").orderBy("sec_ord")
+    return agg.select("run_id", "section", F.row_number().over(w).alias("section_order"), "entries")
+
+
+def q_c6_site_meta(spark, sf):
+    """Site title / description from the home page, page and link counts."""
+    st = full_pipeline(spark, sf)
+    sites, _caps = crawl_inputs_cached(spark, sf)
+    counts = st.discovery.discovered.groupBy("run_id").agg(F.count(F.lit(1)).cast("long").alias("links_discovered"))
+    return document.site_meta(st.stages.canonical_pages, sites, counts).drop("hostname")
+
+
+def q_c7_artifact_stats(spark, sf):
+    """Bytes, entries, lines and words of each document."""
+    return document.artifact_stats(full_pipeline(spark, sf).stages.artifacts)
+
+
+def q_l7_discovery_milestone(spark, sf):
+    """URLs discovered and sources used per run."""
+    return discovery_milestones(full_pipeline(spark, sf).discovery.discovered)
+
+
+def q_l8_extraction_milestone(spark, sf):
+    """Pages extracted and skipped per run."""
+    o = full_pipeline(spark, sf).stages.outcomes
+    return o.groupBy("run_id").agg(
+        F.sum(F.when(F.col("outcome") == "extracted", 1).otherwise(0)).cast("long").alias("pages_extracted"),
+        F.sum(F.when(F.col("outcome") == "extracted", 0).otherwise(1)).cast("long").alias("pages_skipped"),
+    )
+
+
+def q_l9_generation_milestone(spark, sf):
+    """Document bytes, entry count and pages indexed per run."""
+    a = full_pipeline(spark, sf).stages.artifacts
+    return a.select("run_id", F.col("size_bytes").alias("llmstxt_size_bytes"), "entry_count",
+                    F.col("entry_count").alias("total_pages_indexed"))
+
+
+_INPUT_CACHE: dict = {}
+
+
+def crawl_inputs_cached(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INPUT_CACHE:
+        _INPUT_CACHE[key] = crawl_inputs(spark, sf)
+    return _INPUT_CACHE[key]
+
+
+PIPELINE_QUERIES = {
+    "d1_llms_links": q_d1_llms_links,
+    "d2_robots_hints": q_d2_robots_hints,
+    "d4_sitemap_urls": q_d4_sitemap_urls,
+    "d6_tier_gate": q_d6_tier_gate,
+    "d8_discovered": q_d8_discovered,
+    "d9_spider_top": q_d9_spider_top,
+    "d10_strategy_log": q_d10_strategy_log,
+    "g1_page_links": q_g1_page_links,
+    "g2_bfs_visited": q_g2_bfs_visited,
+    "g3_inlinks": q_g3_inlinks,
+    "g4_importance": q_g4_importance,
+    "g6_scan_audit": q_g6_scan_audit,
+    "g7_scan_summary": q_g7_scan_summary,
+    "e7_outcomes": q_e7_outcomes,
+    "e8_pages": q_e8_pages,
+    "e10_validators": q_e10_validators,
+    "c1_canonical_pages": q_c1_canonical_pages,
+    "c3_scores": q_c3_scores,
+    "c4_sections": q_c4_sections,
+    "c6_site_meta": q_c6_site_meta,
+    "c7_artifact_stats": q_c7_artifact_stats,
+    "l7_discovery_milestone": q_l7_discovery_milestone,
+    "l8_extraction_milestone": q_l8_extraction_milestone,
+    "l9_generation_milestone": q_l9_generation_milestone,
+}
+
+
+def _as_long(fn: Query) -> Query:
+    """Integer outputs as BIGINT so the schema matches SQL engines that
+    widen counts and ranks."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = fn(spark, sf)
+        cols = [
+            F.col(f.name).cast("long").alias(f.name) if f.dataType.typeName() in ("integer", "short", "byte") else F.col(f.name)
+            for f in df.schema.fields
+        ]
+        return df.select(*cols)
+
+    run.__doc__ = fn.__doc__
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
+
+
 def queries() -> dict[str, Query]:
+    return {k: _as_long(v) for k, v in _registry().items()}
+
+
+def _registry() -> dict[str, Query]:
     return {
         "site_index_captured": q_site_index_captured,
         "site_scores_captured": q_site_scores_captured,
         "site_index_pipeline": q_site_index_pipeline,
+        **PIPELINE_QUERIES,
     }

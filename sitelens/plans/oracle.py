@@ -342,7 +342,7 @@ seen0 AS (SELECT run_id, hostname, u, depth, rnk FROM v0)"""
         parts.append(
             f"""
 e{d} AS (
-  SELECT v.run_id, v.hostname, v.rnk AS src_rank, l.dst, l.pos
+  SELECT v.run_id, v.hostname, v.rnk AS src_rank, l.dst, l.pos, v.u AS src
   FROM v{d} v JOIN expand_status s ON s.url_key = v.u AND s.status = 200
   JOIN links l ON l.src = v.u
 )"""
@@ -436,9 +436,154 @@ def _oracle_site_index_pipeline() -> str:
     return _with(_pipeline_ctes(), _document_sql("canon_pages", "pipe_links")) + _documents_select()
 
 
+
+def _pipe(select_sql: str) -> str:
+    return _with(_pipeline_ctes()) + "\n" + select_sql
+
+
+def _pipe2(extra: str, select_sql: str) -> str:
+    return _with(_pipeline_ctes(), extra) + "\n" + select_sql
+
+
+_HOST_RE = "'^[^:/?#]+://([^/?#]*)'"
+
+PIPELINE_ORACLES = {
+    "d1_llms_links": _pipe(f"""
+SELECT s.run_id,
+       CASE WHEN p.i % 2 = 1 THEN p.url_nf ELSE 'https://' || p.host || regexp_replace(p.url_nf, {_HOST_RE}, '') END AS raw_url,
+       CAST(5 + p.i AS BIGINT) AS line_no
+FROM site_pages p JOIN sites s ON s.hostname = p.host WHERE p.tier = 0
+UNION ALL
+SELECT s.run_id, 'mailto:info@' || h.host, CAST(5 + h.n + 1 AS BIGINT)
+FROM host_n h JOIN sites s ON s.hostname = h.host WHERE length(h.host) % 4 = 0"""),
+    "d2_robots_hints": _pipe("""
+SELECT run_id, 'https://' || hostname || '/llms-full.txt' AS raw_url, CAST(2 AS BIGINT) AS line_no
+FROM sites WHERE length(hostname) % 4 = 1"""),
+    "d4_sitemap_urls": _pipe("""
+SELECT run_id, raw_url, CAST(ord.tier AS BIGINT) AS tier, array_to_string(ord.key, '.') AS ord_key
+FROM cand WHERE source = 'sitemap'"""),
+    "d6_tier_gate": _pipe("""
+SELECT run_id, CASE length(hostname) % 4
+    WHEN 0 THEN 'direct_llms,robots_hints' WHEN 1 THEN 'direct_llms,robots_hints'
+    WHEN 2 THEN 'direct_llms,robots_hints,sitemap' ELSE 'direct_llms,robots_hints,sitemap,spider' END AS strategies
+FROM sites"""),
+    "d8_discovered": _pipe("""
+SELECT run_id, url, provenance, CAST(ord.tier AS BIGINT) AS tier, array_to_string(ord.key, '.') AS ord_key FROM discovered"""),
+    "d9_spider_top": _pipe("""
+SELECT run_id, u AS url, CAST(importance AS BIGINT) AS importance, CAST(inlinks AS BIGINT) AS inlinks,
+       CAST(depth AS BIGINT) AS depth FROM bfs_ranked WHERE importance <= 50"""),
+    "d10_strategy_log": _pipe("""
+SELECT s.run_id, 'direct_llms' AS strategy, length(s.hostname) % 4 = 0 AS success,
+       CASE WHEN length(s.hostname) % 4 = 0 THEN NULL ELSE 404 END AS status_code,
+       CAST(CASE WHEN length(s.hostname) % 4 = 0 THEN h.n ELSE 0 END AS BIGINT) AS urls_found
+FROM sites s JOIN host_n h ON h.host = s.hostname
+UNION ALL
+SELECT s.run_id, 'robots_hints', length(s.hostname) % 4 = 1,
+       CASE WHEN length(s.hostname) % 4 = 1 THEN NULL ELSE 404 END,
+       CAST(CASE WHEN length(s.hostname) % 4 = 1 THEN h.n + 1 ELSE 0 END AS BIGINT)
+FROM sites s JOIN host_n h ON h.host = s.hostname
+UNION ALL
+SELECT s.run_id, 'sitemap', length(s.hostname) % 4 = 2, NULL,
+       CAST(CASE WHEN length(s.hostname) % 4 = 2 THEN h.n ELSE 0 END AS BIGINT)
+FROM sites s JOIN host_n h ON h.host = s.hostname WHERE length(s.hostname) % 4 IN (2, 3)
+UNION ALL
+SELECT run_id, 'spider', count(*) > 0, NULL, CAST(least(count(*), 50) AS BIGINT)
+FROM bfs_visited GROUP BY run_id"""),
+    "g1_page_links": _pipe("""
+SELECT run_id, src, dst, CAST(row_number() OVER (PARTITION BY run_id, src ORDER BY pos) AS BIGINT) AS link_order
+FROM bfs_edges"""),
+    "g2_bfs_visited": _pipe("""
+SELECT v.run_id, v.u AS url, CAST(v.depth AS BIGINT) AS depth, CAST(v.rnk AS BIGINT) AS bfs_rank,
+       coalesce(s.status = 200, false) AS expanded
+FROM bfs_visited v LEFT JOIN expand_status s ON s.url_key = v.u"""),
+    "g3_inlinks": _pipe("""
+SELECT run_id, u AS url, CAST(inlinks AS BIGINT) AS inlinks FROM bfs_ranked"""),
+    "g4_importance": _pipe("""
+SELECT run_id, u AS url, CAST(importance AS BIGINT) AS importance, CAST(inlinks AS BIGINT) AS inlinks,
+       CAST(depth AS BIGINT) AS depth FROM bfs_ranked"""),
+    "g6_scan_audit": _pipe("""
+SELECT v.run_id, v.u AS url, CAST(v.depth AS BIGINT) AS depth,
+       CAST((SELECT count(*) FROM bfs_edges e WHERE e.run_id = v.run_id AND e.src = v.u) AS BIGINT) AS links_found,
+       CAST((SELECT count(*) FROM bfs_edges e WHERE e.run_id = v.run_id AND e.dst = v.u AND e.src_rank < v.rnk) AS BIGINT) AS inlink_score
+FROM bfs_visited v JOIN expand_status s ON s.url_key = v.u AND s.status = 200"""),
+    "g7_scan_summary": _pipe("""
+SELECT v.run_id, CAST(count(*) AS BIGINT) AS pages_scanned,
+       CAST(coalesce(max(u.n), 0) AS BIGINT) AS unique_links_found,
+       CAST(3 AS BIGINT) AS max_depth, CAST(100 AS BIGINT) AS max_scan_pages
+FROM bfs_visited v LEFT JOIN (SELECT run_id, count(DISTINCT dst) AS n FROM bfs_edges GROUP BY run_id) u USING (run_id)
+GROUP BY v.run_id"""),
+    "e7_outcomes": _pipe("""
+SELECT d.run_id, d.url,
+       CASE WHEN coalesce(c.status, 404) = 200 THEN 'extracted' ELSE 'skipped' END AS outcome,
+       CASE WHEN c.status = 304 THEN 'not_modified' WHEN coalesce(c.status, 404) <> 200 THEN 'http_error' END AS reason,
+       CAST(coalesce(c.status, 404) AS BIGINT) AS status_code
+FROM discovered d LEFT JOIN pipe_caps c ON c.url_key = d.url"""),
+    "e8_pages": _pipe("""
+SELECT run_id, url, title, CAST(NULL AS VARCHAR) AS description, d.provenance AS discovery,
+       CASE WHEN coalesce(title, '') <> '' THEN 'title' ELSE 'none' END AS title_source,
+       CAST(conf AS DOUBLE) AS title_confidence, 'none' AS description_source, CAST(0.0 AS DOUBLE) AS description_confidence
+FROM pipe_pages JOIN discovered d USING (run_id, url)"""),
+    "e10_validators": _pipe("""
+SELECT d.run_id, d.url,
+       coalesce(md5(p.html), md5('<!DOCTYPE html><html><head><title>' || h.hostname || '</title></head><body><a href="' ||
+                fp.url_nf || '">start</a></body></html>')) AS etag,
+       'Mon, 01 Jan 2024 00:00:00 GMT' AS last_modified
+FROM discovered d
+JOIN pipe_caps c ON c.url_key = d.url AND c.status = 200
+LEFT JOIN cap_status p ON p.url_key = d.url
+LEFT JOIN home_cap h ON h.url_key = d.url
+LEFT JOIN site_pages fp ON fp.host = h.hostname AND fp.i = 1"""),
+    "c1_canonical_pages": _pipe("""
+SELECT run_id, url, title, CAST(ord.tier AS BIGINT) AS tier, array_to_string(ord.key, '.') AS ord_key FROM canon_pages"""),
+    "c3_scores": _pipe2("""
+sc AS (
+  SELECT run_id,
+    (sum(CASE WHEN coalesce(title,'') <> '' THEN 1 ELSE 0 END) / count(*)) / 2 AS coverage,
+    avg(conf / 2) AS confidence,
+    count(DISTINCT """ + canon("url") + """) / count(*) AS redundancy,
+    count(*) AS n
+  FROM pipe_pages GROUP BY run_id
+)""", """
+SELECT s.run_id,
+  CAST(coalesce(round(coverage, 4), 0.0) AS DOUBLE) AS coverage,
+  CAST(coalesce(round(confidence, 4), 0.0) AS DOUBLE) AS confidence,
+  CAST(coalesce(round(redundancy, 4), 0.0) AS DOUBLE) AS redundancy,
+  CAST(coalesce(round(coverage * 0.4 + confidence * 0.4 + redundancy * 0.2, 4), 0.0) AS DOUBLE) AS total,
+  CAST(coalesce(n, 0) AS BIGINT) AS pages
+FROM sites s LEFT JOIN sc USING (run_id)"""),
+    "c4_sections": _pipe2(_document_sql("canon_pages", "pipe_links"), """
+SELECT run_id, section, CAST(row_number() OVER (PARTITION BY run_id ORDER BY min(ord)) AS BIGINT) AS section_order,
+       CAST(count(*) AS BIGINT) AS entries
+FROM doc_entries WHERE section IS NOT NULL GROUP BY run_id, section"""),
+    "c6_site_meta": _pipe2(_document_sql("canon_pages", "pipe_links"), """
+SELECT s.run_id, h.site_title, h.site_description, CAST(coalesce(c.n, 0) AS BIGINT) AS pages_crawled,
+       CAST(coalesce(nullif(coalesce(l.links, 0), 0), coalesce(c.n, 0)) AS BIGINT) AS links_discovered
+FROM sites s LEFT JOIN doc_home h USING (run_id) LEFT JOIN doc_counts c USING (run_id) LEFT JOIN pipe_links l USING (run_id)"""),
+    "c7_artifact_stats": _pipe2(_document_sql("canon_pages", "pipe_links") + """,
+docs AS (""" + _documents_select() + """)""", """
+SELECT run_id, size_bytes, entry_count,
+       CAST(len(string_split(regexp_replace(llms_txt, '\n$', ''), chr(10))) AS BIGINT) AS line_count,
+       CAST(len(list_filter(regexp_split_to_array(llms_txt, '\s+'), lambda w: w <> '')) AS BIGINT) AS word_count
+FROM docs"""),
+    "l7_discovery_milestone": _pipe("""
+SELECT run_id, CAST(count(*) AS BIGINT) AS pages_discovered,
+       array_to_string(list_sort(list_distinct(list(provenance))), ',') AS strategies_used
+FROM discovered GROUP BY run_id"""),
+    "l8_extraction_milestone": _pipe("""
+SELECT d.run_id,
+       CAST(sum(CASE WHEN c.status = 200 THEN 1 ELSE 0 END) AS BIGINT) AS pages_extracted,
+       CAST(sum(CASE WHEN c.status = 200 THEN 0 ELSE 1 END) AS BIGINT) AS pages_skipped
+FROM discovered d LEFT JOIN pipe_caps c ON c.url_key = d.url GROUP BY d.run_id"""),
+    "l9_generation_milestone": _pipe2(_document_sql("canon_pages", "pipe_links") + """,
+docs AS (""" + _documents_select() + """)""", """
+SELECT run_id, size_bytes AS llmstxt_size_bytes, entry_count, entry_count AS total_pages_indexed FROM docs"""),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "site_index_captured": _oracle_site_index_captured(),
         "site_scores_captured": _oracle_scores_captured(),
         "site_index_pipeline": _oracle_site_index_pipeline(),
+        **PIPELINE_ORACLES,
     }
