@@ -38,6 +38,7 @@ SIGNALS_FIELDS = [
     T.StructField("ld_headline", T.StringType()),
     T.StructField("ld_description", T.StringType()),
     T.StructField("links", T.ArrayType(T.StringType())),
+    T.StructField("hrefs", T.ArrayType(T.StringType())),
 ]
 
 _LD_TYPE = "application/ld+json"
@@ -162,7 +163,7 @@ def parse_signals(html: str | None, base_url: str | None) -> dict:
         try:
             links.append(urljoin(base_url or "", href))
         except ValueError:
-            continue
+            links.append(None)
     return {
         "has_head": has_head,
         "title": title.strip() if title is not None else None,
@@ -170,6 +171,7 @@ def parse_signals(html: str | None, base_url: str | None) -> dict:
         "ld_headline": _jsonld_value(scripts, "headline"),
         "ld_description": _jsonld_value(scripts, "description"),
         "links": links,
+        "hrefs": p.hrefs,
     }
 
 

@@ -301,6 +301,169 @@ def _as_long(fn: Query) -> Query:
     return run
 
 
+# ---------------------------------------------------------------------------
+# Extraction cascade over documents rendered as HTML
+# ---------------------------------------------------------------------------
+_CASCADE_CACHE: dict = {}
+
+
+def cascade_result(spark: SparkSession, sf: str) -> pipeline.PipelineResult:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CASCADE_CACHE:
+        prepare_session(spark)
+        sites = materialize(fx.cascade_sites(spark, sf), "cascade-sites")
+        caps = materialize(fx.cascade_captures(spark, sf), "cascade-captures")
+        _CASCADE_CACHE[key] = pipeline.index_captured_pages(sites, caps, PipelineParams())
+    return _CASCADE_CACHE[key]
+
+
+def q_e1_signals(spark, sf):
+    """Head-scoped title, meta count and JSON-LD values of each page."""
+    s = cascade_result(spark, sf).signals
+    return s.select(
+        F.col("url_key").alias("url"), "has_head", "title", F.size("metas").alias("meta_count"),
+        "ld_headline", "ld_description",
+    )
+
+
+def q_e2_cascade(spark, sf):
+    """Title and description cascades with source and confidence."""
+    p = cascade_result(spark, sf).pages
+    return p.select(
+        "url", "title", F.col("provenance.title").alias("title_source"), F.col("confidence.title").alias("title_confidence"),
+        "description", F.col("provenance.description").alias("description_source"),
+        F.col("confidence.description").alias("description_confidence"),
+    )
+
+
+def q_e11_page_events(spark, sf):
+    """Per-page audit events; descriptions cut to 120 characters."""
+    e = cascade_result(spark, sf).events
+    return e.select(
+        "id", "run_id", "name", "system",
+        F.get_json_object("metadata", "$.url").alias("url"),
+        F.get_json_object("metadata", "$.title_source").alias("title_source"),
+        F.get_json_object("metadata", "$.description").alias("description"),
+        F.get_json_object("metadata", "$.description_source").alias("description_source"),
+    )
+
+
+# ---------------------------------------------------------------------------
+# URL scalars over the driver pages
+# ---------------------------------------------------------------------------
+from sitelens.functions import text as textfn  # noqa: E402
+from sitelens.functions import urls as U  # noqa: E402
+from sitelens.sources.tables import read_table  # noqa: E402
+
+_CAPTURED_CACHE: dict = {}
+
+
+def captured_result(spark: SparkSession, sf: str) -> pipeline.PipelineResult:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CAPTURED_CACHE:
+        _CAPTURED_CACHE[key] = _captured(spark, sf)
+    return _CAPTURED_CACHE[key]
+
+
+def q_p1_url_parts(spark, sf):
+    """Scheme / netloc / path / query / fragment of every page URL."""
+    p = read_table(spark, sf, "pages")
+    return p.select(
+        "page_id", U.url_scheme("url").alias("scheme"), U.url_netloc("url").alias("netloc"),
+        U.url_path("url").alias("path"), U.url_query("url").alias("query"), U.url_fragment("url").alias("fragment"),
+    )
+
+
+def _page_hrefs(spark, sf):
+    s = captured_result(spark, sf).signals
+    return s.select(F.col("url_key").alias("page_url"), F.posexplode(F.arrays_zip("hrefs", "links")).alias("pos", "h")).select(
+        "page_url", "pos", F.col("h.hrefs").alias("href"), F.col("h.links").alias("link")
+    )
+
+
+def q_p2_resolve_hrefs(spark, sf):
+    """Every anchor href of every page resolved against the page URL."""
+    h = _page_hrefs(spark, sf)
+    return h.select("page_url", "pos", "href", U.resolve_url(F.col("page_url"), F.col("href")).alias("resolved"))
+
+
+def q_p3_canonical(spark, sf):
+    """Canonical form of every page URL."""
+    p = read_table(spark, sf, "pages")
+    return p.select("page_id", "url", U.canonical_url("url").alias("canonical_url"))
+
+
+def q_p4_link_filters(spark, sf):
+    """Fragment strip, same-domain, suffix / allow list and
+    non-content tests of every resolved link."""
+    h = _page_hrefs(spark, sf).withColumn("hostname", U.url_netloc("page_url"))
+    exts = sorted({".html", ".htm", ".txt", ".md", ""})
+    return h.select(
+        "page_url", "pos", "link",
+        U.strip_fragment("link").alias("link_no_fragment"),
+        U.same_domain(U.netloc_sql("link"), "hostname").alias("same_domain"),
+        U.path_suffix(U.path_sql("link")).alias("suffix"),
+        U.extension_allowed(U.path_sql("link"), exts).alias("extension_allowed"),
+        U.non_content_path(U.path_sql("link")).alias("non_content"),
+    )
+
+
+def q_p8_section_names(spark, sf):
+    """Section of every page's canonical URL within its host."""
+    p = read_table(spark, sf, "pages").select("page_id", U.canonical_url("url").alias("url"), fx.host_of("url").alias("hostname"))
+    return p.select("page_id", "url", U.section_name("url", "hostname").alias("section"))
+
+
+def q_p9_normalized_links(spark, sf):
+    """Validity and serialisation of every resolved link."""
+    h = _page_hrefs(spark, sf)
+    return h.select("page_url", "pos", "link", U.valid_http_url("link").alias("valid"), U.normalize_http_url("link").alias("normalized"))
+
+
+def q_p10_home_pages(spark, sf):
+    """P10: home-page test of every canonical page of the pipeline."""
+    st = full_pipeline(spark, sf)
+    sites, _ = crawl_inputs_cached(spark, sf)
+    c = st.stages.canonical_pages.join(sites.select("run_id", "hostname"), "run_id")
+    return c.select("run_id", "url", U.is_home("url", "hostname").alias("is_home"))
+
+
+def q_p11_lines(spark, sf):
+    """Every line of every document (whole texts, splitlines rules)."""
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", F.posexplode(textfn.split_lines("text")).alias("line_no", "line"))
+
+
+def q_p12_content_types(spark, sf):
+    """Content type of every captured response and the text test."""
+    _sites, caps = crawl_inputs_cached(spark, sf)
+    ct = F.col("headers")["content-type"]
+    return caps.select("url", ct.alias("content_type"), (ct.contains("text/html") | ct.contains("text/plain")).alias("is_text"))
+
+
+def q_p13_entry_titles(spark, sf):
+    """Entry title falls back to the URL."""
+    c = full_pipeline(spark, sf).stages.canonical_pages
+    return c.select("run_id", "url", F.coalesce(F.expr("nullif(title, '')"), F.col("url")).alias("entry_title"))
+
+
+SCALAR_QUERIES = {
+    "e1_signals": q_e1_signals,
+    "e2_cascade": q_e2_cascade,
+    "e11_page_events": q_e11_page_events,
+    "p1_url_parts": q_p1_url_parts,
+    "p2_resolve_hrefs": q_p2_resolve_hrefs,
+    "p3_canonical": q_p3_canonical,
+    "p4_link_filters": q_p4_link_filters,
+    "p8_section_names": q_p8_section_names,
+    "p9_normalized_links": q_p9_normalized_links,
+    "p10_home_pages": q_p10_home_pages,
+    "p11_lines": q_p11_lines,
+    "p12_content_types": q_p12_content_types,
+    "p13_entry_titles": q_p13_entry_titles,
+}
+
+
 def queries() -> dict[str, Query]:
     return {k: _as_long(v) for k, v in _registry().items()}
 
@@ -311,4 +474,5 @@ def _registry() -> dict[str, Query]:
         "site_scores_captured": q_site_scores_captured,
         "site_index_pipeline": q_site_index_pipeline,
         **PIPELINE_QUERIES,
+        **SCALAR_QUERIES,
     }

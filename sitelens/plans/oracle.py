@@ -563,7 +563,7 @@ FROM sites s LEFT JOIN doc_home h USING (run_id) LEFT JOIN doc_counts c USING (r
 docs AS (""" + _documents_select() + """)""", """
 SELECT run_id, size_bytes, entry_count,
        CAST(len(string_split(regexp_replace(llms_txt, '\n$', ''), chr(10))) AS BIGINT) AS line_count,
-       CAST(len(list_filter(regexp_split_to_array(llms_txt, '\s+'), lambda w: w <> '')) AS BIGINT) AS word_count
+       CAST(len(list_filter(regexp_split_to_array(llms_txt, '\\s+'), lambda w: w <> '')) AS BIGINT) AS word_count
 FROM docs"""),
     "l7_discovery_milestone": _pipe("""
 SELECT run_id, CAST(count(*) AS BIGINT) AS pages_discovered,
@@ -580,10 +580,103 @@ SELECT run_id, size_bytes AS llmstxt_size_bytes, entry_count, entry_count AS tot
 }
 
 
+
+_DOCS = r"""
+dd AS (
+  SELECT doc_id, lang, source, text, doc_id % 8 AS k,
+         'Document ' || CAST(doc_id AS VARCHAR) || ' (' || source || ')' AS t,
+         regexp_replace(text, '^\s+|\s+$', '', 'g') AS d,
+         'https://' || lang || '.docs.example.org/' || CAST(doc_id AS VARCHAR) AS url,
+         substr(sha256(lang || '.docs.example.org'), 1, 16) AS run_id
+  FROM documents
+)"""
+
+_PAGE_HREFS = r"""
+pc AS (
+  SELECT url_nf, arg_max(html, page_id) AS html, arg_max(page_id, page_id) AS page_id FROM site_pages GROUP BY url_nf
+),
+ph AS (
+  SELECT url_nf AS page_url, href, CAST(pos - 1 AS BIGINT) AS pos,
+         regexp_extract(url_nf, '^[^:/?#]+://[^/?#]*', 0) || href AS link
+  FROM (SELECT url_nf, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href,
+               generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS pos
+        FROM pc WHERE page_id % 10 <> 0 AND page_id % 11 <> 0)
+)"""
+
+SCALAR_ORACLES = {
+    "e1_signals": _with(_DOCS) + """
+SELECT url, true AS has_head, CASE WHEN k IN (0, 4, 7) THEN t END AS title,
+       CAST(1 + CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 5 THEN 1 WHEN 7 THEN 3 ELSE 0 END AS BIGINT) AS meta_count,
+       CASE WHEN k = 3 THEN t END AS ld_headline, CASE WHEN k = 3 THEN d END AS ld_description
+FROM dd""",
+    "e2_cascade": _with(_DOCS) + """
+SELECT url,
+  CASE WHEN k IN (5, 6) THEN NULL ELSE t END AS title,
+  CASE k WHEN 0 THEN 'title' WHEN 1 THEN 'og:title' WHEN 2 THEN 'twitter:title' WHEN 3 THEN 'jsonld:headline'
+         WHEN 4 THEN 'title' WHEN 7 THEN 'title' ELSE 'none' END AS title_source,
+  CAST(CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.75 WHEN 3 THEN 0.6 WHEN 4 THEN 1.0 WHEN 7 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS title_confidence,
+  CASE WHEN k IN (4, 6) THEN NULL ELSE d END AS description,
+  CASE k WHEN 0 THEN 'meta:description' WHEN 1 THEN 'og:description' WHEN 2 THEN 'twitter:description'
+         WHEN 3 THEN 'jsonld:description' WHEN 5 THEN 'meta:description' WHEN 7 THEN 'og:description' ELSE 'none' END AS description_source,
+  CAST(CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.75 WHEN 3 THEN 0.6 WHEN 5 THEN 1.0 WHEN 7 THEN 0.8 ELSE 0.0 END AS DOUBLE) AS description_confidence
+FROM dd""",
+    "e11_page_events": _with(_DOCS) + """
+SELECT substr(sha256(run_id || '|' || url || '|extraction'), 1, 32) AS id, run_id,
+       'extraction.page_extracted' AS name, 'extraction' AS system, url,
+       CASE k WHEN 0 THEN 'title' WHEN 1 THEN 'og:title' WHEN 2 THEN 'twitter:title' WHEN 3 THEN 'jsonld:headline'
+              WHEN 4 THEN 'title' WHEN 7 THEN 'title' ELSE 'none' END AS title_source,
+       CASE WHEN k IN (4, 6) THEN NULL ELSE substr(d, 1, 120) END AS description,
+       CASE k WHEN 0 THEN 'meta:description' WHEN 1 THEN 'og:description' WHEN 2 THEN 'twitter:description'
+              WHEN 3 THEN 'jsonld:description' WHEN 5 THEN 'meta:description' WHEN 7 THEN 'og:description' ELSE 'none' END AS description_source
+FROM dd""",
+    "p1_url_parts": _with() + f"""
+SELECT page_id, lower({d_part('url', 2)}) AS scheme, {d_part('url', 4)} AS netloc,
+       regexp_replace({d_part('url', 5)}, ';[^/]*$', '') AS path,
+       CASE WHEN {d_part('url', 6)} <> '' THEN {d_part('url', 7)} END AS query,
+       CASE WHEN contains(url, '#') THEN {d_part('url', 9)} END AS fragment
+FROM pages""",
+    "p2_resolve_hrefs": _with(_PAGE_HREFS) + """
+SELECT page_url, pos, href, link AS resolved FROM ph""",
+    "p3_canonical": _with() + f"""
+SELECT page_id, url, {canon('url')} AS canonical_url FROM pages""",
+    "p4_link_filters": _with(_PAGE_HREFS) + f"""
+SELECT page_url, pos, link, split_part(link, '#', 1) AS link_no_fragment,
+       ({d_part('link', 4)} = '' OR {d_part('link', 4)} = {d_part('page_url', 4)}) AS same_domain,
+       {d_suffix(d_path('link'))} AS suffix,
+       {d_suffix(d_path('link'))} IN ('', '.htm', '.html', '.md', '.txt') AS extension_allowed,
+       {d_non_content(d_path('link'))} AS non_content
+FROM ph""",
+    "p8_section_names": _with() + f"""
+SELECT page_id, {canon('url')} AS url,
+       {section_of(canon('url'), "regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)")} AS section
+FROM pages""",
+    "p9_normalized_links": _with(_PAGE_HREFS) + f"""
+SELECT page_url, pos, link, lower({d_part('link', 2)}) IN ('http', 'https') AS valid, {d_norm('link')} AS normalized FROM ph""",
+    "p10_home_pages": _pipe("""
+SELECT c.run_id, c.url, regexp_replace(c.url, '/+$', '') = 'https://' || s.hostname AS is_home
+FROM canon_pages c JOIN sites s USING (run_id)"""),
+    "p11_lines": _with() + r"""
+SELECT doc_id, CAST(generate_subscripts(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'), 1) - 1 AS BIGINT) AS line_no,
+       unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')) AS line
+FROM documents""",
+    "p12_content_types": _pipe("""
+SELECT url_nf AS url, 'text/html; charset=utf-8' AS content_type, true AS is_text FROM site_pages
+UNION ALL SELECT 'https://' || host || '/llms.txt', 'text/plain', true FROM host_n WHERE length(host) % 4 = 0
+UNION ALL SELECT 'https://' || host || '/robots.txt', 'text/plain', true FROM host_n WHERE length(host) % 4 = 1
+UNION ALL SELECT 'https://' || host || '/sitemap-pages.xml', 'application/xml', false FROM host_n WHERE length(host) % 4 = 1
+UNION ALL SELECT 'https://' || host || '/sitemap.xml', 'application/xml', false FROM host_n WHERE length(host) % 4 = 2
+UNION ALL SELECT 'https://' || host || '/sitemap-odd.xml', 'application/xml', false FROM host_n WHERE length(host) % 4 = 2 AND n > 4
+UNION ALL SELECT 'https://' || host || '/sitemap-even.xml', 'application/xml', false FROM host_n WHERE length(host) % 4 = 2 AND n > 4
+UNION ALL SELECT 'https://' || host, 'text/html; charset=utf-8', true FROM host_n WHERE length(host) % 4 = 3"""),
+    "p13_entry_titles": _pipe("""
+SELECT run_id, url, coalesce(nullif(title, ''), url) AS entry_title FROM canon_pages"""),
+}
+
 def oracle_sql() -> dict[str, str]:
     return {
         "site_index_captured": _oracle_site_index_captured(),
         "site_scores_captured": _oracle_scores_captured(),
         "site_index_pipeline": _oracle_site_index_pipeline(),
         **PIPELINE_ORACLES,
+        **SCALAR_ORACLES,
     }

@@ -31,6 +31,7 @@ class PipelineResult:
     artifacts: DataFrame
     validators: DataFrame
     events: DataFrame
+    signals: DataFrame
 
 
 def captured_candidates(sites: DataFrame, captures: DataFrame) -> DataFrame:
@@ -79,6 +80,7 @@ def finish_sites(
         artifacts=artifacts,
         validators=extract.new_validators(outcomes),
         events=extract.page_events(outcomes, pages),
+        signals=signals,
     )
 
 

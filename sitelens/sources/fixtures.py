@@ -250,3 +250,82 @@ def discovery_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything a crawl of the driver hosts would have fetched."""
     return page_captures(spark, sf_dir, link_graph=True).unionByName(discovery_captures(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Documents as HTML pages (extraction cascade)
+# ---------------------------------------------------------------------------
+def _html_escape(c: Column) -> Column:
+    amp = F.replace(c, F.lit("&"), F.lit("&amp;"))
+    return F.replace(F.replace(amp, F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+
+
+def cascade_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as an HTML page whose head tags depend on
+    ``doc_id % 8``: 0 title + meta description, 1 og tags, 2 twitter tags
+    (property=), 3 JSON-LD (a numeric headline object, then an Article),
+    4 title only, 5 description only, 6 nothing, 7 title + an empty first
+    meta description + og:description.  Every body carries decoy tags.
+    Title text: 'Document <id> (<source>)'; description: the whole text.
+    """
+    d = read_table(spark, sf_dir, "documents")
+    title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.lit(" ("), F.col("source"), F.lit(")"))
+    t, x = _html_escape(title), _html_escape(F.col("text"))
+    k = F.col("doc_id") % 8
+
+    def meta(attr: str, key: str, val: Column) -> Column:
+        return F.concat(F.lit(f'<meta {attr}="{key}" content="'), val, F.lit('">'))
+
+    ld = F.concat(
+        F.lit('[{"@type":"WebSite","headline":1},'),
+        F.to_json(
+            F.struct(
+                F.lit("https://schema.org").alias("@context"),
+                F.lit("Article").alias("@type"),
+                title.alias("headline"),
+                F.col("text").alias("description"),
+            )
+        ),
+        F.lit("]"),
+    )
+    ld = F.replace(ld, F.lit("</"), F.lit("<\\/"))
+    tag_title = F.concat(F.lit("<title>"), t, F.lit("</title>"))
+    head = (
+        F.when(k == 0, F.concat(tag_title, meta("name", "description", x)))
+        .when(k == 1, F.concat(meta("property", "og:title", t), meta("property", "og:description", x)))
+        .when(k == 2, F.concat(meta("property", "twitter:title", t), meta("property", "twitter:description", x)))
+        .when(k == 3, F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>")))
+        .when(k == 4, tag_title)
+        .when(k == 5, meta("name", "description", x))
+        .when(k == 6, F.lit(""))
+        .otherwise(
+            F.concat(tag_title, meta("name", "description", F.lit("")), meta("name", "description", x),
+                     meta("property", "og:description", x))
+        )
+    )
+    html = F.concat(
+        F.lit('<!DOCTYPE html><html><head><meta charset="utf-8">'), head,
+        F.lit("</head><body><title>decoy</title><meta name=\"description\" content=\"decoy\"><h1>"), t,
+        F.lit("</h1><p>"), x, F.lit("</p></body></html>"),
+    )
+    url = F.concat(F.lit("https://"), F.col("lang"), F.lit(".docs.example.org/"), F.col("doc_id").cast("string"))
+    return d.select(
+        url.alias("url"),
+        F.lit(200).alias("status_code"),
+        _headers("text/html; charset=utf-8", F.md5(F.col("text"))).alias("headers"),
+        html.alias("body"),
+        _ts(F.col("doc_id")).alias("fetched_at"),
+    )
+
+
+def cascade_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One site per document language host."""
+    hosts = read_table(spark, sf_dir, "documents").select(
+        F.concat(F.col("lang"), F.lit(".docs.example.org")).alias("hostname")
+    ).distinct()
+    return hosts.select(
+        run_id_of("hostname").alias("run_id"),
+        F.concat(F.lit("https://"), F.col("hostname")).alias("target_url"),
+        "hostname",
+        F.to_timestamp(F.lit(BASE_TIME)).alias("created_at"),
+    )
