@@ -464,6 +464,182 @@ SCALAR_QUERIES = {
 }
 
 
+# ---------------------------------------------------------------------------
+# Audit trail: metrics (L) and read views (V) over the event-derived log
+# ---------------------------------------------------------------------------
+from sitelens.operators import audit, views  # noqa: E402
+from sitelens.sources import store  # noqa: E402
+
+NOW = "2024-02-01 00:00:00"
+
+
+def _submissions(spark, sf):
+    """Submitted target URLs: every page URL and every raw anchor href."""
+    pages = read_table(spark, sf, "pages").select("url")
+    hrefs = _page_hrefs(spark, sf).select(F.col("href").alias("url"))
+    return pages.unionByName(hrefs)
+
+
+def q_s1_accept_targets(spark, sf):
+    """Submitted URLs accepted as queued runs or rejected with a reason."""
+    runs, rejects = store.accept_targets(_submissions(spark, sf))
+    acc = runs.select(F.col("target_url").alias("url"), F.lit(True).alias("accepted"), "run_id", "hostname",
+                      F.lit(None).cast("string").alias("reason"))
+    rej = rejects.select("url", F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("run_id"),
+                         F.lit(None).cast("string").alias("hostname"), "reason")
+    return acc.unionByName(rej)
+
+
+def q_l1_transition_violations(spark, sf):
+    """L1: transitions the work-item state machine forbids."""
+    return audit.transition_violations(fx.work_item_transitions(spark, sf))
+
+
+def q_l2_state_gauge(spark, sf):
+    """L2: items currently in each state."""
+    return audit.state_gauge(fx.work_item_transitions(spark, sf))
+
+
+def q_l3_run_outcomes(spark, sf):
+    """L3: finished runs by outcome."""
+    return audit.run_outcomes(fx.runs(spark, sf))
+
+
+def q_l4_stage_outcomes(spark, sf):
+    """L4: stage executions by stage and outcome."""
+    return audit.stage_outcomes(fx.crawl_events(spark, sf))
+
+
+def q_l5_stage_durations(spark, sf):
+    """Duration distribution of successful stage executions."""
+    return audit.stage_durations(fx.crawl_events(spark, sf))
+
+
+def q_l6_business_metrics(spark, sf):
+    """Pages indexed, run durations and artifact sizes."""
+    return audit.business_metrics(fx.runs(spark, sf), fx.crawl_events(spark, sf), fx.artifacts(spark, sf))
+
+
+def q_l12_event_durations(spark, sf):
+    """Event durations (NULL while open)."""
+    return audit.event_durations(fx.crawl_events(spark, sf))
+
+
+def q_l13_log_lines(spark, sf):
+    """JSON log line per event with sorted keys."""
+    return audit.log_lines(fx.crawl_events(spark, sf))
+
+
+def q_l14_failure_codes(spark, sf):
+    """Failure classes with their HTTP-like codes and counts."""
+    _runs, rejects = store.accept_targets(_submissions(spark, sf))
+    return audit.failure_codes(fx.crawl_events(spark, sf), rejects)
+
+
+def q_v1_run_status(spark, sf):
+    """V1: status of every run."""
+    return views.run_status(fx.runs(spark, sf))
+
+
+def q_v2_history(spark, sf):
+    """V2: the 50 newest runs (history report)."""
+    return views.history(fx.runs(spark, sf))
+
+
+def q_v3_work_items(spark, sf):
+    """V3: work items of each run by creation time."""
+    return views.work_items_in_order(fx.work_items(spark, sf))
+
+
+def q_v4_events(spark, sf):
+    """V4: events of each run by start time with durations."""
+    return views.events_in_order(fx.crawl_events(spark, sf))
+
+
+def q_v5_artifacts(spark, sf):
+    """V5: document text of each completed run."""
+    return views.artifact_text(fx.artifacts(spark, sf))
+
+
+def q_v6_stage_states(spark, sf):
+    """V6: state of the five stages of every run."""
+    return views.stage_states(fx.runs(spark, sf), fx.work_items(spark, sf))
+
+
+def q_v7_current_stage(spark, sf):
+    """V7: current stage label of every run."""
+    return views.current_stage(views.stage_states(fx.runs(spark, sf), fx.work_items(spark, sf)))
+
+
+def q_v8_timeline(spark, sf):
+    """V8: one item per stage and run for the timeline."""
+    return views.timeline(fx.work_items(spark, sf))
+
+
+def q_v9_recent_events(spark, sf):
+    """V9: the 8 most recent events of every run."""
+    return views.recent_events(fx.crawl_events(spark, sf))
+
+
+def q_v10_event_table(spark, sf):
+    """Full event table with rounded milliseconds and details."""
+    return views.event_table(fx.crawl_events(spark, sf))
+
+
+def q_v11_artifact_preview(spark, sf):
+    """Lines, words and preview of every document."""
+    return views.artifact_preview(fx.artifacts(spark, sf))
+
+
+def q_v12_run_groups(spark, sf):
+    """Active versus history runs."""
+    return views.run_groups(fx.runs(spark, sf))
+
+
+def q_v13_status_summary(spark, sf):
+    """Status summary and exit code over all runs."""
+    return views.status_summary(fx.runs(spark, sf))
+
+
+def q_v14_stage_events(spark, sf):
+    """The last five stage events of every run."""
+    return views.last_stage_events(fx.crawl_events(spark, sf))
+
+
+def q_v15_run_labels(spark, sf):
+    """Elapsed-time and score labels of every run."""
+    return views.run_labels(fx.runs(spark, sf), NOW)
+
+
+AUDIT_QUERIES = {
+    "s1_accept_targets": q_s1_accept_targets,
+    "l1_transition_violations": q_l1_transition_violations,
+    "l2_state_gauge": q_l2_state_gauge,
+    "l3_run_outcomes": q_l3_run_outcomes,
+    "l4_stage_outcomes": q_l4_stage_outcomes,
+    "l5_stage_durations": q_l5_stage_durations,
+    "l6_business_metrics": q_l6_business_metrics,
+    "l12_event_durations": q_l12_event_durations,
+    "l13_log_lines": q_l13_log_lines,
+    "l14_failure_codes": q_l14_failure_codes,
+    "v1_run_status": q_v1_run_status,
+    "v2_history": q_v2_history,
+    "v3_work_items": q_v3_work_items,
+    "v4_events": q_v4_events,
+    "v5_artifacts": q_v5_artifacts,
+    "v6_stage_states": q_v6_stage_states,
+    "v7_current_stage": q_v7_current_stage,
+    "v8_timeline": q_v8_timeline,
+    "v9_recent_events": q_v9_recent_events,
+    "v10_event_table": q_v10_event_table,
+    "v11_artifact_preview": q_v11_artifact_preview,
+    "v12_run_groups": q_v12_run_groups,
+    "v13_status_summary": q_v13_status_summary,
+    "v14_stage_events": q_v14_stage_events,
+    "v15_run_labels": q_v15_run_labels,
+}
+
+
 def queries() -> dict[str, Query]:
     return {k: _as_long(v) for k, v in _registry().items()}
 
@@ -475,4 +651,5 @@ def _registry() -> dict[str, Query]:
         "site_index_pipeline": q_site_index_pipeline,
         **PIPELINE_QUERIES,
         **SCALAR_QUERIES,
+        **AUDIT_QUERIES,
     }

@@ -672,6 +672,228 @@ UNION ALL SELECT 'https://' || host, 'text/html; charset=utf-8', true FROM host_
 SELECT run_id, url, coalesce(nullif(title, ''), url) AS entry_title FROM canon_pages"""),
 }
 
+
+_AUDIT = r"""
+sl AS (
+  SELECT 'run-' || CAST(user_id AS VARCHAR) AS run_id, event_id, user_id, value,
+    CASE event_type WHEN 'view' THEN 'discovery' WHEN 'click' THEN 'extraction' WHEN 'signup' THEN 'canonicalization'
+                    WHEN 'purchase' THEN 'scoring' WHEN 'error' THEN 'generation' END AS stage,
+    ts AS started_at,
+    CASE WHEN event_id % 50 = 0 THEN NULL ELSE ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) END AS completed_at,
+    CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+    CAST(json_extract_string(props, '$.k') AS INTEGER) < 5 AS failed
+  FROM events
+),
+ce AS (
+  SELECT 'ev-' || CAST(event_id AS VARCHAR) AS id, run_id, 'stage.' || stage AS name, stage AS system, started_at, completed_at,
+    CASE WHEN completed_at IS NULL THEN '{}'
+         WHEN failed THEN '{"error": "stage failed: k=' || CAST(k AS VARCHAR) || '", "outcome": "failure"}'
+         ELSE '{"outcome": "success"}' END AS metadata,
+    CASE WHEN completed_at IS NULL THEN NULL WHEN failed THEN 'failure' ELSE 'success' END AS outcome,
+    date_diff('microsecond', started_at, completed_at) / 1000000.0 AS dur, k
+  FROM sl
+),
+ragg AS (
+  SELECT run_id, user_id, min(started_at) AS first, max(coalesce(completed_at, started_at)) AS last,
+         sum(CASE WHEN failed THEN 1 ELSE 0 END) AS failures, avg(value) AS avg_value
+  FROM sl GROUP BY run_id, user_id
+),
+runs AS (
+  SELECT run_id, 'site' || CAST(user_id AS VARCHAR) || '.example.com' AS hostname,
+    'https://site' || CAST(user_id AS VARCHAR) || '.example.com' AS target_url,
+    CASE WHEN user_id % 17 = 0 THEN 'running' WHEN failures > 3 THEN 'failed' ELSE 'completed' END AS status,
+    CASE WHEN user_id % 17 <> 0 AND failures <= 3 THEN round(avg_value / 500, 4) END AS score,
+    first - INTERVAL 1 SECOND AS created_at,
+    CASE WHEN user_id % 17 = 0 THEN NULL ELSE last END AS completed_at, user_id
+  FROM ragg
+),
+items AS (
+  SELECT 'wi-' || CAST(event_id AS VARCHAR) AS id, run_id, stage,
+    CASE WHEN completed_at IS NULL THEN 'processing' WHEN failed THEN 'failed' ELSE 'completed' END AS state,
+    CASE WHEN completed_at IS NOT NULL AND failed THEN 'stage failed: k=' || CAST(k AS VARCHAR) END AS last_error,
+    started_at AS created_at, coalesce(completed_at, started_at) AS updated_at
+  FROM sl
+  UNION ALL
+  SELECT 'wi-q-' || CAST(user_id AS VARCHAR), run_id, 'discovery', 'queued', NULL, created_at, created_at FROM runs
+),
+tr AS (
+  SELECT 'wi-' || CAST(event_id AS VARCHAR) AS work_item_id, NULL AS from_state, 'queued' AS to_state, started_at AS created_at FROM sl
+  UNION ALL SELECT 'wi-' || CAST(event_id AS VARCHAR), 'queued', 'processing', started_at FROM sl
+  UNION ALL SELECT 'wi-' || CAST(event_id AS VARCHAR), 'processing', CASE WHEN failed THEN 'failed' ELSE 'completed' END, completed_at
+            FROM sl WHERE completed_at IS NOT NULL
+  UNION ALL SELECT 'wi-' || CAST(event_id AS VARCHAR), CASE WHEN failed THEN 'failed' ELSE 'completed' END, 'processing',
+            completed_at + INTERVAL 1 SECOND FROM sl WHERE completed_at IS NOT NULL AND event_id % 997 = 0
+  UNION ALL SELECT 'wi-q-' || CAST(user_id AS VARCHAR), NULL, 'queued', created_at FROM runs
+),
+arts AS (
+  SELECT r.run_id, '# ' || r.hostname || chr(10) || chr(10) || '> Activity of ' || r.hostname || chr(10) || chr(10) ||
+         '## Events' || chr(10) || chr(10) ||
+         string_agg('- [' || sl.stage || ' ' || CAST(sl.event_id AS VARCHAR) || '](https://' || r.hostname || '/e/' ||
+                    CAST(sl.event_id AS VARCHAR) || ')', chr(10) ORDER BY sl.event_id) || chr(10) AS llms_txt
+  FROM runs r JOIN sl USING (run_id) WHERE r.status = 'completed' GROUP BY r.run_id, r.hostname
+)"""
+
+
+def _tenths(units: str, per: int, suffix: str) -> str:
+    q = f"({units} // {per})"
+    r = f"({units} - {q} * {per})"
+    t = f"(CASE WHEN {r} * 2 > {per} THEN {q} + 1 WHEN {r} * 2 = {per} THEN {q} + {q} % 2 ELSE {q} END)"
+    return f"CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '{suffix}'"
+
+
+def _ms_label_d(ms: str) -> str:
+    return f"CASE WHEN {ms} < 1000 THEN CAST({ms} AS VARCHAR) || 'ms' ELSE {_tenths(ms, 100, 's')} END"
+
+
+_STAGE_STATES = """
+ss AS (
+  SELECT r.run_id, st.stage_no, st.label,
+    CASE WHEN coalesce(f.f, 0) = 1 THEN 'failed' WHEN coalesce(f.p, 0) = 1 THEN 'active'
+         WHEN coalesce(f.c, 0) = 1 THEN 'done' ELSE 'pending' END AS state
+  FROM runs r
+  CROSS JOIN (VALUES (0, 'discovery', 'Discovery'), (1, 'extraction', 'Extraction'), (2, 'canonicalization', 'Canonicalize'),
+                     (3, 'scoring', 'Scoring'), (4, 'generation', 'Generation')) st(stage_no, stage, label)
+  LEFT JOIN (SELECT run_id, stage, max(CASE WHEN state = 'failed' THEN 1 ELSE 0 END) AS f,
+                    max(CASE WHEN state = 'processing' THEN 1 ELSE 0 END) AS p,
+                    max(CASE WHEN state = 'completed' THEN 1 ELSE 0 END) AS c
+             FROM items GROUP BY run_id, stage) f ON f.run_id = r.run_id AND f.stage = st.stage
+)"""
+
+
+def _audit(select_sql: str, extra: str = "") -> str:
+    parts = [_AUDIT] + ([extra] if extra else [])
+    return _with(*parts) + "\n" + select_sql
+
+
+_MS = "CAST(trunc(dur * 1000) AS BIGINT)"
+_MS_ITEM = "CAST(trunc(date_diff('microsecond', created_at, updated_at) / 1000000.0 * 1000) AS BIGINT)"
+
+AUDIT_ORACLES = {
+    "s1_accept_targets": _with(_PAGE_HREFS) + f"""
+SELECT url, true AS accepted, substr(sha256(url), 1, 16) AS run_id, {d_part('url', 4)} AS hostname, CAST(NULL AS VARCHAR) AS reason
+FROM pages
+UNION ALL
+SELECT href, false, NULL, NULL,
+       CASE WHEN NOT regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN 'missing scheme' ELSE 'missing host' END
+FROM ph""",
+    "l1_transition_violations": _audit("""
+SELECT work_item_id, from_state, to_state, created_at FROM tr
+WHERE from_state IS NOT NULL
+  AND NOT (from_state = 'queued' AND to_state IN ('processing', 'failed'))
+  AND NOT (from_state = 'processing' AND to_state IN ('completed', 'failed'))"""),
+    "l2_state_gauge": _audit("""
+SELECT state, CAST(sum(d) AS BIGINT) AS items FROM (
+  SELECT to_state AS state, 1 AS d FROM tr UNION ALL SELECT from_state, -1 FROM tr WHERE from_state IS NOT NULL
+) GROUP BY state"""),
+    "l3_run_outcomes": _audit("""
+SELECT CASE WHEN status = 'completed' THEN 'success' ELSE 'failure' END AS outcome, CAST(count(*) AS BIGINT) AS runs
+FROM runs WHERE status IN ('completed', 'failed') GROUP BY 1"""),
+    "l4_stage_outcomes": _audit("""
+SELECT system AS stage, outcome, CAST(count(*) AS BIGINT) AS executions FROM ce WHERE completed_at IS NOT NULL GROUP BY 1, 2"""),
+    "l5_stage_durations": _audit("""
+SELECT system AS stage, CAST(count(*) AS BIGINT) AS executions, round(sum(dur), 6) AS total_seconds,
+       round(avg(dur), 6) AS avg_seconds, round(quantile_cont(dur, 0.5), 6) AS p50_seconds,
+       round(quantile_cont(dur, 0.95), 6) AS p95_seconds,
+       CAST(sum(CASE WHEN dur <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS le_1s,
+       CAST(sum(CASE WHEN dur > 1 AND dur <= 10 THEN 1 ELSE 0 END) AS BIGINT) AS le_10s,
+       CAST(sum(CASE WHEN dur > 10 AND dur <= 60 THEN 1 ELSE 0 END) AS BIGINT) AS le_60s,
+       CAST(sum(CASE WHEN dur > 60 AND dur <= 300 THEN 1 ELSE 0 END) AS BIGINT) AS le_300s,
+       CAST(sum(CASE WHEN dur > 300 THEN 1 ELSE 0 END) AS BIGINT) AS gt_300s
+FROM ce WHERE outcome = 'success' GROUP BY system"""),
+    "l6_business_metrics": _audit("""
+SELECT CAST(count(*) AS BIGINT) AS completed_runs, CAST(coalesce(sum(p.n), 0) AS BIGINT) AS pages_indexed_total,
+       round(avg(rs), 6) AS avg_run_seconds, round(quantile_cont(rs, 0.5), 6) AS p50_run_seconds, round(max(rs), 6) AS max_run_seconds,
+       round(avg(strlen(a.llms_txt)), 6) AS avg_artifact_bytes, CAST(max(strlen(a.llms_txt)) AS BIGINT) AS max_artifact_bytes
+FROM (SELECT run_id, date_diff('microsecond', created_at, completed_at) / 1000000.0 AS rs FROM runs WHERE status = 'completed') r
+LEFT JOIN (SELECT run_id, count(*) AS n FROM ce WHERE system = 'extraction' AND completed_at IS NOT NULL GROUP BY run_id) p USING (run_id)
+LEFT JOIN arts a USING (run_id)"""),
+    "l12_event_durations": _audit("SELECT id, run_id, dur AS duration FROM ce"),
+    "l13_log_lines": _audit("""
+SELECT id, '{"name":"' || name || '"' || CASE WHEN outcome IS NOT NULL THEN ',"outcome":"' || outcome || '"' ELSE '' END ||
+           ',"run_id":"' || run_id || '","system":"' || system || '"}' AS line FROM ce"""),
+    "l14_failure_codes": _audit("""
+SELECT failure_class, CAST(http_code AS BIGINT) AS http_code, CAST(n AS BIGINT) AS occurrences FROM (
+  SELECT 'invalid_input' AS failure_class, 422 AS http_code, (SELECT count(*) FROM ph) AS n
+  UNION ALL SELECT 'stage_failure', 500, (SELECT count(*) FROM ce WHERE outcome = 'failure')
+) WHERE n > 0""", _PAGE_HREFS),
+    "v1_run_status": _audit("SELECT run_id, hostname, status, score, created_at, completed_at FROM runs"),
+    "v2_history": _audit("SELECT run_id, hostname, status, created_at FROM runs ORDER BY created_at DESC, run_id LIMIT 50"),
+    "v3_work_items": _audit("""
+SELECT run_id, id, stage, state, CAST(row_number() OVER (PARTITION BY run_id ORDER BY created_at, id) AS BIGINT) AS item_order FROM items"""),
+    "v4_events": _audit("""
+SELECT run_id, id, name, started_at, dur AS duration,
+       CAST(row_number() OVER (PARTITION BY run_id ORDER BY started_at, id) AS BIGINT) AS event_order FROM ce"""),
+    "v5_artifacts": _audit("SELECT run_id, llms_txt FROM arts"),
+    "v6_stage_states": _audit("""
+SELECT r.run_id, st.stage, CAST(st.stage_no AS BIGINT) AS stage_no,
+  CASE WHEN coalesce(f.f, 0) = 1 THEN 'failed' WHEN coalesce(f.p, 0) = 1 THEN 'active'
+       WHEN coalesce(f.c, 0) = 1 THEN 'done' ELSE 'pending' END AS state
+FROM runs r
+CROSS JOIN (VALUES (0, 'discovery'), (1, 'extraction'), (2, 'canonicalization'), (3, 'scoring'), (4, 'generation')) st(stage_no, stage)
+LEFT JOIN (SELECT run_id, stage, max(CASE WHEN state = 'failed' THEN 1 ELSE 0 END) AS f,
+                  max(CASE WHEN state = 'processing' THEN 1 ELSE 0 END) AS p,
+                  max(CASE WHEN state = 'completed' THEN 1 ELSE 0 END) AS c
+           FROM items GROUP BY run_id, stage) f ON f.run_id = r.run_id AND f.stage = st.stage"""),
+    "v7_current_stage": _audit("""
+SELECT run_id, coalesce(arg_max(CASE state WHEN 'active' THEN '▶' WHEN 'done' THEN '✓' ELSE '✗' END || ' ' || label, stage_no)
+                        FILTER (WHERE state <> 'pending'), 'queued') AS label
+FROM ss GROUP BY run_id""", _STAGE_STATES),
+    "v8_timeline": _audit(f"""
+SELECT run_id, stage, it.id AS item_id, it.state AS state,
+       {_ms_label_d("CAST(trunc(date_diff('microsecond', it.created_at, it.updated_at) / 1000000.0 * 1000) AS BIGINT)")} AS duration_label,
+       it.last_error AS last_error
+FROM (
+  SELECT run_id, stage,
+         arg_max({{'id': id, 'state': state, 'created_at': created_at, 'updated_at': updated_at, 'last_error': last_error}},
+                 {{'live': state <> 'queued', 'pos': CASE WHEN state = 'queued' THEN -o ELSE o END}}) AS it
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY created_at, id) AS o FROM items)
+  GROUP BY run_id, stage
+)"""),
+    "v9_recent_events": _audit(f"""
+SELECT run_id, id, CAST(recent_rank AS BIGINT) AS recent_rank, strftime(started_at, '%H:%M:%S') AS time, name, system,
+       CASE WHEN dur IS NULL THEN '' ELSE {_ms_label_d(_MS)} END AS duration_label,
+       CASE WHEN outcome IS NULL THEN '' WHEN outcome = 'failure' THEN 'error=stage failed: k=' || CAST(k AS VARCHAR) || ' outcome=failure'
+            ELSE 'outcome=success' END AS meta
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY started_at DESC, id DESC) AS recent_rank FROM ce)
+WHERE recent_rank <= 8"""),
+    "v10_event_table": _audit("""
+SELECT run_id, id, strftime(started_at, '%H:%M:%S') AS time, name, system,
+       CASE WHEN dur IS NULL OR dur = 0 THEN NULL ELSE CAST(round(dur * 1000) AS BIGINT) END AS duration_ms,
+       CASE WHEN outcome IS NULL THEN '' WHEN outcome = 'failure' THEN 'error=stage failed: k=' || CAST(k AS VARCHAR) || ', outcome=failure'
+            ELSE 'outcome=success' END AS details
+FROM ce"""),
+    "v11_artifact_preview": _audit("""
+SELECT run_id, CAST(len(string_split(regexp_replace(llms_txt, '\n$', ''), chr(10))) AS BIGINT) AS line_count,
+       CAST(len(list_filter(regexp_split_to_array(llms_txt, '\\s+'), lambda w: w <> '')) AS BIGINT) AS word_count,
+       len(string_split(regexp_replace(llms_txt, '\n$', ''), chr(10))) > 1000 AS truncated,
+       llms_txt AS preview
+FROM arts"""),
+    "v12_run_groups": _audit("""
+SELECT run_id, status, CASE WHEN status IN ('queued', 'running') THEN 'active' ELSE 'history' END AS "group" FROM runs"""),
+    "v13_status_summary": _audit("""
+SELECT total, completed, failed, in_progress,
+       printf('%d/%d completed, %d failed, %d in progress', completed, total, failed, in_progress) AS summary,
+       CAST(CASE WHEN failed > 0 THEN 1 WHEN in_progress > 0 THEN 2 ELSE 0 END AS BIGINT) AS exit_code
+FROM (SELECT CAST(count(*) AS BIGINT) AS total,
+             CAST(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) AS BIGINT) AS completed,
+             CAST(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
+             CAST(sum(CASE WHEN status IN ('running', 'queued') THEN 1 ELSE 0 END) AS BIGINT) AS in_progress FROM runs)"""),
+    "v14_stage_events": _audit(f"""
+SELECT run_id, id, name, CAST(from_end AS BIGINT) AS from_end,
+       CASE WHEN dur IS NULL OR dur = 0 THEN '--' ELSE CAST({_MS} AS VARCHAR) || 'ms' END AS duration_label,
+       coalesce(outcome, '?') AS outcome
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY started_at DESC, id DESC) AS from_end FROM ce
+      WHERE name LIKE 'stage.%') WHERE from_end <= 5"""),
+    "v15_run_labels": _audit(f"""
+SELECT run_id,
+  CASE WHEN secs < 60 THEN CAST(secs AS VARCHAR) || 's'
+       WHEN secs < 3600 THEN CAST(secs // 60 AS VARCHAR) || 'm ' || CAST(secs % 60 AS VARCHAR) || 's'
+       ELSE CAST(secs // 3600 AS VARCHAR) || 'h ' || CAST((secs % 3600) // 60 AS VARCHAR) || 'm' END AS elapsed,
+  {_tenths("CAST(round(coalesce(score, 0.0) * 10000) AS BIGINT)", 10, "%")} AS score_label
+FROM (SELECT run_id, score, CAST(floor(date_diff('microsecond', created_at, TIMESTAMP '2024-02-01 00:00:00') / 1000000.0) AS BIGINT) AS secs
+      FROM runs)"""),
+}
+
 def oracle_sql() -> dict[str, str]:
     return {
         "site_index_captured": _oracle_site_index_captured(),
@@ -679,4 +901,5 @@ def oracle_sql() -> dict[str, str]:
         "site_index_pipeline": _oracle_site_index_pipeline(),
         **PIPELINE_ORACLES,
         **SCALAR_ORACLES,
+        **AUDIT_ORACLES,
     }

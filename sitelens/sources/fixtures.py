@@ -329,3 +329,164 @@ def cascade_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hostname",
         F.to_timestamp(F.lit(BASE_TIME)).alias("created_at"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Audit trail derived from ``events`` (one stage execution per event)
+# ---------------------------------------------------------------------------
+def _stage_of(event_type: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for etype, stage in reversed(EVENT_STAGE):
+        out = F.when(event_type == etype, F.lit(stage)).otherwise(out)
+    return out
+
+
+def stage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, event_id, stage, started_at, completed_at (NULL when the
+    execution is still open: ``event_id % 50 = 0``), failed (``k < 5``),
+    value, k.  Times are TIMESTAMP_NTZ."""
+    e = read_table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    done = F.expr("ts + make_dt_interval(0, 0, 0, CAST(value AS DECIMAL(18, 6)))")
+    return e.select(
+        F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"),
+        "event_id",
+        _stage_of(F.col("event_type")).alias("stage"),
+        F.col("ts").alias("started_at"),
+        F.when(F.col("event_id") % 50 == 0, F.lit(None)).otherwise(done).alias("completed_at"),
+        (k < 5).alias("failed"),
+        "value",
+        k.alias("k"),
+        "user_id",
+    )
+
+
+def crawl_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage events: id, run_id, name, system, started_at, completed_at,
+    metadata (JSON text)."""
+    s = stage_log(spark, sf_dir)
+    meta = (
+        F.when(F.col("completed_at").isNull(), F.lit("{}"))
+        .when(F.col("failed"), F.concat(F.lit('{"error": "stage failed: k='), F.col("k").cast("string"), F.lit('", "outcome": "failure"}')))
+        .otherwise(F.lit('{"outcome": "success"}'))
+    )
+    return s.select(
+        F.concat(F.lit("ev-"), F.col("event_id").cast("string")).alias("id"),
+        "run_id",
+        F.concat(F.lit("stage."), F.col("stage")).alias("name"),
+        F.col("stage").alias("system"),
+        "started_at",
+        "completed_at",
+        meta.alias("metadata"),
+    )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per user: running when ``user_id % 17 = 0``, failed when
+    more than 3 of its stage executions failed, else completed."""
+    s = stage_log(spark, sf_dir)
+    agg = s.groupBy("run_id", "user_id").agg(
+        F.min("started_at").alias("first"),
+        F.max(F.coalesce("completed_at", "started_at")).alias("last"),
+        F.sum(F.when(F.col("failed"), 1).otherwise(0)).alias("failures"),
+        F.avg("value").alias("avg_value"),
+    )
+    status = (
+        F.when(F.col("user_id") % 17 == 0, F.lit("running"))
+        .when(F.col("failures") > 3, F.lit("failed"))
+        .otherwise(F.lit("completed"))
+    )
+    host = F.concat(F.lit("site"), F.col("user_id").cast("string"), F.lit(".example.com"))
+    return agg.select(
+        "run_id",
+        host.alias("hostname"),
+        F.concat(F.lit("https://"), host).alias("target_url"),
+        status.alias("status"),
+        F.when(status == "completed", F.round(F.col("avg_value") / 500, 4)).alias("score"),
+        F.expr("first - INTERVAL 1 SECOND").alias("created_at"),
+        F.when(status != "running", F.col("last")).alias("completed_at"),
+        F.when(status == "failed", F.lit('{"processing_error": "stage failed"}')).otherwise(F.lit("{}")).alias("notes"),
+    )
+
+
+def work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One item per stage execution plus the run's initial queued item."""
+    s = stage_log(spark, sf_dir)
+    state = (
+        F.when(F.col("completed_at").isNull(), F.lit("processing"))
+        .when(F.col("failed"), F.lit("failed"))
+        .otherwise(F.lit("completed"))
+    )
+    items = s.select(
+        F.concat(F.lit("wi-"), F.col("event_id").cast("string")).alias("id"),
+        "run_id",
+        "stage",
+        state.alias("state"),
+        F.concat(F.lit("https://site"), F.col("user_id").cast("string"), F.lit(".example.com")).alias("url"),
+        F.lit(1).alias("attempt_count"),
+        F.when(state == "failed", F.concat(F.lit("stage failed: k="), F.col("k").cast("string"))).alias("last_error"),
+        F.lit(100).alias("priority"),
+        F.col("started_at").alias("created_at"),
+        F.coalesce("completed_at", "started_at").alias("updated_at"),
+    )
+    r = runs(spark, sf_dir)
+    queued = r.select(
+        F.concat(F.lit("wi-q-"), F.substring_index("run_id", "-", -1)).alias("id"),
+        "run_id",
+        F.lit("discovery").alias("stage"),
+        F.lit("queued").alias("state"),
+        F.col("target_url").alias("url"),
+        F.lit(0).alias("attempt_count"),
+        F.lit(None).cast("string").alias("last_error"),
+        F.lit(100).alias("priority"),
+        "created_at",
+        F.col("created_at").alias("updated_at"),
+    )
+    return items.unionByName(queued)
+
+
+def work_item_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append-only transition log (work_item_id, from_state, to_state,
+    created_at).  ``event_id % 997 = 0`` adds an illegal re-open."""
+    s = stage_log(spark, sf_dir)
+    wid = F.concat(F.lit("wi-"), F.col("event_id").cast("string"))
+    final = F.when(F.col("failed"), F.lit("failed")).otherwise(F.lit("completed"))
+    null = F.lit(None).cast("string")
+    rows = F.array(
+        F.struct(null.alias("from_state"), F.lit("queued").alias("to_state"), F.col("started_at").alias("at")),
+        F.struct(F.lit("queued").alias("from_state"), F.lit("processing").alias("to_state"), F.col("started_at").alias("at")),
+        F.when(F.col("completed_at").isNotNull(), F.struct(F.lit("processing").alias("from_state"), final.alias("to_state"), F.col("completed_at").alias("at"))),
+        F.when(
+            F.col("completed_at").isNotNull() & (F.col("event_id") % 997 == 0),
+            F.struct(final.alias("from_state"), F.lit("processing").alias("to_state"), F.expr("completed_at + INTERVAL 1 SECOND").alias("at")),
+        ),
+    )
+    t = s.select(wid.alias("work_item_id"), F.explode(rows).alias("t")).filter(F.col("t").isNotNull())
+    t = t.select("work_item_id", "t.from_state", "t.to_state", F.col("t.at").alias("created_at"))
+    q = runs(spark, sf_dir).select(
+        F.concat(F.lit("wi-q-"), F.substring_index("run_id", "-", -1)).alias("work_item_id"),
+        null.alias("from_state"), F.lit("queued").alias("to_state"), "created_at",
+    )
+    return t.unionByName(q)
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per completed run listing its stage events."""
+    s = stage_log(spark, sf_dir)
+    r = runs(spark, sf_dir).filter(F.col("status") == "completed").select(
+        "run_id", "hostname", F.col("completed_at").alias("run_completed_at")
+    )
+    lines = s.join(r, "run_id").select(
+        "run_id", "hostname", "run_completed_at", "event_id",
+        F.concat(F.lit("- ["), F.col("stage"), F.lit(" "), F.col("event_id").cast("string"), F.lit("](https://"),
+                 F.col("hostname"), F.lit("/e/"), F.col("event_id").cast("string"), F.lit(")")).alias("line"),
+    )
+    doc = lines.groupBy("run_id", "hostname", "run_completed_at").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("body")
+    )
+    return doc.select(
+        "run_id",
+        F.concat(F.lit("# "), F.col("hostname"), F.lit("\n\n> Activity of "), F.col("hostname"), F.lit("\n\n## Events\n\n"),
+                 F.col("body"), F.lit("\n")).alias("llms_txt"),
+        F.col("run_completed_at").alias("generated_at"),
+    )
