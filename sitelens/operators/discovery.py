@@ -252,20 +252,25 @@ def discover(
     b = bounds or SpiderBounds()
     bases = site_bases(sites)
     llms, log1 = llms_strategy(bases, captures, index)
+    llms = materialize(llms, "cand-llms")
     robots, log2 = robots_strategy(bases, captures, index, sitemap_depth)
+    robots = materialize(robots, "cand-robots")
     tier12 = llms.unionByName(robots)
     hit12 = tier12.filter(valid_http_url("raw_url")).select("run_id").distinct()
     bases3 = bases.join(hit12, "run_id", "left_anti")
     smap, log3 = sitemap_strategy(bases3, captures, index, sitemap_depth)
+    smap = materialize(smap, "cand-sitemap")
     hit3 = smap.filter(valid_http_url("raw_url")).select("run_id").distinct()
     bases4 = bases3.join(hit3, "run_id", "left_anti")
     spider, log4, scan = spider_strategy(bases4, index, signals, b)
+    spider = materialize(spider, "cand-spider")
     cands = tier12.unionByName(smap).unionByName(spider)
     rejects = cands.filter(~valid_http_url("raw_url") | F.col("raw_url").isNull()).select(
         "run_id", F.col("raw_url").alias("url"), F.lit("url").alias("field"), F.lit("not an http(s) URL").alias("reason")
     )
     logs = log1.unionByName(log2).unionByName(log3).unionByName(log4)
-    return DiscoveryResult(first_source(cands), cands, rejects, logs, scan)
+    discovered = materialize(first_source(cands), "discovered")
+    return DiscoveryResult(discovered, cands, rejects, logs, scan)
 
 
 def discovery_milestones(discovered: DataFrame) -> DataFrame:

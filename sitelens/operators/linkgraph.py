@@ -121,7 +121,7 @@ def bfs_scan(
         frontier = materialize(ranked, "bfs-frontier")
         if frontier.isEmpty():
             break
-        seen = materialize(seen.unionByName(frontier), "bfs-seen")
+        seen = seen.unionByName(frontier)
     visited = seen.join(_union(expanded_parts), ["site", "url_key"], "left").withColumn(
         "expanded", F.coalesce("expanded", F.lit(False))
     )

@@ -58,11 +58,14 @@ def finish_sites(
     signals: DataFrame | None = None,
 ) -> PipelineResult:
     """Extraction, canonicalization, scoring and generation for all sites."""
-    index = index if index is not None else extract.capture_index(captures)
-    signals = signals if signals is not None else extract.page_signals(captures, index)
-    outcomes = extract.extraction_outcomes(discovered, index, validators, params.incremental)
-    pages = extract.extracted_pages(outcomes, signals)
-    canon = canonical.canonicalize(pages)
+    # Stage boundaries are written once (small rows, no bodies): the HTML
+    # pass and every join behind a stage output run a single time even
+    # though several later stages read them.
+    index = index if index is not None else materialize(extract.capture_index(captures), "capture-index")
+    signals = signals if signals is not None else materialize(extract.page_signals(captures, index), "signals")
+    outcomes = materialize(extract.extraction_outcomes(discovered, index, validators, params.incremental), "outcomes")
+    pages = materialize(extract.extracted_pages(outcomes, signals), "pages")
+    canon = materialize(canonical.canonicalize(pages), "canonical-pages")
     # Redundancy over the extracted pages' canonical URLs (replace semantics
     # would make it 1.0 by construction).
     scoring_input = pages.select(
