@@ -640,6 +640,114 @@ AUDIT_QUERIES = {
 }
 
 
+# ---------------------------------------------------------------------------
+# Structured Streaming (R1-R5): each query drains a file stream written in
+# micro-batches (availableNow) and returns the sink table
+# ---------------------------------------------------------------------------
+from sitelens.streaming import monitor  # noqa: E402
+
+_EV_COLS = ["id", "run_id", "name", "system", "started_at", "completed_at", "metadata"]
+
+
+def _event_batches(spark, sf, with_copies: bool):
+    """Three micro-batches of the event log.
+
+    1: every event but the five newest (with ``with_copies``, plus a
+       redelivered copy of each ``event_id % 20 = 0``);
+    2: the five newest events (plus copies of the five newest of batch 1:
+       redelivery across batches);
+    3: one event dated a day before the log starts.  Since Spark 3.4 late
+       rows are judged against the previous batch's watermark, so the late
+       row needs two batches before it.
+    """
+    ev = fx.crawl_events(spark, sf).select(*_EV_COLS)
+    num = F.substring_index("id", "-", -1).cast("long")
+    newest = ev.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(5)
+    older = ev.join(newest.select("id"), "id", "left_anti").select(*_EV_COLS)
+    tail = older.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(5)
+    late = ev.orderBy("started_at", "id").limit(1).select(
+        F.lit("ev-late").alias("id"), "run_id", "name", "system",
+        F.expr("started_at - INTERVAL 1 DAY").alias("started_at"), "completed_at", "metadata",
+    )
+    if with_copies:
+        first = older.unionByName(older.filter(num % 20 == 0))
+        second = newest.unionByName(tail)
+    else:
+        first, second = older, newest
+    return ev.schema, [first, second, late]
+
+
+def q_r1_dedup_events(spark, sf):
+    """Live event feed de-duplicated by id under redelivery; the late
+    event is dropped by the watermark."""
+    prepare_session(spark)
+    schema, batches = _event_batches(spark, sf, with_copies=True)
+    src = monitor.scratch(spark, "r1-in")
+    monitor.write_batches(batches, src)
+    out = monitor.run_to_table(monitor.dedup_events(monitor.file_stream(spark, src, schema)), monitor.scratch(spark, "r1-out"))
+    return monitor.read_table(spark, out, "id string").select("id", "run_id", "name", "started_at")
+
+
+def q_r2_stage_throughput(spark, sf):
+    """R2: executions and failures per stage and day (tumbling windows,
+    update mode upserted by window and stage)."""
+    prepare_session(spark)
+    schema, batches = _event_batches(spark, sf, with_copies=False)
+    src = monitor.scratch(spark, "r2-in")
+    monitor.write_batches(batches, src)
+    stream = monitor.stage_throughput(monitor.file_stream(spark, src, schema))
+    out = monitor.run_to_table(stream, monitor.scratch(spark, "r2-out"), mode="update")
+    return monitor.read_table(spark, out, "window_start timestamp_ntz", key=["window_start", "stage"])
+
+
+def q_r3_activity_sessions(spark, sf):
+    """Activity sessions per run (30-minute gap)."""
+    prepare_session(spark)
+    return monitor.activity_sessions(fx.crawl_events(spark, sf))
+
+
+def q_r4_incremental_recrawl(spark, sf):
+    """Captured responses streamed in two batches; only pages whose
+    validators changed are extracted and upserted."""
+    prepare_session(spark)
+    caps = fx.page_captures(spark, sf)
+    num = F.regexp_extract("url", r"/([0-9]+)[^/]*$", 1)
+    src = monitor.scratch(spark, "r4-in")
+    pages_ids = fx.site_pages(spark, sf).select(F.col("url_nf").alias("url"), "page_id")
+    tagged = caps.join(pages_ids, "url").dropDuplicates(["url", "fetched_at"])
+    monitor.write_batches([tagged.filter(F.col("page_id") % 2 == 0).drop("page_id"),
+                           tagged.filter(F.col("page_id") % 2 == 1).drop("page_id")], src)
+    del num
+    out_pages, out_vals = monitor.scratch(spark, "r4-pages"), monitor.scratch(spark, "r4-validators")
+    from sitelens.sources.captures import CAPTURE_SCHEMA
+
+    stream = monitor.file_stream(spark, src, CAPTURE_SCHEMA)
+    monitor.incremental_extract(stream, fx.validators(spark, sf), out_pages, out_vals)
+    return monitor.read_table(spark, out_pages, "url string, title string", key=["url"]).select("url", "title")
+
+
+def q_r5_latest_item_state(spark, sf):
+    """Latest state per work item from the streamed transition log."""
+    prepare_session(spark)
+    t = fx.work_item_transitions(spark, sf)
+    mid = "2024-01-15 00:00:00"
+    src = monitor.scratch(spark, "r5-in")
+    monitor.write_batches([t.filter(F.col("created_at") < F.lit(mid).cast("timestamp_ntz")),
+                           t.filter(F.col("created_at") >= F.lit(mid).cast("timestamp_ntz"))], src)
+    stream = monitor.latest_item_state(monitor.file_stream(spark, src, t.schema))
+    out = monitor.run_to_table(stream, monitor.scratch(spark, "r5-out"), mode="update")
+    return monitor.read_table(spark, out, "work_item_id string", key=["work_item_id"]).select("work_item_id", "state")
+
+
+STREAM_QUERIES = {
+    "r1_dedup_events": q_r1_dedup_events,
+    "r2_stage_throughput": q_r2_stage_throughput,
+    "r3_activity_sessions": q_r3_activity_sessions,
+    "r4_incremental_recrawl": q_r4_incremental_recrawl,
+    "r5_latest_item_state": q_r5_latest_item_state,
+}
+
+
 def queries() -> dict[str, Query]:
     return {k: _as_long(v) for k, v in _registry().items()}
 
@@ -652,4 +760,5 @@ def _registry() -> dict[str, Query]:
         **PIPELINE_QUERIES,
         **SCALAR_QUERIES,
         **AUDIT_QUERIES,
+        **STREAM_QUERIES,
     }

@@ -717,13 +717,13 @@ items AS (
   SELECT 'wi-q-' || CAST(user_id AS VARCHAR), run_id, 'discovery', 'queued', NULL, created_at, created_at FROM runs
 ),
 tr AS (
-  SELECT 'wi-' || CAST(event_id AS VARCHAR) AS work_item_id, NULL AS from_state, 'queued' AS to_state, started_at AS created_at FROM sl
-  UNION ALL SELECT 'wi-' || CAST(event_id AS VARCHAR), 'queued', 'processing', started_at FROM sl
-  UNION ALL SELECT 'wi-' || CAST(event_id AS VARCHAR), 'processing', CASE WHEN failed THEN 'failed' ELSE 'completed' END, completed_at
+  SELECT 'wi-' || CAST(event_id AS VARCHAR) AS work_item_id, NULL AS from_state, 'queued' AS to_state, started_at AS created_at, 0 AS seq FROM sl
+  UNION ALL SELECT 'wi-' || CAST(event_id AS VARCHAR), 'queued', 'processing', started_at, 1 FROM sl
+  UNION ALL SELECT 'wi-' || CAST(event_id AS VARCHAR), 'processing', CASE WHEN failed THEN 'failed' ELSE 'completed' END, completed_at, 2
             FROM sl WHERE completed_at IS NOT NULL
   UNION ALL SELECT 'wi-' || CAST(event_id AS VARCHAR), CASE WHEN failed THEN 'failed' ELSE 'completed' END, 'processing',
-            completed_at + INTERVAL 1 SECOND FROM sl WHERE completed_at IS NOT NULL AND event_id % 997 = 0
-  UNION ALL SELECT 'wi-q-' || CAST(user_id AS VARCHAR), NULL, 'queued', created_at FROM runs
+            completed_at + INTERVAL 1 SECOND, 3 FROM sl WHERE completed_at IS NOT NULL AND event_id % 997 = 0
+  UNION ALL SELECT 'wi-q-' || CAST(user_id AS VARCHAR), NULL, 'queued', created_at, 0 FROM runs
 ),
 arts AS (
   SELECT r.run_id, '# ' || r.hostname || chr(10) || chr(10) || '> Activity of ' || r.hostname || chr(10) || chr(10) ||
@@ -894,6 +894,33 @@ FROM (SELECT run_id, score, CAST(floor(date_diff('microsecond', created_at, TIME
       FROM runs)"""),
 }
 
+
+STREAM_ORACLES = {
+    "r1_dedup_events": _audit("SELECT id, run_id, name, started_at FROM ce"),
+    "r2_stage_throughput": _audit("""
+SELECT date_trunc('day', started_at) AS window_start, date_trunc('day', started_at) + INTERVAL 1 DAY AS window_end,
+       system AS stage, CAST(count(*) AS BIGINT) AS executions,
+       CAST(sum(CASE WHEN outcome = 'failure' THEN 1 ELSE 0 END) AS BIGINT) AS failures
+FROM ce GROUP BY 1, 2, 3"""),
+    "r3_activity_sessions": _audit("""
+SELECT run_id, min(started_at) AS session_start, max(started_at) + INTERVAL 30 MINUTE AS session_end, CAST(count(*) AS BIGINT) AS events
+FROM (
+  SELECT run_id, started_at, sum(brk) OVER (PARTITION BY run_id ORDER BY started_at, id ROWS UNBOUNDED PRECEDING) AS sess
+  FROM (SELECT run_id, id, started_at,
+               CASE WHEN lag(started_at) OVER (PARTITION BY run_id ORDER BY started_at, id) IS NULL
+                      OR started_at - lag(started_at) OVER (PARTITION BY run_id ORDER BY started_at, id) >= INTERVAL 30 MINUTE
+                    THEN 1 ELSE 0 END AS brk
+        FROM ce)
+) GROUP BY run_id, sess"""),
+    "r4_incremental_recrawl": _with("""
+lp AS (SELECT url_nf, arg_max(page_id, page_id) AS page_id FROM site_pages GROUP BY url_nf)""") + """
+SELECT p.url_nf AS url, """ + _TITLE_EXPR + """ AS title
+FROM lp JOIN site_pages p USING (page_id)
+WHERE p.page_id % 10 <> 0 AND p.page_id % 11 <> 0 AND p.page_id % 3 <> 0""",
+    "r5_latest_item_state": _audit("""
+SELECT work_item_id, arg_max(to_state, {'t': created_at, 's': seq}) AS state FROM tr GROUP BY work_item_id"""),
+}
+
 def oracle_sql() -> dict[str, str]:
     return {
         "site_index_captured": _oracle_site_index_captured(),
@@ -902,4 +929,5 @@ def oracle_sql() -> dict[str, str]:
         **PIPELINE_ORACLES,
         **SCALAR_ORACLES,
         **AUDIT_ORACLES,
+        **STREAM_ORACLES,
     }

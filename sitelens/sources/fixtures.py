@@ -447,7 +447,8 @@ def work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def work_item_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append-only transition log (work_item_id, from_state, to_state,
-    created_at).  ``event_id % 997 = 0`` adds an illegal re-open."""
+    created_at, seq = position in the item's log).  ``event_id % 997 = 0``
+    adds an illegal re-open."""
     s = stage_log(spark, sf_dir)
     wid = F.concat(F.lit("wi-"), F.col("event_id").cast("string"))
     final = F.when(F.col("failed"), F.lit("failed")).otherwise(F.lit("completed"))
@@ -461,11 +462,11 @@ def work_item_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(final.alias("from_state"), F.lit("processing").alias("to_state"), F.expr("completed_at + INTERVAL 1 SECOND").alias("at")),
         ),
     )
-    t = s.select(wid.alias("work_item_id"), F.explode(rows).alias("t")).filter(F.col("t").isNotNull())
-    t = t.select("work_item_id", "t.from_state", "t.to_state", F.col("t.at").alias("created_at"))
+    t = s.select(wid.alias("work_item_id"), F.posexplode(rows).alias("seq", "t")).filter(F.col("t").isNotNull())
+    t = t.select("work_item_id", "t.from_state", "t.to_state", F.col("t.at").alias("created_at"), "seq")
     q = runs(spark, sf_dir).select(
         F.concat(F.lit("wi-q-"), F.substring_index("run_id", "-", -1)).alias("work_item_id"),
-        null.alias("from_state"), F.lit("queued").alias("to_state"), "created_at",
+        null.alias("from_state"), F.lit("queued").alias("to_state"), "created_at", F.lit(0).alias("seq"),
     )
     return t.unionByName(q)
 
@@ -490,3 +491,15 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("body"), F.lit("\n")).alias("llms_txt"),
         F.col("run_completed_at").alias("generated_at"),
     )
+
+
+def validators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored validators: current ETag for ``page_id % 3 = 0``, a stale one
+    for ``% 3 = 1``, none otherwise."""
+    sp = site_pages(spark, sf_dir)
+    etag = F.when(F.col("page_id") % 3 == 0, F.md5("html")).otherwise(
+        F.concat(F.lit("stale-"), F.col("page_id").cast("string"))
+    )
+    return sp.filter(F.col("page_id") % 3 != 2).select(
+        F.col("url_nf").alias("url"), etag.alias("etag"), F.lit(None).cast("string").alias("last_modified")
+    )
