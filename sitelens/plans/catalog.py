@@ -748,6 +748,148 @@ STREAM_QUERIES = {
 }
 
 
+# ---------------------------------------------------------------------------
+# Store operators
+# ---------------------------------------------------------------------------
+from sitelens.sources import sitelist  # noqa: E402
+
+
+def q_s2_fetch(spark, sf):
+    """Every discovered URL joined to its latest capture (404 if none)."""
+    st = full_pipeline(spark, sf)
+    _sites, caps = crawl_inputs_cached(spark, sf)
+    from sitelens.operators import extract
+
+    f = extract.fetch(st.discovery.discovered.select("run_id", "url"), extract.capture_index(caps))
+    return f.select("run_id", "url", "status_code", "content_type")
+
+
+_TIER_CATEGORY = ["llms_txt", "robots_hints", "sitemap", "no_information"]
+
+
+def q_s3_site_list(spark, sf):
+    """S3: a categorised site list (one category per discovery tier)
+    written as JSON lines and read back with a category filter."""
+    prepare_session(spark)
+    cat = F.element_at(F.array(*[F.lit(c) for c in _TIER_CATEGORY]), (F.length("site_id") % 4 + 1).cast("int"))
+    rows = read_table(spark, sf, "pages").select(fx.host_of("url").alias("site_id")).distinct().select(
+        cat.alias("category"), F.initcap(F.translate(cat, "_", " ")).alias("category_name"),
+        F.concat(F.lit("Sites with "), cat).alias("description"),
+        "site_id", F.concat(F.lit("https://"), F.col("site_id")).alias("url"), F.lit("").alias("notes"),
+    )
+    path = monitor.scratch(spark, "site-list")
+    sitelist.write_site_list(rows, path)
+    return sitelist.read_site_list(spark, path, ["llms_txt", "robots_hints", "sitemap"]).select("category", "site_id", "url")
+
+
+def q_s4_run_upsert(spark, sf):
+    """Run updates (running runs complete) and inserts (new runs)
+    applied as a keyed upsert."""
+    prepare_session(spark)
+    runs = fx.runs(spark, sf)
+    done = runs.filter(F.col("status") == "running").withColumn("status", F.lit("completed")).withColumn(
+        "completed_at", F.expr("created_at + INTERVAL 1 DAY")
+    )
+    new = (
+        read_table(spark, sf, "events").select("event_type").distinct()
+        .select(F.concat(F.lit("run-new-"), "event_type").alias("run_id"), F.lit("queued").alias("status"),
+                F.to_timestamp(F.lit("2024-02-01 00:00:00")).cast("timestamp_ntz").alias("created_at"))
+    )
+    out = store.upsert(runs, done.unionByName(new, allowMissingColumns=True), ["run_id"])
+    return out.select("run_id", "status", "completed_at")
+
+
+def q_s5_item_transitions(spark, sf):
+    """Transition rows from a work-item state log; a save that does
+    not change the state adds no row."""
+    prepare_session(spark)
+    s = fx.stage_log(spark, sf)
+    wid = F.concat(F.lit("wi-"), F.col("event_id").cast("string"))
+    final = F.when(F.col("failed"), "failed").otherwise("completed")
+    rows = F.array(
+        F.struct(F.lit("queued").alias("state"), F.col("started_at").alias("updated_at")),
+        F.struct(F.lit("processing").alias("state"), F.expr("started_at + INTERVAL 1 MICROSECOND").alias("updated_at")),
+        F.when(F.col("completed_at").isNotNull(), F.struct(final.alias("state"), F.col("completed_at").alias("updated_at"))),
+        F.when(F.col("completed_at").isNotNull() & (F.col("event_id") % 7 == 0),
+               F.struct(final.alias("state"), F.expr("completed_at + INTERVAL 1 SECOND").alias("updated_at"))),
+    )
+    log = s.select(wid.alias("id"), F.explode(rows).alias("r")).filter(F.col("r").isNotNull()).select("id", "r.state", "r.updated_at")
+    return store.changed_transitions(log)
+
+
+def q_s6_insert_ignore(spark, sf):
+    """Discovered URLs inserted once per run; returns the inserted."""
+    prepare_session(spark)
+    sp = fx.site_pages(spark, sf).select(fx.run_id_of("host").alias("run_id"), F.col("url_nf").alias("url"), "page_id")
+    existing = sp.filter(F.col("page_id") % 2 == 0).select("run_id", "url")
+    batch = sp.unionByName(sp.filter(F.col("page_id") % 5 == 0)).select("run_id", "url")
+    _table, inserted = store.insert_ignore(existing, batch, ["run_id", "url"])
+    return inserted
+
+
+def _doc_pages(spark, sf):
+    d = read_table(spark, sf, "documents")
+    return d.select(
+        F.concat(F.lit("https://"), F.col("lang"), F.lit(".docs.example.org/"), F.col("doc_id").cast("string")).alias("url"),
+        F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.lit(" ("), F.col("source"), F.lit(")")).alias("title"),
+        "doc_id",
+    )
+
+
+def q_s7_page_upsert(spark, sf):
+    """Page records upserted on (url): a second extraction replaces
+    the title of every third document."""
+    prepare_session(spark)
+    p = _doc_pages(spark, sf)
+    batch = p.filter(F.col("doc_id") % 3 == 0).withColumn("title", F.concat(F.lit("v2: "), "title"))
+    return store.upsert(p, batch, ["url"]).select("url", "title")
+
+
+def q_s8_validators(spark, sf):
+    """Stored validators upserted with those of fresh 200 responses."""
+    prepare_session(spark)
+    caps = fx.page_captures(spark, sf).filter(F.col("status_code") == 200).dropDuplicates(["url"])
+    batch = caps.select("url", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("last_modified"))
+    return store.upsert(fx.validators(spark, sf), batch, ["url"]).select("url", "etag", "last_modified")
+
+
+def q_s9_artifact_replace(spark, sf):
+    """A regenerated document replaces the stored one of its run."""
+    prepare_session(spark)
+    arts = fx.artifacts(spark, sf)
+    num = F.substring_index("run_id", "-", -1).cast("long")
+    batch = arts.filter(num % 2 == 0).withColumn("llms_txt", F.upper("llms_txt"))
+    out = store.upsert(arts, batch, ["run_id"])
+    return out.select("run_id", F.octet_length("llms_txt").cast("long").alias("size_bytes"),
+                      F.substring_index("llms_txt", "\n", 1).alias("first_line"))
+
+
+def q_s10_event_log(spark, sf):
+    """Stage events and per-page extraction events appended into one
+    event log (metadata kept as JSON text); counts per (system, name)."""
+    prepare_session(spark)
+    stage = fx.crawl_events(spark, sf).select("id", "run_id", "name", "system", "metadata")
+    pages = cascade_result(spark, sf).events.select("id", "run_id", "name", "system", "metadata")
+    log = stage.unionByName(pages)
+    return log.groupBy("system", "name").agg(
+        F.count(F.lit(1)).cast("long").alias("events"),
+        F.sum(F.when(F.expr("try_parse_json(metadata) IS NOT NULL"), 1).otherwise(0)).cast("long").alias("valid_json"),
+    )
+
+
+STORE_QUERIES = {
+    "s2_fetch": q_s2_fetch,
+    "s3_site_list": q_s3_site_list,
+    "s4_run_upsert": q_s4_run_upsert,
+    "s5_item_transitions": q_s5_item_transitions,
+    "s6_insert_ignore": q_s6_insert_ignore,
+    "s7_page_upsert": q_s7_page_upsert,
+    "s8_validators": q_s8_validators,
+    "s9_artifact_replace": q_s9_artifact_replace,
+    "s10_event_log": q_s10_event_log,
+}
+
+
 def queries() -> dict[str, Query]:
     return {k: _as_long(v) for k, v in _registry().items()}
 
@@ -761,4 +903,5 @@ def _registry() -> dict[str, Query]:
         **SCALAR_QUERIES,
         **AUDIT_QUERIES,
         **STREAM_QUERIES,
+        **STORE_QUERIES,
     }

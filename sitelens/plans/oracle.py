@@ -921,6 +921,48 @@ WHERE p.page_id % 10 <> 0 AND p.page_id % 11 <> 0 AND p.page_id % 3 <> 0""",
 SELECT work_item_id, arg_max(to_state, {'t': created_at, 's': seq}) AS state FROM tr GROUP BY work_item_id"""),
 }
 
+
+STORE_ORACLES = {
+    "s2_fetch": _pipe("""
+SELECT d.run_id, d.url, CAST(coalesce(c.status, 404) AS BIGINT) AS status_code,
+       CASE WHEN c.status IS NOT NULL THEN 'text/html; charset=utf-8' END AS content_type
+FROM discovered d LEFT JOIN pipe_caps c ON c.url_key = d.url"""),
+    "s3_site_list": _with() + """
+SELECT CASE length(host) % 4 WHEN 0 THEN 'llms_txt' WHEN 1 THEN 'robots_hints' ELSE 'sitemap' END AS category,
+       host AS site_id, 'https://' || host AS url
+FROM (SELECT DISTINCT host FROM sp0) WHERE length(host) % 4 <> 3""",
+    "s4_run_upsert": _audit("""
+SELECT run_id, CASE WHEN status = 'running' THEN 'completed' ELSE status END AS status,
+       CASE WHEN status = 'running' THEN created_at + INTERVAL 1 DAY ELSE completed_at END AS completed_at
+FROM runs
+UNION ALL
+SELECT 'run-new-' || event_type, 'queued', NULL FROM (SELECT DISTINCT event_type FROM events)"""),
+    "s5_item_transitions": _audit("""
+SELECT 'wi-' || CAST(event_id AS VARCHAR) AS work_item_id, NULL AS from_state, 'queued' AS to_state, started_at AS created_at FROM sl
+UNION ALL SELECT 'wi-' || CAST(event_id AS VARCHAR), 'queued', 'processing', started_at + INTERVAL 1 MICROSECOND FROM sl
+UNION ALL SELECT 'wi-' || CAST(event_id AS VARCHAR), 'processing', CASE WHEN failed THEN 'failed' ELSE 'completed' END, completed_at
+          FROM sl WHERE completed_at IS NOT NULL"""),
+    "s6_insert_ignore": _with() + """
+SELECT DISTINCT substr(sha256(host), 1, 16) AS run_id, url_nf AS url FROM site_pages p
+WHERE page_id % 2 = 1
+  AND NOT EXISTS (SELECT 1 FROM site_pages e WHERE e.page_id % 2 = 0 AND e.url_nf = p.url_nf AND e.host = p.host)""",
+    "s7_page_upsert": _with(_DOCS) + """
+SELECT url, CASE WHEN doc_id % 3 = 0 THEN 'v2: ' || t ELSE t END AS title FROM dd""",
+    "s8_validators": _with() + """
+SELECT url_nf AS url, md5(html) AS etag, 'Mon, 01 Jan 2024 00:00:00 GMT' AS last_modified
+FROM site_pages WHERE page_id % 10 <> 0 AND page_id % 11 <> 0
+UNION ALL
+SELECT url_nf, CASE WHEN page_id % 3 = 0 THEN md5(html) ELSE 'stale-' || CAST(page_id AS VARCHAR) END, NULL
+FROM site_pages WHERE page_id % 3 <> 2 AND NOT (page_id % 10 <> 0 AND page_id % 11 <> 0)""",
+    "s9_artifact_replace": _audit("""
+SELECT run_id, CAST(strlen(t) AS BIGINT) AS size_bytes, split_part(t, chr(10), 1) AS first_line FROM (
+  SELECT run_id, CASE WHEN CAST(split_part(run_id, '-', 2) AS BIGINT) % 2 = 0 THEN upper(llms_txt) ELSE llms_txt END AS t FROM arts)"""),
+    "s10_event_log": _audit("""
+SELECT system, name, CAST(count(*) AS BIGINT) AS events, CAST(count(*) AS BIGINT) AS valid_json FROM ce GROUP BY system, name
+UNION ALL
+SELECT 'extraction', 'extraction.page_extracted', CAST(count(*) AS BIGINT), CAST(count(*) AS BIGINT) FROM documents"""),
+}
+
 def oracle_sql() -> dict[str, str]:
     return {
         "site_index_captured": _oracle_site_index_captured(),
@@ -930,4 +972,5 @@ def oracle_sql() -> dict[str, str]:
         **SCALAR_ORACLES,
         **AUDIT_ORACLES,
         **STREAM_ORACLES,
+        **STORE_ORACLES,
     }
