@@ -890,6 +890,133 @@ STORE_QUERIES = {
 }
 
 
+# ---------------------------------------------------------------------------
+# Documented capabilities beyond the pipeline
+# ---------------------------------------------------------------------------
+from sitelens.operators import canonical, insights  # noqa: E402
+from sitelens.operators.discovery import fetch_bodies, site_bases  # noqa: E402
+
+
+def q_x1_url_clusters(spark, sf):
+    """Raw URL -> canonical URL, cluster id and size."""
+    return canonical.url_clusters(full_pipeline(spark, sf).stages.pages)
+
+
+def q_x1_dedup_summary(spark, sf):
+    """Raw vs canonical pages, dedup ratio and conflicting clusters."""
+    return canonical.dedup_summary(full_pipeline(spark, sf).stages.pages)
+
+
+def q_x2_link_audit(spark, sf):
+    """Every link of every page with the reason it is skipped."""
+    h = _page_hrefs(spark, sf).withColumn("hostname", U.url_netloc("page_url"))
+    return insights.link_audit(h, [".html", ".htm", ".txt", ".md", ""])
+
+
+def q_x3_robots_allowed(spark, sf):
+    """Discovered URLs checked against each site's robots.txt rules."""
+    st = full_pipeline(spark, sf)
+    sites, caps = crawl_inputs_cached(spark, sf)
+    from sitelens.operators import extract
+
+    bases = site_bases(sites).withColumn("fetch_url", F.concat("base", F.lit("/robots.txt")))
+    robots = fetch_bodies(bases, caps, extract.capture_index(caps)).filter(F.col("status_code") == 200)
+    rules = insights.robots_rules(robots.select("run_id", "body"))
+    return insights.robots_allowed(st.discovery.discovered.select("run_id", "url"), rules)
+
+
+def q_x4_strategy_rates(spark, sf):
+    """Attempts, successes and success rate per strategy."""
+    return insights.strategy_rates(full_pipeline(spark, sf).discovery.strategy_log)
+
+
+def q_x5_strategy_ranking(spark, sf):
+    """Per-host strategy preference from past success."""
+    sites, _ = crawl_inputs_cached(spark, sf)
+    return insights.strategy_ranking(full_pipeline(spark, sf).discovery.strategy_log, sites)
+
+
+def q_x6_completeness(spark, sf):
+    """Field completeness and low-score review flag per run."""
+    st = full_pipeline(spark, sf).stages
+    return canonical.completeness(st.pages, st.scores)
+
+
+def q_x7_conditional_savings(spark, sf):
+    """Not-modified hit rate and bytes fetched per run."""
+    _sites, caps = crawl_inputs_cached(spark, sf)
+    return insights.conditional_savings(full_pipeline(spark, sf).stages.outcomes, caps)
+
+
+def q_x8_hierarchical_sections(spark, sf):
+    """Two-level section paths folded up when small."""
+    return insights.hierarchical_sections(full_pipeline(spark, sf).stages.canonical_pages)
+
+
+def q_x9_markdown_pages(spark, sf):
+    """Title and first paragraph of markdown pages (whole texts)."""
+    prepare_session(spark)
+    md = fx.markdown_captures(spark, sf)
+    title, desc = insights.markdown_metadata(F.col("body"))
+    return md.filter(F.col("headers")["content-type"].contains("markdown")).select("url", title.alias("title"), desc.alias("description"))
+
+
+def q_x10_document_diff(spark, sf):
+    """Entries of the published llms.txt versus the generated one."""
+    st = full_pipeline(spark, sf)
+    sites, _ = crawl_inputs_cached(spark, sf)
+    c = st.discovery.candidates.filter(F.col("source") == "llms")
+    published = c.filter(U.valid_http_url("raw_url")).select("run_id", U.normalize_http_url("raw_url").alias("url"))
+    runs_with = published.select("run_id").distinct()
+    generated = document.sectioned_entries(st.stages.canonical_pages, sites).join(runs_with, "run_id", "left_semi")
+    return insights.entry_diff(published, generated.select("run_id", "url"))
+
+
+def q_x11_recent_runs(spark, sf):
+    """X11: runs of the last 24 hours versus older history."""
+    return insights.run_recency(fx.runs(spark, sf), NOW)
+
+
+def q_x12_stale_runs(spark, sf):
+    """Active runs without an event in the last 6 hours."""
+    return insights.stale_runs(fx.runs(spark, sf), fx.crawl_events(spark, sf), NOW)
+
+
+def q_x13_fresh_importance(spark, sf):
+    """Scan in-links weighted by the age of the page's Last-Modified."""
+    st = full_pipeline(spark, sf)
+    _sites, caps = crawl_inputs_cached(spark, sf)
+    from sitelens.operators import extract
+
+    ranked = linkgraph.rank_pages(st.discovery.scan)
+    out = insights.fresh_importance(ranked, extract.capture_index(caps), NOW)
+    return out.select(F.col("site").alias("run_id"), F.col("url_key").alias("url"), "fresh_score")
+
+
+def q_x14_politeness_plan(spark, sf):
+    """Per-host fetch offsets (10 ms apart) in discovery order."""
+    return insights.politeness_plan(full_pipeline(spark, sf).discovery.discovered)
+
+
+INSIGHT_QUERIES = {
+    "x1_url_clusters": q_x1_url_clusters,
+    "x1_dedup_summary": q_x1_dedup_summary,
+    "x2_link_audit": q_x2_link_audit,
+    "x3_robots_allowed": q_x3_robots_allowed,
+    "x4_strategy_rates": q_x4_strategy_rates,
+    "x5_strategy_ranking": q_x5_strategy_ranking,
+    "x6_completeness": q_x6_completeness,
+    "x7_conditional_savings": q_x7_conditional_savings,
+    "x8_hierarchical_sections": q_x8_hierarchical_sections,
+    "x9_markdown_pages": q_x9_markdown_pages,
+    "x10_document_diff": q_x10_document_diff,
+    "x11_recent_runs": q_x11_recent_runs,
+    "x12_stale_runs": q_x12_stale_runs,
+    "x13_fresh_importance": q_x13_fresh_importance,
+    "x14_politeness_plan": q_x14_politeness_plan,
+}
+
+
 def queries() -> dict[str, Query]:
     return {k: _as_long(v) for k, v in _registry().items()}
 
@@ -904,4 +1031,5 @@ def _registry() -> dict[str, Query]:
         **AUDIT_QUERIES,
         **STREAM_QUERIES,
         **STORE_QUERIES,
+        **INSIGHT_QUERIES,
     }

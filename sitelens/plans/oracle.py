@@ -963,6 +963,111 @@ UNION ALL
 SELECT 'extraction', 'extraction.page_extracted', CAST(count(*) AS BIGINT), CAST(count(*) AS BIGINT) FROM documents"""),
 }
 
+
+_BODY_LEN = """
+nav_len AS (SELECT src, 11 + sum(19 + strlen(href)) AS n FROM nav_href GROUP BY src),
+body_len AS (
+  SELECT c.url_key, strlen(c.html) + coalesce(n.n, 0) AS bytes FROM cap_status c LEFT JOIN nav_len n ON n.src = c.url_key
+  UNION ALL
+  SELECT h.url_key, strlen('<!DOCTYPE html><html><head><title>' || h.hostname || '</title></head><body><a href="' ||
+                           fp.url_nf || '">start</a></body></html>')
+  FROM home_cap h JOIN site_pages fp ON fp.host = h.hostname AND fp.i = 1
+)"""
+
+INSIGHT_ORACLES = {
+    "x1_url_clusters": _pipe(f"""
+SELECT run_id, url, canonical_url, substr(sha256(run_id || '|' || canonical_url), 1, 16) AS cluster_id,
+       CAST(count(*) OVER (PARTITION BY run_id, canonical_url) AS BIGINT) AS cluster_size
+FROM (SELECT run_id, url, {canon('url')} AS canonical_url FROM pipe_pages)"""),
+    "x1_dedup_summary": _pipe(f"""
+SELECT run_id, CAST(sum(n) AS BIGINT) AS raw_pages, CAST(count(*) AS BIGINT) AS canonical_pages,
+       round(1 - count(*) / sum(n), 4) AS dedup_ratio, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS conflicts
+FROM (SELECT run_id, {canon('url')} AS c, count(*) AS n FROM pipe_pages GROUP BY 1, 2) GROUP BY run_id"""),
+    "x2_link_audit": _with(_PAGE_HREFS) + f"""
+SELECT page_url, pos, link,
+       CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY page_url, split_part(link, '#', 1), reason IS NULL ORDER BY pos) > 1
+            THEN 'duplicate' ELSE reason END AS reason
+FROM (SELECT page_url, pos, link,
+        CASE WHEN {d_part('link', 4)} <> '' AND {d_part('link', 4)} <> {d_part('page_url', 4)} THEN 'external'
+             WHEN split_part(link, '#', 1) = '' THEN 'empty'
+             WHEN {d_suffix(d_path('link'))} NOT IN ('', '.htm', '.html', '.md', '.txt') THEN 'extension_filtered'
+             WHEN {d_non_content(d_path('link'))} THEN 'non_content_path' END AS reason
+      FROM ph)""",
+    "x3_robots_allowed": _pipe(f"""
+SELECT d.run_id, d.url,
+  CASE WHEN length(s.hostname) % 4 = 1 THEN NOT ((starts_with({d_path('d.url')}, '/de/') AND NOT starts_with({d_path('d.url')}, '/de/1'))
+                                               OR starts_with({d_path('d.url')}, '/admin'))
+       ELSE true END AS allowed
+FROM discovered d JOIN sites s USING (run_id)"""),
+    "x4_strategy_rates": _pipe("""
+SELECT strategy, CAST(attempts AS BIGINT) AS attempts, CAST(successes AS BIGINT) AS successes,
+       round(successes / attempts, 4) AS success_rate FROM (
+  SELECT 'direct_llms' AS strategy, count(*) AS attempts, sum(CASE WHEN length(hostname) % 4 = 0 THEN 1 ELSE 0 END) AS successes FROM sites
+  UNION ALL SELECT 'robots_hints', count(*), sum(CASE WHEN length(hostname) % 4 = 1 THEN 1 ELSE 0 END) FROM sites
+  UNION ALL SELECT 'sitemap', sum(CASE WHEN length(hostname) % 4 IN (2, 3) THEN 1 ELSE 0 END),
+                   sum(CASE WHEN length(hostname) % 4 = 2 THEN 1 ELSE 0 END) FROM sites
+  UNION ALL SELECT 'spider', sum(CASE WHEN length(hostname) % 4 = 3 THEN 1 ELSE 0 END),
+                   sum(CASE WHEN length(hostname) % 4 = 3 THEN 1 ELSE 0 END) FROM sites
+)"""),
+    "x5_strategy_ranking": _pipe("""
+SELECT hostname, strategy, success_rate,
+       CAST(row_number() OVER (PARTITION BY hostname ORDER BY success_rate DESC, o) AS BIGINT) AS preference
+FROM (
+  SELECT s.hostname, x.strategy, x.o,
+         CASE WHEN x.o = 1 AND length(s.hostname) % 4 = 0 THEN 1.0 WHEN x.o = 2 AND length(s.hostname) % 4 = 1 THEN 1.0
+              WHEN x.o = 3 AND length(s.hostname) % 4 = 2 THEN 1.0 WHEN x.o = 4 THEN 1.0 ELSE 0.0 END AS success_rate
+  FROM sites s CROSS JOIN (VALUES ('direct_llms', 1), ('robots_hints', 2), ('sitemap', 3), ('spider', 4)) x(strategy, o)
+  WHERE x.o <= 2 OR (x.o = 3 AND length(s.hostname) % 4 IN (2, 3)) OR (x.o = 4 AND length(s.hostname) % 4 = 3)
+)"""),
+    "x6_completeness": _pipe(f"""
+SELECT run_id, round(avg(CASE WHEN coalesce(title, '') <> '' THEN 1.0 ELSE 0.0 END), 4) AS title_completeness,
+       CAST(0.0 AS DOUBLE) AS description_completeness, total, total < 0.5 AS needs_review
+FROM (SELECT p.*, round(
+        ((sum(CASE WHEN coalesce(title,'') <> '' THEN 1 ELSE 0 END) OVER w / count(*) OVER w) / 2) * 0.4
+        + avg(conf / 2) OVER w * 0.4
+        + (count(DISTINCT {canon('url')}) OVER w / count(*) OVER w) * 0.2, 4) AS total
+      FROM pipe_pages p WINDOW w AS (PARTITION BY run_id))
+GROUP BY run_id, total"""),
+    "x7_conditional_savings": _pipe2(_BODY_LEN, """
+SELECT d.run_id, CAST(count(*) AS BIGINT) AS attempted,
+       CAST(sum(CASE WHEN c.status = 304 THEN 1 ELSE 0 END) AS BIGINT) AS not_modified,
+       round(avg(CASE WHEN c.status = 304 THEN 1.0 ELSE 0.0 END), 4) AS hit_rate,
+       CAST(coalesce(sum(CASE WHEN c.status = 200 THEN b.bytes END), 0) AS BIGINT) AS bytes_fetched
+FROM discovered d LEFT JOIN pipe_caps c ON c.url_key = d.url LEFT JOIN body_len b ON b.url_key = d.url
+GROUP BY d.run_id"""),
+    "x8_hierarchical_sections": _pipe(f"""
+SELECT run_id, url, CASE WHEN count(*) OVER (PARTITION BY run_id, deep) >= 2 THEN deep ELSE top END AS section_path
+FROM (SELECT run_id, url, array_to_string(string_split(trim({d_path('url')}, '/'), '/')[1:2], '/') AS deep,
+             string_split(trim({d_path('url')}, '/'), '/')[1] AS top FROM canon_pages)"""),
+    "x9_markdown_pages": _with(_DOCS) + r"""
+SELECT 'https://' || lang || '.docs.example.org/md/' || CAST(doc_id AS VARCHAR) || '.md' AS url, t AS title,
+       nullif(regexp_replace(replace(split_part(text || chr(10), chr(10) || chr(10), 1), chr(10), ' '), '^\s+|\s+$', '', 'g'), '') AS description
+FROM dd""",
+    "x10_document_diff": _pipe2(_document_sql("canon_pages", "pipe_links"), f"""
+SELECT coalesce(p.run_id, g.run_id) AS run_id, coalesce(p.url, g.url) AS url,
+       CASE WHEN p.url IS NOT NULL AND g.url IS NOT NULL THEN 'both' WHEN p.url IS NOT NULL THEN 'published_only'
+            ELSE 'generated_only' END AS change
+FROM (SELECT DISTINCT run_id, {d_norm('raw_url')} AS url FROM cand WHERE source = 'llms' AND {d_norm('raw_url')} IS NOT NULL) p
+FULL OUTER JOIN (SELECT DISTINCT run_id, url FROM doc_entries WHERE section IS NOT NULL
+                 AND run_id IN (SELECT run_id FROM cand WHERE source = 'llms' AND {d_norm('raw_url')} IS NOT NULL)) g
+  ON p.run_id = g.run_id AND p.url = g.url"""),
+    "x11_recent_runs": _audit("""
+SELECT run_id, CASE WHEN date_diff('microsecond', created_at, TIMESTAMP '2024-02-01 00:00:00') / 1000000.0 <= 86400
+                    THEN 'recent' ELSE 'older' END AS recency FROM runs"""),
+    "x12_stale_runs": _audit("""
+SELECT r.run_id, r.status, l.last_event_at,
+       l.last_event_at IS NULL OR date_diff('microsecond', l.last_event_at, TIMESTAMP '2024-02-01 00:00:00') / 1000000.0 > 21600 AS stale
+FROM runs r LEFT JOIN (SELECT run_id, max(started_at) AS last_event_at FROM ce GROUP BY run_id) l USING (run_id)
+WHERE r.status IN ('queued', 'running')"""),
+    "x13_fresh_importance": _pipe("""
+SELECT b.run_id, b.u AS url,
+       round(b.inlinks * CASE WHEN e.url_key IS NOT NULL THEN pow(0.5, (date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00',
+             TIMESTAMP '2024-02-01 00:00:00') / 1000000.0 / 86400.0) / 30.0) ELSE 1.0 END, 6) AS fresh_score
+FROM bfs_ranked b LEFT JOIN expand_status e ON e.url_key = b.u"""),
+    "x14_politeness_plan": _pipe("""
+SELECT run_id, url, CAST((row_number() OVER (PARTITION BY run_id ORDER BY ord, url) - 1) * 10 AS BIGINT) AS offset_ms FROM discovered"""),
+}
+
 def oracle_sql() -> dict[str, str]:
     return {
         "site_index_captured": _oracle_site_index_captured(),
@@ -973,4 +1078,5 @@ def oracle_sql() -> dict[str, str]:
         **AUDIT_ORACLES,
         **STREAM_ORACLES,
         **STORE_ORACLES,
+        **INSIGHT_ORACLES,
     }

@@ -13,7 +13,8 @@ page inside its host by ``page_id``):
   ``page_id % 10 = 0``, else 304 when ``page_id % 11 = 0``, else 200;
   ``etag = md5(html)``.
 * discovery files by ``length(host) % 4``: 0 an ``llms.txt`` listing the
-  host's pages, 1 a ``robots.txt`` with an ``LLMS:`` hint and a sitemap,
+  host's pages, 1 a ``robots.txt`` with an ``LLMS:`` hint, a sitemap and
+  Disallow / Allow rules,
   2 a ``/sitemap.xml`` (an index of odd / even child sitemaps plus a
   self reference when the host has more than 4 pages), 3 nothing: those
   hosts get a home page linking page 1, and page ``i`` gains links to
@@ -194,7 +195,7 @@ def discovery_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("text/plain").alias("ctype"),
         F.concat(
             F.lit("User-agent: *\nDisallow: /admin\nLLMS: /llms-full.txt\n  Sitemap: "),
-            base, F.lit("/ignored.xml\nSitemap: "), base, F.lit("/sitemap-pages.xml\n"),
+            base, F.lit("/ignored.xml\nSitemap: "), base, F.lit("/sitemap-pages.xml\nDisallow: /de/\nAllow: /de/1\n"),
         ).alias("body"),
     )
     robots_map = per_host.filter(F.col("tier") == 1).select(
@@ -503,3 +504,17 @@ def validators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.filter(F.col("page_id") % 3 != 2).select(
         F.col("url_nf").alias("url"), etag.alias("etag"), F.lit(None).cast("string").alias("last_modified")
     )
+
+
+def markdown_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents served as markdown: '# <title>' + blank line + the text."""
+    d = read_table(spark, sf_dir, "documents")
+    title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.lit(" ("), F.col("source"), F.lit(")"))
+    url = F.concat(F.lit("https://"), F.col("lang"), F.lit(".docs.example.org/md/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return d.select(
+        url.alias("url"),
+        F.lit(200).alias("status_code"),
+        _headers("text/markdown; charset=utf-8", F.md5(F.col("text"))).alias("headers"),
+        F.concat(F.lit("# "), title, F.lit("\n\n"), F.col("text"), F.lit("\n")).alias("body"),
+        _ts(F.col("doc_id")).alias("fetched_at"),
+    )
