@@ -50,12 +50,14 @@ def state_gauge(transitions: DataFrame) -> DataFrame:
     return deltas.groupBy(F.col("x.state").alias("state")).agg(F.sum("x.d").cast("long").alias("items"))
 
 
-def state_gauge_timeline(transitions: DataFrame) -> DataFrame:
-    """L2 running form: gauge value per state after each change."""
+def state_gauge_timeline(transitions: DataFrame, bucket: str = "1 hour") -> DataFrame:
+    """L2 running form: items in each state at the end of every time
+    bucket.  Deltas are summed per (state, bucket) first (partial
+    aggregation), so the running sum only orders one row per bucket."""
     from pyspark.sql import Window
 
     deltas = transitions.select(
-        "created_at", "work_item_id",
+        F.date_trunc("hour" if bucket == "1 hour" else "day", "created_at").alias("bucket"),
         F.explode(
             F.array(
                 F.struct(F.col("to_state").alias("state"), F.lit(1).alias("d")),
@@ -63,10 +65,9 @@ def state_gauge_timeline(transitions: DataFrame) -> DataFrame:
             )
         ).alias("x"),
     ).filter(F.col("x.state").isNotNull())
-    w = Window.partitionBy("state").orderBy("created_at", "work_item_id", "d").rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.select("created_at", "work_item_id", F.col("x.state").alias("state"), F.col("x.d").alias("d")).withColumn(
-        "items", F.sum("d").over(w)
-    )
+    per_bucket = deltas.groupBy(F.col("x.state").alias("state"), "bucket").agg(F.sum("x.d").alias("d"))
+    w = Window.partitionBy("state").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    return per_bucket.withColumn("items", F.sum("d").over(w).cast("long"))
 
 
 def run_outcomes(runs: DataFrame) -> DataFrame:

@@ -33,11 +33,12 @@ def sectioned_entries(pages: DataFrame, sites: DataFrame) -> DataFrame:
         F.lit("- ["), title, F.lit("]("), F.col("entry_url"), F.lit(")"),
         F.when(_nonempty(F.col("description")), F.concat(F.lit(": "), F.col("description"))).otherwise(F.lit("")),
     )
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("run_id", "section")
-    return p.select(
-        "run_id", "section", F.min("ord").over(w).alias("sec_ord"), F.col("entry_url").alias("url"), line.alias("line"), "ord"
+    # Section order = first position of any entry in it.  A partial
+    # aggregate + join instead of a window keeps a hot section from landing
+    # in one task (AQE splits the skewed join side).
+    first = p.groupBy("run_id", "section").agg(F.min("ord").alias("sec_ord"))
+    return p.join(first, ["run_id", "section"]).select(
+        "run_id", "section", "sec_ord", F.col("entry_url").alias("url"), line.alias("line"), "ord"
     )
 
 

@@ -130,8 +130,8 @@ def hierarchical_sections(pages: DataFrame, min_size: int = 2) -> DataFrame:
     ``min_size`` fold up to their first segment."""
     segs = F.split(F.expr(f"btrim({path_sql('url')}, '/')"), "/")
     p = pages.select("run_id", "url", F.array_join(F.slice(segs, 1, 2), "/").alias("deep"), F.get(segs, 0).alias("top"))
-    w = Window.partitionBy("run_id", "deep")
-    p = p.withColumn("n", F.count(F.lit(1)).over(w))
+    sizes = p.groupBy("run_id", "deep").agg(F.count(F.lit(1)).alias("n"))
+    p = p.join(sizes, ["run_id", "deep"])
     return p.select("run_id", "url", F.when(F.col("n") >= min_size, F.col("deep")).otherwise(F.col("top")).alias("section_path"))
 
 

@@ -47,17 +47,15 @@ def history(runs: DataFrame, hostname: str | None = None, limit: int = HISTORY_L
 
 
 def work_items_in_order(items: DataFrame) -> DataFrame:
-    """V3: work items of each run by creation time."""
-    w = Window.partitionBy("run_id").orderBy("created_at", "id")
-    return items.select("run_id", "id", "stage", "state", F.row_number().over(w).alias("item_order"))
+    """V3: work items of each run by creation time (a global sort, range
+    partitioned, so one busy run spreads over several tasks)."""
+    return items.select("run_id", "id", "stage", "state", "created_at").orderBy("run_id", "created_at", "id")
 
 
 def events_in_order(events: DataFrame) -> DataFrame:
-    """V4: events of each run by start time, with duration."""
-    w = Window.partitionBy("run_id").orderBy("started_at", "id")
-    return events.select(
-        "run_id", "id", "name", "started_at", duration_seconds().alias("duration"),
-        F.row_number().over(w).alias("event_order"),
+    """V4: events of each run by start time, with duration (global sort)."""
+    return events.select("run_id", "id", "name", "started_at", duration_seconds().alias("duration")).orderBy(
+        "run_id", "started_at", "id"
     )
 
 
@@ -120,16 +118,15 @@ def _ms_label(ms: Column) -> Column:
 
 def timeline(items: DataFrame) -> DataFrame:
     """V8: per (run, stage) the last non-queued item, else the first
-    queued one, with its duration label and error."""
-    w = Window.partitionBy("run_id").orderBy("created_at", "id")
-    i = items.withColumn("ord", F.row_number().over(w))
-    key = F.struct(
-        (F.col("state") != "queued").alias("live"),
-        F.when(F.col("state") == "queued", -F.col("ord")).otherwise(F.col("ord")).alias("pos"),
-    )
-    best = i.groupBy("run_id", "stage").agg(
-        F.max_by(F.struct("id", "state", "created_at", "updated_at", "last_error"), key).alias("it")
-    )
+    queued one, with its duration label and error.  Two partial
+    aggregates (max_by / min_by), no per-run window."""
+    item = F.struct("id", "state", "created_at", "updated_at", "last_error")
+    pos = F.struct("created_at", "id")
+    queued = F.col("state") == "queued"
+    best = items.groupBy("run_id", "stage").agg(
+        F.max_by(F.when(~queued, item), F.when(~queued, pos)).alias("live"),
+        F.min_by(F.when(queued, item), F.when(queued, pos)).alias("first_queued"),
+    ).select("run_id", "stage", F.coalesce("live", "first_queued").alias("it"))
     ms = (duration_seconds("it.created_at", "it.updated_at") * 1000).cast("long")
     return best.select(
         "run_id", "stage", F.col("it.id").alias("item_id"), F.col("it.state").alias("state"),

@@ -819,10 +819,9 @@ SELECT failure_class, CAST(http_code AS BIGINT) AS http_code, CAST(n AS BIGINT)
     "v1_run_status": _audit("SELECT run_id, hostname, status, score, created_at, completed_at FROM runs"),
     "v2_history": _audit("SELECT run_id, hostname, status, created_at FROM runs ORDER BY created_at DESC, run_id LIMIT 50"),
     "v3_work_items": _audit("""
-SELECT run_id, id, stage, state, CAST(row_number() OVER (PARTITION BY run_id ORDER BY created_at, id) AS BIGINT) AS item_order FROM items"""),
+SELECT run_id, id, stage, state, created_at FROM items ORDER BY run_id, created_at, id"""),
     "v4_events": _audit("""
-SELECT run_id, id, name, started_at, dur AS duration,
-       CAST(row_number() OVER (PARTITION BY run_id ORDER BY started_at, id) AS BIGINT) AS event_order FROM ce"""),
+SELECT run_id, id, name, started_at, dur AS duration FROM ce ORDER BY run_id, started_at, id"""),
     "v5_artifacts": _audit("SELECT run_id, llms_txt FROM arts"),
     "v6_stage_states": _audit("""
 SELECT r.run_id, st.stage, CAST(st.stage_no AS BIGINT) AS stage_no,
