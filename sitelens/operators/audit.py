@@ -89,6 +89,47 @@ def stage_outcomes(events: DataFrame) -> DataFrame:
     )
 
 
+def quantized_percentiles(
+    df: DataFrame, keys: list[str], value: str, ps: dict[str, float], per_unit: int = 1000
+) -> DataFrame:
+    """Percentiles with linear interpolation (``percentile_cont``) over
+    values quantised to ``1 / per_unit`` (milliseconds by default).
+
+    The values are first reduced to a (keys, quantum) -> count histogram
+    with partial aggregation, so no task holds a group's raw values in a
+    hash map (the exact ``percentile`` aggregate does); the running count
+    is a sort-based window over distinct quanta, which spills instead of
+    failing.  Exact for values recorded at that resolution or coarser.
+    """
+    from pyspark.sql import Window
+
+    h = (
+        df.filter(F.col(value).isNotNull())
+        .select(*keys, F.round(F.col(value) * per_unit).cast("long").alias("ms"))
+        .groupBy(*keys, "ms")
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    w = Window.partitionBy(*keys).orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
+    h = h.withColumn("cum", F.sum("c").over(w))
+    n = h.groupBy(*keys).agg(F.max("cum").alias("n"))
+    h = h.join(n, keys)
+    aggs = []
+    for name, p in ps.items():
+        pos = F.lit(p) * (F.col("n") - 1)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        aggs += [
+            F.min(F.when(F.col("cum") > lo, F.col("ms"))).alias(f"{name}_lo"),
+            F.min(F.when(F.col("cum") > hi, F.col("ms"))).alias(f"{name}_hi"),
+            F.first(pos - lo).alias(f"{name}_frac"),
+        ]
+    out = h.groupBy(*keys).agg(*aggs)
+    cols = [
+        ((F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * F.col(f"{k}_frac")) / float(per_unit)).alias(k)
+        for k in ps
+    ]
+    return out.select(*keys, *cols)
+
+
 def stage_durations(events: DataFrame) -> DataFrame:
     """Duration distribution of successful stage executions (failed
     executions are not timed)."""
@@ -102,14 +143,16 @@ def stage_durations(events: DataFrame) -> DataFrame:
         buckets.append(F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias(f"le_{hi}s"))
         lo = hi
     buckets.append(F.sum(F.when(F.col("d") > lo, 1).otherwise(0)).cast("long").alias(f"gt_{lo}s"))
-    return s.groupBy(F.col("system").alias("stage")).agg(
+    s = s.withColumnRenamed("system", "stage")
+    stats = s.groupBy("stage").agg(
         F.count(F.lit(1)).cast("long").alias("executions"),
         F.round(F.sum("d"), 6).alias("total_seconds"),
         F.round(F.avg("d"), 6).alias("avg_seconds"),
-        F.round(F.percentile("d", 0.5), 6).alias("p50_seconds"),
-        F.round(F.percentile("d", 0.95), 6).alias("p95_seconds"),
         *buckets,
     )
+    pct = quantized_percentiles(s, ["stage"], "d", {"p50_seconds": 0.5, "p95_seconds": 0.95})
+    pct = pct.select("stage", F.round("p50_seconds", 6).alias("p50_seconds"), F.round("p95_seconds", 6).alias("p95_seconds"))
+    return stats.join(pct, "stage")
 
 
 def business_metrics(runs: DataFrame, events: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -124,16 +167,21 @@ def business_metrics(runs: DataFrame, events: DataFrame, artifacts: DataFrame) -
         .agg(F.count(F.lit(1)).alias("pages"))
     )
     sizes = artifacts.select("run_id", F.octet_length("llms_txt").alias("bytes"))
-    j = done.join(pages, "run_id", "left").join(sizes, "run_id", "left")
-    return j.agg(
+    j = done.join(pages, "run_id", "left").join(sizes, "run_id", "left").withColumn("all", F.lit(1))
+    stats = j.groupBy("all").agg(
         F.count(F.lit(1)).cast("long").alias("completed_runs"),
         F.coalesce(F.sum("pages"), F.lit(0)).cast("long").alias("pages_indexed_total"),
         F.round(F.avg("run_seconds"), 6).alias("avg_run_seconds"),
-        F.round(F.percentile("run_seconds", 0.5), 6).alias("p50_run_seconds"),
         F.round(F.max("run_seconds"), 6).alias("max_run_seconds"),
         F.round(F.avg("bytes"), 6).alias("avg_artifact_bytes"),
         F.max("bytes").cast("long").alias("max_artifact_bytes"),
     )
+    pct = quantized_percentiles(j, ["all"], "run_seconds", {"p50_run_seconds": 0.5}, per_unit=1_000_000)
+    out = stats.join(pct, "all", "left")
+    return out.select(
+        "completed_runs", "pages_indexed_total", "avg_run_seconds",
+        F.round("p50_run_seconds", 6).alias("p50_run_seconds"), "max_run_seconds", "avg_artifact_bytes", "max_artifact_bytes",
+    )
 
 
 def event_durations(events: DataFrame) -> DataFrame:
