@@ -877,7 +877,52 @@ def q_s10_event_log(spark, sf):
     )
 
 
+def q_s11_read_pages(spark, sf):
+    """Canonical pages written partitioned by run_id and read back
+    with their provenance / confidence structs decoded."""
+    st = full_pipeline(spark, sf)
+    path = monitor.scratch(spark, "pages-table")
+    store.write_table(st.stages.pages.drop("url_key"), path, ["run_id"])
+    p = spark.read.parquet(path)
+    return p.select(
+        "run_id", "url", "title",
+        F.col("provenance.discovery").alias("discovery"),
+        F.col("provenance.title").alias("title_source"),
+        F.col("confidence.title").alias("title_confidence"),
+    )
+
+
+def q_l10_run_milestone(spark, sf):
+    """Per completed run: pages indexed, duration and document bytes."""
+    prepare_session(spark)
+    runs = fx.runs(spark, sf).filter(F.col("status") == "completed")
+    ev = fx.crawl_events(spark, sf)
+    pages = ev.filter((F.col("system") == "extraction") & F.col("completed_at").isNotNull()).groupBy("run_id").agg(
+        F.count(F.lit(1)).cast("long").alias("total_pages_indexed")
+    )
+    arts = fx.artifacts(spark, sf).select("run_id", F.octet_length("llms_txt").cast("long").alias("llmstxt_size_bytes"))
+    return runs.join(pages, "run_id", "left").join(arts, "run_id", "left").select(
+        "run_id",
+        F.coalesce("total_pages_indexed", F.lit(0).cast("long")).alias("total_pages_indexed"),
+        audit.duration_seconds("created_at", "completed_at").alias("duration_seconds"),
+        "llmstxt_size_bytes",
+    )
+
+
+def q_l11_span_records(spark, sf):
+    """Stage span records with outcome and error."""
+    ev = fx.crawl_events(spark, sf)
+    return ev.select(
+        "id", "run_id", "name", "system",
+        F.get_json_object("metadata", "$.outcome").alias("outcome"),
+        F.get_json_object("metadata", "$.error").alias("error"),
+    )
+
+
 STORE_QUERIES = {
+    "s11_read_pages": q_s11_read_pages,
+    "l10_run_milestone": q_l10_run_milestone,
+    "l11_span_records": q_l11_span_records,
     "s2_fetch": q_s2_fetch,
     "s3_site_list": q_s3_site_list,
     "s4_run_upsert": q_s4_run_upsert,

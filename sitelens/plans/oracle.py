@@ -922,6 +922,21 @@ SELECT work_item_id, arg_max(to_state, {'t': created_at, 's': seq}) AS state FRO
 
 
 STORE_ORACLES = {
+    "s11_read_pages": _pipe("""
+SELECT run_id, url, title, d.provenance AS discovery,
+       CASE WHEN coalesce(title, '') <> '' THEN 'title' ELSE 'none' END AS title_source, CAST(conf AS DOUBLE) AS title_confidence
+FROM pipe_pages JOIN discovered d USING (run_id, url)"""),
+    "l10_run_milestone": _audit("""
+SELECT r.run_id, CAST(coalesce(p.n, 0) AS BIGINT) AS total_pages_indexed,
+       date_diff('microsecond', r.created_at, r.completed_at) / 1000000.0 AS duration_seconds,
+       CAST(strlen(a.llms_txt) AS BIGINT) AS llmstxt_size_bytes
+FROM runs r
+LEFT JOIN (SELECT run_id, count(*) AS n FROM ce WHERE system = 'extraction' AND completed_at IS NOT NULL GROUP BY run_id) p USING (run_id)
+LEFT JOIN arts a USING (run_id)
+WHERE r.status = 'completed'"""),
+    "l11_span_records": _audit("""
+SELECT id, run_id, name, system, outcome,
+       CASE WHEN outcome = 'failure' THEN 'stage failed: k=' || CAST(k AS VARCHAR) END AS error FROM ce"""),
     "s2_fetch": _pipe("""
 SELECT d.run_id, d.url, CAST(coalesce(c.status, 404) AS BIGINT) AS status_code,
        CASE WHEN c.status IS NOT NULL THEN 'text/html; charset=utf-8' END AS content_type
