@@ -848,7 +848,7 @@ def q_s7_page_upsert(spark, sf):
 def q_s8_validators(spark, sf):
     """Stored validators upserted with those of fresh 200 responses."""
     prepare_session(spark)
-    caps = fx.page_captures(spark, sf).filter(F.col("status_code") == 200).dropDuplicates(["url"])
+    caps = store.latest_by_key(fx.page_captures(spark, sf), ["url"], "fetched_at").filter(F.col("status_code") == 200)
     batch = caps.select("url", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("last_modified"))
     return store.upsert(fx.validators(spark, sf), batch, ["url"]).select("url", "etag", "last_modified")
 

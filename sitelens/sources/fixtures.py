@@ -495,9 +495,11 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored validators: current ETag for ``page_id % 3 = 0``, a stale one
-    for ``% 3 = 1``, none otherwise."""
+    """Stored validators (one per URL, from its latest page): current ETag
+    for ``page_id % 3 = 0``, a stale one for ``% 3 = 1``, none otherwise."""
     sp = site_pages(spark, sf_dir)
+    latest = sp.groupBy("url_nf").agg(F.max("page_id").alias("page_id"))
+    sp = sp.join(latest, ["url_nf", "page_id"], "left_semi")
     etag = F.when(F.col("page_id") % 3 == 0, F.md5("html")).otherwise(
         F.concat(F.lit("stale-"), F.col("page_id").cast("string"))
     )
