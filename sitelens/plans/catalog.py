@@ -374,8 +374,23 @@ def q_p1_url_parts(spark, sf):
     )
 
 
+_SIGNALS_CACHE: dict = {}
+
+
+def captured_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """HTML signals of the captured driver pages (E1 only, written once)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SIGNALS_CACHE:
+        prepare_session(spark)
+        from sitelens.operators import extract
+
+        caps = fx.page_captures(spark, sf)
+        _SIGNALS_CACHE[key] = materialize(extract.page_signals(caps), "page-signals")
+    return _SIGNALS_CACHE[key]
+
+
 def _page_hrefs(spark, sf):
-    s = captured_result(spark, sf).signals
+    s = captured_signals(spark, sf)
     return s.select(F.col("url_key").alias("page_url"), F.posexplode(F.arrays_zip("hrefs", "links")).alias("pos", "h")).select(
         "page_url", "pos", F.col("h.hrefs").alias("href"), F.col("h.links").alias("link")
     )
