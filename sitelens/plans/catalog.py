@@ -828,8 +828,9 @@ def q_s5_item_transitions(spark, sf):
         F.when(F.col("completed_at").isNotNull() & (F.col("event_id") % 7 == 0),
                F.struct(final.alias("state"), F.expr("completed_at + INTERVAL 1 SECOND").alias("updated_at"))),
     )
-    log = s.select(wid.alias("id"), F.explode(rows).alias("r")).filter(F.col("r").isNotNull()).select("id", "r.state", "r.updated_at")
-    return store.changed_transitions(log)
+    log = s.select(wid.alias("id"), F.posexplode(rows).alias("seq", "r")).filter(F.col("r").isNotNull())
+    log = log.select("id", "seq", "r.state", "r.updated_at")
+    return store.changed_transitions(log, ("seq",))
 
 
 def q_s6_insert_ignore(spark, sf):

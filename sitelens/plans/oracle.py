@@ -53,9 +53,9 @@ def _with(*ctes: str) -> str:
 # Title of a driver page: the <title> of its head, entities decoded, trimmed.
 _TITLE_EXPR = r"""
 nullif(trim(
-  replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
     regexp_extract(html, '(?s)<head>.*?<title>(.*?)</title>', 1),
-    '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp;', '&'),
+    '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#39;?', chr(39), 'g'), '&amp;?', '&', 'g'),
   ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)), '')
 """
 

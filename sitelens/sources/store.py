@@ -62,13 +62,14 @@ def insert_ignore(existing: DataFrame, batch: DataFrame, key: list[str]) -> tupl
     return existing.unionByName(inserted), inserted
 
 
-def changed_transitions(item_log: DataFrame) -> DataFrame:
+def changed_transitions(item_log: DataFrame, order_cols: tuple[str, ...] = ("updated_at",)) -> DataFrame:
     """Transition rows from an item-state log, one per real change
-    (``lag(state)`` within the item, ordered by update time)."""
-    w = Window.partitionBy("id").orderBy("updated_at")
+    (``lag(state)`` within the item).  ``order_cols`` give the save order;
+    pass a save sequence when timestamps can tie or run backwards."""
+    w = Window.partitionBy("id").orderBy(*order_cols)
     prev = F.lag("state").over(w)
     return (
-        item_log.select("id", "state", "updated_at", prev.alias("from_state"))
+        item_log.select("id", "state", "updated_at", *[c for c in order_cols if c != "updated_at"], prev.alias("from_state"))
         .filter(F.col("from_state").isNull() | (F.col("from_state") != F.col("state")))
         .select(F.col("id").alias("work_item_id"), "from_state", F.col("state").alias("to_state"), F.col("updated_at").alias("created_at"))
     )
