@@ -9,11 +9,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from sitelens.config import PipelineParams
+from sitelens.functions import text as textfn
+from sitelens.functions import urls as U
+from sitelens.operators import audit, canonical, document, insights, linkgraph, views
+from sitelens.operators.discovery import discovery_milestones, fetch_bodies, site_bases
 from sitelens.plans import pipeline
 from sitelens.session import materialize, prepare_session
 from sitelens.sources import fixtures as fx
+from sitelens.sources import sitelist, store
+from sitelens.sources.tables import read_table
+from sitelens.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,10 +74,7 @@ def q_site_index_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 # Per-operator views of the full pipeline (discovery, scan, extraction,
 # canonical pages, documents, milestones)
 # ---------------------------------------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
 
-from sitelens.operators import document, linkgraph  # noqa: E402
-from sitelens.operators.discovery import discovery_milestones  # noqa: E402
 
 
 def _key_text(c: str = "ord.key") -> F.Column:
@@ -351,9 +356,6 @@ def q_e11_page_events(spark, sf):
 # ---------------------------------------------------------------------------
 # URL scalars over the driver pages
 # ---------------------------------------------------------------------------
-from sitelens.functions import text as textfn  # noqa: E402
-from sitelens.functions import urls as U  # noqa: E402
-from sitelens.sources.tables import read_table  # noqa: E402
 
 _CAPTURED_CACHE: dict = {}
 
@@ -482,8 +484,6 @@ SCALAR_QUERIES = {
 # ---------------------------------------------------------------------------
 # Audit trail: metrics (L) and read views (V) over the event-derived log
 # ---------------------------------------------------------------------------
-from sitelens.operators import audit, views  # noqa: E402
-from sitelens.sources import store  # noqa: E402
 
 NOW = "2024-02-01 00:00:00"
 
@@ -659,7 +659,6 @@ AUDIT_QUERIES = {
 # Structured Streaming (R1-R5): each query drains a file stream written in
 # micro-batches (availableNow) and returns the sink table
 # ---------------------------------------------------------------------------
-from sitelens.streaming import monitor  # noqa: E402
 
 _EV_COLS = ["id", "run_id", "name", "system", "started_at", "completed_at", "metadata"]
 
@@ -726,13 +725,11 @@ def q_r4_incremental_recrawl(spark, sf):
     validators changed are extracted and upserted."""
     prepare_session(spark)
     caps = fx.page_captures(spark, sf)
-    num = F.regexp_extract("url", r"/([0-9]+)[^/]*$", 1)
     src = monitor.scratch(spark, "r4-in")
     pages_ids = fx.site_pages(spark, sf).select(F.col("url_nf").alias("url"), "page_id")
     tagged = caps.join(pages_ids, "url").dropDuplicates(["url", "fetched_at"])
     monitor.write_batches([tagged.filter(F.col("page_id") % 2 == 0).drop("page_id"),
                            tagged.filter(F.col("page_id") % 2 == 1).drop("page_id")], src)
-    del num
     out_pages, out_vals = monitor.scratch(spark, "r4-pages"), monitor.scratch(spark, "r4-validators")
     from sitelens.sources.captures import CAPTURE_SCHEMA
 
@@ -766,7 +763,6 @@ STREAM_QUERIES = {
 # ---------------------------------------------------------------------------
 # Store operators
 # ---------------------------------------------------------------------------
-from sitelens.sources import sitelist  # noqa: E402
 
 
 def q_s2_fetch(spark, sf):
@@ -954,8 +950,6 @@ STORE_QUERIES = {
 # ---------------------------------------------------------------------------
 # Documented capabilities beyond the pipeline
 # ---------------------------------------------------------------------------
-from sitelens.operators import canonical, insights  # noqa: E402
-from sitelens.operators.discovery import fetch_bodies, site_bases  # noqa: E402
 
 
 def q_x1_url_clusters(spark, sf):
