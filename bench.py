@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "site_index_captured",
-    "site_index_pipeline",
+    "site_index_tiered",
     "e2_cascade",
     "p9_normalized_links",
     "l5_stage_durations",
@@ -40,7 +40,7 @@ def main() -> None:
     spark.range(8).mapInArrow(lambda it: it, "id long").collect()
     times: dict[str, float] = {}
     for name in HEADLINE:
-        for cache in (catalog._PIPELINE_CACHE, catalog._INPUT_CACHE, catalog._CASCADE_CACHE, catalog._CAPTURED_CACHE,
+        for cache in (catalog._FULL_RUN_CACHE, catalog._INPUT_CACHE, catalog._CASCADE_CACHE, catalog._CAPTURED_CACHE,
                       catalog._SIGNALS_CACHE):
             cache.clear()
         t0 = time.time()

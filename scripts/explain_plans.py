@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from sitelens.operators import audit, canonical, extract, views  # noqa: E402
-from sitelens.plans import catalog, pipeline  # noqa: E402
+from sitelens.plans import catalog, jobs  # noqa: E402
 from sitelens.session import build_session  # noqa: E402
 from sitelens.sources import fixtures as fx  # noqa: E402
 
@@ -48,7 +48,7 @@ def main() -> None:
     cases = {
         "E1 page signals (map-only HTML pass; bodies never shuffled)": extract.page_signals(caps, index),
         "S2/E7 extraction outcomes (small rows joined on url_key)": extract.extraction_outcomes(
-            pipeline.captured_candidates(fx.sites(spark, sf), caps), index
+            jobs.captured_candidates(fx.sites(spark, sf), caps), index
         ),
         "C1 canonical pages (partial min_by aggregate)": canonical.canonicalize(catalog.captured_result(spark, sf).pages),
         "V9 last 8 events per run (partial WindowGroupLimit before the shuffle)": views.recent_events(fx.crawl_events(spark, sf)),

@@ -112,9 +112,7 @@ def expand_sitemaps(
     outs: list[DataFrame] = []
     for depth in range(max_depth + 1):
         f = fetch_bodies(frontier, captures, index).filter(F.col("status_code") == 200)
-        p = materialize(
-            f.select("run_id", "tier", "key", "ancestors", parse_sitemap(F.col("body")).alias("sm")), "sitemaps"
-        )
+        p = f.select("run_id", "tier", "key", "ancestors", parse_sitemap(F.col("body")).alias("sm"))
         urls = p.select(
             "run_id", "tier", "key", F.posexplode(F.coalesce(F.col("sm.urls"), F.array().cast("array<string>"))).alias("pos", "loc")
         ).filter(F.col("loc").isNotNull() & (F.col("loc") != ""))

@@ -67,9 +67,16 @@ def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Longest matching rule decides (Allow wins a tie); no rule = allowed.
-    The join is keyed by run_id, so each URL meets only its site's rules."""
+
+    Each URL expands to its own path prefixes and meets the rules with an
+    equi-join on (run_id, prefix): no URL x rule pairs are formed, and the
+    work per URL is bounded by its path length.
+    """
     u = urls.withColumn("path", F.expr(path_sql("url")))
-    m = u.join(rules, "run_id").filter(F.col("path").startswith(F.col("prefix")))
+    prefixes = u.select(
+        "run_id", "url", F.explode(F.expr("transform(sequence(1, greatest(length(path), 1)), i -> substring(path, 1, i))")).alias("prefix")
+    )
+    m = prefixes.join(rules, ["run_id", "prefix"])
     best = m.groupBy("run_id", "url").agg(
         F.max_by("kind", F.struct(F.length("prefix"), (F.col("kind") == "allow"))).alias("kind")
     )

@@ -94,7 +94,6 @@ def bfs_scan(
         F.lit(0).alias("depth"),
         F.lit(0).cast("long").alias("rank"),
     ).filter(F.col("url_key").isNotNull())
-    seen = materialize(seen, "bfs-seen")
     frontier = seen
     edge_parts: list[DataFrame] = []
     expanded_parts: list[DataFrame] = []

@@ -16,7 +16,7 @@ from sitelens.functions import text as textfn
 from sitelens.functions import urls as U
 from sitelens.operators import audit, canonical, document, insights, linkgraph, views
 from sitelens.operators.discovery import discovery_milestones, fetch_bodies, site_bases
-from sitelens.plans import pipeline
+from sitelens.plans import jobs
 from sitelens.session import materialize, prepare_session
 from sitelens.sources import fixtures as fx
 from sitelens.sources import sitelist, store
@@ -26,9 +26,9 @@ from sitelens.streaming import monitor
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _captured(spark: SparkSession, sf: str) -> pipeline.PipelineResult:
+def _captured(spark: SparkSession, sf: str) -> jobs.StageResult:
     prepare_session(spark)
-    return pipeline.index_captured_pages(fx.sites(spark, sf), fx.page_captures(spark, sf), PipelineParams())
+    return jobs.index_captured_pages(fx.sites(spark, sf), fx.page_captures(spark, sf), PipelineParams())
 
 
 def q_site_index_captured(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +41,7 @@ def q_site_scores_captured(spark: SparkSession, sf: str) -> DataFrame:
     return _captured(spark, sf).scores
 
 
-_PIPELINE_CACHE: dict[tuple[str, str], pipeline.FullResult] = {}
+_FULL_RUN_CACHE: dict[tuple[str, str], jobs.FullResult] = {}
 
 
 def crawl_inputs(spark: SparkSession, sf: str):
@@ -54,20 +54,20 @@ def crawl_inputs(spark: SparkSession, sf: str):
     )
 
 
-def full_pipeline(spark: SparkSession, sf: str) -> pipeline.FullResult:
+def full_run(spark: SparkSession, sf: str) -> jobs.FullResult:
     """All five stages over the crawl fixture; shared by the queries that
     read one of its outputs within a session."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _PIPELINE_CACHE:
+    if key not in _FULL_RUN_CACHE:
         sites, caps = crawl_inputs_cached(spark, sf)
-        _PIPELINE_CACHE[key] = pipeline.run_pipeline(sites, caps, PipelineParams())
-    return _PIPELINE_CACHE[key]
+        _FULL_RUN_CACHE[key] = jobs.run_all_stages(sites, caps, PipelineParams())
+    return _FULL_RUN_CACHE[key]
 
 
-def q_site_index_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+def q_site_index_tiered(spark: SparkSession, sf: str) -> DataFrame:
     """All stages: tiered discovery -> extraction -> canonical pages ->
     scores -> one llms.txt per site."""
-    return full_pipeline(spark, sf).stages.artifacts
+    return full_run(spark, sf).stages.artifacts
 
 
 # ---------------------------------------------------------------------------
@@ -84,20 +84,20 @@ def _key_text(c: str = "ord.key") -> F.Column:
 def q_d1_llms_links(spark, sf):
     """Links listed in each site's llms.txt (first [text](href) per
     line, resolved against the site), invalid ones included."""
-    c = full_pipeline(spark, sf).discovery.candidates
+    c = full_run(spark, sf).discovery.candidates
     return c.filter(F.col("source") == "llms").select("run_id", "raw_url", F.col("ord.key")[0].alias("line_no"))
 
 
 def q_d2_robots_hints(spark, sf):
     """D2: 'llms:' hints of robots.txt (column-0 keyword, any case)."""
-    c = full_pipeline(spark, sf).discovery.candidates
+    c = full_run(spark, sf).discovery.candidates
     return c.filter(F.col("source") == "robots").select("run_id", "raw_url", F.col("ord.key")[0].alias("line_no"))
 
 
 def q_d4_sitemap_urls(spark, sf):
     """URLs from robots-listed and well-known sitemaps, sitemap
     indexes expanded depth-first with the cycle guard."""
-    c = full_pipeline(spark, sf).discovery.candidates
+    c = full_run(spark, sf).discovery.candidates
     return c.filter(F.col("source") == "sitemap").select(
         "run_id", "raw_url", F.col("ord.tier").alias("tier"), _key_text().alias("ord_key")
     )
@@ -105,19 +105,19 @@ def q_d4_sitemap_urls(spark, sf):
 
 def q_d6_tier_gate(spark, sf):
     """Strategies that ran per site under the tier gate."""
-    log = full_pipeline(spark, sf).discovery.strategy_log
+    log = full_run(spark, sf).discovery.strategy_log
     return log.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list("strategy")), ",").alias("strategies"))
 
 
 def q_d8_discovered(spark, sf):
     """De-duplicated discovered URLs, first source wins."""
-    d = full_pipeline(spark, sf).discovery.discovered
+    d = full_run(spark, sf).discovery.discovered
     return d.select("run_id", "url", "provenance", F.col("ord.tier").alias("tier"), _key_text().alias("ord_key"))
 
 
 def q_d9_spider_top(spark, sf):
     """The 50 most important scanned URLs per site."""
-    scan = full_pipeline(spark, sf).discovery.scan
+    scan = full_run(spark, sf).discovery.scan
     return linkgraph.top_pages(scan, 50).select(
         F.col("site").alias("run_id"), F.col("url_key").alias("url"), "importance", "inlinks", "depth"
     )
@@ -125,12 +125,12 @@ def q_d9_spider_top(spark, sf):
 
 def q_d10_strategy_log(spark, sf):
     """Success, failed-probe status and URL count per strategy run."""
-    return full_pipeline(spark, sf).discovery.strategy_log
+    return full_run(spark, sf).discovery.strategy_log
 
 
 def q_g1_page_links(spark, sf):
     """G1: filtered same-domain links of every expanded page, in order."""
-    e = full_pipeline(spark, sf).discovery.scan.edges
+    e = full_run(spark, sf).discovery.scan.edges
     w = F.row_number().over(Window.partitionBy("site", "src").orderBy("pos"))
     return e.select(F.col("site").alias("run_id"), "src", "dst", w.alias("link_order"))
 
@@ -138,19 +138,19 @@ def q_g1_page_links(spark, sf):
 def q_g2_bfs_visited(spark, sf):
     """URLs visited by the bounded BFS with depth, BFS rank and
     whether they expanded."""
-    v = full_pipeline(spark, sf).discovery.scan.visited
+    v = full_run(spark, sf).discovery.scan.visited
     return v.select(F.col("site").alias("run_id"), F.col("url_key").alias("url"), "depth", F.col("rank").alias("bfs_rank"), "expanded")
 
 
 def q_g3_inlinks(spark, sf):
     """In-link counts of visited URLs."""
-    scan = full_pipeline(spark, sf).discovery.scan
+    scan = full_run(spark, sf).discovery.scan
     return linkgraph.inlink_counts(scan).select(F.col("site").alias("run_id"), F.col("url_key").alias("url"), "inlinks")
 
 
 def q_g4_importance(spark, sf):
     """Importance rank (in-links desc, depth, URL) of visited URLs."""
-    scan = full_pipeline(spark, sf).discovery.scan
+    scan = full_run(spark, sf).discovery.scan
     return linkgraph.rank_pages(scan).select(
         F.col("site").alias("run_id"), F.col("url_key").alias("url"), "importance", "inlinks", "depth"
     )
@@ -158,7 +158,7 @@ def q_g4_importance(spark, sf):
 
 def q_g6_scan_audit(spark, sf):
     """Per scanned page: depth, links found, in-link score at scan time."""
-    scan = full_pipeline(spark, sf).discovery.scan
+    scan = full_run(spark, sf).discovery.scan
     return linkgraph.page_scan_audit(scan).select(
         F.col("site").alias("run_id"), F.col("url_key").alias("url"), "depth", "links_found", "inlink_score"
     )
@@ -166,19 +166,19 @@ def q_g6_scan_audit(spark, sf):
 
 def q_g7_scan_summary(spark, sf):
     """Pages scanned and unique link targets per scanned site."""
-    scan = full_pipeline(spark, sf).discovery.scan
+    scan = full_run(spark, sf).discovery.scan
     return linkgraph.scan_summary(scan).withColumnRenamed("site", "run_id")
 
 
 def q_e7_outcomes(spark, sf):
     """Extraction outcome per discovered URL."""
-    o = full_pipeline(spark, sf).stages.outcomes
+    o = full_run(spark, sf).stages.outcomes
     return o.select("run_id", "url", "outcome", "reason", F.col("outcome_status").alias("status_code"))
 
 
 def q_e8_pages(spark, sf):
     """Page records with provenance and confidence."""
-    p = full_pipeline(spark, sf).stages.pages
+    p = full_run(spark, sf).stages.pages
     return p.select(
         "run_id", "url", "title", "description",
         F.col("provenance.discovery").alias("discovery"),
@@ -191,25 +191,25 @@ def q_e8_pages(spark, sf):
 
 def q_e10_validators(spark, sf):
     """Validators taken from the responses of extracted pages."""
-    st = full_pipeline(spark, sf).stages
+    st = full_run(spark, sf).stages
     v = st.outcomes.filter(F.col("outcome") == "extracted")
     return v.select("run_id", "url", "etag", "last_modified")
 
 
 def q_c1_canonical_pages(spark, sf):
     """One page per canonical URL (best confidence, first on ties)."""
-    c = full_pipeline(spark, sf).stages.canonical_pages
+    c = full_run(spark, sf).stages.canonical_pages
     return c.select("run_id", "url", "title", F.col("ord.tier").alias("tier"), _key_text().alias("ord_key"))
 
 
 def q_c3_scores(spark, sf):
     """Coverage / confidence / redundancy / total per site."""
-    return full_pipeline(spark, sf).stages.scores
+    return full_run(spark, sf).stages.scores
 
 
 def q_c4_sections(spark, sf):
     """C4: sections per site with their order and entry counts."""
-    st = full_pipeline(spark, sf)
+    st = full_run(spark, sf)
     sites, _caps = crawl_inputs_cached(spark, sf)
     e = document.sectioned_entries(st.stages.canonical_pages, sites)
     agg = e.groupBy("run_id", "section").agg(F.min("sec_ord").alias("sec_ord"), F.count(F.lit(1)).cast("long").alias("entries"))
@@ -219,7 +219,7 @@ def q_c4_sections(spark, sf):
 
 def q_c6_site_meta(spark, sf):
     """Site title / description from the home page, page and link counts."""
-    st = full_pipeline(spark, sf)
+    st = full_run(spark, sf)
     sites, _caps = crawl_inputs_cached(spark, sf)
     counts = st.discovery.discovered.groupBy("run_id").agg(F.count(F.lit(1)).cast("long").alias("links_discovered"))
     return document.site_meta(st.stages.canonical_pages, sites, counts).drop("hostname")
@@ -227,17 +227,17 @@ def q_c6_site_meta(spark, sf):
 
 def q_c7_artifact_stats(spark, sf):
     """Bytes, entries, lines and words of each document."""
-    return document.artifact_stats(full_pipeline(spark, sf).stages.artifacts)
+    return document.artifact_stats(full_run(spark, sf).stages.artifacts)
 
 
 def q_l7_discovery_milestone(spark, sf):
     """URLs discovered and sources used per run."""
-    return discovery_milestones(full_pipeline(spark, sf).discovery.discovered)
+    return discovery_milestones(full_run(spark, sf).discovery.discovered)
 
 
 def q_l8_extraction_milestone(spark, sf):
     """Pages extracted and skipped per run."""
-    o = full_pipeline(spark, sf).stages.outcomes
+    o = full_run(spark, sf).stages.outcomes
     return o.groupBy("run_id").agg(
         F.sum(F.when(F.col("outcome") == "extracted", 1).otherwise(0)).cast("long").alias("pages_extracted"),
         F.sum(F.when(F.col("outcome") == "extracted", 0).otherwise(1)).cast("long").alias("pages_skipped"),
@@ -246,7 +246,7 @@ def q_l8_extraction_milestone(spark, sf):
 
 def q_l9_generation_milestone(spark, sf):
     """Document bytes, entry count and pages indexed per run."""
-    a = full_pipeline(spark, sf).stages.artifacts
+    a = full_run(spark, sf).stages.artifacts
     return a.select("run_id", F.col("size_bytes").alias("llmstxt_size_bytes"), "entry_count",
                     F.col("entry_count").alias("total_pages_indexed"))
 
@@ -261,7 +261,7 @@ def crawl_inputs_cached(spark, sf):
     return _INPUT_CACHE[key]
 
 
-PIPELINE_QUERIES = {
+STAGE_QUERIES = {
     "d1_llms_links": q_d1_llms_links,
     "d2_robots_hints": q_d2_robots_hints,
     "d4_sitemap_urls": q_d4_sitemap_urls,
@@ -312,13 +312,13 @@ def _as_long(fn: Query) -> Query:
 _CASCADE_CACHE: dict = {}
 
 
-def cascade_result(spark: SparkSession, sf: str) -> pipeline.PipelineResult:
+def cascade_result(spark: SparkSession, sf: str) -> jobs.StageResult:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _CASCADE_CACHE:
         prepare_session(spark)
         sites = materialize(fx.cascade_sites(spark, sf), "cascade-sites")
         caps = materialize(fx.cascade_captures(spark, sf), "cascade-captures")
-        _CASCADE_CACHE[key] = pipeline.index_captured_pages(sites, caps, PipelineParams())
+        _CASCADE_CACHE[key] = jobs.index_captured_pages(sites, caps, PipelineParams())
     return _CASCADE_CACHE[key]
 
 
@@ -360,7 +360,7 @@ def q_e11_page_events(spark, sf):
 _CAPTURED_CACHE: dict = {}
 
 
-def captured_result(spark: SparkSession, sf: str) -> pipeline.PipelineResult:
+def captured_result(spark: SparkSession, sf: str) -> jobs.StageResult:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _CAPTURED_CACHE:
         _CAPTURED_CACHE[key] = _captured(spark, sf)
@@ -439,7 +439,7 @@ def q_p9_normalized_links(spark, sf):
 
 def q_p10_home_pages(spark, sf):
     """P10: home-page test of every canonical page of the pipeline."""
-    st = full_pipeline(spark, sf)
+    st = full_run(spark, sf)
     sites, _ = crawl_inputs_cached(spark, sf)
     c = st.stages.canonical_pages.join(sites.select("run_id", "hostname"), "run_id")
     return c.select("run_id", "url", U.is_home("url", "hostname").alias("is_home"))
@@ -460,7 +460,7 @@ def q_p12_content_types(spark, sf):
 
 def q_p13_entry_titles(spark, sf):
     """Entry title falls back to the URL."""
-    c = full_pipeline(spark, sf).stages.canonical_pages
+    c = full_run(spark, sf).stages.canonical_pages
     return c.select("run_id", "url", F.coalesce(F.expr("nullif(title, '')"), F.col("url")).alias("entry_title"))
 
 
@@ -767,7 +767,7 @@ STREAM_QUERIES = {
 
 def q_s2_fetch(spark, sf):
     """Every discovered URL joined to its latest capture (404 if none)."""
-    st = full_pipeline(spark, sf)
+    st = full_run(spark, sf)
     _sites, caps = crawl_inputs_cached(spark, sf)
     from sitelens.operators import extract
 
@@ -892,7 +892,7 @@ def q_s10_event_log(spark, sf):
 def q_s11_read_pages(spark, sf):
     """Canonical pages written partitioned by run_id and read back
     with their provenance / confidence structs decoded."""
-    st = full_pipeline(spark, sf)
+    st = full_run(spark, sf)
     path = monitor.scratch(spark, "pages-table")
     store.write_table(st.stages.pages.drop("url_key"), path, ["run_id"])
     p = spark.read.parquet(path)
@@ -954,12 +954,12 @@ STORE_QUERIES = {
 
 def q_x1_url_clusters(spark, sf):
     """Raw URL -> canonical URL, cluster id and size."""
-    return canonical.url_clusters(full_pipeline(spark, sf).stages.pages)
+    return canonical.url_clusters(full_run(spark, sf).stages.pages)
 
 
 def q_x1_dedup_summary(spark, sf):
     """Raw vs canonical pages, dedup ratio and conflicting clusters."""
-    return canonical.dedup_summary(full_pipeline(spark, sf).stages.pages)
+    return canonical.dedup_summary(full_run(spark, sf).stages.pages)
 
 
 def q_x2_link_audit(spark, sf):
@@ -970,7 +970,7 @@ def q_x2_link_audit(spark, sf):
 
 def q_x3_robots_allowed(spark, sf):
     """Discovered URLs checked against each site's robots.txt rules."""
-    st = full_pipeline(spark, sf)
+    st = full_run(spark, sf)
     sites, caps = crawl_inputs_cached(spark, sf)
     from sitelens.operators import extract
 
@@ -982,30 +982,30 @@ def q_x3_robots_allowed(spark, sf):
 
 def q_x4_strategy_rates(spark, sf):
     """Attempts, successes and success rate per strategy."""
-    return insights.strategy_rates(full_pipeline(spark, sf).discovery.strategy_log)
+    return insights.strategy_rates(full_run(spark, sf).discovery.strategy_log)
 
 
 def q_x5_strategy_ranking(spark, sf):
     """Per-host strategy preference from past success."""
     sites, _ = crawl_inputs_cached(spark, sf)
-    return insights.strategy_ranking(full_pipeline(spark, sf).discovery.strategy_log, sites)
+    return insights.strategy_ranking(full_run(spark, sf).discovery.strategy_log, sites)
 
 
 def q_x6_completeness(spark, sf):
     """Field completeness and low-score review flag per run."""
-    st = full_pipeline(spark, sf).stages
+    st = full_run(spark, sf).stages
     return canonical.completeness(st.pages, st.scores)
 
 
 def q_x7_conditional_savings(spark, sf):
     """Not-modified hit rate and bytes fetched per run."""
     _sites, caps = crawl_inputs_cached(spark, sf)
-    return insights.conditional_savings(full_pipeline(spark, sf).stages.outcomes, caps)
+    return insights.conditional_savings(full_run(spark, sf).stages.outcomes, caps)
 
 
 def q_x8_hierarchical_sections(spark, sf):
     """Two-level section paths folded up when small."""
-    return insights.hierarchical_sections(full_pipeline(spark, sf).stages.canonical_pages)
+    return insights.hierarchical_sections(full_run(spark, sf).stages.canonical_pages)
 
 
 def q_x9_markdown_pages(spark, sf):
@@ -1018,7 +1018,7 @@ def q_x9_markdown_pages(spark, sf):
 
 def q_x10_document_diff(spark, sf):
     """Entries of the published llms.txt versus the generated one."""
-    st = full_pipeline(spark, sf)
+    st = full_run(spark, sf)
     sites, _ = crawl_inputs_cached(spark, sf)
     c = st.discovery.candidates.filter(F.col("source") == "llms")
     published = c.filter(U.valid_http_url("raw_url")).select("run_id", U.normalize_http_url("raw_url").alias("url"))
@@ -1039,7 +1039,7 @@ def q_x12_stale_runs(spark, sf):
 
 def q_x13_fresh_importance(spark, sf):
     """Scan in-links weighted by the age of the page's Last-Modified."""
-    st = full_pipeline(spark, sf)
+    st = full_run(spark, sf)
     _sites, caps = crawl_inputs_cached(spark, sf)
     from sitelens.operators import extract
 
@@ -1050,7 +1050,7 @@ def q_x13_fresh_importance(spark, sf):
 
 def q_x14_politeness_plan(spark, sf):
     """Per-host fetch offsets (10 ms apart) in discovery order."""
-    return insights.politeness_plan(full_pipeline(spark, sf).discovery.discovered)
+    return insights.politeness_plan(full_run(spark, sf).discovery.discovered)
 
 
 INSIGHT_QUERIES = {
@@ -1080,8 +1080,8 @@ def _registry() -> dict[str, Query]:
     return {
         "site_index_captured": q_site_index_captured,
         "site_scores_captured": q_site_scores_captured,
-        "site_index_pipeline": q_site_index_pipeline,
-        **PIPELINE_QUERIES,
+        "site_index_tiered": q_site_index_tiered,
+        **STAGE_QUERIES,
         **SCALAR_QUERIES,
         **AUDIT_QUERIES,
         **STREAM_QUERIES,

@@ -3,7 +3,7 @@
 ``index_captured_pages``: every captured page of a site is a candidate
 (no discovery), then extraction -> canonical pages -> scores -> documents.
 
-``run_pipeline``: the full five stages with tiered discovery
+``run_all_stages``: the full five stages with tiered discovery
 (llms.txt, robots hints, sitemaps, bounded link-graph scan).
 """
 
@@ -22,7 +22,7 @@ from sitelens.sources.fixtures import host_of
 
 
 @dataclass
-class PipelineResult:
+class StageResult:
     discovered: DataFrame
     outcomes: DataFrame
     pages: DataFrame
@@ -56,7 +56,7 @@ def finish_sites(
     validators: DataFrame | None = None,
     index: DataFrame | None = None,
     signals: DataFrame | None = None,
-) -> PipelineResult:
+) -> StageResult:
     """Extraction, canonicalization, scoring and generation for all sites."""
     # Stage boundaries are written once (small rows, no bodies): the HTML
     # pass and every join behind a stage output run a single time even
@@ -74,7 +74,7 @@ def finish_sites(
     scores = canonical.score_pages(scoring_input, sites, url_col="canonical")
     counts = discovered.groupBy("run_id").agg(F.count(F.lit(1)).cast("long").alias("links_discovered"))
     artifacts = document.render_documents(canon, sites, counts, params.generated_at)
-    return PipelineResult(
+    return StageResult(
         discovered=discovered,
         outcomes=outcomes,
         pages=pages,
@@ -89,7 +89,7 @@ def finish_sites(
 
 def index_captured_pages(
     sites: DataFrame, captures: DataFrame, params: PipelineParams | None = None
-) -> PipelineResult:
+) -> StageResult:
     params = params or PipelineParams()
     return finish_sites(sites, captured_candidates(sites, captures), captures, params)
 
@@ -97,10 +97,10 @@ def index_captured_pages(
 @dataclass
 class FullResult:
     discovery: object
-    stages: PipelineResult
+    stages: StageResult
 
 
-def run_pipeline(
+def run_all_stages(
     sites: DataFrame,
     captures: DataFrame,
     params: PipelineParams | None = None,

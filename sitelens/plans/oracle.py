@@ -428,26 +428,26 @@ pipe_links AS (SELECT run_id, count(*) AS links FROM discovered GROUP BY run_id)
 """
 
 
-def _pipeline_ctes() -> str:
+def _tiered_ctes() -> str:
     return _LINKS + _bfs_levels() + "," + _CANDIDATES
 
 
-def _oracle_site_index_pipeline() -> str:
-    return _with(_pipeline_ctes(), _document_sql("canon_pages", "pipe_links")) + _documents_select()
+def _oracle_site_index_tiered() -> str:
+    return _with(_tiered_ctes(), _document_sql("canon_pages", "pipe_links")) + _documents_select()
 
 
 
 def _pipe(select_sql: str) -> str:
-    return _with(_pipeline_ctes()) + "\n" + select_sql
+    return _with(_tiered_ctes()) + "\n" + select_sql
 
 
 def _pipe2(extra: str, select_sql: str) -> str:
-    return _with(_pipeline_ctes(), extra) + "\n" + select_sql
+    return _with(_tiered_ctes(), extra) + "\n" + select_sql
 
 
 _HOST_RE = "'^[^:/?#]+://([^/?#]*)'"
 
-PIPELINE_ORACLES = {
+STAGE_ORACLES = {
     "d1_llms_links": _pipe(f"""
 SELECT s.run_id,
        CASE WHEN p.i % 2 = 1 THEN p.url_nf ELSE 'https://' || p.host || regexp_replace(p.url_nf, {_HOST_RE}, '') END AS raw_url,
@@ -1087,8 +1087,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "site_index_captured": _oracle_site_index_captured(),
         "site_scores_captured": _oracle_scores_captured(),
-        "site_index_pipeline": _oracle_site_index_pipeline(),
-        **PIPELINE_ORACLES,
+        "site_index_tiered": _oracle_site_index_tiered(),
+        **STAGE_ORACLES,
         **SCALAR_ORACLES,
         **AUDIT_ORACLES,
         **STREAM_ORACLES,
