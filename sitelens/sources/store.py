@@ -43,9 +43,18 @@ def accept_targets(submissions: DataFrame, created_at: str = "2024-01-01 00:00:0
 
 
 def latest_by_key(rows: DataFrame, key: list[str], order_col: str) -> DataFrame:
-    """Latest row per key (the read side of an upsert log)."""
-    w = Window.partitionBy(*key).orderBy(F.col(order_col).desc())
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """Latest row per key (the read side of an upsert log).
+
+    A ``max_by`` aggregate rather than a ranked window: versions of a hot
+    key are combined map-side before the shuffle.  Ties on ``order_col``
+    are broken by the rest of the row, so the result is deterministic.
+    """
+    others = [c for c in rows.columns if c not in key]
+    atomic = ("string", "integer", "long", "short", "byte", "double", "float", "boolean", "timestamp", "timestamp_ntz", "date")
+    ties = [f.name for f in rows.schema.fields if f.name in others and f.name != order_col and f.dataType.typeName() in atomic]
+    order = F.struct(F.col(order_col), *[F.col(c) for c in ties])
+    agg = rows.groupBy(*key).agg(F.max_by(F.struct(*others), order).alias("_r"))
+    return agg.select(*key, *[F.col("_r")[c].alias(c) for c in others]).select(*rows.columns)
 
 
 def upsert(existing: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
