@@ -42,6 +42,16 @@ SIGNALS_FIELDS = [
 ]
 
 _LD_TYPE = "application/ld+json"
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+def _string_of(children: list) -> str | None:
+    """BeautifulSoup's ``.string``: the only child's text, looking through
+    a chain of single-child tags; None when there are several children."""
+    if len(children) != 1:
+        return None
+    only = children[0]
+    return only if isinstance(only, str) else _string_of(only)
 
 
 class _SignalParser(HTMLParser):
@@ -51,8 +61,8 @@ class _SignalParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.head_state = 0  # 0 before <head>, 1 inside, 2 after
         self.titles: list[tuple[bool, str | None]] = []  # (in_head, string)
-        self._title: list[str] | None = None
-        self._title_nested = False
+        self._title: list | None = None  # children of the open <title>
+        self._title_stack: list[tuple[str, list]] = []
         self._title_in_head = False
         self.metas: list[tuple[bool, dict[str, str]]] = []
         self.scripts: list[tuple[bool, str]] = []
@@ -67,12 +77,15 @@ class _SignalParser(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: ("" if v is None else v) for k, v in attrs}
         if self._title is not None and tag != "title":
-            self._title_nested = True
+            node: list = []
+            self._title_stack[-1][1].append(node)
+            if tag not in _VOID:
+                self._title_stack.append((tag, node))
         if tag == "head" and self.head_state == 0:
             self.head_state = 1
         elif tag == "title" and self._title is None:
             self._title = []
-            self._title_nested = False
+            self._title_stack = [("title", self._title)]
             self._title_in_head = self._in_head
         elif tag == "meta":
             self.metas.append((self._in_head, a))
@@ -88,6 +101,13 @@ class _SignalParser(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if self._title is not None and tag != "title":
+            names = [t for t, _ in self._title_stack]
+            if tag in names[1:]:
+                while self._title_stack[-1][0] != tag:
+                    self._title_stack.pop()
+                self._title_stack.pop()
+            return
         if tag == "title" and self._title is not None:
             self._close_title()
         elif tag == "script" and self._script is not None:
@@ -98,15 +118,22 @@ class _SignalParser(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self._title is not None:
-            self._title.append(data)
+            kids = self._title_stack[-1][1]
+            if kids and isinstance(kids[-1], str):
+                kids[-1] += data  # one text node, as a tree builder keeps it
+            else:
+                kids.append(data)
         if self._script is not None:
             self._script.append(data)
 
+    def handle_comment(self, data: str) -> None:
+        if self._title is not None:
+            self._title_stack[-1][1].append(data)
+
     def _close_title(self) -> None:
-        text = "".join(self._title or [])
-        string = None if (self._title_nested or text == "") else text
-        self.titles.append((self._title_in_head, string))
+        self.titles.append((self._title_in_head, _string_of(self._title or [])))
         self._title = None
+        self._title_stack = []
 
     def finish(self) -> None:
         self.close()

@@ -59,7 +59,9 @@ def test_no_head_uses_whole_document_and_nested_title():
     s = parse_signals("<title>T</title><p>x</p>", "https://e.com/")
     assert s["has_head"] is False and s["title"] == "T"
     s = parse_signals("<head><title>A <b>B</b></title></head>", "https://e.com/")
-    assert s["title"] is None
+    assert s["title"] is None  # two children: no single string
+    s = parse_signals("<head><title><b><i> Deep </i></b></title></head>", "https://e.com/")
+    assert s["title"] == "Deep"  # a chain of single-child tags has a string
     s = parse_signals("<head><title>&amp; &quot;q&quot;</title></head>", "https://e.com/")
     assert s["title"] == '& "q"'
 
