@@ -86,3 +86,26 @@ def test_document_without_pages(spark):
     doc = document.render_documents(p, sites).first().llms_txt
     assert doc.startswith("# example.com\n") and "sections: various topics." in doc
     assert "**Pages crawled**: 0" in doc and doc.endswith("**Links discovered**: 0\n")
+
+
+def test_distributed_lines_equal_rendered_text(spark, tmp_path):
+    sites = spark.createDataFrame([("r", "https://example.com", "example.com"), ("q", "https://q.org", "q.org")], SITES)
+    p = _pages(
+        spark,
+        [
+            ("r", "https://example.com/", "Example Site", "About it", 1.0, 1.0, 0),
+            ("r", "https://example.com/pages/b", "B", None, 1.0, 0.0, 1),
+            ("r", "https://example.com/pages/a", "A", "first", 1.0, 1.0, 2),
+            ("r", "https://example.com/docs/x", "X", None, 1.0, 0.0, 3),
+            ("q", "https://q.org/z", "Z", None, 1.0, 0.0, 0),
+        ],
+    )
+    docs = {r.run_id: r.llms_txt for r in document.render_documents(p, sites).collect()}
+    lines = document.document_lines(p, sites).orderBy("run_id", "k1", "k2", "k3").collect()
+    for run in ("r", "q"):
+        text = "\n".join(x.line for x in lines if x.run_id == run).strip() + "\n"
+        assert text == docs[run]
+    out = str(tmp_path / "docs")
+    document.write_documents(document.document_lines(p, sites), out)
+    written = spark.read.text(out).filter("run_id = 'q'").count()
+    assert written >= 3
