@@ -12,10 +12,10 @@ The scan of every site runs at once, one round per depth level (at most
 
 The BFS rank reproduces FIFO order exactly: a level is visited in rank
 order and a new URL is enqueued by the first visited page (lowest rank)
-that links to it, in that page's link order.  ``seen`` is checkpointed to
-the session's reliable checkpoint folder each round, so lineage stays
-short and a lost executor recomputes one round at most (``materialize``
-writes Parquet there once per round).
+that links to it, in that page's link order.  Each round's frontier and
+edges are written once to the session's reliable checkpoint folder
+(``materialize``): lineage stays short, ``seen`` is a union of those
+files, and a lost executor recomputes one round at most.
 """
 
 from __future__ import annotations
@@ -101,6 +101,8 @@ def bfs_scan(
         fr = frontier.join(status, "url_key", "left").withColumn("expanded", F.coalesce(expands, F.lit(False)))
         expanded_parts.append(fr.select("site", "url_key", "expanded"))
         exp = fr.filter("expanded").select("site", "url_key", F.col("rank").alias("src_rank")).join(hosts, "site")
+        # Edges are persisted too: the new-URL step of this round and the
+        # in-link / audit queries afterwards all read them.
         edges = materialize(filtered_links(exp, signals, b.extension_set).drop("hostname"), "bfs-edges")
         edge_parts.append(edges)
         if depth == b.max_depth:
