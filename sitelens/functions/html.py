@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -45,6 +46,21 @@ _LD_TYPE = "application/ld+json"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+def _charref(name: str) -> str:
+    """Numeric character reference; the 0x80-0x9F range is read as
+    windows-1252, as browsers do."""
+    try:
+        n = int(name[1:], 16) if name[:1] in ("x", "X") else int(name)
+    except ValueError:
+        return "&#" + name
+    if 0x80 <= n <= 0x9F:
+        return bytes([n]).decode("cp1252", errors="replace")
+    try:
+        return chr(n)
+    except (ValueError, OverflowError):
+        return "\ufffd"
+
+
 def _string_of(children: list) -> str | None:
     """BeautifulSoup's ``.string``: the only child's text, looking through
     a chain of single-child tags; None when there are several children."""
@@ -58,7 +74,9 @@ class _SignalParser(HTMLParser):
     """Collects title, meta tags, JSON-LD scripts and anchors in one pass."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        # References are decoded only where text is kept (inside <title>);
+        # attribute values are always unescaped by the tokenizer.
+        super().__init__(convert_charrefs=False)
         self.head_state = 0  # 0 before <head>, 1 inside, 2 after
         self.titles: list[tuple[bool, str | None]] = []  # (in_head, string)
         self._title: list | None = None  # children of the open <title>
@@ -126,6 +144,15 @@ class _SignalParser(HTMLParser):
         if self._script is not None:
             self._script.append(data)
 
+    def handle_entityref(self, name: str) -> None:
+        if self._title is not None:
+            cp = name2codepoint.get(name)
+            self.handle_data(chr(cp) if cp is not None else "&" + name)
+
+    def handle_charref(self, name: str) -> None:
+        if self._title is not None:
+            self.handle_data(_charref(name))
+
     def handle_comment(self, data: str) -> None:
         if self._title is not None:
             self._title_stack[-1][1].append(data)
