@@ -27,8 +27,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _captured(spark: SparkSession, sf: str) -> jobs.StageResult:
+    """Captured-pages run; the derived captures are written once (they are
+    read by the capture index and by the HTML pass)."""
     prepare_session(spark)
-    return jobs.index_captured_pages(fx.sites(spark, sf), fx.page_captures(spark, sf), PipelineParams())
+    caps = materialize(fx.page_captures(spark, sf), "page-captures")
+    return jobs.index_captured_pages(fx.sites(spark, sf), caps, PipelineParams())
 
 
 def q_site_index_captured(spark: SparkSession, sf: str) -> DataFrame:
