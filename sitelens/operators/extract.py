@@ -86,7 +86,7 @@ def _cascade(values: list[Column], tiers) -> Column:
     return F.get(F.filter(cands, lambda x: x["v"].isNotNull() & (x["v"] != "")), 0)
 
 
-def title_choice(sig: DataFrame | None = None) -> Column:
+def title_choice() -> Column:
     """struct(v, src, conf) of the first non-empty title signal."""
     metas = F.col("metas")
     return _cascade(

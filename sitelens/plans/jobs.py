@@ -15,10 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.config import PipelineParams
-from sitelens.functions.urls import canonical_url
+from sitelens.functions.urls import canonical_url, url_netloc
 from sitelens.operators import canonical, document, extract
 from sitelens.session import ensure_checkpoint_dir, materialize
-from sitelens.sources.fixtures import host_of
 
 
 @dataclass
@@ -38,7 +37,7 @@ def captured_candidates(sites: DataFrame, captures: DataFrame) -> DataFrame:
     """Candidates of ``index_captured_pages``: captured HTML pages of each
     site's host, in capture order."""
     c = captures.filter(F.lower(F.col("headers")["content-type"]).contains("text/html")).select(
-        host_of("url").alias("hostname"), "url", "fetched_at"
+        url_netloc("url").alias("hostname"), "url", "fetched_at"
     )
     return c.join(sites.select("run_id", "hostname"), "hostname").select(
         "run_id",

@@ -8,6 +8,7 @@ checkpoint directory that the cluster already names.
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import time
 import zipfile
@@ -135,6 +136,6 @@ def materialize(df, name: str = "stage"):
     path = f"{root.rstrip('/')}/sitelens/{name}-{uuid.uuid4().hex}"
     t0 = time.time()
     df.write.mode("overwrite").parquet(path)
-    if os.environ.get("SITELENS_TRACE"):
-        print(f"[materialize] {name}: {time.time() - t0:.2f}s", flush=True)
+    if os.environ.get("SITELENS_TRACE"):  # stage timing on stderr, opt-in
+        sys.stderr.write(f"[materialize] {name}: {time.time() - t0:.2f}s\n")
     return spark.read.parquet(path)
