@@ -128,8 +128,12 @@ def document_lines(
     discovered_counts: DataFrame | None = None,
     generated_at: str = "2024-01-31 00:00:00",
 ) -> DataFrame:
-    """C5 in distributed form: (run_id, k1, k2, k3, line) sorted by the keys
-    gives the document without collecting a site into one row."""
+    """C5 in distributed form: rows (run_id, k0, k1, k2, k3, line); sorted by
+    the keys they give the document without collecting a site into one row.
+
+    k0: 0 header, 1 body; k1: section order (the pages' ``ord`` type);
+    k2: 0 section heading, 1 entry; k3: entry URL.
+    """
     entries = sectioned_entries(pages, sites)
     sec = entries.groupBy("run_id", "section", "sec_ord").agg(F.lit(1).alias("_"))
     names = sec.groupBy("run_id").agg(
@@ -137,18 +141,29 @@ def document_lines(
             F.transform(F.array_sort(F.collect_list(F.struct("sec_ord", "section"))), lambda b: b["section"]), ", "
         ).alias("section_list")
     )
+    ord_type = entries.schema["sec_ord"].dataType
     meta = site_meta(pages, sites, discovered_counts).join(names, "run_id", "left")
-    head = meta.select("run_id", F.lit(-1).cast("long").alias("k1"), F.lit("").alias("k2"), F.lit(0).alias("k3"), _header(generated_at).alias("line"))
-    heads = sec.select("run_id", F.col("sec_ord").cast("long").alias("k1"), F.lit("").alias("k2"), F.lit(0).alias("k3"), F.concat(F.lit("\n## "), "section", F.lit("\n")).alias("line"))
-    body = entries.select("run_id", F.col("sec_ord").cast("long").alias("k1"), "url", F.lit(1).alias("k3"), "line").withColumnRenamed("url", "k2")
+    head = meta.select(
+        "run_id", F.lit(0).alias("k0"), F.lit(None).cast(ord_type).alias("k1"), F.lit(0).alias("k2"),
+        F.lit("").alias("k3"), _header(generated_at).alias("line"),
+    )
+    heads = sec.select(
+        "run_id", F.lit(1).alias("k0"), F.col("sec_ord").alias("k1"), F.lit(0).alias("k2"), F.lit("").alias("k3"),
+        F.concat(F.lit("\n## "), "section", F.lit("\n")).alias("line"),
+    )
+    body = entries.select(
+        "run_id", F.lit(1).alias("k0"), F.col("sec_ord").alias("k1"), F.lit(1).alias("k2"), F.col("url").alias("k3"), "line"
+    )
     return head.unionByName(heads).unionByName(body)
 
 
 def write_documents(lines: DataFrame, path: str) -> None:
-    """Text sink: one folder per run, lines in document order."""
+    """Text sink: one folder per run, lines in document order (range
+    partitioned, so a very large site spans several tasks and files)."""
+    keys = ["run_id", "k0", "k1", "k2", "k3"]
     (
-        lines.repartitionByRange("run_id", "k1", "k2", "k3")
-        .sortWithinPartitions("run_id", "k1", "k2", "k3")
+        lines.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
         .select("run_id", "line")
         .write.mode("overwrite")
         .partitionBy("run_id")

@@ -101,7 +101,7 @@ def test_distributed_lines_equal_rendered_text(spark, tmp_path):
         ],
     )
     docs = {r.run_id: r.llms_txt for r in document.render_documents(p, sites).collect()}
-    lines = document.document_lines(p, sites).orderBy("run_id", "k1", "k2", "k3").collect()
+    lines = document.document_lines(p, sites).orderBy("run_id", "k0", "k1", "k2", "k3").collect()
     for run in ("r", "q"):
         text = "\n".join(x.line for x in lines if x.run_id == run).strip() + "\n"
         assert text == docs[run]
