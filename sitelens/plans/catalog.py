@@ -145,6 +145,21 @@ def q_g2_bfs_visited(spark, sf):
     return v.select(F.col("site").alias("run_id"), F.col("url_key").alias("url"), "depth", F.col("rank").alias("bfs_rank"), "expanded")
 
 
+def q_g2_bfs_budget(spark, sf):
+    """G2 with a binding page budget (10): the scan of every spider site
+    stops after its first ten URLs in FIFO order, failures included."""
+    from sitelens.config import SpiderBounds
+
+    run = full_run(spark, sf)
+    sites, _caps = crawl_inputs_cached(spark, sf)
+    spider_runs = run.discovery.strategy_log.filter(F.col("strategy") == "spider").select("run_id")
+    seeds = sites.join(spider_runs, "run_id", "left_semi").select(
+        F.col("run_id").alias("site"), "hostname", F.col("target_url").alias("seed_url")
+    )
+    scan = linkgraph.bfs_scan(seeds, run.index, run.stages.signals, SpiderBounds(max_depth=3, max_scan_pages=10))
+    return scan.visited.select(F.col("site").alias("run_id"), F.col("url_key").alias("url"), "depth", F.col("rank").alias("bfs_rank"))
+
+
 def q_g3_inlinks(spark, sf):
     """In-link counts of visited URLs."""
     scan = full_run(spark, sf).discovery.scan
@@ -274,6 +289,7 @@ STAGE_QUERIES = {
     "d10_strategy_log": q_d10_strategy_log,
     "g1_page_links": q_g1_page_links,
     "g2_bfs_visited": q_g2_bfs_visited,
+    "g2_bfs_budget": q_g2_bfs_budget,
     "g3_inlinks": q_g3_inlinks,
     "g4_importance": q_g4_importance,
     "g6_scan_audit": q_g6_scan_audit,

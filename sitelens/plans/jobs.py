@@ -97,6 +97,7 @@ def index_captured_pages(
 class FullResult:
     discovery: object
     stages: StageResult
+    index: DataFrame
 
 
 def run_all_stages(
@@ -117,4 +118,4 @@ def run_all_stages(
     signals = materialize(extract.page_signals(captures, index), "signals")
     disc = discovery_mod.discover(sites, captures, index, signals, params.spider, params.sitemap_max_depth)
     stages = finish_sites(sites, disc.discovered, captures, params, validators, index=index, signals=signals)
-    return FullResult(discovery=disc, stages=stages)
+    return FullResult(discovery=disc, stages=stages, index=index)

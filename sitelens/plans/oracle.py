@@ -496,6 +496,8 @@ FROM bfs_edges"""),
 SELECT v.run_id, v.u AS url, CAST(v.depth AS BIGINT) AS depth, CAST(v.rnk AS BIGINT) AS bfs_rank,
        coalesce(s.status = 200, false) AS expanded
 FROM bfs_visited v LEFT JOIN expand_status s ON s.url_key = v.u"""),
+    "g2_bfs_budget": _with(_LINKS + _bfs_levels(3, 10)) + """
+SELECT run_id, u AS url, CAST(depth AS BIGINT) AS depth, CAST(rnk AS BIGINT) AS bfs_rank FROM bfs_visited""",
     "g3_inlinks": _pipe("""
 SELECT run_id, u AS url, CAST(inlinks AS BIGINT) AS inlinks FROM bfs_ranked"""),
     "g4_importance": _pipe("""
