@@ -194,6 +194,16 @@ def q_e7_outcomes(spark, sf):
     return o.select("run_id", "url", "outcome", "reason", F.col("outcome_status").alias("status_code"))
 
 
+def q_e6_incremental_outcomes(spark, sf):
+    """Incremental extraction; a stored validator equal to the
+    capture's ETag answers not-modified without parsing the page."""
+    from sitelens.operators import extract
+
+    run = full_run(spark, sf)
+    o = extract.extraction_outcomes(run.discovery.discovered, run.index, fx.validators(spark, sf), incremental=True)
+    return o.select("run_id", "url", "outcome", "reason", F.col("outcome_status").alias("status_code"))
+
+
 def q_e8_pages(spark, sf):
     """Page records with provenance and confidence."""
     p = full_run(spark, sf).stages.pages
@@ -294,6 +304,7 @@ STAGE_QUERIES = {
     "g4_importance": q_g4_importance,
     "g6_scan_audit": q_g6_scan_audit,
     "g7_scan_summary": q_g7_scan_summary,
+    "e6_incremental_outcomes": q_e6_incremental_outcomes,
     "e7_outcomes": q_e7_outcomes,
     "e8_pages": q_e8_pages,
     "e10_validators": q_e10_validators,

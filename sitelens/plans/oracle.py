@@ -520,6 +520,15 @@ SELECT d.run_id, d.url,
        CASE WHEN c.status = 304 THEN 'not_modified' WHEN coalesce(c.status, 404) <> 200 THEN 'http_error' END AS reason,
        CAST(coalesce(c.status, 404) AS BIGINT) AS status_code
 FROM discovered d LEFT JOIN pipe_caps c ON c.url_key = d.url"""),
+    "e6_incremental_outcomes": _pipe2("""
+lp AS (SELECT * FROM site_pages WHERE page_id IN (SELECT max(page_id) FROM site_pages GROUP BY url_nf)),
+vals AS (SELECT url_nf AS url, page_id % 3 = 0 AS same FROM lp WHERE page_id % 3 <> 2)""", """
+SELECT d.run_id, d.url,
+       CASE WHEN coalesce(v.same, false) OR coalesce(c.status, 404) <> 200 THEN 'skipped' ELSE 'extracted' END AS outcome,
+       CASE WHEN coalesce(v.same, false) OR c.status = 304 THEN 'not_modified'
+            WHEN coalesce(c.status, 404) <> 200 THEN 'http_error' END AS reason,
+       CAST(CASE WHEN coalesce(v.same, false) OR c.status = 304 THEN 304 ELSE coalesce(c.status, 404) END AS BIGINT) AS status_code
+FROM discovered d LEFT JOIN pipe_caps c ON c.url_key = d.url LEFT JOIN vals v ON v.url = d.url"""),
     "e8_pages": _pipe("""
 SELECT run_id, url, title, CAST(NULL AS VARCHAR) AS description, d.provenance AS discovery,
        CASE WHEN coalesce(title, '') <> '' THEN 'title' ELSE 'none' END AS title_source,
