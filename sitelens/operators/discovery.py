@@ -23,7 +23,7 @@ from sitelens.config import SITEMAP_NS, SpiderBounds
 from sitelens.functions.text import py_strip, split_lines
 from sitelens.functions.urls import normalize_http_url, resolve_url, url_scheme, valid_http_url
 from sitelens.operators import linkgraph
-from sitelens.operators.extract import url_key
+from sitelens.operators.extract import capture_index, url_key
 from sitelens.session import materialize
 
 LLMS_LINK = r"\[[^\]]+\]\(([^\)]+)\)"
@@ -245,10 +245,21 @@ def discover(
     signals: DataFrame,
     bounds: SpiderBounds | None = None,
     sitemap_depth: int = 5,
+    files: DataFrame | None = None,
 ) -> DiscoveryResult:
-    """Run the tiers with gating for every site."""
+    """Run the tiers with gating for every site.
+
+    ``files``: the captures of discovery fetches (llms.txt, robots.txt,
+    sitemaps).  When given, their bodies are looked up there, so the join
+    that brings bodies to the candidate URLs never touches the page
+    captures; otherwise ``captures`` serves both.
+    """
     b = bounds or SpiderBounds()
     bases = site_bases(sites)
+    page_index = index
+    if files is not None:
+        captures = files
+        index = materialize(capture_index(files), "files-index")
     llms, log1 = llms_strategy(bases, captures, index)
     llms = materialize(llms, "cand-llms")
     robots, log2 = robots_strategy(bases, captures, index, sitemap_depth)
@@ -260,7 +271,7 @@ def discover(
     smap = materialize(smap, "cand-sitemap")
     hit3 = smap.filter(valid_http_url("raw_url")).select("run_id").distinct()
     bases4 = bases3.join(hit3, "run_id", "left_anti")
-    spider, log4, scan = spider_strategy(bases4, index, signals, b)
+    spider, log4, scan = spider_strategy(bases4, page_index, signals, b)
     spider = materialize(spider, "cand-spider")
     cands = tier12.unionByName(smap).unionByName(spider)
     rejects = cands.filter(~valid_http_url("raw_url") | F.col("raw_url").isNull()).select(

@@ -48,13 +48,13 @@ _FULL_RUN_CACHE: dict[tuple[str, str], jobs.FullResult] = {}
 
 
 def crawl_inputs(spark: SparkSession, sf: str):
-    """Sites and captured responses of the crawl fixture, written once per
-    session to the checkpoint folder (they are read by many stages)."""
+    """Sites, all captured responses, and the discovery-file captures of the
+    crawl fixture, written once per session to the checkpoint folder."""
     prepare_session(spark)
-    return (
-        materialize(fx.sites(spark, sf), "sites"),
-        materialize(fx.crawl_captures(spark, sf), "captures"),
-    )
+    sites = materialize(fx.sites(spark, sf), "sites")
+    pages = materialize(fx.page_captures(spark, sf, link_graph=True), "page-captures")
+    files = materialize(fx.discovery_captures(spark, sf), "discovery-files")
+    return sites, pages.unionByName(files), files
 
 
 def full_run(spark: SparkSession, sf: str) -> jobs.FullResult:
@@ -63,7 +63,8 @@ def full_run(spark: SparkSession, sf: str) -> jobs.FullResult:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FULL_RUN_CACHE:
         sites, caps = crawl_inputs_cached(spark, sf)
-        _FULL_RUN_CACHE[key] = jobs.run_all_stages(sites, caps, PipelineParams())
+        files = _INPUT_CACHE[key][2]
+        _FULL_RUN_CACHE[key] = jobs.run_all_stages(sites, caps, PipelineParams(), files=files)
     return _FULL_RUN_CACHE[key]
 
 
@@ -283,10 +284,12 @@ _INPUT_CACHE: dict = {}
 
 
 def crawl_inputs_cached(spark, sf):
+    """(sites, captures) of the crawl fixture; the discovery files are the
+    third element of the cached triple."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _INPUT_CACHE:
         _INPUT_CACHE[key] = crawl_inputs(spark, sf)
-    return _INPUT_CACHE[key]
+    return _INPUT_CACHE[key][:2]
 
 
 STAGE_QUERIES = {
@@ -1004,8 +1007,9 @@ def q_x3_robots_allowed(spark, sf):
     sites, caps = crawl_inputs_cached(spark, sf)
     from sitelens.operators import extract
 
+    files = _INPUT_CACHE[(spark.sparkContext.applicationId, sf)][2]
     bases = site_bases(sites).withColumn("fetch_url", F.concat("base", F.lit("/robots.txt")))
-    robots = fetch_bodies(bases, caps, extract.capture_index(caps)).filter(F.col("status_code") == 200)
+    robots = fetch_bodies(bases, files, extract.capture_index(files)).filter(F.col("status_code") == 200)
     rules = insights.robots_rules(robots.select("run_id", "body"))
     return insights.robots_allowed(st.discovery.discovered.select("run_id", "url"), rules)
 

@@ -1,13 +1,15 @@
 """Command line entry for batch runs on stored tables.
 
     python -m sitelens.plans.cli run --sites SITES --captures CAPTURES --out OUT
-        [--validators VALIDATORS --incremental] [--generated-at "YYYY-MM-DD HH:MM:SS"]
+        [--files FILES] [--validators VALIDATORS --incremental] [--generated-at "YYYY-MM-DD HH:MM:SS"]
 
 SITES: Parquet (run_id, target_url, hostname[, created_at]).
 CAPTURES: Parquet of the capture schema (url, status_code, headers, body,
-fetched_at).  OUT receives one Parquet table per stage output and the
-documents as text, one folder per run.  The session comes from the
-platform (spark-submit); the checkpoint folder must be shared.
+fetched_at).  FILES (optional, same schema): the discovery fetches, when
+the crawler stores them apart; discovery then never joins page bodies.
+OUT receives one Parquet table per stage output and the documents as text,
+one folder per run.  The session comes from the platform (spark-submit);
+the checkpoint folder must be shared.
 """
 
 from __future__ import annotations
@@ -30,14 +32,15 @@ from sitelens.sources.captures import read_captures  # noqa: E402
 
 
 def run(spark: SparkSession, sites_path: str, captures_path: str, out: str, validators_path: str | None = None,
-        incremental: bool = False, generated_at: str | None = None) -> dict[str, str]:
+        incremental: bool = False, generated_at: str | None = None, files_path: str | None = None) -> dict[str, str]:
     """All five stages for every site; returns the written paths."""
     prepare_session(spark)
     params = PipelineParams(incremental=incremental, **({"generated_at": generated_at} if generated_at else {}))
     sites = spark.read.parquet(sites_path)
     captures = read_captures(spark, captures_path)
     validators = spark.read.parquet(validators_path) if validators_path else None
-    res = jobs.run_all_stages(sites, captures, params, validators)
+    files = read_captures(spark, files_path) if files_path else None
+    res = jobs.run_all_stages(sites, captures, params, validators, files=files)
     st = res.stages
     outputs = {
         "discovered": res.discovery.discovered.select("run_id", "url", "provenance", F.to_json("ord").alias("ord")),
@@ -70,12 +73,13 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--sites", required=True)
     r.add_argument("--captures", required=True)
     r.add_argument("--out", required=True)
+    r.add_argument("--files", help="captures of discovery fetches (robots, llms.txt, sitemaps), if stored apart")
     r.add_argument("--validators")
     r.add_argument("--incremental", action="store_true")
     r.add_argument("--generated-at")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("sitelens").getOrCreate()
-    written = run(spark, args.sites, args.captures, args.out, args.validators, args.incremental, args.generated_at)
+    written = run(spark, args.sites, args.captures, args.out, args.validators, args.incremental, args.generated_at, args.files)
     for name, path in written.items():
         print(f"{name}\t{path}")
 

@@ -105,9 +105,13 @@ def run_all_stages(
     captures: DataFrame,
     params: PipelineParams | None = None,
     validators: DataFrame | None = None,
+    files: DataFrame | None = None,
 ) -> FullResult:
     """All five stages for every site: tiered discovery, extraction,
-    canonicalization, scoring and generation."""
+    canonicalization, scoring and generation.
+
+    ``files`` optionally holds the discovery fetches (a small table): their
+    bodies are then looked up there instead of in ``captures``."""
     from sitelens.operators import discovery as discovery_mod
 
     params = params or PipelineParams()
@@ -116,6 +120,8 @@ def run_all_stages(
     # them once (small rows, no bodies) in the reliable checkpoint folder.
     index = materialize(extract.capture_index(captures), "capture-index")
     signals = materialize(extract.page_signals(captures, index), "signals")
-    disc = discovery_mod.discover(sites, captures, index, signals, params.spider, params.sitemap_max_depth)
+    disc = discovery_mod.discover(
+        sites, captures, index, signals, params.spider, params.sitemap_max_depth, files=files
+    )
     stages = finish_sites(sites, disc.discovered, captures, params, validators, index=index, signals=signals)
     return FullResult(discovery=disc, stages=stages, index=index)
