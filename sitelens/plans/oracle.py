@@ -474,7 +474,7 @@ SELECT run_id, u AS url, CAST(importance AS BIGINT) AS importance, CAST(inlinks
        CAST(depth AS BIGINT) AS depth FROM bfs_ranked WHERE importance <= 50"""),
     "d10_strategy_log": _pipe("""
 SELECT s.run_id, 'direct_llms' AS strategy, length(s.hostname) % 4 = 0 AS success,
-       CASE WHEN length(s.hostname) % 4 = 0 THEN NULL ELSE 404 END AS status_code,
+       CAST(CASE WHEN length(s.hostname) % 4 = 0 THEN NULL ELSE 404 END AS BIGINT) AS status_code,
        CAST(CASE WHEN length(s.hostname) % 4 = 0 THEN h.n ELSE 0 END AS BIGINT) AS urls_found
 FROM sites s JOIN host_n h ON h.host = s.hostname
 UNION ALL
@@ -1036,7 +1036,7 @@ SELECT strategy, CAST(attempts AS BIGINT) AS attempts, CAST(successes AS BIGINT)
                    sum(CASE WHEN length(hostname) % 4 = 3 THEN 1 ELSE 0 END) FROM sites
 )"""),
     "x5_strategy_ranking": _pipe("""
-SELECT hostname, strategy, success_rate,
+SELECT hostname, strategy, CAST(success_rate AS DOUBLE) AS success_rate,
        CAST(row_number() OVER (PARTITION BY hostname ORDER BY success_rate DESC, o) AS BIGINT) AS preference
 FROM (
   SELECT s.hostname, x.strategy, x.o,
