@@ -51,6 +51,12 @@ def test_entry_contract(spark):
     assert set(se.queries()) == set(se.oracle_sql())
 
 
+_TYPES = {
+    "LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+    "BooleanType()": "BOOLEAN", "TimestampNTZType()": "TIMESTAMP", "TimestampType()": "TIMESTAMP WITH TIME ZONE",
+}
+
+
 def test_every_query_matches_oracle(spark, duck):
     import __spark_entry__ as se
 
@@ -59,8 +65,11 @@ def test_every_query_matches_oracle(spark, duck):
     for name, fn in se.queries().items():
         df = fn(spark, SF)
         got = _rows(df.columns, [tuple(r) for r in df.collect()])
+        rel = duck.sql(sqls[name])
+        types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+        spark_types = {f.name: _TYPES.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
         res = duck.execute(sqls[name])
         want = _rows([c[0] for c in res.description], res.fetchall())
-        if sorted(df.columns) != sorted(c[0] for c in res.description) or got != want:
+        if spark_types != types or got != want:
             bad.append(name)
     assert bad == []
