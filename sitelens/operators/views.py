@@ -211,7 +211,9 @@ def last_stage_events(events: DataFrame, n: int = STATUS_STAGE_EVENTS) -> DataFr
     dur = duration_seconds()
     return s.select(
         "run_id", "id", "name", "from_end",
-        F.when(dur.isNull() | (dur == 0), F.lit("--")).otherwise(F.concat((dur * 1000).cast("long").cast("string"), F.lit("ms"))).alias("duration_label"),
+        F.when(dur.isNull() | (dur == 0), F.lit("--"))
+        .otherwise(F.concat((dur * 1000).cast("long").cast("string"), F.lit("ms")))
+        .alias("duration_label"),
         F.coalesce(F.get_json_object("metadata", "$.outcome"), F.lit("?")).alias("outcome"),
     )
 

@@ -457,7 +457,10 @@ def work_item_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(
         F.struct(null.alias("from_state"), F.lit("queued").alias("to_state"), F.col("started_at").alias("at")),
         F.struct(F.lit("queued").alias("from_state"), F.lit("processing").alias("to_state"), F.col("started_at").alias("at")),
-        F.when(F.col("completed_at").isNotNull(), F.struct(F.lit("processing").alias("from_state"), final.alias("to_state"), F.col("completed_at").alias("at"))),
+        F.when(
+            F.col("completed_at").isNotNull(),
+            F.struct(F.lit("processing").alias("from_state"), final.alias("to_state"), F.col("completed_at").alias("at")),
+        ),
         F.when(
             F.col("completed_at").isNotNull() & (F.col("event_id") % 997 == 0),
             F.struct(final.alias("from_state"), F.lit("processing").alias("to_state"), F.expr("completed_at + INTERVAL 1 SECOND").alias("at")),
