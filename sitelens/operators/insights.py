@@ -212,7 +212,10 @@ def fresh_importance(ranked: DataFrame, index: DataFrame, now: str, half_life_da
 # Politeness plan
 # ---------------------------------------------------------------------------
 def politeness_plan(discovered: DataFrame, delay_ms: int = 10) -> DataFrame:
-    """Per site, the fetch offset of each URL in discovery order."""
-    w = Window.partitionBy("run_id").orderBy("ord", "url")
-    return discovered.select("run_id", "url", ((F.row_number().over(w) - 1) * delay_ms).cast("long").alias("offset_ms"))
+    """Per site, the fetch offset of each URL in discovery order
+    (exact positions without sorting a whole site in one task)."""
+    from sitelens.functions.ordering import keyed_row_number
+
+    n = keyed_row_number(discovered.select("run_id", "url", "ord"), ["run_id"], ["ord", "url"], "pos")
+    return n.select("run_id", "url", ((F.col("pos") - 1) * delay_ms).cast("long").alias("offset_ms"))
 

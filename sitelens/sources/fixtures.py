@@ -25,7 +25,7 @@ page inside its host by ``page_id``):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.sources.tables import read_table
@@ -58,16 +58,25 @@ def _ts(offset_seconds: Column) -> Column:
     return F.to_timestamp(F.lit(BASE_TIME)) + F.make_interval(secs=offset_seconds.cast("decimal(18,6)"))
 
 
+_SITE_PAGES: dict = {}
+
+
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages + host + i (position of the page in its host)."""
-    pages = read_table(spark, sf_dir, "pages")
-    w = Window.partitionBy("host").orderBy("page_id")
-    return (
-        pages.withColumn("host", host_of("url"))
-        .withColumn("url_nf", F.substring_index("url", "#", 1))
-        .withColumn("i", F.row_number().over(w))
-        .withColumn("tier", F.length("host") % 4)
-    )
+    """pages + host + i (position of the page in its host, numbered without
+    sorting a whole host in one task), computed once per session."""
+    from sitelens.functions.ordering import keyed_row_number
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SITE_PAGES:
+        pages = read_table(spark, sf_dir, "pages").withColumn("host", host_of("url"))
+        numbered = keyed_row_number(pages, ["host"], ["page_id"], "i")
+        _SITE_PAGES[key] = (
+            numbered.withColumn("i", F.col("i").cast("int"))
+            .withColumn("url_nf", F.substring_index("url", "#", 1))
+            .withColumn("tier", F.length("host") % 4)
+            .select("page_id", "url", "html", "host", "url_nf", "i", "tier")
+        )
+    return _SITE_PAGES[key]
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:

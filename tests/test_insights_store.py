@@ -90,3 +90,16 @@ def test_quantized_percentiles_match_numpy(spark):
     assert abs(out["g"].p50 - np.percentile(vals, 50)) < 1e-9
     assert abs(out["g"].p95 - np.percentile(vals, 95)) < 1e-9
     assert out["g"].p0 == vals.min() and out["h"].p50 == 1.0
+
+
+def test_keyed_row_number_matches_window_on_skew(spark):
+    from pyspark.sql import Window
+
+    from sitelens.functions.ordering import keyed_row_number
+
+    rows = [("hot", i) for i in range(3000)] + [(f"k{i % 7}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {(r.k, r.v): r.rn for r in keyed_row_number(df, ["k"], ["v"], num_partitions=6).collect()}
+    w = Window.partitionBy("k").orderBy("v")
+    want = {(r.k, r.v): r.rn for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == want
