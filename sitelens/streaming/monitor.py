@@ -8,6 +8,7 @@ by watermarks: rows older than the watermark are dropped as late.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def write_batches(batches: list[DataFrame], path: str) -> None:
     """Lay out a stream input: each DataFrame becomes one file, written in
-    order, so ``maxFilesPerTrigger=1`` replays them as micro-batches."""
-    for df in batches:
+    order, so ``maxFilesPerTrigger=1`` replays them as micro-batches (the
+    file source orders files by modification time; the short pause keeps
+    the order on stores that record whole seconds)."""
+    for i, df in enumerate(batches):
+        if i:
+            time.sleep(1.1)
         df.coalesce(1).write.mode("append").parquet(path)
 
 
