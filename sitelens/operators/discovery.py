@@ -43,8 +43,10 @@ def site_bases(sites: DataFrame) -> DataFrame:
 def fetch_bodies(cands: DataFrame, captures: DataFrame, index: DataFrame, url_col: str = "fetch_url") -> DataFrame:
     """S2 with the body: latest capture of each candidate URL.
 
-    Only the candidate keys meet the capture table; AQE turns the join
-    into a broadcast when the candidate side is small at run time.
+    ``captures`` should be the discovery-file captures (robots.txt,
+    llms.txt, sitemaps; see ``discover(files=...)``), a small table, so
+    bringing bodies to the candidates never shuffles page bodies.  The key
+    join runs against the body-free capture index first.
     """
     c = cands.withColumn("url_key", url_key(url_col))
     c = c.join(index.select("url_key", "fetched_at", "status_code"), "url_key", "left")
