@@ -1,4 +1,4 @@
-"""G1-G7 on literal fake sites (the reference's spider and link-filter
+"""G1-G7 on literal fake sites: link-filter and bounded-scan cases
 cases, re-expressed as captured responses)."""
 
 from pyspark.sql import functions as F
