@@ -1,5 +1,5 @@
-"""G1-G7 on literal fake sites: link-filter and bounded-scan cases
-cases, re-expressed as captured responses)."""
+"""G1-G7 on literal fake sites: link-filter and bounded-scan cases,
+re-expressed as captured responses."""
 
 from pyspark.sql import functions as F
 
