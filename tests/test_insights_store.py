@@ -103,3 +103,19 @@ def test_keyed_row_number_matches_window_on_skew(spark):
     w = Window.partitionBy("k").orderBy("v")
     want = {(r.k, r.v): r.rn for r in df.withColumn("rn", F.row_number().over(w)).collect()}
     assert got == want
+
+
+def test_keyed_row_number_with_struct_order(spark):
+    from sitelens.functions.ordering import keyed_row_number
+
+    rows = [("s", (t, [k]), f"u{t}{k}") for t in (1, 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "run_id string, ord struct<tier:int,key:array<bigint>>, url string")
+    got = [(r.ord.tier, r.ord.key[0]) for r in keyed_row_number(df, ["run_id"], ["ord", "url"], "pos", 5).orderBy("pos").collect()]
+    assert got == sorted(got) and len(got) == 80
+
+
+def test_quantized_percentiles_microseconds(spark):
+    vals = [0.000001 * i for i in (5, 1, 9, 3, 7)]
+    df = spark.createDataFrame([("g", v) for v in vals], "k string, v double")
+    r = audit.quantized_percentiles(df, ["k"], "v", {"p50": 0.5, "p25": 0.25}, per_unit=1_000_000).first()
+    assert abs(r.p50 - np.percentile(vals, 50)) < 1e-12 and abs(r.p25 - np.percentile(vals, 25)) < 1e-12

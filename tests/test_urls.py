@@ -115,3 +115,18 @@ def test_splitlines_and_strip(spark):
     s = "　 \t x y \n\x1c"
     assert _one(spark, T.py_strip("u"), s) == s.strip()
     assert _one(spark, F.lit(1), "x") == 1
+
+
+def test_normalisation_edge_cases(spark):
+    cases = {
+        "http://[::1]:80/a": "http://[::1]/a",
+        "https://User@Example.com/x": "https://user@example.com/x",
+        "https://example.com?q=1": "https://example.com/?q=1",
+        "https://example.com/a%20b": "https://example.com/a%20b",
+        "https://example.com/a b?c d#e f": "https://example.com/a%20b?c%20d#e%20f",
+        "ftp://example.com/x": None,
+        "https:///nohost": None,
+    }
+    for raw, want in cases.items():
+        assert _one(spark, U.normalize_http_url("u"), raw) == want, raw
+    assert _one(spark, U.url_host("u"), "http://[::1]:8080/") == "[::1]"
