@@ -25,3 +25,16 @@ def test_cli_run_writes_all_outputs(spark, tmp_path):
     parts = sorted(glob.glob(os.path.join(written["llms_txt"], f"run_id={run_id}", "part-*")))
     text = "".join(open(p).read() for p in parts)
     assert text.strip() + "\n" == arts[run_id]
+
+
+def test_cli_run_with_discovery_files_apart(spark, tmp_path):
+    sites = str(tmp_path / "sites")
+    pages = str(tmp_path / "pages")
+    files = str(tmp_path / "files")
+    fx.sites(spark, SF).write.parquet(sites)
+    fx.page_captures(spark, SF, link_graph=True).unionByName(fx.discovery_captures(spark, SF)).write.parquet(pages)
+    fx.discovery_captures(spark, SF).write.parquet(files)
+    written = cli.run(spark, sites, pages, str(tmp_path / "out"), files_path=files)
+    arts = {r.run_id: r.llms_txt for r in spark.read.parquet(written["artifacts"]).collect()}
+    expected = {r.run_id: r.llms_txt for r in catalog.queries()["site_index_tiered"](spark, SF).collect()}
+    assert arts == expected
