@@ -45,7 +45,23 @@ def main() -> None:
     spark = build_session("local[8]")
     caps = fx.page_captures(spark, sf)
     index = extract.capture_index(caps)
+    from sitelens.config import SpiderBounds
+    from sitelens.operators import discovery, linkgraph
+    from sitelens.session import materialize
+
+    files = materialize(fx.discovery_captures(spark, sf), "plan-files")
+    sites = fx.sites(spark, sf)
+    probes = discovery.site_bases(sites).withColumn("fetch_url", F.concat("base", F.lit("/robots.txt")))
+    signals = materialize(extract.page_signals(caps, index), "plan-signals")
+    frontier = sites.select(F.col("run_id").alias("site"), "hostname", F.concat("target_url", F.lit("/")).alias("url_key"),
+                            F.lit(0).cast("long").alias("src_rank"))
     cases = {
+        "D2 discovery bodies (joins only the small discovery-file captures)": discovery.fetch_bodies(
+            probes, files, extract.capture_index(files)
+        ),
+        "G1 one BFS round (frontier x written signals, per-page dedup)": linkgraph.filtered_links(
+            frontier, signals, SpiderBounds().extension_set
+        ),
         "E1 page signals (map-only HTML pass; bodies never shuffled)": extract.page_signals(caps, index),
         "S2/E7 extraction outcomes (small rows joined on url_key)": extract.extraction_outcomes(
             jobs.captured_candidates(fx.sites(spark, sf), caps), index
