@@ -36,3 +36,24 @@ def test_sql_table_functions(spark):
         """SELECT sitemap_locs('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://e.com/a</loc></url></urlset>') AS s"""
     ).first().s
     assert sm.urls == ["https://e.com/a"] and sm.children is None
+
+
+def test_sql_functions_equal_dataframe_helpers_on_driver_pages(spark):
+    import os
+
+    from sitelens.functions import urls as U
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        return
+    register_sql_functions(spark)
+    spark.read.parquet(f"{sf}/pages.parquet").createOrReplaceTempView("pages_t")
+    via_sql = spark.sql(
+        "SELECT url, canonical_url(url) AS c, normalize_http_url(url) AS n, "
+        "url_section(canonical_url(url), url_netloc(url)) AS s FROM pages_t"
+    )
+    via_df = spark.read.parquet(f"{sf}/pages.parquet").select(
+        "url", U.canonical_url("url").alias("c"), U.normalize_http_url("url").alias("n"),
+        U.section_name(U.canonical_sql("url"), U.netloc_sql("url")).alias("s"),
+    )
+    assert sorted(map(tuple, via_sql.collect())) == sorted(map(tuple, via_df.collect()))
