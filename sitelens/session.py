@@ -25,6 +25,8 @@ _RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_BATCH_ROWS),
+    # ...and by bytes, so a run of very large pages cannot blow up a batch.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864b",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
