@@ -6,9 +6,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitelens.llm import bpe_codec, token_count
-from sitelens.llm.common import documents
+from sitelens.llm import bpe_codec, decontaminate, quality, secret_scan, simhash, token_count
+from sitelens.llm.common import documents, table
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a 13-word window of a benchmark item."""
+    found = decontaminate.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, radius=4)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,16 +31,56 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: base patterns and the two Markov models."""
+    return secret_scan.secret_digest(secret_scan.secret_spans(documents(spark, sf_dir)))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text under byte_bpe_multi_50k.tiktoken, and the bytes decoded from them."""
     return bpe_codec.encode_documents(documents(spark, sf_dir), keep_ids=False)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, base rules and the log-likelihood-ratio verdict of every document."""
+    return quality.quality_rules(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_simhash": op2_simhash,
     "op3_token_counts": op3_token_counts,
+    "op4_secrets": op4_secrets,
     "op5_bpe_codec": op5_bpe_codec,
+    "op9_quality": op9_quality,
+}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_OP1_WORDS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": f"""
+WITH item AS (SELECT item_id, {_OP1_WORDS} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(list_slice(w, s, s + 12), ' ') AS k
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS s FROM item WHERE len(w) > 0)),
+doc AS (SELECT doc_id, {_OP1_WORDS} AS w FROM documents),
+cut AS (
+  SELECT doc_id, m, s, array_to_string(list_slice(w, s, s + m - 1), ' ') AS k
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s
+        FROM doc, (SELECT DISTINCT m FROM win) AS sizes WHERE len(w) >= m)),
+hit AS (SELECT doc_id, s, cut.m, item_id FROM cut JOIN win ON cut.m = win.m AND cut.k = win.k),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM hit) GROUP BY doc_id),
+ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS joined
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(joined, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN pos ON doc.doc_id = pos.doc_id LEFT JOIN ids ON doc.doc_id = ids.doc_id
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
