@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import bpe_codec, decontaminate, quality, secret_scan, simhash, token_count
+from sitelens.llm import bpe_codec, decontaminate, quality, secret_scan, simhash, token_count, toxicity, unit_dedup
 from sitelens.llm.common import documents, table
 
 
@@ -41,6 +41,26 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(documents(spark, sf_dir), keep_ids=False)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines and sentences of every document that are removed, and a
+    digest of the text that stays."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = unit_dedup.removed_units(docs)
+    kept = unit_dedup.kept_texts(docs, found)
+    spans = F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>"))
+    return kept.select(
+        "doc_id", F.size(spans).cast("long").alias("n_removed"),
+        F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"])).alias("n_chars_removed"),
+        F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
+        F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base rules and the log-likelihood-ratio verdict of every document."""
     return quality.quality_rules(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
@@ -52,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_secrets": op4_secrets,
     "op5_bpe_codec": op5_bpe_codec,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
 }
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
