@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import bpe_codec, decontaminate, quality, secret_scan, simhash, token_count, toxicity, unit_dedup
+from sitelens.llm import bpe_codec, decontaminate, pii, quality, secret_scan, simhash, token_count, toxicity, unit_dedup
 from sitelens.llm.common import documents, table
 
 
@@ -41,6 +41,11 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(documents(spark, sf_dir), keep_ids=False)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base patterns and the weakly supervised classifier."""
+    return pii.personal_digest(pii.personal_spans(documents(spark, sf_dir)))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated lines and sentences of every document that are removed, and a
     digest of the text that stays."""
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_secrets": op4_secrets,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_pii": op6_pii,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
