@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import bpe_codec, decontaminate, pii, quality, secret_scan, simhash, token_count, toxicity, unit_dedup
+from sitelens.llm import bpe_codec, bwt_dedup, decontaminate, pii, quality, secret_scan, simhash, token_count, toxicity, unit_dedup
 from sitelens.llm.common import documents, table
 
 
@@ -71,6 +71,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document covered by 50-byte strings of smaller documents."""
+    return bwt_dedup.dedup_substrings(documents(spark, sf_dir), length=50, keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
+    "op10_bwt_dedup": op10_bwt_dedup,
 }
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _OP1_WORDS = (
