@@ -2,7 +2,12 @@
 
 Each stage reads the rows its predecessor kept (written as Parquet under the
 shared folder and read again).  All but the last return the columns of
-``documents``; the last returns the token ids of what is left.
+``documents``, further columns included; the last returns the token ids of
+what is left.
+
+Defined results: rows with a null or empty text are rejected by the quality
+rules; rows with a null id take part in every stage; rows that repeat both id
+and text leave one row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +33,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return judged.filter("kept").select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)])
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a hash of their text, under a name that is still free."""
+    taken = {c.lower() for c in docs.columns}
+    name = "text_key"
+    while name in taken:
+        name += "_"
+    return docs.withColumn(name, F.xxhash64("text")), name
+
+
 def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every SimHash component: its smallest doc_id (nulls last).
     Rows that repeat both id and text count once."""
@@ -40,12 +54,10 @@ def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         found.groupBy(group.alias("grp")).agg(F.min(order).alias("r")).select("r.doc_id", "r.text_key"), "pipeline-kept"
     ).distinct()
     repeated = not found.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty()
-    own = docs.withColumn("text_key", F.xxhash64("text"))
-    rows = own.join(
-        kept, own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["text_key"] == kept["text_key"]), "left_semi"
-    )
+    own, key = _keyed(docs)
+    rows = own.join(kept, own["doc_id"].eqNullSafe(kept["doc_id"]) & (own[key] == kept["text_key"]), "left_semi")
     if repeated:
-        first = rows.groupBy("doc_id", "text_key").agg(F.min(F.struct(*docs.columns)).alias("r"))
+        first = rows.groupBy("doc_id", key).agg(F.min(F.struct(*docs.columns)).alias("r"))
         return first.select(*[F.col("r")[c].alias(c) for c in docs.columns])
     return rows.select(*docs.columns)
 
@@ -56,10 +68,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(
         F.col("doc_id").alias("d"), F.col("text_key").alias("t")
     ).distinct()
-    own = docs.withColumn("text_key", F.xxhash64("text"))
-    return own.join(found, own["doc_id"].eqNullSafe(found["d"]) & (own["text_key"] == found["t"]), "left_anti").select(
-        *docs.columns
-    )
+    own, key = _keyed(docs)
+    return own.join(found, own["doc_id"].eqNullSafe(found["d"]) & (own[key] == found["t"]), "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

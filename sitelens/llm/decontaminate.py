@@ -82,18 +82,17 @@ def document_shingles(texts: DataFrame, sizes: list[int]) -> DataFrame:
     key; one more row per document has at = -1 and k = 0."""
     at = F.col("at")
     spread = texts.withColumn("at", F.explode(F.sequence(F.lit(_SELF), F.size("words") - 1)))
-    keys = [
-        F.struct(
-            F.when(at < 0, 0).otherwise(size).alias("k"),
-            F.when(at < 0, F.lit(0).cast("long")).otherwise(_shingle_key(F.col("words"), at, size)).alias("key"),
+    own = (F.lit(0), F.lit(0).cast("long"))
+    if len(sizes) == 1:
+        key = _shingle_key(F.col("words"), at, sizes[0])
+        return spread.select(
+            "*", F.when(at < 0, own[0]).otherwise(sizes[0]).alias("k"), F.when(at < 0, own[1]).otherwise(key).alias("key")
         )
-        for size in sizes
-    ]
-    if len(keys) == 1:
-        return spread.select("*", keys[0]["k"].alias("k"), keys[0]["key"].alias("key"))
-    return spread.select("*", F.explode(F.array(*keys)).alias("x")).select(
+    pair = lambda k, key: F.struct(k.alias("k"), key.alias("key"))
+    keys = F.array(*[pair(F.lit(size), _shingle_key(F.col("words"), at, size)) for size in sizes])
+    return spread.select("*", F.explode(F.when(at < 0, F.array(pair(*own))).otherwise(keys)).alias("x")).select(
         *spread.columns, F.col("x.k").alias("k"), F.col("x.key").alias("key")
-    ).filter((F.col("at") >= 0) | (F.col("k") == 0))
+    )
 
 
 def decontaminate(

@@ -120,17 +120,17 @@ def removed_units(
 
 
 def kept_texts(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows with kept_text (the units that stay, joined in place)
-    and removed (spans of the original text)."""
-    own = docs.withColumn("__key", F.xxhash64(text_col))
-    spans = removed.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), F.col("removed").alias("__removed"))
-    both = own.join(spans, own[id_col].eqNullSafe(spans["__d"]) & (own["__key"] == spans["__t"]), "left")
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    """One row per input row: doc_id, text, kept_text (what is left, joined in
+    place) and removed (spans of the original text, null if there are none)."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    spans = removed.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "removed").filter(F.size("removed") > 0)
+    both = own.join(spans, own["doc_id"].eqNullSafe(spans["d"]) & (own["text_key"] == spans["t"]), "left")
+    text = F.col("text")
     kept = F.aggregate(
-        "__removed", start,
-        lambda acc, s: F.struct(s["end"].alias("pos"), F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])).alias("out")),
+        "removed", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            s["end"].alias("pos"), F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])).alias("out")
+        ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.char_length(text))),
     )
-    kept = F.when(F.coalesce(F.size("__removed"), F.lit(0)) > 0, kept).otherwise(text)
-    return both.select(*[own[c] for c in docs.columns], kept.alias("kept_text"), F.col("__removed").alias("removed"))
+    return both.select("doc_id", "text", F.when(F.col("removed").isNull(), text).otherwise(kept).alias("kept_text"), "removed")
