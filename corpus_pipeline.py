@@ -48,11 +48,7 @@ def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     prepare_session(spark)
     found = simhash.near_duplicates(docs, shingle=4, radius=4, text_key=True)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "fingerprint")
-    # Without any id in the component its fingerprint group stands for it.
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp:"), "fingerprint"))
-    kept = materialize(
-        found.groupBy(group.alias("grp")).agg(F.min(order).alias("r")).select("r.doc_id", "r.text_key"), "pipeline-kept"
-    ).distinct()
+    kept = materialize(found.groupBy("root").agg(F.min(order).alias("r")).select("r.doc_id", "r.text_key"), "pipeline-kept").distinct()
     repeated = not found.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty()
     own, key = _keyed(docs)
     rows = own.join(kept, own["doc_id"].eqNullSafe(kept["doc_id"]) & (own[key] == kept["text_key"]), "left_semi")

@@ -315,7 +315,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits),
     component_id (smallest doc_id reachable over links, itself included) and,
-    if wanted, text_key (hash of the text)."""
+    if wanted, text_key (hash of the text) and root (one fingerprint that
+    names the component, also where ids repeat or are null)."""
     if not 0 <= radius < 8:
         raise ValueError("radius must be between 0 and 7")
     own = materialize(fingerprints(docs, shingle, id_col, text_col, text_key), "simhash-fp")
@@ -325,8 +326,8 @@ def near_duplicates(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = rooted.join(smallest, "root").select("fp", "component_id")
+    component = rooted.join(smallest, "root").select("fp", "root", "component_id")
     return own.join(component, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
-        *(["text_key"] if text_key else []),
+        *(["text_key", "root"] if text_key else []),
     )
