@@ -31,16 +31,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import lower_ascii, materialize
+from sitelens.llm.common import UPPER, materialize
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Characters between words (after lower-casing A-Z).
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(col) -> Column:
     """Words of a text: lower-cased A-Z, digits, a-z and everything beyond
     ASCII; no words for null."""
-    found = F.regexp_extract_all(lower_ascii(col), F.lit(WORD), F.lit(0))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    low = F.translate(col, UPPER, UPPER.lower())
+    return F.coalesce(F.array_remove(F.split(low, GAP), ""), F.array().cast("array<string>"))
 
 
 def _shingle_key(words: Column, at: Column, size: int) -> Column:
