@@ -66,17 +66,53 @@ class Codec:
                 self.automaton.add_word(token.decode("latin-1"), len(token))
         self.automaton.make_automaton()
         self.pair: dict[int, bool] = {}
+        self.spines: dict[int, tuple[list, list]] = {}
         self.memo = Memo(lambda piece: np.array(self.encode_piece(piece.encode("utf-8")), "<u4").tobytes())
 
+    def spine(self, rank: int) -> tuple[list, list]:
+        """Parts of a token that touch its right and its left edge while it
+        is merged, each with the rank of the merge that ends the part."""
+        known = self.spines.get(rank)
+        if known is None:
+            data = self.bytes_of[rank]
+            parts = [data[i:i + 1] for i in range(len(data))]
+            last, first = parts[-1], parts[0]
+            right, left = [], []
+            while len(parts) > 1:
+                at, i = min((self.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ranks)
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+                if parts[-1] != last:
+                    right.append((last, at))
+                    last = parts[-1]
+                if parts[0] != first:
+                    left.append((first, at))
+                    first = parts[0]
+            known = self.spines[rank] = (right + [(last, self.size)], left + [(first, self.size)])
+        return known
+
     def neighbours(self, left: int, right: int) -> bool:
-        """May ``right`` follow ``left``: merging their bytes keeps both."""
+        """May ``right`` follow ``left``: merging their joined bytes never
+        merges across the border.  A merge across it joins a part at the right
+        edge of the one with a part at the left edge of the other, and takes
+        place if its rank comes before the merges that end these parts (on
+        ties the leftmost merge comes first)."""
         key = left * self.size + right
         known = self.pair.get(key)
         if known is None:
-            if len(self.pair) >= 5 * MEMO_ENTRIES:
+            if len(self.pair) >= 2 * MEMO_ENTRIES:
                 self.pair.clear()
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            known = self.pair[key] = merge_by_rank(a + b, self.ranks) == [a, b]
+            get = self.ranks.get
+            ends, starts = self.spine(left)[0], self.spine(right)[1]
+            known = True
+            for x, x_end in ends:
+                for y, y_end in starts:
+                    across = get(x + y)
+                    if across is not None and across < x_end and across <= y_end:
+                        known = False
+                        break
+                if not known:
+                    break
+            self.pair[key] = known
         return known
 
     def encode_piece(self, data: bytes) -> list[int]:

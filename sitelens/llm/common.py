@@ -5,14 +5,13 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.session import ensure_checkpoint_dir, materialize, prepare_session
 
-#: Bound of a per-worker memo of distinct pieces (entries); a full memo is
-#: emptied and filled anew, so worker memory stays flat on any input.
-MEMO_ENTRIES = 200_000
+#: Bound of each of the two generations of a per-worker memo of distinct
+#: pieces (entries), so worker memory stays flat on any input.
+MEMO_ENTRIES = 400_000
 #: Only pieces up to this many characters are kept in a memo.
 MEMO_PIECE = 64
 
@@ -21,18 +20,25 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class Memo(dict):
-    """``memo[piece]`` computes ``fn(piece)`` once; bounded in entries."""
+    """``memo[piece]`` computes ``fn(piece)`` once; bounded in entries.  A
+    full generation becomes the old one, from which pieces still in use move
+    over again."""
 
     def __init__(self, fn):
         super().__init__()
         self.fn = fn
+        self.old: dict = {}
 
     def __missing__(self, piece):
-        value = self.fn(piece)
-        if len(piece) <= MEMO_PIECE:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[piece] = value
+        value = self.old.get(piece)
+        if value is None:
+            value = self.fn(piece)
+            if len(piece) > MEMO_PIECE:
+                return value
+        if len(self) >= MEMO_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
         return value
 
 
@@ -47,15 +53,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def lower_ascii(col):
-    """Lower-case A-Z only.  ``lower`` agrees on pure-ASCII strings and is
-    much cheaper than ``translate``, which covers the rest."""
-    col = F.col(col) if isinstance(col, str) else col
-    return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(
-        F.translate(col, UPPER, UPPER.lower())
-    )
-
-
 def vocabulary_bytes(path: str) -> bytes:
     """A vocabulary file (its size is fixed by the published tokenizer)."""
     with open(path, "rb") as f:
@@ -79,6 +76,6 @@ def doc_fields(docs: DataFrame, id_col: str, *fields: T.StructField) -> T.Struct
 
 
 __all__ = [
-    "MEMO_ENTRIES", "Memo", "doc_fields", "documents", "ensure_checkpoint_dir", "lower_ascii", "materialize",
+    "MEMO_ENTRIES", "Memo", "UPPER", "doc_fields", "documents", "ensure_checkpoint_dir", "materialize",
     "prepare_session", "table", "tokenizer_path", "vocabulary_bytes",
 ]
