@@ -14,16 +14,19 @@ document.
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
 from html.entities import name2codepoint
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.functions.text import py_strip
+
 META_TYPE = T.StructType(
     [
         T.StructField("name", T.StringType()),
@@ -36,10 +39,10 @@ SIGNALS_FIELDS = [
     T.StructField("has_head", T.BooleanType()),
     T.StructField("title", T.StringType()),
     T.StructField("metas", T.ArrayType(META_TYPE)),
-    T.StructField("ld_headline", T.StringType()),
-    T.StructField("ld_description", T.StringType()),
+    T.StructField("ld_scripts", T.ArrayType(T.StringType())),
     T.StructField("links", T.ArrayType(T.StringType())),
     T.StructField("hrefs", T.ArrayType(T.StringType())),
+    T.StructField("parse_error", T.StringType()),
 ]
 
 _LD_TYPE = "application/ld+json"
@@ -55,6 +58,8 @@ def _charref(name: str) -> str:
         return "&#" + name
     if 0x80 <= n <= 0x9F:
         return bytes([n]).decode("cp1252", errors="replace")
+    if 0xD800 <= n <= 0xDFFF:  # a lone surrogate is no character
+        return "\ufffd"
     try:
         return chr(n)
     except (ValueError, OverflowError):
@@ -171,29 +176,41 @@ class _SignalParser(HTMLParser):
             self._script = None
 
 
-def _jsonld_value(scripts: list[str], key: str) -> str | None:
-    """First string value of ``key`` among top-level JSON-LD objects."""
-    for text in scripts:
-        if not text:
-            continue
-        try:
-            payload = json.loads(text)
-        except ValueError:
-            continue
-        for obj in payload if isinstance(payload, list) else [payload]:
-            if isinstance(obj, dict) and isinstance(obj.get(key), str):
-                return obj[key].strip()
-    return None
+def jsonld_string(scripts: str, key: str) -> Column:
+    """E5: the first string under ``key`` among the top-level objects of the
+    JSON-LD ``scripts`` (array of texts, in document order), trimmed.
+
+    Each text is parsed to a variant (NULL when it is no JSON); an array
+    stands for its elements.  Numbers and other types never count.
+    """
+    parsed = f"transform({scripts}, t -> try_parse_json(t))"
+    objects = (
+        f"flatten(transform({parsed}, v -> CASE WHEN v IS NULL THEN array() "
+        f"WHEN startswith(schema_of_variant(v), 'ARRAY') THEN coalesce(try_variant_get(v, '$', 'array<variant>'), array()) "
+        f"ELSE array(v) END))"
+    )
+    values = f"transform({objects}, o -> try_variant_get(o, '$.{key}', 'variant'))"
+    strings = f"filter({values}, x -> x IS NOT NULL AND schema_of_variant(x) = 'STRING')"
+    return py_strip(F.expr(f"CAST(get({strings}, 0) AS STRING)"))
+
+
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _text(value: str | None) -> str | None:
+    """Text that Arrow can carry: lone surrogates become U+FFFD."""
+    return _SURROGATE.sub("\ufffd", value) if value else value
 
 
 def parse_signals(html: str | None, base_url: str | None) -> dict:
     """Signals of one document (the per-row helper of E1)."""
     p = _SignalParser()
+    error = None
     try:
         p.feed(html or "")
         p.finish()
-    except Exception:  # noqa: BLE001 - a broken page yields what was seen
-        pass
+    except Exception as e:  # noqa: BLE001 - one hostile page must not end the job; it is marked
+        error = type(e).__name__
     has_head = p.head_state > 0
 
     def scoped(items):
@@ -206,26 +223,26 @@ def parse_signals(html: str | None, base_url: str | None) -> dict:
         content = attrs.get("content")
         metas.append(
             {
-                "name": attrs.get("name"),
-                "property": attrs.get("property"),
-                "content": content.strip() if content else None,
+                "name": _text(attrs.get("name")),
+                "property": _text(attrs.get("property")),
+                "content": _text(content.strip()) if content else None,
             }
         )
     scripts = scoped(p.scripts)
     links = []
     for href in p.hrefs:
         try:
-            links.append(urljoin(base_url or "", href))
+            links.append(_text(urljoin(base_url or "", href)))
         except ValueError:
             links.append(None)
     return {
         "has_head": has_head,
-        "title": title.strip() if title is not None else None,
+        "title": _text(title.strip()) if title is not None else None,
         "metas": metas,
-        "ld_headline": _jsonld_value(scripts, "headline"),
-        "ld_description": _jsonld_value(scripts, "description"),
+        "ld_scripts": [_text(text) for text in scripts if text],
         "links": links,
-        "hrefs": p.hrefs,
+        "hrefs": [_text(h) for h in p.hrefs],
+        "parse_error": error,
     }
 
 
@@ -261,4 +278,9 @@ def extract_signals(
                 )
             yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
 
-    return src.mapInArrow(run, out_schema)
+    return (
+        src.mapInArrow(run, out_schema)
+        .withColumn("ld_headline", jsonld_string("ld_scripts", "headline"))
+        .withColumn("ld_description", jsonld_string("ld_scripts", "description"))
+        .drop("ld_scripts")
+    )

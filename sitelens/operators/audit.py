@@ -9,6 +9,8 @@ transitions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,26 +52,6 @@ def state_gauge(transitions: DataFrame) -> DataFrame:
     return deltas.groupBy(F.col("x.state").alias("state")).agg(F.sum("x.d").cast("long").alias("items"))
 
 
-def state_gauge_timeline(transitions: DataFrame, bucket: str = "1 hour") -> DataFrame:
-    """L2 running form: items in each state at the end of every time
-    bucket.  Deltas are summed per (state, bucket) first (partial
-    aggregation), so the running sum only orders one row per bucket."""
-    from pyspark.sql import Window
-
-    deltas = transitions.select(
-        F.date_trunc("hour" if bucket == "1 hour" else "day", "created_at").alias("bucket"),
-        F.explode(
-            F.array(
-                F.struct(F.col("to_state").alias("state"), F.lit(1).alias("d")),
-                F.struct(F.col("from_state").alias("state"), F.lit(-1).alias("d")),
-            )
-        ).alias("x"),
-    ).filter(F.col("x.state").isNotNull())
-    per_bucket = deltas.groupBy(F.col("x.state").alias("state"), "bucket").agg(F.sum("x.d").alias("d"))
-    w = Window.partitionBy("state").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return per_bucket.withColumn("items", F.sum("d").over(w).cast("long"))
-
-
 def run_outcomes(runs: DataFrame) -> DataFrame:
     """L3: finished runs by outcome."""
     r = runs.filter(F.col("status").isin("completed", "failed"))
@@ -90,39 +72,43 @@ def stage_outcomes(events: DataFrame) -> DataFrame:
 
 
 def quantized_percentiles(
-    df: DataFrame, keys: list[str], value: str, ps: dict[str, float], per_unit: int = 1000
+    df: DataFrame, keys: list[str], value: str, ps: dict[str, float], per_unit: int = 1_000_000, buckets: int = 1024
 ) -> DataFrame:
     """Percentiles with linear interpolation (``percentile_cont``) over
-    values quantised to ``1 / per_unit`` (milliseconds by default).
-
-    The values are first reduced to a (keys, quantum) -> count histogram
-    with partial aggregation, so no task holds a group's raw values in a
-    hash map (the exact ``percentile`` aggregate does); the running count
-    is a sort-based window over distinct quanta, which spills instead of
-    failing.  Exact for values recorded at that resolution or coarser.
+    values in units of ``1 / per_unit`` (microseconds by default, what the
+    audit log records, so nothing is rounded away).
+
+    Two histogram levels.  The first counts at most ``buckets`` equal ranges
+    per key (partial aggregation, a few rows per key afterwards) and finds
+    the ranges that hold the wanted ranks; the second counts distinct values
+    inside these ranges only, ordered per (key, range).  No task holds or
+    sorts all values of a key, also when there is a single key.
     """
     from pyspark.sql import Window
 
-    h = (
-        df.filter(F.col(value).isNotNull())
-        .select(*keys, F.round(F.col(value) * per_unit).cast("long").alias("ms"))
-        .groupBy(*keys, "ms")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    w = Window.partitionBy(*keys).orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumn("cum", F.sum("c").over(w))
-    n = h.groupBy(*keys).agg(F.max("cum").alias("n"))
-    h = h.join(n, keys)
+    v = df.filter(F.col(value).isNotNull()).select(*keys, F.round(F.col(value) * per_unit).cast("long").alias("x"))
+    ends = v.groupBy(*keys).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n"))
+    ends = ends.withColumn("width", F.floor((F.col("high") - F.col("low")) / buckets) + 1).drop("high")
+    v = v.join(ends, keys).withColumn("b", F.floor((F.col("x") - F.col("low")) / F.col("width")))
+    coarse = v.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    coarse = coarse.withColumn("base", F.sum("c").over(upto) - F.col("c"))
+    ranks = [f(F.lit(p) * (F.col("n") - 1)) for p in ps.values() for f in (F.floor, F.ceil)]
+    holds = [(r >= F.col("base")) & (r < F.col("base") + F.col("c")) for r in ranks]
+    wanted = coarse.filter(reduce(Column.__or__, holds)).select(*keys, "b", "base")
+    fine = v.groupBy(*keys, "b", "x").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).join(wanted, [*keys, "b"])
+    inside = Window.partitionBy(*keys, "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    fine = fine.withColumn("cum", F.col("base") + F.sum("c").over(inside))
     aggs = []
     for name, p in ps.items():
         pos = F.lit(p) * (F.col("n") - 1)
         lo, hi = F.floor(pos), F.ceil(pos)
         aggs += [
-            F.min(F.when(F.col("cum") > lo, F.col("ms"))).alias(f"{name}_lo"),
-            F.min(F.when(F.col("cum") > hi, F.col("ms"))).alias(f"{name}_hi"),
+            F.min(F.when(F.col("cum") > lo, F.col("x"))).alias(f"{name}_lo"),
+            F.min(F.when(F.col("cum") > hi, F.col("x"))).alias(f"{name}_hi"),
             F.first(pos - lo).alias(f"{name}_frac"),
         ]
-    out = h.groupBy(*keys).agg(*aggs)
+    out = fine.groupBy(*keys).agg(*aggs)
     cols = [
         ((F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * F.col(f"{k}_frac")) / float(per_unit)).alias(k)
         for k in ps
@@ -176,7 +162,7 @@ def business_metrics(runs: DataFrame, events: DataFrame, artifacts: DataFrame) -
         F.round(F.avg("bytes"), 6).alias("avg_artifact_bytes"),
         F.max("bytes").cast("long").alias("max_artifact_bytes"),
     )
-    pct = quantized_percentiles(j, ["all"], "run_seconds", {"p50_run_seconds": 0.5}, per_unit=1_000_000)
+    pct = quantized_percentiles(j, ["all"], "run_seconds", {"p50_run_seconds": 0.5})
     out = stats.join(pct, "all", "left")
     return out.select(
         "completed_runs", "pages_indexed_total", "avg_run_seconds",
@@ -204,15 +190,24 @@ def log_lines(events: DataFrame) -> DataFrame:
     )
 
 
-def failure_codes(events: DataFrame, rejects: DataFrame) -> DataFrame:
-    """Failure class -> HTTP-like code -> occurrences (invalid input
-    from rejected submissions, stage failures from stage events)."""
+def failure_codes(events: DataFrame, rejects: DataFrame, missing: DataFrame) -> DataFrame:
+    """Failure class -> HTTP-like code -> occurrences: invalid input
+    (rejected submissions), not found (``missing``: requests for runs or
+    documents that do not exist) and stage failures (stage events)."""
     codes = dict(FAILURE_CODES)
-    invalid = rejects.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("invalid_input").alias("failure_class"), F.lit(codes["invalid_input"]).alias("http_code"), "n"
-    )
-    stage = events.filter(F.col("name").startswith("stage.") & (_outcome() == "failure")).agg(
-        F.count(F.lit(1)).alias("n")
-    ).select(F.lit("stage_failure").alias("failure_class"), F.lit(codes["stage_failure"]).alias("http_code"), "n")
-    out = invalid.unionByName(stage).filter(F.col("n") > 0)
-    return out.select("failure_class", F.col("http_code").cast("long").alias("http_code"), F.col("n").cast("long").alias("occurrences"))
+    failed = events.filter(F.col("name").startswith("stage.") & (_outcome() == "failure"))
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.agg(F.count(F.lit(1)).alias("occurrences")).select(
+            F.lit(name).alias("failure_class"), F.lit(codes[name]).cast("long").alias("http_code"), "occurrences"
+        )
+
+    out = counted(rejects, "invalid_input").unionByName(counted(missing, "not_found")).unionByName(counted(failed, "stage_failure"))
+    return out.filter("occurrences > 0")
+
+
+def missing_documents(requests: DataFrame, runs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Requests (run_id) that answer 404: no such run, or a run without
+    a document."""
+    served = runs.select("run_id").join(artifacts.select("run_id"), "run_id", "left_semi")
+    return requests.join(served, "run_id", "left_anti")

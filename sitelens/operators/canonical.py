@@ -104,13 +104,17 @@ def score_pages(pages: DataFrame, sites: DataFrame | None = None, url_col: str =
 
 
 def completeness(pages: DataFrame, scores: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Title / description completeness per run and a review flag for
-    low totals."""
+    """Title / description completeness per scored run and a review flag
+    for low totals; a run without pages has completeness 0 and needs review."""
     agg = pages.groupBy("run_id").agg(
         F.round(F.avg(F.when(F.coalesce(F.length("title"), F.lit(0)) > 0, 1.0).otherwise(0.0)), 4).alias("title_completeness"),
         F.round(F.avg(F.when(F.coalesce(F.length("description"), F.lit(0)) > 0, 1.0).otherwise(0.0)), 4).alias("description_completeness"),
     )
-    return agg.join(scores.select("run_id", "total"), "run_id").select(
-        "run_id", "title_completeness", "description_completeness", "total",
-        (F.col("total") < threshold).alias("needs_review"),
+    zero = F.lit(0.0)
+    return scores.select("run_id", "total").join(agg, "run_id", "left").select(
+        "run_id",
+        F.coalesce("title_completeness", zero).alias("title_completeness"),
+        F.coalesce("description_completeness", zero).alias("description_completeness"),
+        "total",
+        (F.col("title_completeness").isNull() | (F.col("total") < threshold)).alias("needs_review"),
     )

@@ -19,14 +19,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.config import SITEMAP_NS, SpiderBounds
+from sitelens.config import LLMS_LINK, SITEMAP_NS, SpiderBounds
 from sitelens.functions.text import py_strip, split_lines
 from sitelens.functions.urls import normalize_http_url, resolve_url, url_scheme, valid_http_url
 from sitelens.operators import linkgraph
 from sitelens.operators.extract import capture_index, url_key
 from sitelens.session import materialize
 
-LLMS_LINK = r"\[[^\]]+\]\(([^\)]+)\)"
 SITEMAP_SCHEMA = "sitemap array<struct<loc:string>>, url array<struct<loc:string>>"
 
 
@@ -97,22 +96,22 @@ def parse_sitemap(body: Column) -> Column:
 
 
 def expand_sitemaps(
-    roots: DataFrame, captures: DataFrame, index: DataFrame, max_depth: int = 5
+    roots: DataFrame, captures: DataFrame, index: DataFrame
 ) -> DataFrame:
-    """Recursive sitemap-index expansion.
+    """Recursive sitemap-index expansion, to any depth.
 
     ``roots``: (run_id, tier, key array<long>, sitemap_url).  Output:
     (run_id, loc, ord) with a child sitemap's URLs before the parent's own
     (key + [0, child] < key + [1, url]).  A child that is one of its own
-    ancestors is skipped (cycle guard); nesting deeper than ``max_depth``
-    is not followed.
+    ancestors is skipped, so the frontier runs empty on any finite set of
+    sitemaps; one round per level of nesting.
     """
     frontier = roots.select(
         "run_id", "tier", "key", F.col("sitemap_url").alias("fetch_url"),
         F.array(url_key("sitemap_url")).alias("ancestors"),
     )
     outs: list[DataFrame] = []
-    for depth in range(max_depth + 1):
+    while True:
         f = fetch_bodies(frontier, captures, index).filter(F.col("status_code") == 200)
         p = f.select("run_id", "tier", "key", "ancestors", parse_sitemap(F.col("body")).alias("sm"))
         urls = p.select(
@@ -127,8 +126,6 @@ def expand_sitemaps(
                 ).alias("ord"),
             )
         )
-        if depth == max_depth:
-            break
         kids = p.select(
             "run_id", "tier", "key", "ancestors",
             F.posexplode(F.coalesce(F.col("sm.children"), F.array().cast("array<string>"))).alias("pos", "child"),
@@ -153,7 +150,7 @@ def expand_sitemaps(
 # ---------------------------------------------------------------------------
 # Robots.txt hints
 # ---------------------------------------------------------------------------
-def robots_strategy(bases: DataFrame, captures: DataFrame, index: DataFrame, sitemap_depth: int = 5):
+def robots_strategy(bases: DataFrame, captures: DataFrame, index: DataFrame):
     f = fetch_bodies(bases.withColumn("fetch_url", F.concat("base", F.lit("/robots.txt"))), captures, index)
     lines = f.filter(F.col("status_code") == 200).select(
         "run_id", "base", F.posexplode(split_lines(F.col("body"))).alias("line_no", "line")
@@ -169,7 +166,7 @@ def robots_strategy(bases: DataFrame, captures: DataFrame, index: DataFrame, sit
     roots = lines.filter(low.startswith("sitemap:")).select(
         "run_id", F.lit(2).alias("tier"), F.array(F.col("line_no").cast("long")).alias("key"), value.alias("sitemap_url")
     )
-    maps = expand_sitemaps(roots, captures, index, sitemap_depth).withColumn("source", F.lit("sitemap"))
+    maps = expand_sitemaps(roots, captures, index).withColumn("source", F.lit("sitemap"))
     cands = hints.unionByName(maps.select("run_id", "raw_url", "source", "ord"))
     log = _strategy_log(f, cands, "robots_hints")
     return cands, log
@@ -178,12 +175,12 @@ def robots_strategy(bases: DataFrame, captures: DataFrame, index: DataFrame, sit
 # ---------------------------------------------------------------------------
 # Well-known sitemap
 # ---------------------------------------------------------------------------
-def sitemap_strategy(bases: DataFrame, captures: DataFrame, index: DataFrame, sitemap_depth: int = 5):
+def sitemap_strategy(bases: DataFrame, captures: DataFrame, index: DataFrame):
     roots = bases.select(
         "run_id", F.lit(3).alias("tier"), F.array().cast("array<long>").alias("key"),
         F.concat("base", F.lit("/sitemap.xml")).alias("sitemap_url"),
     )
-    maps = expand_sitemaps(roots, captures, index, sitemap_depth)
+    maps = expand_sitemaps(roots, captures, index)
     cands = maps.select("run_id", "raw_url", F.lit("sitemap").alias("source"), "ord")
     log = _strategy_log(bases.withColumn("status_code", F.lit(None).cast("int")), cands, "sitemap")
     return cands, log
@@ -246,7 +243,6 @@ def discover(
     index: DataFrame,
     signals: DataFrame,
     bounds: SpiderBounds | None = None,
-    sitemap_depth: int = 5,
     files: DataFrame | None = None,
 ) -> DiscoveryResult:
     """Run the tiers with gating for every site.
@@ -264,12 +260,12 @@ def discover(
         index = materialize(capture_index(files), "files-index")
     llms, log1 = llms_strategy(bases, captures, index)
     llms = materialize(llms, "cand-llms")
-    robots, log2 = robots_strategy(bases, captures, index, sitemap_depth)
+    robots, log2 = robots_strategy(bases, captures, index)
     robots = materialize(robots, "cand-robots")
     tier12 = llms.unionByName(robots)
     hit12 = tier12.filter(valid_http_url("raw_url")).select("run_id").distinct()
     bases3 = bases.join(hit12, "run_id", "left_anti")
-    smap, log3 = sitemap_strategy(bases3, captures, index, sitemap_depth)
+    smap, log3 = sitemap_strategy(bases3, captures, index)
     smap = materialize(smap, "cand-sitemap")
     hit3 = smap.filter(valid_http_url("raw_url")).select("run_id").distinct()
     bases4 = bases3.join(hit3, "run_id", "left_anti")
@@ -284,9 +280,14 @@ def discover(
     return DiscoveryResult(discovered, cands, rejects, logs, scan)
 
 
-def discovery_milestones(discovered: DataFrame) -> DataFrame:
-    """URLs discovered and the distinct sources used, per run."""
-    return discovered.groupBy("run_id").agg(
+def discovery_milestones(discovered: DataFrame, runs: DataFrame) -> DataFrame:
+    """URLs discovered and the distinct sources used, for every run."""
+    found = discovered.groupBy("run_id").agg(
         F.count(F.lit(1)).cast("long").alias("pages_discovered"),
         F.array_join(F.array_sort(F.collect_set("provenance")), ",").alias("strategies_used"),
     )
+    return runs.select("run_id").join(found, "run_id", "left").select(
+        "run_id",
+        F.coalesce("pages_discovered", F.lit(0).cast("long")).alias("pages_discovered"),
+        F.coalesce("strategies_used", F.lit("")).alias("strategies_used"),
+    )

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.config import DOC_INTRO, DOC_NO_SECTIONS, DOC_TIME_FORMAT
-from sitelens.functions.urls import is_home, normalize_http_url, section_name
+from sitelens.functions.text import py_strip, split_lines
+from sitelens.functions.urls import host_sql, is_home, normalize_http_url, section_name
 
 
 def _nonempty(c: Column) -> Column:
@@ -66,7 +67,7 @@ def site_meta(pages: DataFrame, sites: DataFrame, discovered_counts: DataFrame |
 
 
 def _header(generated_at: str) -> Column:
-    host = F.lower(F.col("hostname"))
+    host = F.expr(host_sql("concat('//', hostname)"))  # without a port
     heading = F.when(_nonempty(F.col("site_title")), F.col("site_title")).otherwise(F.col("hostname"))
     heading = F.when(_nonempty(heading), heading).otherwise(host)
     sections = F.when(_nonempty(F.col("section_list")), F.col("section_list")).otherwise(F.lit(DOC_NO_SECTIONS))
@@ -117,7 +118,7 @@ def render_documents(
         _header(generated_at),
         F.when(F.size(F.coalesce(F.col("bs"), F.array())) > 0, F.concat(F.lit("\n\n"), body)).otherwise(F.lit("")),
     )
-    text = F.concat(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n"))
+    text = F.concat(py_strip(text), F.lit("\n"))
     out = meta.select("run_id", "hostname", text.alias("llms_txt"), F.col("pages_crawled").alias("entry_count"))
     return out.select("run_id", "hostname", "llms_txt", F.octet_length("llms_txt").cast("long").alias("size_bytes"), "entry_count")
 
@@ -177,6 +178,6 @@ def artifact_stats(artifacts: DataFrame) -> DataFrame:
         "run_id",
         F.octet_length("llms_txt").cast("long").alias("size_bytes"),
         F.col("entry_count").cast("long").alias("entry_count"),
-        F.size(F.split(F.regexp_replace("llms_txt", "\n$", ""), "\n")).cast("long").alias("line_count"),
+        F.size(split_lines("llms_txt")).cast("long").alias("line_count"),
         F.size(F.filter(F.split(F.col("llms_txt"), r"\s+"), lambda w: w != "")).cast("long").alias("word_count"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sitelens.config import DESCRIPTION_TIERS, EXTRACT_EVENT_DESC_MAX, NO_SOURCE, TITLE_TIERS
 from sitelens.functions.html import extract_signals
 from sitelens.functions.urls import normalize_sql
+from sitelens.sources.captures import header
 
 
 def url_key(e: str) -> Column:
@@ -25,7 +26,7 @@ def capture_index(captures: DataFrame) -> DataFrame:
     """S2 lookup table: the latest capture per URL key, without the body.
 
     Columns: url_key, fetched_at, status_code, content_type, etag,
-    last_modified.  Partial aggregation combines repeated captures of a hot
+    last_modified, body_bytes.  Partial aggregation combines repeated captures of a hot
     URL before the shuffle.
     """
     small = captures.select(
@@ -33,9 +34,10 @@ def capture_index(captures: DataFrame) -> DataFrame:
         F.struct(
             F.col("fetched_at"),
             F.col("status_code"),
-            F.col("headers")["content-type"].alias("content_type"),
-            F.col("headers")["etag"].alias("etag"),
-            F.col("headers")["last-modified"].alias("last_modified"),
+            header("content-type").alias("content_type"),
+            header("etag").alias("etag"),
+            header("last-modified").alias("last_modified"),
+            F.octet_length("body").alias("body_bytes"),
         ).alias("c"),
     )
     return small.groupBy("url_key").agg(F.max("c").alias("c")).select("url_key", "c.*")
@@ -140,7 +142,7 @@ def extraction_outcomes(
     """One outcome per discovered URL.
 
     outcome is 'extracted' or 'skipped'; reason is NULL, 'not_modified' or
-    'http_error'.  With ``incremental`` a stored validator equal to the
+    'http_error' (``mark_parse_errors`` adds 'parse_error').  With ``incremental`` a stored validator equal to the
     capture's (ETag first, else Last-Modified) counts as a 304.
     """
     f = fetch(discovered, index)
@@ -172,6 +174,20 @@ def extraction_outcomes(
     )
 
 
+def mark_parse_errors(outcomes: DataFrame, signals: DataFrame) -> DataFrame:
+    """Outcomes whose page the tokenizer gave up on become skipped
+    (``parse_error``), so such a page leaves an event instead of half a record."""
+    broken = signals.filter(F.col("parse_error").isNotNull()).select("url_key", F.lit(True).alias("_broken"))
+    j = outcomes.join(broken, "url_key", "left")
+    hit = F.coalesce(F.col("_broken"), F.lit(False)) & (F.col("outcome") == "extracted")
+    return j.withColumns(
+        {
+            "outcome": F.when(hit, F.lit("skipped")).otherwise(F.col("outcome")),
+            "reason": F.when(hit, F.lit("parse_error")).otherwise(F.col("reason")),
+        }
+    ).select(*outcomes.columns)
+
+
 def extracted_pages(outcomes: DataFrame, signals: DataFrame) -> DataFrame:
     """Page records of the extracted outcomes.
 
@@ -206,8 +222,10 @@ def new_validators(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def page_events(outcomes: DataFrame, pages: DataFrame) -> DataFrame:
-    """One audit event per attempted URL (metadata as JSON text)."""
+def page_events(outcomes: DataFrame, pages: DataFrame, at: str = "2024-01-31 00:00:00") -> DataFrame:
+    """One audit event per attempted URL, in the schema of the event log
+    (metadata as JSON text with its null fields kept).  A page event starts
+    and ends at the time of the response it is about, ``at`` if there is none."""
     p = pages.select(
         "run_id", "url", "title", "description",
         F.col("provenance.title").alias("title_source"),
@@ -215,7 +233,8 @@ def page_events(outcomes: DataFrame, pages: DataFrame) -> DataFrame:
         F.col("provenance.description").alias("description_source"),
         F.col("confidence.description").alias("description_confidence"),
     )
-    o = outcomes.select("run_id", "url", "provenance", "outcome", "reason", "outcome_status", "ord")
+    time = F.coalesce(F.col("fetched_at"), F.to_timestamp(F.lit(at))).cast("timestamp_ntz")
+    o = outcomes.select("run_id", "url", "provenance", "outcome", "reason", "outcome_status", "ord", time.alias("time"))
     j = o.join(p, ["run_id", "url"], "left")
     extracted_meta = F.to_json(
         F.struct(
@@ -227,10 +246,10 @@ def page_events(outcomes: DataFrame, pages: DataFrame) -> DataFrame:
             F.substring(F.col("description"), 1, EXTRACT_EVENT_DESC_MAX).alias("description"),
             F.col("description_source"),
             F.col("description_confidence"),
-        )
+        ), {"ignoreNullFields": "false"}
     )
     skipped_meta = F.to_json(
-        F.struct(F.col("url"), F.col("reason"), F.col("outcome_status").alias("status_code"))
+        F.struct(F.col("url"), F.col("reason"), F.col("outcome_status").alias("status_code")), {"ignoreNullFields": "false"}
     )
     extracted = F.col("outcome") == "extracted"
     return j.select(
@@ -240,6 +259,20 @@ def page_events(outcomes: DataFrame, pages: DataFrame) -> DataFrame:
         .otherwise(F.lit("extraction.page_skipped"))
         .alias("name"),
         F.lit("extraction").alias("system"),
+        F.col("time").alias("started_at"),
+        F.col("time").alias("completed_at"),
         F.when(extracted, extracted_meta).otherwise(skipped_meta).alias("metadata"),
         "ord",
     )
+
+
+def extraction_milestones(outcomes: DataFrame, runs: DataFrame) -> DataFrame:
+    """Pages extracted and skipped, for every run."""
+    done = F.col("outcome") == "extracted"
+    n = outcomes.groupBy("run_id").agg(
+        F.count(F.when(done, 1)).alias("pages_extracted"), F.count(F.when(~done, 1)).alias("pages_skipped")
+    )
+    zero = F.lit(0).cast("long")
+    return runs.select("run_id").join(n, "run_id", "left").select(
+        "run_id", F.coalesce("pages_extracted", zero).alias("pages_extracted"), F.coalesce("pages_skipped", zero).alias("pages_skipped")
+    )

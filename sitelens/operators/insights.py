@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions.text import py_strip, split_lines
-from sitelens.functions.urls import netloc_sql, non_content_sql, path_sql, strip_fragment_sql, suffix_sql
+from sitelens.functions.urls import netloc_sql, non_content_sql, part_sql, path_sql, raw_path_sql, strip_fragment_sql, suffix_sql
 from sitelens.operators.audit import duration_seconds
 
 # ---------------------------------------------------------------------------
@@ -46,39 +46,59 @@ def link_audit(links: DataFrame, extensions) -> DataFrame:
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
     """Allow / Disallow rules of the ``agent`` group of each robots.txt.
 
-    ``robots``: (run_id, body).  A rule belongs to the closest
-    ``User-agent`` line above it.  Returns (run_id, kind, prefix).
+    ``robots``: (run_id, body).  Consecutive ``User-agent`` lines share the
+    rules below them, and a group may occur several times.  Returns (run_id,
+    kind, prefix, pattern): a rule with ``*`` or a final ``$`` has the regular
+    expression ``pattern`` and as ``prefix`` the text before its first wildcard.
     """
-    lines = robots.select("run_id", F.posexplode(split_lines(F.col("body"))).alias("line_no", "line"))
-    low = F.lower(py_strip(F.col("line")))
+    lines = robots.select("run_id", F.posexplode(split_lines(F.col("body"))).alias("line_no", "raw"))
+    line = py_strip(F.regexp_replace("raw", "#.*$", ""))
+    lines = lines.withColumn("line", line).filter(F.col("line") != "")
+    low = F.lower("line")
     value = py_strip(F.expr("substring(line, instr(line, ':') + 1)"))
     tagged = lines.select(
         "run_id", "line_no",
-        F.when(low.startswith("user-agent:"), value).alias("agent"),
+        F.when(low.startswith("user-agent:"), F.lower(value)).alias("agent"),
         F.when(low.startswith("disallow:"), F.lit("disallow")).when(low.startswith("allow:"), F.lit("allow")).alias("kind"),
         value.alias("value"),
-    )
-    w = Window.partitionBy("run_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    grouped = tagged.withColumn("group_agent", F.last("agent", ignorenulls=True).over(w))
-    return grouped.filter(F.col("kind").isNotNull() & (F.col("value") != "") & (F.col("group_agent") == agent)).select(
-        "run_id", "kind", F.col("value").alias("prefix")
-    )
+    ).filter(F.col("agent").isNotNull() | F.col("kind").isNotNull())
+    # A group starts at a User-agent line that does not follow another one;
+    # files are small, so one run's lines are ordered together.
+    w = Window.partitionBy("run_id").orderBy("line_no")
+    starts = F.col("agent").isNotNull() & F.coalesce(F.lag("kind").over(w).isNotNull(), F.lit(True))
+    tagged = tagged.withColumn("starts", starts.cast("int"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    grouped = tagged.withColumn("grp", F.sum("starts").over(upto))
+    mine = grouped.filter(F.col("agent") == agent.lower()).select("run_id", "grp").distinct()
+    rules = grouped.filter(F.col("kind").isNotNull() & (F.col("value") != "")).join(mine, ["run_id", "grp"], "left_semi")
+    wild = F.col("value").rlike(r"[*]|[$]$")
+    body = F.regexp_replace("value", r"[$]$", "")
+    pieces = F.transform(F.split(body, r"[*]", -1), lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E")))
+    pattern = F.concat(F.lit("^"), F.array_join(pieces, ".*"), F.when(F.col("value").endswith("$"), F.lit("$")).otherwise(F.lit("")))
+    return rules.select(
+        "run_id", "kind", F.when(wild, F.regexp_extract("value", r"^([^*$]*)", 1)).otherwise(F.col("value")).alias("prefix"),
+        F.when(wild, pattern).alias("pattern"), F.length("value").alias("rule_length"),
+    ).distinct()
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Longest matching rule decides (Allow wins a tie); no rule = allowed.
+    Rules are matched against the path with its parameters and query.
 
-    Each URL expands to its own path prefixes and meets the rules with an
-    equi-join on (run_id, prefix): no URL x rule pairs are formed, and the
-    work per URL is bounded by its path length.
+    Each URL is cut to the prefix lengths that occur among the rules of its
+    run and meets the rules with an equi-join on (run_id, prefix); wildcard
+    rules are then checked on the rows that share their literal prefix.
     """
-    u = urls.withColumn("path", F.expr(path_sql("url")))
-    prefixes = u.select(
-        "run_id", "url", F.explode(F.expr("transform(sequence(1, greatest(length(path), 1)), i -> substring(path, 1, i))")).alias("prefix")
+    target = F.expr(f"concat(CASE WHEN {raw_path_sql('url')} = '' THEN '/' ELSE {raw_path_sql('url')} END, {part_sql('url', 6)})")
+    u = urls.withColumn("target", target)
+    lengths = rules.groupBy("run_id").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    cut = u.join(lengths, "run_id").select(
+        "run_id", "url", "target",
+        F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("target")), lambda n: F.substring(F.col("target"), F.lit(1), n))).alias("prefix"),
     )
-    m = prefixes.join(rules, ["run_id", "prefix"])
+    m = cut.join(rules, ["run_id", "prefix"]).filter(F.col("pattern").isNull() | F.expr("target RLIKE pattern"))
     best = m.groupBy("run_id", "url").agg(
-        F.max_by("kind", F.struct(F.length("prefix"), (F.col("kind") == "allow"))).alias("kind")
+        F.max_by("kind", F.struct(F.col("rule_length"), (F.col("kind") == "allow"))).alias("kind")
     )
     return u.join(best, ["run_id", "url"], "left").select(
         "run_id", "url", F.coalesce(F.col("kind") != "disallow", F.lit(True)).alias("allowed")
@@ -113,14 +133,11 @@ def strategy_ranking(log: DataFrame, sites: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Conditional requests
 # ---------------------------------------------------------------------------
-def conditional_savings(outcomes: DataFrame, captures: DataFrame) -> DataFrame:
+def conditional_savings(outcomes: DataFrame) -> DataFrame:
     """Per run: attempted URLs, not-modified answers, hit rate and the
-    bytes of the bodies actually fetched (body sizes are computed where
-    the captures are read; only sizes are shuffled)."""
-    from sitelens.operators.extract import url_key
-
-    sizes = captures.select(url_key("url").alias("url_key"), "fetched_at", F.octet_length("body").alias("bytes"))
-    o = outcomes.join(sizes, ["url_key", "fetched_at"], "left")
+    bytes of the bodies actually fetched (``body_bytes`` of the capture
+    index; no body is read)."""
+    o = outcomes.withColumnRenamed("body_bytes", "bytes")
     return o.groupBy("run_id").agg(
         F.count(F.lit(1)).cast("long").alias("attempted"),
         F.sum(F.when(F.col("reason") == "not_modified", 1).otherwise(0)).cast("long").alias("not_modified"),
@@ -132,14 +149,19 @@ def conditional_savings(outcomes: DataFrame, captures: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Hierarchical sections
 # ---------------------------------------------------------------------------
-def hierarchical_sections(pages: DataFrame, min_size: int = 2) -> DataFrame:
-    """Section path = first two path segments; groups smaller than
-    ``min_size`` fold up to their first segment."""
+def hierarchical_sections(pages: DataFrame, min_size: int = 2, depth: int = 2) -> DataFrame:
+    """Section path = the first ``depth`` path segments; a group smaller
+    than ``min_size`` folds up one segment at a time, down to the first."""
     segs = F.split(F.expr(f"btrim({path_sql('url')}, '/')"), "/")
-    p = pages.select("run_id", "url", F.array_join(F.slice(segs, 1, 2), "/").alias("deep"), F.get(segs, 0).alias("top"))
-    sizes = p.groupBy("run_id", "deep").agg(F.count(F.lit(1)).alias("n"))
-    p = p.join(sizes, ["run_id", "deep"])
-    return p.select("run_id", "url", F.when(F.col("n") >= min_size, F.col("deep")).otherwise(F.col("top")).alias("section_path"))
+    p = pages.select("run_id", "url", segs.alias("segs"))
+    path = F.lit(None).cast("string")
+    for level in range(depth, 1, -1):
+        p = p.withColumn("cut", F.array_join(F.slice("segs", 1, level), "/"))
+        sizes = p.groupBy("run_id", "cut").agg(F.count(F.lit(1)).alias(f"n{level}"))
+        p = p.join(sizes, ["run_id", "cut"]).withColumnRenamed("cut", f"cut{level}")
+    for level in range(2, depth + 1):
+        path = F.when(F.col(f"n{level}") >= min_size, F.col(f"cut{level}")).otherwise(path)
+    return p.select("run_id", "url", F.coalesce(path, F.get("segs", 0)).alias("section_path"))
 
 
 # ---------------------------------------------------------------------------

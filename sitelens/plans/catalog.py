@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from sitelens.config import PipelineParams
 from sitelens.functions import text as textfn
 from sitelens.functions import urls as U
-from sitelens.operators import audit, canonical, document, insights, linkgraph, views
-from sitelens.operators.discovery import discovery_milestones, fetch_bodies, site_bases
+from sitelens.operators import audit, canonical, document, extract, insights, linkgraph, views
+from sitelens.operators.discovery import discovery_milestones, expand_sitemaps, fetch_bodies, site_bases
 from sitelens.plans import jobs
 from sitelens.session import materialize, prepare_session
 from sitelens.sources import fixtures as fx
 from sitelens.sources import sitelist, store
+from sitelens.sources.captures import CAPTURE_SCHEMA, header
 from sitelens.sources.tables import read_table
 from sitelens.streaming import monitor
 
@@ -107,6 +108,17 @@ def q_d4_sitemap_urls(spark, sf):
     )
 
 
+def q_d4_deep_sitemaps(spark, sf):
+    """Sitemap indexes nested eight levels deep, expanded to the end."""
+    prepare_session(spark)
+    files = materialize(fx.deep_sitemap_captures(spark, sf), "deep-sitemaps")
+    roots = site_bases(fx.sites(spark, sf)).select(
+        "run_id", F.lit(3).alias("tier"), F.array().cast("array<long>").alias("key"), F.concat("base", F.lit("/deep-0.xml")).alias("sitemap_url")
+    )
+    found = expand_sitemaps(roots, files, materialize(extract.capture_index(files), "deep-index"))
+    return found.select("run_id", "raw_url", _key_text().alias("ord_key"))
+
+
 def q_d6_tier_gate(spark, sf):
     """Strategies that ran per site under the tier gate."""
     log = full_run(spark, sf).discovery.strategy_log
@@ -198,8 +210,6 @@ def q_e7_outcomes(spark, sf):
 def q_e6_incremental_outcomes(spark, sf):
     """Incremental extraction; a stored validator equal to the
     capture's ETag answers not-modified without parsing the page."""
-    from sitelens.operators import extract
-
     run = full_run(spark, sf)
     o = extract.extraction_outcomes(run.discovery.discovered, run.index, fx.validators(spark, sf), incremental=True)
     return o.select("run_id", "url", "outcome", "reason", F.col("outcome_status").alias("status_code"))
@@ -246,6 +256,20 @@ def q_c4_sections(spark, sf):
     return agg.select("run_id", "section", F.row_number().over(w).alias("section_order"), "entries")
 
 
+def q_c5_document_lines(spark, sf):
+    """C5 in distributed form: every line of every document with its number,
+    without collecting a site into one row."""
+    from sitelens.functions.ordering import keyed_row_number
+
+    st = full_run(spark, sf)
+    sites, _caps = crawl_inputs_cached(spark, sf)
+    counts = st.discovery.discovered.groupBy("run_id").agg(F.count(F.lit(1)).cast("long").alias("links_discovered"))
+    lines = document.document_lines(st.stages.canonical_pages, sites, counts)
+    parts = lines.select("run_id", "k0", "k1", "k2", "k3", F.posexplode(F.split("line", "\n")).alias("k4", "line"))
+    numbered = keyed_row_number(parts, ["run_id"], ["k0", "k1", "k2", "k3", "k4"], "line_no")
+    return numbered.select("run_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
 def q_c6_site_meta(spark, sf):
     """Site title / description from the home page, page and link counts."""
     st = full_run(spark, sf)
@@ -261,16 +285,14 @@ def q_c7_artifact_stats(spark, sf):
 
 def q_l7_discovery_milestone(spark, sf):
     """URLs discovered and sources used per run."""
-    return discovery_milestones(full_run(spark, sf).discovery.discovered)
+    sites, _caps = crawl_inputs_cached(spark, sf)
+    return discovery_milestones(full_run(spark, sf).discovery.discovered, sites)
 
 
 def q_l8_extraction_milestone(spark, sf):
     """Pages extracted and skipped per run."""
-    o = full_run(spark, sf).stages.outcomes
-    return o.groupBy("run_id").agg(
-        F.sum(F.when(F.col("outcome") == "extracted", 1).otherwise(0)).cast("long").alias("pages_extracted"),
-        F.sum(F.when(F.col("outcome") == "extracted", 0).otherwise(1)).cast("long").alias("pages_skipped"),
-    )
+    sites, _caps = crawl_inputs_cached(spark, sf)
+    return extract.extraction_milestones(full_run(spark, sf).stages.outcomes, sites)
 
 
 def q_l9_generation_milestone(spark, sf):
@@ -296,6 +318,7 @@ STAGE_QUERIES = {
     "d1_llms_links": q_d1_llms_links,
     "d2_robots_hints": q_d2_robots_hints,
     "d4_sitemap_urls": q_d4_sitemap_urls,
+    "d4_deep_sitemaps": q_d4_deep_sitemaps,
     "d6_tier_gate": q_d6_tier_gate,
     "d8_discovered": q_d8_discovered,
     "d9_spider_top": q_d9_spider_top,
@@ -314,6 +337,7 @@ STAGE_QUERIES = {
     "c1_canonical_pages": q_c1_canonical_pages,
     "c3_scores": q_c3_scores,
     "c4_sections": q_c4_sections,
+    "c5_document_lines": q_c5_document_lines,
     "c6_site_meta": q_c6_site_meta,
     "c7_artifact_stats": q_c7_artifact_stats,
     "l7_discovery_milestone": q_l7_discovery_milestone,
@@ -378,7 +402,7 @@ def q_e11_page_events(spark, sf):
     """Per-page audit events; descriptions cut to 120 characters."""
     e = cascade_result(spark, sf).events
     return e.select(
-        "id", "run_id", "name", "system",
+        "id", "run_id", "name", "system", "started_at", "completed_at",
         F.get_json_object("metadata", "$.url").alias("url"),
         F.get_json_object("metadata", "$.title_source").alias("title_source"),
         F.get_json_object("metadata", "$.description").alias("description"),
@@ -417,8 +441,6 @@ def captured_signals(spark: SparkSession, sf: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _SIGNALS_CACHE:
         prepare_session(spark)
-        from sitelens.operators import extract
-
         caps = fx.page_captures(spark, sf)
         _SIGNALS_CACHE[key] = materialize(extract.page_signals(caps), "page-signals")
     return _SIGNALS_CACHE[key]
@@ -487,7 +509,7 @@ def q_p11_lines(spark, sf):
 def q_p12_content_types(spark, sf):
     """Content type of every captured response and the text test."""
     _sites, caps = crawl_inputs_cached(spark, sf)
-    ct = F.col("headers")["content-type"]
+    ct = header("content-type")
     return caps.select("url", ct.alias("content_type"), (ct.contains("text/html") | ct.contains("text/plain")).alias("is_text"))
 
 
@@ -523,21 +545,29 @@ NOW = "2024-02-01 00:00:00"
 
 def _submissions(spark, sf):
     """Submitted target URLs: every page URL and every raw anchor href."""
-    pages = read_table(spark, sf, "pages").select("url")
-    hrefs = _page_hrefs(spark, sf).select(F.col("href").alias("url"))
+    pages = read_table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("submission_id"), "url")
+    hrefs = _page_hrefs(spark, sf).select(
+        F.concat(F.lit("h"), "pos", F.lit("@"), "page_url").alias("submission_id"), F.col("href").alias("url")
+    )
     return pages.unionByName(hrefs)
 
 
 def q_s1_accept_targets(spark, sf):
     """Submitted URLs accepted as queued runs or rejected with a reason."""
-    runs, rejects = store.accept_targets(_submissions(spark, sf))
-    acc = runs.select(F.col("target_url").alias("url"), F.lit(True).alias("accepted"), "run_id", "hostname",
+    runs, _items, rejects = store.accept_targets(_submissions(spark, sf))
+    acc = runs.select("submission_id", F.col("target_url").alias("url"), F.lit(True).alias("accepted"), "run_id", "hostname",
                       F.lit(None).cast("string").alias("reason"))
-    rej = rejects.select("url", F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("run_id"),
+    rej = rejects.select("submission_id", "url", F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("run_id"),
                          F.lit(None).cast("string").alias("hostname"), "reason")
     return acc.unionByName(rej)
 
 
+def q_s1_work_items(spark, sf):
+    """The queued discovery item of every accepted submission."""
+    _runs, items, _rejects = store.accept_targets(_submissions(spark, sf))
+    return items.select("id", "run_id", "stage", "state", "url", "attempt_count", "priority")
+
+
 def q_l1_transition_violations(spark, sf):
     """L1: transitions the work-item state machine forbids."""
     return audit.transition_violations(fx.work_item_transitions(spark, sf))
@@ -580,8 +610,13 @@ def q_l13_log_lines(spark, sf):
 
 def q_l14_failure_codes(spark, sf):
     """Failure classes with their HTTP-like codes and counts."""
-    _runs, rejects = store.accept_targets(_submissions(spark, sf))
-    return audit.failure_codes(fx.crawl_events(spark, sf), rejects)
+    _runs, _items, rejects = store.accept_targets(_submissions(spark, sf))
+    runs, arts = fx.runs(spark, sf), fx.artifacts(spark, sf)
+    # A document is requested for every user and for every event id as a run.
+    asked = read_table(spark, sf, "events").select(
+        F.explode(F.array(F.concat(F.lit("run-"), "user_id"), F.concat(F.lit("run-e"), "event_id"))).alias("run_id")
+    ).distinct()
+    return audit.failure_codes(fx.crawl_events(spark, sf), rejects, audit.missing_documents(asked, runs, arts))
 
 
 def q_v1_run_status(spark, sf):
@@ -661,6 +696,7 @@ def q_v15_run_labels(spark, sf):
 
 AUDIT_QUERIES = {
     "s1_accept_targets": q_s1_accept_targets,
+    "s1_work_items": q_s1_work_items,
     "l1_transition_violations": q_l1_transition_violations,
     "l2_state_gauge": q_l2_state_gauge,
     "l3_run_outcomes": q_l3_run_outcomes,
@@ -729,10 +765,8 @@ def q_r1_dedup_events(spark, sf):
     event is dropped by the watermark."""
     prepare_session(spark)
     schema, batches = _event_batches(spark, sf, with_copies=True)
-    src = monitor.scratch(spark, "r1-in")
-    monitor.write_batches(batches, src)
-    out = monitor.run_to_table(monitor.dedup_events(monitor.file_stream(spark, src, schema)), monitor.scratch(spark, "r1-out"))
-    return monitor.read_table(spark, out, "id string").select("id", "run_id", "name", "started_at")
+    out = monitor.replay(spark, batches, schema, "r1", monitor.dedup_events)
+    return monitor.read_table(spark, out, "id string", key=["id"]).select("id", "run_id", "name", "started_at")
 
 
 def q_r2_stage_throughput(spark, sf):
@@ -740,10 +774,17 @@ def q_r2_stage_throughput(spark, sf):
     update mode upserted by window and stage)."""
     prepare_session(spark)
     schema, batches = _event_batches(spark, sf, with_copies=False)
-    src = monitor.scratch(spark, "r2-in")
-    monitor.write_batches(batches, src)
-    stream = monitor.stage_throughput(monitor.file_stream(spark, src, schema))
-    out = monitor.run_to_table(stream, monitor.scratch(spark, "r2-out"), mode="update")
+    out = monitor.replay(spark, batches, schema, "r2", monitor.stage_throughput, mode="update")
+    return monitor.read_table(spark, out, "window_start timestamp_ntz", key=["window_start", "stage"])
+
+
+def q_r2_sliding(spark, sf):
+    """R2: executions and failures per stage in two-hour windows that start
+    every hour (update mode upserted by window and stage)."""
+    prepare_session(spark)
+    schema, batches = _event_batches(spark, sf, with_copies=False)
+    build = lambda s: monitor.stage_throughput(s, "2 hours", "1 hour")
+    out = monitor.replay(spark, batches, schema, "r2s", build, mode="update")
     return monitor.read_table(spark, out, "window_start timestamp_ntz", key=["window_start", "stage"])
 
 
@@ -765,10 +806,8 @@ def q_r3_activity_sessions(spark, sf):
             F.lit(None).cast("timestamp_ntz").alias("completed_at"), F.lit("{}").alias("metadata"),
         )
 
-    src = monitor.scratch(spark, "r3-in")
-    monitor.write_batches([ev, clock(1), clock(2)], src)
-    stream = monitor.activity_sessions(monitor.file_stream(spark, src, ev.schema), delay="10 minutes")
-    out = monitor.run_to_table(stream, monitor.scratch(spark, "r3-out"), mode="append")
+    build = lambda s: monitor.activity_sessions(s, delay="10 minutes")
+    out = monitor.replay(spark, [ev, clock(1), clock(2)], ev.schema, "r3", build)
     got = monitor.read_table(spark, out, "run_id string, session_start timestamp_ntz, session_end timestamp_ntz, events long")
     return got.filter(F.col("run_id") != "__clock__")
 
@@ -778,16 +817,12 @@ def q_r4_incremental_recrawl(spark, sf):
     validators changed are extracted and upserted."""
     prepare_session(spark)
     caps = fx.page_captures(spark, sf)
-    src = monitor.scratch(spark, "r4-in")
-    pages_ids = fx.site_pages(spark, sf).select(F.col("url_nf").alias("url"), "page_id")
-    tagged = caps.join(pages_ids, "url").dropDuplicates(["url", "fetched_at"])
-    monitor.write_batches([tagged.filter(F.col("page_id") % 2 == 0).drop("page_id"),
-                           tagged.filter(F.col("page_id") % 2 == 1).drop("page_id")], src)
-    out_pages, out_vals = monitor.scratch(spark, "r4-pages"), monitor.scratch(spark, "r4-validators")
-    from sitelens.sources.captures import CAPTURE_SCHEMA
-
-    stream = monitor.file_stream(spark, src, CAPTURE_SCHEMA)
-    monitor.incremental_extract(stream, fx.validators(spark, sf), out_pages, out_vals)
+    src, out_pages, out_vals, ckpt = (monitor.scratch(spark, f"r4-{n}") for n in ("in", "pages", "validators", "checkpoint"))
+    vals = materialize(fx.validators(spark, sf), "r4-stored")
+    even = F.unix_seconds("fetched_at") % 2 == 0  # page ids are seconds after the base time
+    for part in (caps.filter(even), caps.filter(~even)):
+        part.write.mode("append").parquet(src)
+        monitor.incremental_extract(monitor.file_stream(spark, src, CAPTURE_SCHEMA), vals, out_pages, out_vals, ckpt)
     return monitor.read_table(spark, out_pages, "url string, title string", key=["url"]).select("url", "title")
 
 
@@ -796,17 +831,18 @@ def q_r5_latest_item_state(spark, sf):
     prepare_session(spark)
     t = fx.work_item_transitions(spark, sf)
     mid = "2024-01-15 00:00:00"
-    src = monitor.scratch(spark, "r5-in")
-    monitor.write_batches([t.filter(F.col("created_at") < F.lit(mid).cast("timestamp_ntz")),
-                           t.filter(F.col("created_at") >= F.lit(mid).cast("timestamp_ntz"))], src)
-    stream = monitor.latest_item_state(monitor.file_stream(spark, src, t.schema))
-    out = monitor.run_to_table(stream, monitor.scratch(spark, "r5-out"), mode="update")
-    return monitor.read_table(spark, out, "work_item_id string", key=["work_item_id"]).select("work_item_id", "state")
+    before = F.col("created_at") < F.lit(mid).cast("timestamp_ntz")
+    out = monitor.replay(
+        spark, [t.filter(before), t.filter(~before)], t.schema, "r5", lambda s: s, transform=monitor.latest_item_state
+    )
+    got = monitor.read_table(spark, out, "work_item_id string", key=["work_item_id"], order=["updated_at", "seq"])
+    return got.select("work_item_id", "state")
 
 
 STREAM_QUERIES = {
     "r1_dedup_events": q_r1_dedup_events,
     "r2_stage_throughput": q_r2_stage_throughput,
+    "r2_sliding": q_r2_sliding,
     "r3_activity_sessions": q_r3_activity_sessions,
     "r4_incremental_recrawl": q_r4_incremental_recrawl,
     "r5_latest_item_state": q_r5_latest_item_state,
@@ -822,8 +858,6 @@ def q_s2_fetch(spark, sf):
     """Every discovered URL joined to its latest capture (404 if none)."""
     st = full_run(spark, sf)
     _sites, caps = crawl_inputs_cached(spark, sf)
-    from sitelens.operators import extract
-
     f = extract.fetch(st.discovery.discovered.select("run_id", "url"), extract.capture_index(caps))
     return f.select("run_id", "url", "status_code", "content_type")
 
@@ -847,20 +881,23 @@ def q_s3_site_list(spark, sf):
 
 
 def q_s4_run_upsert(spark, sf):
-    """Run updates (running runs complete) and inserts (new runs)
-    applied as a keyed upsert."""
+    """Partial run updates (running runs get a score, then complete) and
+    inserts applied as a keyed upsert; hosts and creation times stay."""
     prepare_session(spark)
     runs = fx.runs(spark, sf)
-    done = runs.filter(F.col("status") == "running").withColumn("status", F.lit("completed")).withColumn(
-        "completed_at", F.expr("created_at + INTERVAL 1 DAY")
-    )
+    live = runs.filter(F.col("status") == "running").select("run_id", "created_at")
+    scored = live.select("run_id", F.lit("running").alias("status"), F.lit(0.25).alias("score"),
+                         F.lit(None).cast("timestamp_ntz").alias("completed_at"), F.lit(1).alias("save"))
+    done = live.select("run_id", F.lit("completed").alias("status"), F.lit(0.5).alias("score"),
+                       F.expr("created_at + INTERVAL 1 DAY").alias("completed_at"), F.lit(2).alias("save"))
     new = (
         read_table(spark, sf, "events").select("event_type").distinct()
         .select(F.concat(F.lit("run-new-"), "event_type").alias("run_id"), F.lit("queued").alias("status"),
-                F.to_timestamp(F.lit("2024-02-01 00:00:00")).cast("timestamp_ntz").alias("created_at"))
+                F.to_timestamp(F.lit("2024-02-01 00:00:00")).cast("timestamp_ntz").alias("created_at"), F.lit(1).alias("save"))
     )
-    out = store.upsert(runs, done.unionByName(new, allowMissingColumns=True), ["run_id"])
-    return out.select("run_id", "status", "completed_at")
+    batch = done.unionByName(scored).unionByName(new, allowMissingColumns=True)
+    out = store.upsert(runs, batch, ["run_id"], order="save", mutable=["status", "score", "completed_at", "notes"])
+    return out.select("run_id", "hostname", "status", "score", "created_at", "completed_at")
 
 
 def q_s5_item_transitions(spark, sf):
@@ -906,15 +943,18 @@ def q_s7_page_upsert(spark, sf):
     the title of every third document."""
     prepare_session(spark)
     p = _doc_pages(spark, sf)
-    batch = p.filter(F.col("doc_id") % 3 == 0).withColumn("title", F.concat(F.lit("v2: "), "title"))
-    return store.upsert(p, batch, ["url"]).select("url", "title")
+    third = p.filter(F.col("doc_id") % 3 == 0)
+    first = third.withColumn("title", F.concat(F.lit("v2: "), "title")).withColumn("save", F.lit(1))
+    again = third.filter(F.col("doc_id") % 2 == 0).withColumn("title", F.concat(F.lit("a later v3: "), "title")).withColumn("save", F.lit(2))
+    return store.upsert(p, again.unionByName(first), ["url"], order="save").select("url", "title")
 
 
 def q_s8_validators(spark, sf):
     """Stored validators upserted with those of fresh 200 responses."""
     prepare_session(spark)
-    caps = store.latest_by_key(fx.page_captures(spark, sf), ["url"], "fetched_at").filter(F.col("status_code") == 200)
-    batch = caps.select("url", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("last_modified"))
+    caps = fx.page_captures(spark, sf).drop("body")
+    caps = store.latest_by_key(caps, ["url"], "fetched_at").filter(F.col("status_code") == 200)
+    batch = caps.select("url", header("etag").alias("etag"), header("last-modified").alias("last_modified"))
     return store.upsert(fx.validators(spark, sf), batch, ["url"]).select("url", "etag", "last_modified")
 
 
@@ -931,14 +971,17 @@ def q_s9_artifact_replace(spark, sf):
 
 def q_s10_event_log(spark, sf):
     """Stage events and per-page extraction events appended into one
-    event log (metadata kept as JSON text); counts per (system, name)."""
+    event log (metadata kept as JSON text)."""
     prepare_session(spark)
-    stage = fx.crawl_events(spark, sf).select("id", "run_id", "name", "system", "metadata")
-    pages = cascade_result(spark, sf).events.select("id", "run_id", "name", "system", "metadata")
-    log = stage.unionByName(pages)
-    return log.groupBy("system", "name").agg(
-        F.count(F.lit(1)).cast("long").alias("events"),
-        F.sum(F.when(F.expr("try_parse_json(metadata) IS NOT NULL"), 1).otherwise(0)).cast("long").alias("valid_json"),
+    columns = ["id", "run_id", "name", "system", "started_at", "completed_at", "metadata"]
+    stage = fx.crawl_events(spark, sf).select(*columns)
+    pages = cascade_result(spark, sf).events.select(*columns)
+    path = monitor.scratch(spark, "event-log")
+    for part in (stage, pages):  # appended, as two jobs would
+        part.write.mode("append").parquet(path)
+    log = spark.read.parquet(path)
+    return log.select(
+        "id", "run_id", "name", "system", "started_at", "completed_at", F.expr("try_parse_json(metadata) IS NOT NULL").alias("valid_json")
     )
 
 
@@ -1025,8 +1068,6 @@ def q_x3_robots_allowed(spark, sf):
     """Discovered URLs checked against each site's robots.txt rules."""
     st = full_run(spark, sf)
     sites, caps = crawl_inputs_cached(spark, sf)
-    from sitelens.operators import extract
-
     files = _INPUT_CACHE[(spark.sparkContext.applicationId, sf)][2]
     bases = site_bases(sites).withColumn("fetch_url", F.concat("base", F.lit("/robots.txt")))
     robots = fetch_bodies(bases, files, extract.capture_index(files)).filter(F.col("status_code") == 200)
@@ -1053,8 +1094,7 @@ def q_x6_completeness(spark, sf):
 
 def q_x7_conditional_savings(spark, sf):
     """Not-modified hit rate and bytes fetched per run."""
-    _sites, caps = crawl_inputs_cached(spark, sf)
-    return insights.conditional_savings(full_run(spark, sf).stages.outcomes, caps)
+    return insights.conditional_savings(full_run(spark, sf).stages.outcomes)
 
 
 def q_x8_hierarchical_sections(spark, sf):
@@ -1067,7 +1107,7 @@ def q_x9_markdown_pages(spark, sf):
     prepare_session(spark)
     md = fx.markdown_captures(spark, sf)
     title, desc = insights.markdown_metadata(F.col("body"))
-    return md.filter(F.col("headers")["content-type"].contains("markdown")).select("url", title.alias("title"), desc.alias("description"))
+    return md.filter(header("content-type").contains("markdown")).select("url", title.alias("title"), desc.alias("description"))
 
 
 def q_x10_document_diff(spark, sf):
@@ -1095,8 +1135,6 @@ def q_x13_fresh_importance(spark, sf):
     """Scan in-links weighted by the age of the page's Last-Modified."""
     st = full_run(spark, sf)
     _sites, caps = crawl_inputs_cached(spark, sf)
-    from sitelens.operators import extract
-
     ranked = linkgraph.rank_pages(st.discovery.scan)
     out = insights.fresh_importance(ranked, extract.capture_index(caps), NOW)
     return out.select(F.col("site").alias("run_id"), F.col("url_key").alias("url"), "fresh_score")

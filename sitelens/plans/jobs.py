@@ -18,6 +18,7 @@ from sitelens.config import PipelineParams
 from sitelens.functions.urls import canonical_url, url_netloc
 from sitelens.operators import canonical, document, extract
 from sitelens.session import ensure_checkpoint_dir, materialize
+from sitelens.sources.captures import header
 
 
 @dataclass
@@ -36,7 +37,7 @@ class StageResult:
 def captured_candidates(sites: DataFrame, captures: DataFrame) -> DataFrame:
     """Candidates of ``index_captured_pages``: captured HTML pages of each
     site's host, in capture order."""
-    c = captures.filter(F.lower(F.col("headers")["content-type"]).contains("text/html")).select(
+    c = captures.filter(F.lower(header("content-type")).contains("text/html")).select(
         url_netloc("url").alias("hostname"), "url", "fetched_at"
     )
     return c.join(sites.select("run_id", "hostname"), "hostname").select(
@@ -62,7 +63,8 @@ def finish_sites(
     # though several later stages read them.
     index = index if index is not None else materialize(extract.capture_index(captures), "capture-index")
     signals = signals if signals is not None else materialize(extract.page_signals(captures, index), "signals")
-    outcomes = materialize(extract.extraction_outcomes(discovered, index, validators, params.incremental), "outcomes")
+    outcomes = extract.extraction_outcomes(discovered, index, validators, params.incremental)
+    outcomes = materialize(extract.mark_parse_errors(outcomes, signals), "outcomes")
     pages = materialize(extract.extracted_pages(outcomes, signals), "pages")
     canon = materialize(canonical.canonicalize(pages), "canonical-pages")
     # Redundancy over the extracted pages' canonical URLs (replace semantics
@@ -81,7 +83,7 @@ def finish_sites(
         scores=scores,
         artifacts=artifacts,
         validators=extract.new_validators(outcomes),
-        events=extract.page_events(outcomes, pages),
+        events=extract.page_events(outcomes, pages, params.generated_at),
         signals=signals,
     )
 
@@ -121,7 +123,7 @@ def run_all_stages(
     index = materialize(extract.capture_index(captures), "capture-index")
     signals = materialize(extract.page_signals(captures, index), "signals")
     disc = discovery_mod.discover(
-        sites, captures, index, signals, params.spider, params.sitemap_max_depth, files=files
+        sites, captures, index, signals, params.spider, files=files
     )
     stages = finish_sites(sites, disc.discovered, captures, params, validators, index=index, signals=signals)
     return FullResult(discovery=disc, stages=stages, index=index)

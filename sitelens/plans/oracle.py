@@ -462,6 +462,10 @@ FROM sites WHERE length(hostname) % 4 = 1"""),
     "d4_sitemap_urls": _pipe("""
 SELECT run_id, raw_url, CAST(ord.tier AS BIGINT) AS tier, array_to_string(ord.key, '.') AS ord_key
 FROM cand WHERE source = 'sitemap'"""),
+    "d4_deep_sitemaps": _with() + """
+SELECT substr(sha256(host), 1, 16) AS run_id, url_nf AS raw_url,
+       repeat('0.0.', CAST(k AS INTEGER)) || CASE WHEN k < 7 THEN '0.1.1.' ELSE '0.0.1.' END || CAST((i - 1) // 8 AS VARCHAR) AS ord_key
+FROM (SELECT host, i, url_nf, (i - 1) % 8 AS k FROM site_pages)""",
     "d6_tier_gate": _pipe("""
 SELECT run_id, CASE length(hostname) % 4
     WHEN 0 THEN 'direct_llms,robots_hints' WHEN 1 THEN 'direct_llms,robots_hints'
@@ -577,14 +581,18 @@ SELECT run_id, size_bytes, entry_count,
        CAST(len(list_filter(regexp_split_to_array(llms_txt, '\\s+'), lambda w: w <> '')) AS BIGINT) AS word_count
 FROM docs"""),
     "l7_discovery_milestone": _pipe("""
-SELECT run_id, CAST(count(*) AS BIGINT) AS pages_discovered,
-       array_to_string(list_sort(list_distinct(list(provenance))), ',') AS strategies_used
-FROM discovered GROUP BY run_id"""),
+SELECT s.run_id, CAST(count(d.url) AS BIGINT) AS pages_discovered,
+       coalesce(array_to_string(list_sort(list_distinct(list(provenance) FILTER (WHERE provenance IS NOT NULL))), ','), '') AS strategies_used
+FROM sites s LEFT JOIN discovered d USING (run_id) GROUP BY s.run_id"""),
     "l8_extraction_milestone": _pipe("""
-SELECT d.run_id,
-       CAST(sum(CASE WHEN c.status = 200 THEN 1 ELSE 0 END) AS BIGINT) AS pages_extracted,
-       CAST(sum(CASE WHEN c.status = 200 THEN 0 ELSE 1 END) AS BIGINT) AS pages_skipped
-FROM discovered d LEFT JOIN pipe_caps c ON c.url_key = d.url GROUP BY d.run_id"""),
+SELECT s.run_id,
+       CAST(count(d.url) FILTER (WHERE c.status = 200) AS BIGINT) AS pages_extracted,
+       CAST(count(d.url) FILTER (WHERE c.status IS DISTINCT FROM 200) AS BIGINT) AS pages_skipped
+FROM sites s LEFT JOIN discovered d USING (run_id) LEFT JOIN pipe_caps c ON c.url_key = d.url GROUP BY s.run_id"""),
+    "c5_document_lines": _pipe2(_document_sql("canon_pages", "pipe_links") + """,
+docs AS (""" + _documents_select() + """)""", """
+SELECT run_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS line_no, unnest(l) AS line
+FROM (SELECT run_id, string_split(regexp_replace(llms_txt, '\n$', ''), chr(10)) AS l FROM docs)"""),
     "l9_generation_milestone": _pipe2(_document_sql("canon_pages", "pipe_links") + """,
 docs AS (""" + _documents_select() + """)""", """
 SELECT run_id, size_bytes AS llmstxt_size_bytes, entry_count, entry_count AS total_pages_indexed FROM docs"""),
@@ -634,6 +642,7 @@ FROM dd""",
     "e11_page_events": _with(_DOCS) + """
 SELECT substr(sha256(run_id || '|' || url || '|extraction'), 1, 32) AS id, run_id,
        'extraction.page_extracted' AS name, 'extraction' AS system, url,
+       TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS started_at, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS completed_at,
        CASE k WHEN 0 THEN 'title' WHEN 1 THEN 'og:title' WHEN 2 THEN 'twitter:title' WHEN 3 THEN 'jsonld:headline'
               WHEN 4 THEN 'title' WHEN 7 THEN 'title' ELSE 'none' END AS title_source,
        CASE WHEN k IN (4, 6) THEN NULL ELSE substr(d, 1, 120) END AS description,
@@ -781,12 +790,17 @@ _MS_ITEM = "CAST(trunc(date_diff('microsecond', created_at, updated_at) / 100000
 
 AUDIT_ORACLES = {
     "s1_accept_targets": _with(_PAGE_HREFS) + f"""
-SELECT url, true AS accepted, substr(sha256(url), 1, 16) AS run_id, {d_part('url', 4)} AS hostname, CAST(NULL AS VARCHAR) AS reason
+SELECT 'p' || page_id AS submission_id, url, true AS accepted, substr(sha256('p' || page_id || '|' || url), 1, 16) AS run_id,
+       {d_part('url', 4)} AS hostname, CAST(NULL AS VARCHAR) AS reason
 FROM pages
 UNION ALL
-SELECT href, false, NULL, NULL,
+SELECT 'h' || pos || '@' || page_url, href, false, NULL, NULL,
        CASE WHEN NOT regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN 'missing scheme' ELSE 'missing host' END
 FROM ph""",
+    "s1_work_items": _with() + """
+SELECT 'wi-' || substr(sha256('p' || page_id || '|' || url), 1, 16) AS id, substr(sha256('p' || page_id || '|' || url), 1, 16) AS run_id,
+       'discovery' AS stage, 'queued' AS state, url, CAST(0 AS BIGINT) AS attempt_count, CAST(100 AS BIGINT) AS priority
+FROM pages""",
     "l1_transition_violations": _audit("""
 SELECT work_item_id, from_state, to_state, created_at FROM tr
 WHERE from_state IS NOT NULL
@@ -825,6 +839,9 @@ SELECT id, '{"name":"' || name || '"' || CASE WHEN outcome IS NOT NULL THEN ',"o
     "l14_failure_codes": _audit("""
 SELECT failure_class, CAST(http_code AS BIGINT) AS http_code, CAST(n AS BIGINT) AS occurrences FROM (
   SELECT 'invalid_input' AS failure_class, 422 AS http_code, (SELECT count(*) FROM ph) AS n
+  UNION ALL SELECT 'not_found', 404,
+    (SELECT count(DISTINCT event_id) FROM events) + (SELECT count(*) FROM (SELECT DISTINCT 'run-' || user_id AS run_id FROM events) q
+      WHERE q.run_id NOT IN (SELECT run_id FROM arts))
   UNION ALL SELECT 'stage_failure', 500, (SELECT count(*) FROM ce WHERE outcome = 'failure')
 ) WHERE n > 0""", _PAGE_HREFS),
     "v1_run_status": _audit("SELECT run_id, hostname, status, score, created_at, completed_at FROM runs"),
@@ -912,6 +929,11 @@ SELECT date_trunc('day', started_at) AS window_start, date_trunc('day', started_
        system AS stage, CAST(count(*) AS BIGINT) AS executions,
        CAST(sum(CASE WHEN outcome = 'failure' THEN 1 ELSE 0 END) AS BIGINT) AS failures
 FROM ce GROUP BY 1, 2, 3"""),
+    "r2_sliding": _audit("""
+SELECT ws AS window_start, ws + INTERVAL 2 HOUR AS window_end, system AS stage, CAST(count(*) AS BIGINT) AS executions,
+       CAST(sum(CASE WHEN outcome = 'failure' THEN 1 ELSE 0 END) AS BIGINT) AS failures
+FROM (SELECT system, outcome, unnest([date_trunc('hour', started_at), date_trunc('hour', started_at) - INTERVAL 1 HOUR]) AS ws FROM ce)
+GROUP BY 1, 2, 3"""),
     "r3_activity_sessions": _audit("""
 SELECT run_id, min(started_at) AS session_start, max(started_at) + INTERVAL 30 MINUTE AS session_end, CAST(count(*) AS BIGINT) AS events
 FROM (
@@ -957,11 +979,12 @@ SELECT CASE length(host) % 4 WHEN 0 THEN 'llms_txt' WHEN 1 THEN 'robots_hints' E
        host AS site_id, 'https://' || host AS url
 FROM (SELECT DISTINCT host FROM sp0) WHERE length(host) % 4 <> 3""",
     "s4_run_upsert": _audit("""
-SELECT run_id, CASE WHEN status = 'running' THEN 'completed' ELSE status END AS status,
+SELECT run_id, hostname, CASE WHEN status = 'running' THEN 'completed' ELSE status END AS status,
+       CASE WHEN status = 'running' THEN 0.5 ELSE score END AS score, created_at,
        CASE WHEN status = 'running' THEN created_at + INTERVAL 1 DAY ELSE completed_at END AS completed_at
 FROM runs
 UNION ALL
-SELECT 'run-new-' || event_type, 'queued', NULL FROM (SELECT DISTINCT event_type FROM events)"""),
+SELECT 'run-new-' || event_type, NULL, 'queued', NULL, TIMESTAMP '2024-02-01 00:00:00', NULL FROM (SELECT DISTINCT event_type FROM events)"""),
     "s5_item_transitions": _audit("""
 SELECT 'wi-' || CAST(event_id AS VARCHAR) AS work_item_id, NULL AS from_state, 'queued' AS to_state, started_at AS created_at FROM sl
 UNION ALL SELECT 'wi-' || CAST(event_id AS VARCHAR), 'queued', 'processing', started_at + INTERVAL 1 MICROSECOND FROM sl
@@ -972,7 +995,7 @@ SELECT DISTINCT substr(sha256(host), 1, 16) AS run_id, url_nf AS url FROM site_p
 WHERE page_id % 2 = 1
   AND NOT EXISTS (SELECT 1 FROM site_pages e WHERE e.page_id % 2 = 0 AND e.url_nf = p.url_nf AND e.host = p.host)""",
     "s7_page_upsert": _with(_DOCS) + """
-SELECT url, CASE WHEN doc_id % 3 = 0 THEN 'v2: ' || t ELSE t END AS title FROM dd""",
+SELECT url, CASE WHEN doc_id % 6 = 0 THEN 'a later v3: ' || t WHEN doc_id % 3 = 0 THEN 'v2: ' || t ELSE t END AS title FROM dd""",
     "s8_validators": _with("""
 lp AS (SELECT * FROM site_pages WHERE page_id IN (SELECT max(page_id) FROM site_pages GROUP BY url_nf))""") + """
 SELECT url_nf AS url, md5(html) AS etag, 'Mon, 01 Jan 2024 00:00:00 GMT' AS last_modified
@@ -984,9 +1007,11 @@ FROM lp WHERE page_id % 3 <> 2 AND NOT (page_id % 10 <> 0 AND page_id % 11 <> 0)
 SELECT run_id, CAST(strlen(t) AS BIGINT) AS size_bytes, split_part(t, chr(10), 1) AS first_line FROM (
   SELECT run_id, CASE WHEN CAST(split_part(run_id, '-', 2) AS BIGINT) % 2 = 0 THEN upper(llms_txt) ELSE llms_txt END AS t FROM arts)"""),
     "s10_event_log": _audit("""
-SELECT system, name, CAST(count(*) AS BIGINT) AS events, CAST(count(*) AS BIGINT) AS valid_json FROM ce GROUP BY system, name
+SELECT id, run_id, name, system, started_at, completed_at, true AS valid_json FROM ce
 UNION ALL
-SELECT 'extraction', 'extraction.page_extracted', CAST(count(*) AS BIGINT), CAST(count(*) AS BIGINT) FROM documents"""),
+SELECT substr(sha256(run_id || '|' || url || '|extraction'), 1, 32), run_id, 'extraction.page_extracted', 'extraction',
+       TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id), TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id), true
+FROM dd""", _DOCS),
 }
 
 
@@ -1022,6 +1047,7 @@ FROM (SELECT page_url, pos, link,
     "x3_robots_allowed": _pipe(f"""
 SELECT d.run_id, d.url,
   CASE WHEN length(s.hostname) % 4 = 1 THEN NOT ((starts_with({d_path('d.url')}, '/de/') AND NOT starts_with({d_path('d.url')}, '/de/1'))
+                                               OR (ends_with({d_part('d.url', 5)} || {d_part('d.url', 6)}, '7') AND NOT starts_with({d_path('d.url')}, '/de/1'))
                                                OR starts_with({d_path('d.url')}, '/admin'))
        ELSE true END AS allowed
 FROM discovered d JOIN sites s USING (run_id)"""),
@@ -1046,14 +1072,16 @@ FROM (
   WHERE x.o <= 2 OR (x.o = 3 AND length(s.hostname) % 4 IN (2, 3)) OR (x.o = 4 AND length(s.hostname) % 4 = 3)
 )"""),
     "x6_completeness": _pipe(f"""
-SELECT run_id, round(avg(CASE WHEN coalesce(title, '') <> '' THEN 1.0 ELSE 0.0 END), 4) AS title_completeness,
-       CAST(0.0 AS DOUBLE) AS description_completeness, total, total < 0.5 AS needs_review
+SELECT s.run_id, coalesce(x.title_completeness, 0.0) AS title_completeness, CAST(0.0 AS DOUBLE) AS description_completeness,
+       coalesce(x.total, 0.0) AS total, coalesce(x.total < 0.5, true) AS needs_review
+FROM sites s LEFT JOIN (
+SELECT run_id, round(avg(CASE WHEN coalesce(title, '') <> '' THEN 1.0 ELSE 0.0 END), 4) AS title_completeness, total
 FROM (SELECT p.*, round(
         ((sum(CASE WHEN coalesce(title,'') <> '' THEN 1 ELSE 0 END) OVER w / count(*) OVER w) / 2) * 0.4
         + avg(conf / 2) OVER w * 0.4
         + (count(DISTINCT {canon('url')}) OVER w / count(*) OVER w) * 0.2, 4) AS total
       FROM pipe_pages p WINDOW w AS (PARTITION BY run_id))
-GROUP BY run_id, total"""),
+GROUP BY run_id, total) x USING (run_id)"""),
     "x7_conditional_savings": _pipe2(_BODY_LEN, """
 SELECT d.run_id, CAST(count(*) AS BIGINT) AS attempted,
        CAST(sum(CASE WHEN c.status = 304 THEN 1 ELSE 0 END) AS BIGINT) AS not_modified,

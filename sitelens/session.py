@@ -28,6 +28,8 @@ _RUNTIME_CONF = {
     # ...and by bytes, so a run of very large pages cannot blow up a batch.
     "spark.sql.execution.arrow.maxBytesPerBatch": "67108864b",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # JSON objects that repeat a key are read, the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CAPTURE_SCHEMA = T.StructType(
@@ -33,6 +34,12 @@ SITE_SCHEMA = T.StructType(
 )
 
 
+def header(name: str, headers: str = "headers") -> Column:
+    """Value of a response header; names are compared without case, the
+    first one listed counts."""
+    return F.get(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name.lower()), 0)["value"]
+
+
 def captures_from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Rows of (url, status, body[, headers]) -> capture table.
 

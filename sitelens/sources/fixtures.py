@@ -13,8 +13,8 @@ page inside its host by ``page_id``):
   ``page_id % 10 = 0``, else 304 when ``page_id % 11 = 0``, else 200;
   ``etag = md5(html)``.
 * discovery files by ``length(host) % 4``: 0 an ``llms.txt`` listing the
-  host's pages, 1 a ``robots.txt`` with an ``LLMS:`` hint, a sitemap and
-  Disallow / Allow rules,
+  host's pages, 1 a ``robots.txt`` with an ``LLMS:`` hint, a sitemap,
+  Disallow / Allow rules and a second group shared by two agents,
   2 a ``/sitemap.xml`` (an index of odd / even child sitemaps plus a
   self reference when the host has more than 4 pages), 3 nothing: those
   hosts get a home page linking page 1, and page ``i`` gains links to
@@ -90,11 +90,12 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _headers(content_type: str, etag: Column) -> Column:
+def _headers(content_type: str | Column, etag: Column) -> Column:
+    """Response headers, spelled as servers send them."""
     return F.create_map(
-        F.lit("content-type"), F.lit(content_type),
-        F.lit("etag"), etag,
-        F.lit("last-modified"), F.lit(LAST_MODIFIED),
+        F.lit("Content-Type"), F.lit(content_type),
+        F.lit("ETag"), etag,
+        F.lit("Last-Modified"), F.lit(LAST_MODIFIED),
     )
 
 
@@ -204,7 +205,7 @@ def discovery_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("text/plain").alias("ctype"),
         F.concat(
             F.lit("User-agent: *\nDisallow: /admin\nLLMS: /llms-full.txt\n  Sitemap: "),
-            base, F.lit("/ignored.xml\nSitemap: "), base, F.lit("/sitemap-pages.xml\nDisallow: /de/\nAllow: /de/1\n"),
+            base, F.lit("/ignored.xml\nSitemap: "), base, F.lit("/sitemap-pages.xml\nDisallow: /de/\nAllow: /de/1\n\nUser-agent: other\nUser-agent: *\nDisallow: /*7$\n"),
         ).alias("body"),
     )
     robots_map = per_host.filter(F.col("tier") == 1).select(
@@ -257,6 +258,28 @@ def discovery_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deep_sitemap_captures(spark: SparkSession, sf_dir: str, levels: int = 8) -> DataFrame:
+    """Sitemap indexes nested ``levels`` deep per host: ``/deep-<k>.xml``
+    lists ``/deep-<k+1>.xml`` (but for the last) and ``/set-<k>.xml``, which
+    holds the pages with ``(i - 1) % levels = k`` in order."""
+    sp = site_pages(spark, sf_dir).select("host", "i", "url_nf")
+    base = F.concat(F.lit("https://"), F.col("host"))
+    sets = sp.groupBy("host", ((F.col("i") - 1) % levels).alias("k")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "url_nf"))), lambda x: x["url_nf"]).alias("locs")
+    ).select(F.concat(base, F.lit("/set-"), F.col("k").cast("string"), F.lit(".xml")).alias("url"), _urlset(F.col("locs")).alias("body"))
+    k = F.col("k")
+    own = F.concat(base, F.lit("/set-"), k.cast("string"), F.lit(".xml"))
+    child = F.concat(base, F.lit("/deep-"), (k + 1).cast("string"), F.lit(".xml"))
+    index = sp.select("host").distinct().select("host", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("k")).select(
+        F.concat(base, F.lit("/deep-"), k.cast("string"), F.lit(".xml")).alias("url"),
+        _sitemap_index(F.when(k < levels - 1, F.array(child, own)).otherwise(F.array(own))).alias("body"),
+    )
+    return sets.unionByName(index).select(
+        "url", F.lit(200).alias("status_code"), _headers(F.lit("application/xml"), F.md5("body")).alias("headers"), "body",
+        F.to_timestamp(F.lit(BASE_TIME)).alias("fetched_at"),
+    )
+
+
 def crawl_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything a crawl of the driver hosts would have fetched."""
     return page_captures(spark, sf_dir, link_graph=True).unionByName(discovery_captures(spark, sf_dir))

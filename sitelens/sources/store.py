@@ -1,9 +1,9 @@
 """Stored tables and their write rules.
 
 Tables are Parquet; there is no row-level MERGE, so every keyed write is a
-set operation: union of the old table and the new batch, then a window
-that keeps the winning row per key, written back with overwrite.  All of
-them shuffle once on the table key and work for any batch size.
+set operation: the newest batch row per key (a partial aggregate), joined
+to the old table on its key, written back with overwrite.  All of them
+shuffle on the table key and work for any batch size.
 """
 
 from __future__ import annotations
@@ -17,29 +17,46 @@ from sitelens.functions.urls import netloc_sql
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 
 
-def accept_targets(submissions: DataFrame, created_at: str = "2024-01-01 00:00:00") -> tuple[DataFrame, DataFrame]:
-    """A submitted URL becomes a queued run when it has a scheme and a
-    network location; everything else goes to ``rejects``.
+def accept_targets(submissions: DataFrame, created_at: str = "2024-01-01 00:00:00") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A submitted URL becomes a queued run with a queued discovery item
+    when it has a scheme and a network location; everything else goes to
+    ``rejects``.
 
-    Returns (runs, rejects).  run_id is derived from the URL (stable).
+    ``submissions``: (submission_id, url); every submission is a run of its
+    own, also of a URL submitted before.  Returns (runs, work items, rejects).
     """
     has_scheme = F.col("url").rlike(_SCHEME)
     net = F.expr(netloc_sql("url"))
     ok = has_scheme & (net != "")
-    s = submissions.select("url", ok.alias("ok"), net.alias("netloc"), has_scheme.alias("has_scheme"))
+    s = submissions.select("submission_id", "url", ok.alias("ok"), net.alias("netloc"), has_scheme.alias("has_scheme"))
+    at = F.to_timestamp(F.lit(created_at))
     runs = s.filter("ok").select(
-        F.substring(F.sha2(F.col("url"), 256), 1, 16).alias("run_id"),
+        F.substring(F.sha2(F.concat_ws("|", "submission_id", "url"), 256), 1, 16).alias("run_id"),
         F.col("url").alias("target_url"),
         F.col("netloc").alias("hostname"),
         F.lit("queued").alias("status"),
-        F.to_timestamp(F.lit(created_at)).alias("created_at"),
+        at.alias("created_at"),
+        "submission_id",
+    )
+    items = runs.select(
+        F.concat(F.lit("wi-"), "run_id").alias("id"),
+        "run_id",
+        F.lit("discovery").alias("stage"),
+        F.lit("queued").alias("state"),
+        F.col("target_url").alias("url"),
+        F.lit(0).alias("attempt_count"),
+        F.lit(None).cast("string").alias("last_error"),
+        F.lit(100).alias("priority"),
+        "created_at",
+        F.col("created_at").alias("updated_at"),
     )
     rejects = s.filter(~F.col("ok")).select(
+        "submission_id",
         "url",
         F.lit("url").alias("field"),
         F.when(~F.col("has_scheme"), F.lit("missing scheme")).otherwise(F.lit("missing host")).alias("reason"),
     )
-    return runs, rejects
+    return runs, items, rejects
 
 
 def latest_by_key(rows: DataFrame, key: list[str], order_col: str) -> DataFrame:
@@ -57,12 +74,34 @@ def latest_by_key(rows: DataFrame, key: list[str], order_col: str) -> DataFrame:
     return agg.select(*key, *[F.col("_r")[c].alias(c) for c in others]).select(*rows.columns)
 
 
-def upsert(existing: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``batch`` replace rows of ``existing`` with the
-    same key; other rows are kept."""
-    old = existing.withColumn("_b", F.lit(0))
-    new = batch.withColumn("_b", F.lit(1))
-    return latest_by_key(old.unionByName(new, allowMissingColumns=True), key, "_b").drop("_b")
+def upsert(
+    existing: DataFrame, batch: DataFrame, key: list[str], order: str | None = None, mutable: list[str] | None = None
+) -> DataFrame:
+    """``batch`` rows update the ``existing`` row of their key
+    field by field, or are inserted.
+
+    Of several batch rows with one key the largest by ``order`` counts (a
+    batch without ``order`` must hold a key once).  An update sets the
+    ``mutable`` columns the batch has (default: all of them); other columns
+    keep their stored value.  Columns of ``batch`` unknown to ``existing``
+    (such as ``order``) are not stored.
+    """
+    new = latest_by_key(batch, key, order) if order else batch
+    columns = existing.columns
+    settable = [c for c in (mutable or columns) if c in new.columns and c not in key]
+    inserted = [c for c in columns if c in new.columns and c not in key]
+    n = new.select(*key, *[F.col(c).alias(f"_new_{c}") for c in inserted], F.lit(True).alias("_new"))
+    o = existing.withColumn("_old", F.lit(True))
+    j = o.join(n, key, "full_outer")
+
+    def value(c: str):
+        if c in key or c not in inserted:
+            return F.col(c)
+        if c in settable:
+            return F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
+        return F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_new_{c}")).alias(c)
+
+    return j.select(*[value(c) for c in columns])
 
 
 def insert_ignore(existing: DataFrame, batch: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -1,20 +1,23 @@
 """Structured Streaming over the event log and captured responses.
 
-Sources are file streams (Parquet directories); sinks are ``foreachBatch``
-writers that keep a keyed Parquet table, so a restarted query resumes from
-its checkpoint and rewrites the same keys (idempotent).  State is bounded
-by watermarks: rows older than the watermark are dropped as late.
+Sources are file streams (Parquet directories).  Sinks are ``foreachBatch``
+writers: every micro-batch overwrites its own ``batch_id=<n>`` folder, so a
+replayed batch rewrites the same rows instead of adding copies, and readers
+keep the newest row per key.  The checkpoint is an argument: a query started
+again on the same checkpoint and output goes on where it stopped.  State is
+bounded by watermarks (R1-R3) or kept in the sink table (R4, R5).
 """
 
 from __future__ import annotations
 
-import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.session import ensure_checkpoint_dir
+from sitelens.sources.captures import header
 from sitelens.sources.store import latest_by_key
 
 
@@ -27,35 +30,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/sitelens-stream/{name}-{uuid.uuid4().hex}"
 
 
-def write_batches(batches: list[DataFrame], path: str) -> None:
-    """Lay out a stream input: each DataFrame becomes one file, written in
-    order, so ``maxFilesPerTrigger=1`` replays them as micro-batches (the
-    file source orders files by modification time; the short pause keeps
-    the order on stores that record whole seconds)."""
-    for i, df in enumerate(batches):
-        if i:
-            time.sleep(1.1)
-        df.coalesce(1).write.mode("append").parquet(path)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All files of ``path`` that the query's checkpoint has not seen yet."""
+    return spark.readStream.schema(schema).parquet(path)
 
 
-def run_to_table(stream: DataFrame, out_path: str, mode: str = "append", key: list[str] | None = None) -> str:
-    """Run ``stream`` until the input is drained (availableNow) into a
-    Parquet table; with ``key`` each batch's rows are tagged with the batch
-    id so readers keep the newest row per key (update-mode upsert)."""
-    spark = stream.sparkSession
-    ckpt = scratch(spark, "ckpt")
+def run_to_table(
+    stream: DataFrame,
+    out_path: str,
+    checkpoint: str,
+    mode: str = "append",
+    transform: Callable[[DataFrame], DataFrame] | None = None,
+) -> str:
+    """Run ``stream`` until its input is drained (availableNow) into a table
+    with one folder per micro-batch; ``transform`` is applied to each batch."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        rows = transform(batch) if transform else batch
+        rows.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     q = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(sink)
-        .option("checkpointLocation", ckpt)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
@@ -63,15 +65,36 @@ def run_to_table(stream: DataFrame, out_path: str, mode: str = "append", key: li
     return out_path
 
 
-def read_table(spark: SparkSession, path: str, schema: str, key: list[str] | None = None) -> DataFrame:
-    """Read a sink table; with ``key`` keep the latest batch per key."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing was emitted
+def replay(
+    spark: SparkSession,
+    batches: list[DataFrame],
+    schema,
+    name: str,
+    build: Callable[[DataFrame], DataFrame],
+    mode: str = "append",
+    transform: Callable[[DataFrame], DataFrame] | None = None,
+) -> str:
+    """Append each of ``batches`` to a stream input and run the query on it,
+    every run starting again from the same checkpoint.  Returns the output."""
+    src, out, checkpoint = (scratch(spark, f"{name}-{part}") for part in ("in", "out", "checkpoint"))
+    for df in batches:
+        df.write.mode("append").parquet(src)
+        run_to_table(build(file_stream(spark, src, schema)), out, checkpoint, mode, transform)
+    return out
+
+
+def read_table(
+    spark: SparkSession, path: str, schema: str, key: list[str] | None = None, order: list[str] | None = None
+) -> DataFrame:
+    """Read a sink table; with ``key`` keep one row per key, the largest by
+    ``order`` and the newest batch.  A sink that never ran is empty."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    df = spark.read.parquet(path)
     if key:
-        df = latest_by_key(df, key, "_batch")
-    return df.drop("_batch")
+        df = df.withColumn("_order", F.struct(*(order or []), "batch_id"))
+        df = latest_by_key(df, key, "_order").drop("_order")
+    return df.drop("batch_id")
 
 
 # ---------------------------------------------------------------------------
@@ -91,13 +114,16 @@ def dedup_events(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def stage_throughput(events: DataFrame, window: str = "1 day", delay: str = "10 minutes") -> DataFrame:
-    """R2: executions and failures per stage per tumbling window."""
+def stage_throughput(
+    events: DataFrame, window: str = "1 day", slide: str | None = None, delay: str = "10 minutes"
+) -> DataFrame:
+    """R2: executions and failures per stage per window (tumbling, or sliding
+    every ``slide``)."""
     failed = F.get_json_object("metadata", "$.outcome") == "failure"
     return (
         _event_time(events)
         .withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", window).alias("w"), F.col("system").alias("stage"))
+        .groupBy(F.window("event_time", window, slide).alias("w"), F.col("system").alias("stage"))
         .agg(
             F.count(F.lit(1)).alias("executions"),
             F.sum(F.when(failed, 1).otherwise(0)).alias("failures"),
@@ -128,58 +154,72 @@ def activity_sessions(events: DataFrame, gap: str = "30 minutes", delay: str | N
 
 
 def latest_item_state(transitions: DataFrame) -> DataFrame:
-    """Current state of each work item (update mode)."""
-    return transitions.groupBy("work_item_id").agg(
-        F.max_by("to_state", F.struct("created_at", "seq")).alias("state"),
-        F.max("created_at").alias("updated_at"),
+    """Latest state of each work item in a batch of transitions.  Applied
+    per micro-batch: the keyed sink holds the states, the query itself none,
+    so nothing grows with the number of items ever seen."""
+    latest = F.max(F.struct("created_at", "seq", "to_state"))
+    return transitions.groupBy("work_item_id").agg(latest.alias("m")).select(
+        "work_item_id", F.col("m.to_state").alias("state"), F.col("m.created_at").alias("updated_at"), F.col("m.seq").alias("seq")
     )
 
 
 # ---------------------------------------------------------------------------
 # Incremental recrawl
 # ---------------------------------------------------------------------------
-def incremental_extract(captures: DataFrame, validators: DataFrame, out_pages: str, out_validators: str) -> None:
+_VALIDATORS = "url string, etag string, last_modified string"
+
+
+def unchanged(etag: Column, last_modified: Column) -> Column:
+    """Does the stored validator (``old_etag``, else ``old_last_modified``)
+    equal the response's?"""
+    return F.coalesce(
+        F.when(F.col("old_etag").isNotNull(), F.col("old_etag") == etag).when(
+            F.col("old_last_modified").isNotNull(), F.col("old_last_modified") == last_modified
+        ),
+        F.lit(False),
+    )
+
+
+def incremental_extract(
+    captures: DataFrame, validators: DataFrame, out_pages: str, out_validators: str, checkpoint: str
+) -> None:
     """For each micro-batch of captured responses, only rows whose
     validators changed (or that have none) reach extraction; their pages
-    and new validators are upserted.
+    and new validators are upserted, and later batches are compared with the
+    validators of the earlier ones.
 
     ``captures`` is a streaming DataFrame of the capture schema;
-    ``validators`` a static (url, etag, last_modified) table.
+    ``validators`` the (url, etag, last_modified) table before the first batch.
     """
     from sitelens.operators import extract
 
     spark = captures.sparkSession
-    ckpt = scratch(spark, "recrawl-ckpt")
-    stored = validators.select(
-        extract.url_key("url").alias("url_key"),
-        F.col("etag").alias("old_etag"),
-        F.col("last_modified").alias("old_last_modified"),
-    )
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        b = batch.filter(F.col("status_code") == 200).withColumn("url_key", extract.url_key("url"))
-        b = b.join(stored, "url_key", "left")
-        same = F.coalesce(
-            F.when(F.col("old_etag").isNotNull(), F.col("old_etag") == F.col("headers")["etag"]).when(
-                F.col("old_last_modified").isNotNull(), F.col("old_last_modified") == F.col("headers")["last-modified"]
-            ),
-            F.lit(False),
+    def stored(batch_id: int) -> DataFrame:
+        """Validators as they were before this batch (also on a replay)."""
+        old = validators.select("url", "etag", "last_modified", F.lit(-1).alias("batch_id"))
+        if path_exists(spark, out_validators):
+            new = spark.read.parquet(out_validators).filter(F.col("batch_id") < batch_id)
+            old = old.unionByName(new.select("url", "etag", "last_modified", F.col("batch_id").cast("int")))
+        old = old.withColumn("url_key", extract.url_key("url"))
+        return latest_by_key(old, ["url_key"], "batch_id").select(
+            "url_key", F.col("etag").alias("old_etag"), F.col("last_modified").alias("old_last_modified")
         )
-        changed = b.filter(~same).drop("old_etag", "old_last_modified", "url_key")
-        sig = extract.apply_cascades(extract.page_signals(changed))
-        pages = sig.select(
-            F.col("url_key").alias("url"),
-            F.col("title_value").alias("title"),
-            F.col("description_value").alias("description"),
-            F.lit(batch_id).alias("_batch"),
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        b = batch.filter(F.col("status_code") == 200).withColumns(
+            {"url_key": extract.url_key("url"), "etag": header("etag"), "last_modified": header("last-modified")}
         )
-        pages.write.mode("append").parquet(out_pages)
-        changed.select(
-            "url",
-            F.col("headers")["etag"].alias("etag"),
-            F.col("headers")["last-modified"].alias("last_modified"),
-            F.lit(batch_id).alias("_batch"),
-        ).write.mode("append").parquet(out_validators)
-
-    q = captures.writeStream.foreachBatch(process).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+        changed = b.join(stored(batch_id), "url_key", "left").filter(~unchanged(F.col("etag"), F.col("last_modified")))
+        # The body-free side is written first; the HTML pass reads the batch
+        # once more, restricted to its keys.
+        new = changed.groupBy("url_key").agg(F.max(F.struct("fetched_at", "url", "etag", "last_modified")).alias("m"))
+        new.select("url_key", "m.*").write.mode("overwrite").parquet(f"{out_validators}/batch_id={batch_id}")
+        keys = spark.read.parquet(f"{out_validators}/batch_id={batch_id}").select("url_key", "fetched_at")
+        sig = extract.page_signals(b.drop("etag", "last_modified"), keys)
+        extract.apply_cascades(sig).select(
+            F.col("url_key").alias("url"), F.col("title_value").alias("title"), F.col("description_value").alias("description")
+        ).write.mode("overwrite").parquet(f"{out_pages}/batch_id={batch_id}")
+
+    q = captures.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -59,6 +59,13 @@ def test_sitemap_index_cycle_malformed_prefixed(spark):
     assert log[("c.com", "direct_llms")].status_code == 404 and log[("c.com", "spider")].success
 
 
+def test_sitemaps_nested_deeper_than_any_cap(spark):
+    rows = [(f"https://n.com/{'sitemap' if k == 0 else f's{k}'}.xml", 200, _index(f"https://n.com/s{k + 1}.xml")) for k in range(9)]
+    rows.append(("https://n.com/s9.xml", 200, _urlset("https://n.com/deep")))
+    found, _res = _discover(spark, rows, ["https://n.com"])
+    assert found["n.com"] == [("https://n.com/deep", "sitemap")]
+
+
 def test_gating_skips_later_tiers(spark):
     rows = [
         ("https://d.com/llms.txt", 200, "- [A](/a)"),

@@ -1,7 +1,7 @@
 """E1-E8 cascades on literal HTML (reference worker / page-indexer cases
 plus the JSON-LD and meta edge cases it leaves untested)."""
 
-from sitelens.functions.html import parse_signals
+from sitelens.functions.html import jsonld_string, parse_signals
 from sitelens.operators import extract
 from sitelens.sources.captures import captures_from_rows
 
@@ -32,18 +32,48 @@ def test_twitter_fallback_uses_property(spark):
     assert (r.description_value, r.description_source) == ("TD", "twitter:description")
 
 
-def test_jsonld_rules():
-    def ld(*scripts):
-        body = "".join(f'<script type="application/ld+json">{s}</script>' for s in scripts)
-        return parse_signals(f"<html><head>{body}</head></html>", "https://e.com/")
-
-    assert ld('{"headline": "H", "description": "D"}')["ld_headline"] == "H"
-    assert ld('[{"headline": 1}, {"headline": " L "}]')["ld_headline"] == "L"
-    assert ld("{bad json", '{"headline": "after"}')["ld_headline"] == "after"
-    assert ld('{"@graph": [{"headline": "deep"}]}')["ld_headline"] is None
-    assert ld('"just a string"')["ld_headline"] is None
-    assert ld('{"headline": null}', '{"headline": "n"}')["ld_headline"] == "n"
-    assert ld('{"headline": ""}', '{"headline": "later"}')["ld_headline"] == ""
+def test_jsonld_rules(spark):
+    cases = [
+        (['{"headline": "H", "description": "D"}'], "H"),
+        (['[{"headline": 1}, {"headline": " L "}]'], "L"),
+        (["{bad json", '{"headline": "after"}'], "after"),
+        (['{"@graph": [{"headline": "deep"}]}'], None),
+        (['"just a string"'], None),
+        (['{"headline": null}', '{"headline": "n"}'], "n"),
+        (['{"headline": ""}', '{"headline": "later"}'], ""),
+        (["[" * 200_000 + "]" * 200_000, '{"headline": "ok"}'], "ok"),
+        (['{"headline": "a", "headline": "b"}'], "b"),
+        ([], None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, scripts array<string>")
+    got = {r.i: r.v for r in df.select("i", jsonld_string("scripts", "headline").alias("v")).collect()}
+    assert got == {i: c[1] for i, c in enumerate(cases)}
+
+
+def test_hostile_pages_do_not_end_the_job(spark):
+    pages = {
+        "https://e.com/1": "<head><title>a&#xD800;b</title><meta name='description' content='&#xDFFF;x'></head>",
+        "https://e.com/2": '<head><script type="application/ld+json">{"headline": "\\ud800"}</script></head>',
+        "https://e.com/3": '<head><script type="application/ld+json">' + "[" * 50_000 + "</script><title>T</title></head>",
+    }
+    got = _pages(spark, pages)
+    assert got["https://e.com/1"].title_value == "a\ufffdb"
+    assert got["https://e.com/2"].title_source == "jsonld:headline"
+    assert got["https://e.com/3"].title_value == "T"
+    assert all(r.parse_error is None for r in got.values())
+
+
+def test_pages_with_a_parse_error_are_skipped(spark, monkeypatch):
+    outcomes = spark.createDataFrame([("k1", "extracted", None), ("k2", "extracted", None)], "url_key string, outcome string, reason string")
+    signals = spark.createDataFrame([("k1", None), ("k2", "AssertionError")], "url_key string, parse_error string")
+    got = {r.url_key: (r.outcome, r.reason) for r in extract.mark_parse_errors(outcomes, signals).collect()}
+    assert got == {"k1": ("extracted", None), "k2": ("skipped", "parse_error")}
+
+
+def test_header_names_without_case(spark):
+    rows = [("https://e.com/h", 200, "<title>x</title>", {"CONTENT-type": "text/html", "eTag": "1", "Last-modified": "d"})]
+    r = extract.capture_index(captures_from_rows(spark, rows)).first()
+    assert (r.content_type, r.etag, r.last_modified) == ("text/html", "1", "d")
 
 
 def test_first_meta_only_and_empty_content(spark):

@@ -30,6 +30,15 @@ def test_robots_rules_longest_match(spark):
     }
 
 
+def test_robots_shared_groups_and_wildcards(spark):
+    body = "User-agent: *\nUser-agent: foo\nDisallow: /a # note\nDisallow: /*.pdf$\nDisallow: /s?q=\nAllow: /a/*/ok\n\nUser-agent: x\nDisallow: /\n"
+    rules = insights.robots_rules(spark.createDataFrame([("r", body)], "run_id string, body string"))
+    urls = {"/a/b": False, "/a/b/ok": True, "/x.pdf": False, "/x.pdf?d=1": True, "/s?q=1": False, "/s": True, "": True}
+    df = spark.createDataFrame([("r", "https://e.com" + u) for u in urls], "run_id string, url string")
+    got = {r.url.removeprefix("https://e.com"): r.allowed for r in insights.robots_allowed(df, rules).collect()}
+    assert got == urls
+
+
 def test_markdown_metadata(spark):
     docs = [
         ("# Title here\n\nFirst line\nsecond line\n\nNext para\n",),
@@ -62,6 +71,10 @@ def test_upsert_insert_ignore_transitions(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 20), ("c", 30)], "k string, v int")
     assert sorted(tuple(r) for r in store.upsert(old, new, ["k"]).collect()) == [("a", 1), ("b", 20), ("c", 30)]
+    runs = spark.createDataFrame([("r", "h", "queued", 0)], "run_id string, host string, status string, n int")
+    saves = spark.createDataFrame([("r", "running", 2, 1), ("r", "completed", 3, 2), ("x", "queued", 0, 1)], "run_id string, status string, n int, save int")
+    got = store.upsert(runs, saves, ["run_id"], order="save", mutable=["status", "n"]).orderBy("run_id").collect()
+    assert [tuple(r) for r in got] == [("r", "h", "completed", 3), ("x", None, "queued", 0)]
     table, inserted = store.insert_ignore(old, new.unionByName(new), ["k"])
     assert [r.k for r in inserted.collect()] == ["c"] and table.count() == 3
     t0 = dt.datetime(2024, 1, 1)
@@ -74,9 +87,12 @@ def test_upsert_insert_ignore_transitions(spark):
 
 
 def test_accept_targets(spark):
-    sub = spark.createDataFrame([("https://e.com/x",), ("/rel",), ("mailto:x@e.com",), ("1http://bad",)], "url string")
-    runs, rejects = store.accept_targets(sub)
-    assert [r.hostname for r in runs.collect()] == ["e.com"]
+    urls = ["https://e.com/x", "/rel", "mailto:x@e.com", "1http://bad", "https://e.com/x"]
+    sub = spark.createDataFrame([(str(i), u) for i, u in enumerate(urls)], "submission_id string, url string")
+    runs, items, rejects = store.accept_targets(sub)
+    ids = [r.run_id for r in runs.collect()]
+    assert [r.hostname for r in runs.collect()] == ["e.com"] * 2 and len(set(ids)) == 2
+    assert [(r.run_id, r.state, r.stage) for r in items.collect()] == [(i, "queued", "discovery") for i in ids]
     assert {r.url: r.reason for r in rejects.collect()} == {
         "/rel": "missing scheme", "mailto:x@e.com": "missing host", "1http://bad": "missing scheme"
     }

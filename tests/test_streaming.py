@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from sitelens.streaming import monitor
 
 EV = "id string, run_id string, name string, system string, started_at timestamp_ntz, completed_at timestamp_ntz, metadata string"
@@ -19,10 +17,8 @@ def test_dedup_and_late_rows(spark):
     b1 = [_ev(1, 0), _ev(2, 5), _ev(2, 5), _ev(3, 60)]
     b2 = [_ev(3, 60), _ev(4, 61)]
     b3 = [("late", "r", "stage.discovery", "discovery", T0 - dt.timedelta(days=1), None, "{}"), _ev(5, 62)]
-    src = monitor.scratch(spark, "t-in")
-    monitor.write_batches([spark.createDataFrame(b, EV) for b in (b1, b2, b3)], src)
     schema = spark.createDataFrame([], EV).schema
-    out = monitor.run_to_table(monitor.dedup_events(monitor.file_stream(spark, src, schema)), monitor.scratch(spark, "t-out"))
+    out = monitor.replay(spark, [spark.createDataFrame(b, EV) for b in (b1, b2, b3)], schema, "t", monitor.dedup_events)
     ids = sorted(r.id for r in monitor.read_table(spark, out, "id string").collect())
     assert ids == ["e1", "e2", "e3", "e4", "e5"]
 
@@ -30,11 +26,9 @@ def test_dedup_and_late_rows(spark):
 def test_windows_update_mode_and_sessions(spark):
     b1 = [_ev(1, 0), _ev(2, 10, "failure"), _ev(3, 100)]
     b2 = [_ev(4, 130)]
-    src = monitor.scratch(spark, "t-in")
-    monitor.write_batches([spark.createDataFrame(b, EV) for b in (b1, b2)], src)
     schema = spark.createDataFrame([], EV).schema
-    stream = monitor.stage_throughput(monitor.file_stream(spark, src, schema), window="1 hour")
-    out = monitor.run_to_table(stream, monitor.scratch(spark, "t-out"), mode="update")
+    batches = [spark.createDataFrame(b, EV) for b in (b1, b2)]
+    out = monitor.replay(spark, batches, schema, "t", lambda s: monitor.stage_throughput(s, "1 hour"), mode="update")
     rows = {(r.window_start.hour, r.executions, r.failures) for r in monitor.read_table(spark, out, "x int", key=["window_start", "stage"]).collect()}
     assert rows == {(0, 2, 1), (1, 1, 0), (2, 1, 0)}
     static = spark.createDataFrame(b1 + b2, EV)
@@ -46,10 +40,42 @@ def test_latest_item_state_upserts(spark):
     schema = "work_item_id string, from_state string, to_state string, created_at timestamp_ntz, seq int"
     b1 = [("w", None, "queued", T0, 0), ("w", "queued", "processing", T0, 1)]
     b2 = [("w", "processing", "completed", T0 + dt.timedelta(seconds=5), 2), ("v", None, "queued", T0, 0)]
-    src = monitor.scratch(spark, "t-in")
-    monitor.write_batches([spark.createDataFrame(b, schema) for b in (b1, b2)], src)
-    stream = monitor.latest_item_state(monitor.file_stream(spark, src, spark.createDataFrame([], schema).schema))
-    out = monitor.run_to_table(stream, monitor.scratch(spark, "t-out"), mode="update")
-    got = {r.work_item_id: r.state for r in monitor.read_table(spark, out, "x int", key=["work_item_id"]).collect()}
-    assert got == {"w": "completed", "v": "queued"}
-    assert F is not None
+    batches = [spark.createDataFrame(b, schema) for b in (b1, b2)]
+    out = monitor.replay(
+        spark, batches, batches[0].schema, "t", lambda s: s, transform=monitor.latest_item_state
+    )
+    got = monitor.read_table(spark, out, "x int", key=["work_item_id"], order=["updated_at", "seq"]).collect()
+    assert {r.work_item_id: r.state for r in got} == {"w": "completed", "v": "queued"}
+
+
+def test_restart_and_replayed_batch_leave_no_duplicates(spark):
+    schema = spark.createDataFrame([], EV).schema
+    src, out, ckpt = (monitor.scratch(spark, n) for n in ("t-in", "t-out", "t-ckpt"))
+    assert monitor.read_table(spark, out, "id string").count() == 0  # never ran
+    for part in ([_ev(1, 0), _ev(2, 5)], [_ev(2, 5), _ev(3, 7)]):
+        spark.createDataFrame(part, EV).write.mode("append").parquet(src)
+        monitor.run_to_table(monitor.dedup_events(monitor.file_stream(spark, src, schema)), out, ckpt)
+    assert sorted(r.id for r in monitor.read_table(spark, out, "id string").collect()) == ["e1", "e2", "e3"]
+    # Forget that the last batch was committed: it is run again into its own folder.
+    fs = spark._jvm.org.apache.hadoop.fs.Path(ckpt).getFileSystem(spark._jsc.hadoopConfiguration())
+    commits = sorted(int(f.getPath().getName()) for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(ckpt + "/commits")) if f.getPath().getName().isdigit())
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{ckpt}/commits/{commits[-1]}"), False)
+    monitor.run_to_table(monitor.dedup_events(monitor.file_stream(spark, src, schema)), out, ckpt)
+    assert sorted(r.id for r in monitor.read_table(spark, out, "id string").collect()) == ["e1", "e2", "e3"]
+
+
+def test_recrawl_compares_with_validators_of_earlier_batches(spark):
+    from sitelens.sources.captures import CAPTURE_SCHEMA, captures_from_rows
+
+    page = lambda title: f"<html><head><title>{title}</title></head></html>"
+    batches = [
+        [("https://e.com/a", 200, page("A"), {"ETag": "1"}), ("https://e.com/b", 200, page("B"), {"etag": "old"})],
+        [("https://e.com/a", 200, page("A again"), {"ETAG": "1"}), ("https://e.com/b", 200, page("B2"), {"Etag": "new"})],
+    ]
+    stored = spark.createDataFrame([("https://e.com/b", "old", None)], "url string, etag string, last_modified string")
+    src, pages, vals, ckpt = (monitor.scratch(spark, n) for n in ("t-in", "t-pages", "t-vals", "t-ckpt"))
+    for rows in batches:
+        captures_from_rows(spark, rows).write.mode("append").parquet(src)
+        monitor.incremental_extract(monitor.file_stream(spark, src, CAPTURE_SCHEMA), stored, pages, vals, ckpt)
+    got = {r.url: r.title for r in monitor.read_table(spark, pages, "url string, title string", key=["url"]).collect()}
+    assert got == {"https://e.com/a": "A", "https://e.com/b": "B2"}
