@@ -37,6 +37,13 @@ def canonicalize(pages: DataFrame) -> DataFrame:
     return agg.select("run_id", F.col("canonical").alias("url"), *[F.col("w")[c].alias(c) for c in PAGE_COLS], "ord")
 
 
+def write_back(stored: DataFrame, canonical: DataFrame) -> DataFrame:
+    """The stored pages after a run's canonical pages have replaced what
+    the run had stored; pages of other runs stay."""
+    others = stored.join(canonical.select("run_id").distinct(), "run_id", "left_anti")
+    return others.unionByName(canonical.select(*stored.columns))
+
+
 def url_clusters(pages: DataFrame) -> DataFrame:
     """Raw URL -> canonical URL, cluster id and cluster size."""
     p = pages.select("run_id", "url", canonical_url("url").alias("canonical_url"))

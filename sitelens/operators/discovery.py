@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from sitelens.config import LLMS_LINK, SITEMAP_NS, SpiderBounds
 from sitelens.functions.text import py_strip, split_lines
-from sitelens.functions.urls import normalize_http_url, resolve_url, url_scheme, valid_http_url
+from sitelens.functions.urls import netloc_sql, normalize_http_url, resolve_url, url_raw_path, url_scheme, valid_http_url
 from sitelens.operators import linkgraph
-from sitelens.operators.extract import capture_index, url_key
+from sitelens.operators.extract import capture_index, page_signals, url_key
 from sitelens.session import materialize
 
 SITEMAP_SCHEMA = "sitemap array<struct<loc:string>>, url array<struct<loc:string>>"
@@ -42,10 +42,9 @@ def site_bases(sites: DataFrame) -> DataFrame:
 def fetch_bodies(cands: DataFrame, captures: DataFrame, index: DataFrame, url_col: str = "fetch_url") -> DataFrame:
     """S2 with the body: latest capture of each candidate URL.
 
-    ``captures`` should be the discovery-file captures (robots.txt,
-    llms.txt, sitemaps; see ``discover(files=...)``), a small table, so
-    bringing bodies to the candidates never shuffles page bodies.  The key
-    join runs against the body-free capture index first.
+    ``captures`` are the discovery-file captures (``discovery_files``), a
+    small table, so bringing bodies to the candidates never shuffles page
+    bodies.  The key join runs against the body-free capture index first.
     """
     c = cands.withColumn("url_key", url_key(url_col))
     c = c.join(index.select("url_key", "fetched_at", "status_code"), "url_key", "left")
@@ -54,6 +53,14 @@ def fetch_bodies(cands: DataFrame, captures: DataFrame, index: DataFrame, url_co
     return c.withColumn("status_code", F.coalesce("status_code", F.lit(404)))
 
 
+def discovery_files(captures: DataFrame) -> DataFrame:
+    """The captures that discovery may fetch: llms.txt and robots.txt by
+    path, sitemaps by their namespace.  A map-only filter over the captures;
+    what is left is small, and page bodies never reach a join."""
+    path = url_raw_path("url")
+    return captures.filter(path.isin("/llms.txt", "/robots.txt") | F.col("body").contains(SITEMAP_NS))
+
+
 def _ord(tier: int, key: Column) -> Column:
     return F.struct(F.lit(tier).alias("tier"), key.cast("array<long>").alias("key"))
 
@@ -228,6 +235,7 @@ class DiscoveryResult:
     rejects: DataFrame  # run_id, url, field, reason
     strategy_log: DataFrame
     scan: linkgraph.ScanResult | None
+    signals: DataFrame  # of the pages on scanned hosts
 
 
 def first_source(cands: DataFrame) -> DataFrame:
@@ -241,23 +249,21 @@ def discover(
     sites: DataFrame,
     captures: DataFrame,
     index: DataFrame,
-    signals: DataFrame,
     bounds: SpiderBounds | None = None,
     files: DataFrame | None = None,
 ) -> DiscoveryResult:
     """Run the tiers with gating for every site.
 
-    ``files``: the captures of discovery fetches (llms.txt, robots.txt,
-    sitemaps).  When given, their bodies are looked up there, so the join
-    that brings bodies to the candidate URLs never touches the page
-    captures; otherwise ``captures`` serves both.
+    ``files``: the captures of discovery fetches, if they are stored apart;
+    otherwise they are picked from ``captures`` once.  Only pages on the
+    hosts that reach the link-graph scan are parsed here.
     """
     b = bounds or SpiderBounds()
     bases = site_bases(sites)
     page_index = index
-    if files is not None:
-        captures = files
-        index = materialize(capture_index(files), "files-index")
+    pages = captures
+    captures = files if files is not None else materialize(discovery_files(captures), "discovery-files")
+    index = materialize(capture_index(captures), "files-index")
     llms, log1 = llms_strategy(bases, captures, index)
     llms = materialize(llms, "cand-llms")
     robots, log2 = robots_strategy(bases, captures, index)
@@ -269,6 +275,9 @@ def discover(
     smap = materialize(smap, "cand-sitemap")
     hit3 = smap.filter(valid_http_url("raw_url")).select("run_id").distinct()
     bases4 = bases3.join(hit3, "run_id", "left_anti")
+    hosts = bases4.select("hostname").distinct()
+    keys = page_index.join(hosts, F.expr(netloc_sql("url_key")) == F.col("hostname"), "left_semi")
+    signals = materialize(page_signals(pages, keys), "spider-signals")
     spider, log4, scan = spider_strategy(bases4, page_index, signals, b)
     spider = materialize(spider, "cand-spider")
     cands = tier12.unionByName(smap).unionByName(spider)
@@ -277,7 +286,7 @@ def discover(
     )
     logs = log1.unionByName(log2).unionByName(log3).unionByName(log4)
     discovered = materialize(first_source(cands), "discovered")
-    return DiscoveryResult(discovered, cands, rejects, logs, scan)
+    return DiscoveryResult(discovered, cands, rejects, logs, scan, signals)
 
 
 def discovery_milestones(discovered: DataFrame, runs: DataFrame) -> DataFrame:

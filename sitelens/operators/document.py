@@ -159,16 +159,15 @@ def document_lines(
 
 
 def write_documents(lines: DataFrame, path: str) -> None:
-    """Text sink: one folder per run, lines in document order (range
-    partitioned, so a very large site spans several tasks and files)."""
+    """Document sink: (run_id, line) in document order, range-partitioned, so
+    a very large site spans several tasks and many small sites share a file."""
     keys = ["run_id", "k0", "k1", "k2", "k3"]
     (
         lines.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .select("run_id", "line")
         .write.mode("overwrite")
-        .partitionBy("run_id")
-        .text(path)
+        .parquet(path)
     )
 
 

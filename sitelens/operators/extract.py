@@ -43,18 +43,28 @@ def capture_index(captures: DataFrame) -> DataFrame:
     return small.groupBy("url_key").agg(F.max("c").alias("c")).select("url_key", "c.*")
 
 
-def page_signals(captures: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """E1 on the latest successful capture of every URL (map-only pass).
+#: Keys up to this number are broadcast, so pages that are not wanted are
+#: skipped before they are parsed; beyond it they are parsed and dropped after.
+KEY_BROADCAST_ROWS = 2_000_000
+
+
+def page_signals(captures: DataFrame, keys: DataFrame | None = None, broadcast_rows: int = KEY_BROADCAST_ROWS) -> DataFrame:
+    """E1 on the successful captures named by ``keys`` (url_key, fetched_at;
+    default: the latest capture of every URL), a map-only pass.
 
     Returns url_key + the signal columns of ``sitelens.functions.html``.
+    Bodies cross no shuffle either way: with few keys they meet the broadcast
+    keys before the parser, otherwise their signals are joined to the keys.
     """
     ok = captures.filter(F.col("status_code") == 200).select(
         url_key("url").alias("url_key"), "fetched_at", "url", F.col("body").alias("html")
     )
+    keys = (keys if keys is not None else capture_index(captures)).select("url_key", "fetched_at")
+    if keys.count() <= broadcast_rows:
+        wanted = ok.join(F.broadcast(keys), ["url_key", "fetched_at"], "left_semi")
+        return extract_signals(wanted, keep=["url_key"]).drop("url")
     sig = extract_signals(ok, keep=["url_key", "fetched_at"])
-    index = index if index is not None else capture_index(captures)
-    latest = index.select("url_key", "fetched_at")
-    return sig.join(latest, ["url_key", "fetched_at"], "left_semi").drop("fetched_at", "url")
+    return sig.join(keys, ["url_key", "fetched_at"], "left_semi").drop("fetched_at", "url")
 
 
 def fetch(candidates: DataFrame, index: DataFrame, url_col: str = "url") -> DataFrame:
@@ -215,6 +225,18 @@ def extracted_pages(outcomes: DataFrame, signals: DataFrame) -> DataFrame:
     )
 
 
+def index_page(url: str, captures: DataFrame, run_id: str, provenance: str = "crawl") -> DataFrame:
+    """The page record of a single URL (E8 on one row); no row when it
+    was not captured or not answered with 200.  Only captures of the URL are
+    parsed."""
+    spark = captures.sparkSession
+    one = spark.createDataFrame([(run_id, url, provenance, 0)], "run_id string, url string, provenance string, ord int")
+    own = captures.join(F.broadcast(one.select(url_key("url").alias("_key"))), url_key("url") == F.col("_key"), "left_semi")
+    index = capture_index(own)
+    outcomes = extraction_outcomes(one, index)
+    return extracted_pages(outcomes, page_signals(own, index))
+
+
 def new_validators(outcomes: DataFrame) -> DataFrame:
     """Validators taken from the responses of extracted pages."""
     return outcomes.filter(F.col("outcome") == "extracted").select(

@@ -201,6 +201,54 @@ def q_g7_scan_summary(spark, sf):
     return linkgraph.scan_summary(scan).withColumnRenamed("site", "run_id")
 
 
+def q_l11_batch_spans(spark, sf):
+    """The stage events that the batch itself wrote, per run."""
+    ev = full_run(spark, sf).trail.events.filter(F.col("name").startswith("stage."))
+    return ev.select(
+        "run_id", "name", "system", F.get_json_object("metadata", "$.outcome").alias("outcome"),
+        (F.col("completed_at") >= F.col("started_at")).alias("closed"),
+    )
+
+
+def q_s5_batch_transitions(spark, sf):
+    """Work items of the batch and their state changes, in order."""
+    trail = full_run(spark, sf).trail
+    t = trail.transitions.join(trail.work_items.select(F.col("id").alias("work_item_id"), "run_id", "stage", "state"), "work_item_id")
+    return t.select("run_id", "stage", "seq", "from_state", "to_state", "state")
+
+
+def q_v1_batch_runs(spark, sf):
+    """V1: the runs that the batch completed, with their scores."""
+    return full_run(spark, sf).trail.runs.select("run_id", "hostname", "status", "score", F.col("completed_at").isNotNull().alias("done"))
+
+
+def q_c2_write_back(spark, sf):
+    """Stored pages after the canonical pages replaced those of their run."""
+    st = full_run(spark, sf).stages
+    old = st.pages.select("run_id", "url", "title").unionByName(
+        st.pages.select(F.concat(F.lit("other-"), "run_id").alias("run_id"), "url", "title"))
+    return canonical.write_back(old, st.canonical_pages.select("run_id", "url", "title"))
+
+
+def q_e9_single_page(spark, sf):
+    """The record of the page with the largest id among those answered
+    with 200, from a lookup of its URL alone."""
+    prepare_session(spark)
+    row = read_table(spark, sf, "pages").filter((F.col("page_id") % 10 != 0) & (F.col("page_id") % 11 != 0)).agg(
+        F.max_by("url", "page_id").alias("url")).first()
+    p = extract.index_page(row.url.partition("#")[0], fx.page_captures(spark, sf), "single")
+    return p.select("run_id", "url", "title", F.col("provenance.title").alias("title_source"), F.col("confidence.title").alias("title_confidence"))
+
+
+def q_e6_incremental_pages(spark, sf):
+    """Pages of an incremental run; unchanged pages are not parsed."""
+    run = full_run(spark, sf)
+    sites, caps = crawl_inputs_cached(spark, sf)
+    st = jobs.finish_sites(sites, run.discovery.discovered, caps, PipelineParams(incremental=True), fx.validators(spark, sf), index=run.index)
+    parsed = st.signals.select("url_key", F.lit(True).alias("parsed"))
+    return st.pages.join(parsed, "url_key", "full_outer").select("run_id", "url", "title", "parsed")
+
+
 def q_e7_outcomes(spark, sf):
     """Extraction outcome per discovered URL."""
     o = full_run(spark, sf).stages.outcomes
@@ -208,8 +256,8 @@ def q_e7_outcomes(spark, sf):
 
 
 def q_e6_incremental_outcomes(spark, sf):
-    """Incremental extraction; a stored validator equal to the
-    capture's ETag answers not-modified without parsing the page."""
+    """Outcomes of an incremental run; a stored validator equal to the
+    capture's answers not-modified."""
     run = full_run(spark, sf)
     o = extract.extraction_outcomes(run.discovery.discovered, run.index, fx.validators(spark, sf), incremental=True)
     return o.select("run_id", "url", "outcome", "reason", F.col("outcome_status").alias("status_code"))
@@ -332,6 +380,12 @@ STAGE_QUERIES = {
     "g7_scan_summary": q_g7_scan_summary,
     "e6_incremental_outcomes": q_e6_incremental_outcomes,
     "e7_outcomes": q_e7_outcomes,
+    "e6_incremental_pages": q_e6_incremental_pages,
+    "e9_single_page": q_e9_single_page,
+    "c2_write_back": q_c2_write_back,
+    "l11_batch_spans": q_l11_batch_spans,
+    "s5_batch_transitions": q_s5_batch_transitions,
+    "v1_batch_runs": q_v1_batch_runs,
     "e8_pages": q_e8_pages,
     "e10_validators": q_e10_validators,
     "c1_canonical_pages": q_c1_canonical_pages,
@@ -986,11 +1040,11 @@ def q_s10_event_log(spark, sf):
 
 
 def q_s11_read_pages(spark, sf):
-    """Canonical pages written partitioned by run_id and read back
+    """Page records written clustered by run_id and read back
     with their provenance / confidence structs decoded."""
     st = full_run(spark, sf)
     path = monitor.scratch(spark, "pages-table")
-    store.write_table(st.stages.pages.drop("url_key"), path, ["run_id"])
+    store.write_table(st.stages.pages.drop("url_key"), path, "run_id")
     p = spark.read.parquet(path)
     return p.select(
         "run_id", "url", "title",

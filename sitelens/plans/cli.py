@@ -52,12 +52,15 @@ def run(spark: SparkSession, sites_path: str, captures_path: str, out: str, vali
         "scores": st.scores,
         "artifacts": st.artifacts,
         "validators": st.validators,
-        "events": st.events.drop("ord"),
+        "runs": res.trail.runs,
+        "work_items": res.trail.work_items,
+        "transitions": res.trail.transitions,
+        "events": res.trail.events,
     }
     written = {}
     for name, df in outputs.items():
         path = f"{out.rstrip('/')}/{name}"
-        store.write_table(df, path, ["run_id"] if "run_id" in df.columns else None)
+        store.write_table(df, path, "run_id" if "run_id" in df.columns else None)
         written[name] = path
     counts = res.discovery.discovered.groupBy("run_id").agg(F.count(F.lit(1)).cast("long").alias("links_discovered"))
     lines = document.document_lines(st.canonical_pages, sites, counts, params.generated_at)

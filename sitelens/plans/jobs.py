@@ -10,11 +10,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.config import PipelineParams
+from sitelens.config import STAGES, PipelineParams
 from sitelens.functions.urls import canonical_url, url_netloc
 from sitelens.operators import canonical, document, extract
 from sitelens.session import ensure_checkpoint_dir, materialize
@@ -60,10 +61,18 @@ def finish_sites(
     """Extraction, canonicalization, scoring and generation for all sites."""
     # Stage boundaries are written once (small rows, no bodies): the HTML
     # pass and every join behind a stage output run a single time even
-    # though several later stages read them.
+    # though several later stages read them.  The outcomes are decided on the
+    # body-free index, so only pages that are extracted are parsed, and of
+    # these only the ones the link-graph scan has not parsed yet.
     index = index if index is not None else materialize(extract.capture_index(captures), "capture-index")
-    signals = signals if signals is not None else materialize(extract.page_signals(captures, index), "signals")
     outcomes = extract.extraction_outcomes(discovered, index, validators, params.incremental)
+    if signals is None or validators is not None:
+        outcomes = materialize(outcomes, "attempts")
+    wanted = outcomes.filter(F.col("outcome") == "extracted").select("url_key", "fetched_at").distinct()
+    if signals is not None:
+        wanted = wanted.join(signals.select("url_key"), "url_key", "left_anti")
+    rest = materialize(extract.page_signals(captures, materialize(wanted, "parse-keys")), "signals")
+    signals = rest if signals is None else signals.unionByName(rest)
     outcomes = materialize(extract.mark_parse_errors(outcomes, signals), "outcomes")
     pages = materialize(extract.extracted_pages(outcomes, signals), "pages")
     canon = materialize(canonical.canonicalize(pages), "canonical-pages")
@@ -100,6 +109,59 @@ class FullResult:
     discovery: object
     stages: StageResult
     index: DataFrame
+    trail: "Trail"
+
+
+@dataclass
+class Trail:
+    """Audit rows of a batch, in the schemas of the audit tables."""
+
+    runs: DataFrame
+    work_items: DataFrame
+    transitions: DataFrame
+    events: DataFrame
+
+
+def batch_trail(sites: DataFrame, stages: StageResult, times: list[datetime]) -> Trail:
+    """What a batch run leaves in the audit tables: the runs it
+    completed, a work item and a stage event per run and stage, the state
+    changes of the items, and the page events.
+
+    The stages of all sites run together, so their rows carry the times of
+    the batch: discovery ``times[0]`` to ``times[1]``, the stages behind it
+    ``times[1]`` to ``times[2]``.
+    """
+    start, found, end = (t.strftime("%Y-%m-%d %H:%M:%S.%f") for t in times)
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    spans = F.array(*[
+        F.struct(F.lit(s).alias("stage"), at(start if i == 0 else found).alias("started_at"), at(found if i == 0 else end).alias("completed_at"))
+        for i, s in enumerate(STAGES)
+    ])
+    rows = sites.select("run_id", "target_url", F.explode(spans).alias("s")).select("run_id", "target_url", "s.*")
+    rows = rows.withColumn("id", F.substring(F.sha2(F.concat_ws("|", "run_id", "stage", F.lit(start)), 256), 1, 32))
+    items = rows.select(
+        "id", "run_id", "stage", F.lit("completed").alias("state"), F.col("target_url").alias("url"), F.lit(1).alias("attempt_count"),
+        F.lit(None).cast("string").alias("last_error"), F.lit(100).alias("priority"), F.col("started_at").alias("created_at"),
+        F.col("completed_at").alias("updated_at"),
+    )
+    steps = F.array(*[
+        F.struct(F.lit(a).cast("string").alias("from_state"), F.lit(b).alias("to_state"), F.col(t).alias("created_at"))
+        for a, b, t in ((None, "queued", "started_at"), ("queued", "processing", "started_at"), ("processing", "completed", "completed_at"))
+    ])
+    transitions = rows.select(F.col("id").alias("work_item_id"), F.posexplode(steps).alias("seq", "t")).select(
+        "work_item_id", "t.*", "seq"
+    )
+    spans_done = rows.select(
+        "id", "run_id", F.concat(F.lit("stage."), "stage").alias("name"), F.col("stage").alias("system"), "started_at", "completed_at",
+        F.lit('{"outcome": "success"}').alias("metadata"),
+    )
+    runs = sites.select("run_id", "hostname", "target_url", F.col("created_at").cast("timestamp_ntz").alias("created_at")).join(
+        stages.scores.select("run_id", F.col("total").alias("score")), "run_id", "left"
+    ).select(
+        "run_id", "hostname", "target_url", F.lit("completed").alias("status"), "score", "created_at", at(end).alias("completed_at"),
+        F.lit("{}").alias("notes"),
+    )
+    return Trail(runs, items, transitions, spans_done.unionByName(stages.events.drop("ord")))
 
 
 def run_all_stages(
@@ -118,12 +180,12 @@ def run_all_stages(
 
     params = params or PipelineParams()
     ensure_checkpoint_dir(captures.sparkSession)
-    # Both are read by every discovery round and by extraction: materialise
-    # them once (small rows, no bodies) in the reliable checkpoint folder.
+    # Read by every discovery round and by extraction: written once (small
+    # rows, no bodies) in the reliable checkpoint folder.
+    times = [datetime.now(timezone.utc)]
     index = materialize(extract.capture_index(captures), "capture-index")
-    signals = materialize(extract.page_signals(captures, index), "signals")
-    disc = discovery_mod.discover(
-        sites, captures, index, signals, params.spider, files=files
-    )
-    stages = finish_sites(sites, disc.discovered, captures, params, validators, index=index, signals=signals)
-    return FullResult(discovery=disc, stages=stages, index=index)
+    disc = discovery_mod.discover(sites, captures, index, params.spider, files=files)
+    times.append(datetime.now(timezone.utc))
+    stages = finish_sites(sites, disc.discovered, captures, params, validators, index=index, signals=disc.signals)
+    times.append(datetime.now(timezone.utc))
+    return FullResult(discovery=disc, stages=stages, index=index, trail=batch_trail(sites, stages, times))

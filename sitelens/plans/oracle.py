@@ -533,6 +533,34 @@ SELECT d.run_id, d.url,
             WHEN coalesce(c.status, 404) <> 200 THEN 'http_error' END AS reason,
        CAST(CASE WHEN coalesce(v.same, false) OR c.status = 304 THEN 304 ELSE coalesce(c.status, 404) END AS BIGINT) AS status_code
 FROM discovered d LEFT JOIN pipe_caps c ON c.url_key = d.url LEFT JOIN vals v ON v.url = d.url"""),
+    "e6_incremental_pages": _pipe2("""
+lp AS (SELECT * FROM site_pages WHERE page_id IN (SELECT max(page_id) FROM site_pages GROUP BY url_nf)),
+vals AS (SELECT url_nf AS url, page_id % 3 = 0 AS same FROM lp WHERE page_id % 3 <> 2)""", """
+SELECT d.run_id, d.url, c.title, true AS parsed
+FROM discovered d JOIN pipe_caps c ON c.url_key = d.url LEFT JOIN vals v ON v.url = d.url
+WHERE c.status = 200 AND NOT coalesce(v.same, false)"""),
+    "e9_single_page": _pipe(f"""
+SELECT 'single' AS run_id, u AS url, title, CASE WHEN coalesce(title, '') <> '' THEN 'title' ELSE 'none' END AS title_source,
+       CASE WHEN coalesce(title, '') <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS title_confidence
+FROM (SELECT u, {d_norm('u')} AS k FROM (SELECT arg_max(url_nf, page_id) AS u FROM site_pages WHERE page_id % 10 <> 0 AND page_id % 11 <> 0))
+JOIN pipe_caps ON url_key = k AND status = 200"""),
+    "c2_write_back": _pipe("""
+SELECT 'other-' || run_id AS run_id, url, title FROM pipe_pages UNION ALL SELECT run_id, url, title FROM canon_pages"""),
+    "l11_batch_spans": _pipe("""
+SELECT run_id, 'stage.' || stage AS name, stage AS system, 'success' AS outcome, true AS closed
+FROM sites, (SELECT unnest(['discovery', 'extraction', 'canonicalization', 'scoring', 'generation']) AS stage)"""),
+    "s5_batch_transitions": _pipe("""
+SELECT run_id, stage, CAST(seq AS BIGINT) AS seq, CASE seq WHEN 1 THEN 'queued' WHEN 2 THEN 'processing' END AS from_state,
+       CASE seq WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' ELSE 'completed' END AS to_state, 'completed' AS state
+FROM sites, (SELECT unnest(['discovery', 'extraction', 'canonicalization', 'scoring', 'generation']) AS stage),
+     (SELECT unnest([0, 1, 2]) AS seq)"""),
+    "v1_batch_runs": _pipe2("""
+sc AS (
+  SELECT run_id, ((sum(CASE WHEN coalesce(title,'') <> '' THEN 1 ELSE 0 END) / count(*)) / 2) * 0.4 + avg(conf / 2) * 0.4
+                 + (count(DISTINCT """ + canon("url") + """) / count(*)) * 0.2 AS total
+  FROM pipe_pages GROUP BY run_id)""", """
+SELECT s.run_id, s.hostname, 'completed' AS status, CAST(coalesce(round(total, 4), 0.0) AS DOUBLE) AS score, true AS done
+FROM sites s LEFT JOIN sc USING (run_id)"""),
     "e8_pages": _pipe("""
 SELECT run_id, url, title, CAST(NULL AS VARCHAR) AS description, d.provenance AS discovery,
        CASE WHEN coalesce(title, '') <> '' THEN 'title' ELSE 'none' END AS title_source,

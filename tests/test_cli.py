@@ -4,6 +4,8 @@ equal to the in-memory run."""
 import glob
 import os
 
+import pyarrow.parquet as pq
+
 from sitelens.plans import catalog, cli
 from sitelens.sources import fixtures as fx
 
@@ -22,9 +24,16 @@ def test_cli_run_writes_all_outputs(spark, tmp_path):
     expected = {r.run_id: r.llms_txt for r in catalog.queries()["site_index_tiered"](spark, SF).collect()}
     assert arts == expected
     run_id = sorted(arts)[0]
-    parts = sorted(glob.glob(os.path.join(written["llms_txt"], f"run_id={run_id}", "part-*")))
-    text = "".join(open(p).read() for p in parts)
-    assert text.strip() + "\n" == arts[run_id]
+    parts = sorted(glob.glob(os.path.join(written["llms_txt"], "part-*.parquet")))  # in document order
+    lines = [r["line"] for p in parts for r in pq.read_table(p).to_pylist() if r["run_id"] == run_id]
+    assert "\n".join(lines).strip() + "\n" == arts[run_id]
+    assert not glob.glob(os.path.join(written["pages"], "run_id=*"))  # no folder per run
+    runs = spark.read.parquet(written["runs"])
+    assert {r.run_id for r in runs.filter("status = 'completed'").collect()} == set(arts)
+    assert spark.read.parquet(written["transitions"]).count() == 15 * len(arts)
+    events = spark.read.parquet(written["events"])
+    assert events.filter("name LIKE 'stage.%'").count() == 5 * len(arts)
+    assert events.filter("started_at IS NULL OR completed_at IS NULL").count() == 0
 
 
 def test_cli_run_with_discovery_files_apart(spark, tmp_path):

@@ -19,8 +19,7 @@ def _index(*locs):
 def _discover(spark, rows, targets):
     caps = captures_from_rows(spark, rows)
     index = extract.capture_index(caps)
-    signals = extract.page_signals(caps, index)
-    res = discovery.discover(sites_from_urls(spark, targets), caps, index, signals, SpiderBounds())
+    res = discovery.discover(sites_from_urls(spark, targets), caps, index, SpiderBounds())
     found = {}
     for r in res.discovered.orderBy("run_id", "ord").collect():
         found.setdefault(r.run_id, []).append((r.url, r.provenance))

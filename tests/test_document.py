@@ -107,5 +107,5 @@ def test_distributed_lines_equal_rendered_text(spark, tmp_path):
         assert text == docs[run]
     out = str(tmp_path / "docs")
     document.write_documents(document.document_lines(p, sites), out)
-    written = spark.read.text(out).filter("run_id = 'q'").count()
+    written = spark.read.parquet(out).filter("run_id = 'q'").count()
     assert written >= 3

@@ -124,3 +124,23 @@ def test_outcomes_and_incremental_validators(spark):
     pages = extract.extracted_pages(extract.extraction_outcomes(disc, index), extract.page_signals(caps, index))
     rec = {r.url: r for r in pages.collect()}
     assert rec["https://e.com/ok"].provenance.discovery == "crawl" and rec["https://e.com/ok"].title == "ok"
+
+
+def test_only_wanted_pages_are_parsed_without_body_shuffle(spark):
+    rows = [(f"https://e.com/{i}", 200, f"<title>T{i}</title>") for i in range(6)] + [("https://e.com/0", 200, "<title>newer</title>")]
+    caps = captures_from_rows(spark, rows)
+    keys = extract.capture_index(caps).filter("url_key IN ('https://e.com/0', 'https://e.com/3')")
+    for limit in (extract.KEY_BROADCAST_ROWS, 0):
+        sig = extract.page_signals(caps, keys, broadcast_rows=limit)
+        assert {r.url_key: r.title for r in sig.collect()} == {"https://e.com/0": "newer", "https://e.com/3": "T3"}
+        plan = sig._jdf.queryExecution().executedPlan().toString()
+        shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert not any("body" in line or "html" in line for line in shuffled)
+
+
+def test_single_page(spark):
+    caps = captures_from_rows(spark, [("https://e.com/a", 200, "<head><title>A</title></head>"), ("https://e.com/b", 404, "")])
+    r = extract.index_page("https://E.com/a", caps, "r", "manual").first()
+    assert (r.title, r.provenance.discovery, r.provenance.title, r.confidence.title) == ("A", "manual", "title", 1.0)
+    assert extract.index_page("https://e.com/b", caps, "r").count() == 0
+    assert extract.index_page("https://e.com/none", caps, "r").count() == 0
