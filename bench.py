@@ -31,6 +31,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from sitelens.plans import catalog
+    from sitelens.sources import fixtures
     from sitelens.session import build_session
 
     spark = build_session(f"local[{cpus}]", app_name="sitelens-bench", shuffle_partitions=int(cpus) * 2)
@@ -41,7 +42,7 @@ def main() -> None:
     times: dict[str, float] = {}
     for name in HEADLINE:
         for cache in (catalog._FULL_RUN_CACHE, catalog._INPUT_CACHE, catalog._CASCADE_CACHE, catalog._CAPTURED_CACHE,
-                      catalog._SIGNALS_CACHE):
+                      catalog._SIGNALS_CACHE, fixtures._SITE_PAGES):
             cache.clear()
         t0 = time.time()
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -1,21 +1,22 @@
 """Link graph and bounded breadth-first scan.
 
 The scan of every site runs at once, one round per depth level (at most
-``max_depth + 1`` rounds, each a handful of joins on small rows):
+``max_depth`` rounds, each a handful of joins on small rows):
 
+  links(site, src, dst, pos)  -> G1 over the pages of the sites' hosts, once
   frontier(site, url_key, depth, rank)
-    JOIN capture index        -> which frontier pages expand (200 + text)
-    JOIN page signals         -> their filtered links (G1)
+    JOIN expanding pages      -> which frontier pages expand (200 + text)
+    JOIN links                -> their targets
     ANTI JOIN seen            -> new URLs
     min(struct(src_rank,pos)) -> first discoverer of each new URL
     row_number within site + offset -> BFS rank; ranks >= budget dropped
 
 The BFS rank reproduces FIFO order exactly: a level is visited in rank
 order and a new URL is enqueued by the first visited page (lowest rank)
-that links to it, in that page's link order.  Each round's frontier and
-edges are written once to the session's reliable checkpoint folder
-(``materialize``): lineage stays short, ``seen`` is a union of those
-files, and a lost executor recomputes one round at most.
+that links to it, in that page's link order.  Each round's frontier is
+written once to the session's reliable checkpoint folder (``materialize``):
+lineage stays short, ``seen`` is a union of those files, and a lost executor
+recomputes one round at most.
 """
 
 from __future__ import annotations
@@ -81,12 +82,10 @@ def bfs_scan(
     (url_key, status_code, content_type).  ``signals``: url_key, links.
     """
     b = bounds or SpiderBounds()
-    spark = seeds.sparkSession
-    ensure_checkpoint_dir(spark)
-    hosts = seeds.select("site", "hostname")
-    status = index.select("url_key", "status_code", "content_type")
+    ensure_checkpoint_dir(seeds.sparkSession)
     ctype = F.coalesce(F.col("content_type"), F.lit(""))
     expands = (F.col("status_code") == 200) & (ctype.contains("text/html") | ctype.contains("text/plain"))
+    status = index.select("url_key", expands.alias("expanded")).filter("expanded")
 
     seen = seeds.select(
         "site",
@@ -94,20 +93,19 @@ def bfs_scan(
         F.lit(0).alias("depth"),
         F.lit(0).cast("long").alias("rank"),
     ).filter(F.col("url_key").isNotNull())
+    # G1 runs once over the pages on the sites' hosts: a scan never leaves
+    # its host, so the rounds only join their frontier to these links.
+    hosts = seeds.select("site", "hostname", F.expr(netloc_sql(normalize_sql("seed_url"))).alias("host_key"))
+    pages = signals.select("url_key", F.expr(netloc_sql("url_key")).alias("host_key")).join(hosts, "host_key").join(
+        status, "url_key", "left_semi"
+    )
+    links = materialize(filtered_links(pages.select("site", "hostname", "url_key"), signals, b.extension_set).drop("hostname"), "bfs-links")
+    known = materialize(status, "bfs-expands")
+
     frontier = seen
-    edge_parts: list[DataFrame] = []
-    expanded_parts: list[DataFrame] = []
-    for depth in range(b.max_depth + 1):
-        fr = frontier.join(status, "url_key", "left").withColumn("expanded", F.coalesce(expands, F.lit(False)))
-        expanded_parts.append(fr.select("site", "url_key", "expanded"))
-        exp = fr.filter("expanded").select("site", "url_key", F.col("rank").alias("src_rank")).join(hosts, "site")
-        # Edges are persisted too: the new-URL step of this round and the
-        # in-link / audit queries afterwards all read them.
-        edges = materialize(filtered_links(exp, signals, b.extension_set).drop("hostname"), "bfs-edges")
-        edge_parts.append(edges)
-        if depth == b.max_depth:
-            break
-        new = edges.join(
+    for depth in range(b.max_depth):
+        src = frontier.join(known, "url_key", "left_semi").select("site", F.col("url_key").alias("src"), F.col("rank").alias("src_rank"))
+        new = links.join(src, ["site", "src"]).join(
             seen.select("site", F.col("url_key").alias("dst")), ["site", "dst"], "left_anti"
         )
         first = new.groupBy("site", "dst").agg(F.min(F.struct("src_rank", "pos")).alias("k"))
@@ -123,17 +121,12 @@ def bfs_scan(
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    visited = seen.join(_union(expanded_parts), ["site", "url_key"], "left").withColumn(
-        "expanded", F.coalesce("expanded", F.lit(False))
+    visited = seen.join(known, "url_key", "left").select(
+        "site", "url_key", "depth", "rank", F.coalesce("expanded", F.lit(False)).alias("expanded")
     )
-    return ScanResult(visited=visited, edges=_union(edge_parts))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sources = visited.filter("expanded").select("site", F.col("url_key").alias("src"), F.col("rank").alias("src_rank"))
+    edges = links.join(sources, ["site", "src"]).select("site", "src", "src_rank", "dst", "pos")
+    return ScanResult(visited=materialize(visited, "bfs-visited"), edges=materialize(edges, "bfs-edges"))
 
 
 def inlink_counts(scan: ScanResult) -> DataFrame:

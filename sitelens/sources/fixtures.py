@@ -62,19 +62,20 @@ _SITE_PAGES: dict = {}
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages + host + i (position of the page in its host, numbered without
-    sorting a whole host in one task), computed once per session."""
+    """page_id, url, host, i (position of the page in its host, numbered
+    without sorting a whole host in one task); the HTML is not carried along.
+    Computed once per session."""
     from sitelens.functions.ordering import keyed_row_number
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SITE_PAGES:
-        pages = read_table(spark, sf_dir, "pages").withColumn("host", host_of("url"))
+        pages = read_table(spark, sf_dir, "pages").select("page_id", "url", host_of("url").alias("host"))
         numbered = keyed_row_number(pages, ["host"], ["page_id"], "i")
         _SITE_PAGES[key] = (
             numbered.withColumn("i", F.col("i").cast("int"))
             .withColumn("url_nf", F.substring_index("url", "#", 1))
             .withColumn("tier", F.length("host") % 4)
-            .select("page_id", "url", "html", "host", "url_nf", "i", "tier")
+            .select("page_id", "url", "host", "url_nf", "i", "tier")
         )
     return _SITE_PAGES[key]
 
@@ -105,17 +106,18 @@ def page_captures(spark: SparkSession, sf_dir: str, link_graph: bool = False) ->
     With ``link_graph`` the pages of hosts without discovery files carry
     the extra navigation links described in the module docstring.
     """
-    sp = site_pages(spark, sf_dir)
+    pages = read_table(spark, sf_dir, "pages").withColumn("url_nf", F.substring_index("url", "#", 1))
     body = F.col("html")
     if link_graph:
+        sp = site_pages(spark, sf_dir)
         targets = sp.select(
             F.col("host").alias("t_host"), F.col("i").alias("t_i"), F.col("url_nf").alias("t_url")
         )
         nav = (
             sp.filter(F.col("tier") == 3)
-            .select("host", "i", F.posexplode(F.array(F.col("i") * 2, F.col("i") * 2 + 1, F.lit(1))).alias("pos", "want_i"))
+            .select("page_id", "host", F.posexplode(F.array(F.col("i") * 2, F.col("i") * 2 + 1, F.lit(1))).alias("pos", "want_i"))
             .join(targets, (F.col("host") == F.col("t_host")) & (F.col("want_i") == F.col("t_i")), "inner")
-            .groupBy("host", "i")
+            .groupBy("page_id")
             .agg(
                 F.array_join(
                     F.transform(
@@ -126,7 +128,11 @@ def page_captures(spark: SparkSession, sf_dir: str, link_graph: bool = False) ->
                 ).alias("nav")
             )
         )
-        sp = sp.join(nav, ["host", "i"], "left")
+        # Only pages of hosts without discovery files meet their links.
+        linked = F.length(host_of("url")) % 4 == 3
+        pages = pages.filter(linked).join(nav, "page_id", "left").unionByName(
+            pages.filter(~linked).withColumn("nav", F.lit(None).cast("string"))
+        )
         body = F.when(
             F.col("nav").isNotNull(), F.concat(F.col("html"), F.lit("<nav>"), F.col("nav"), F.lit("</nav>"))
         ).otherwise(F.col("html"))
@@ -135,7 +141,7 @@ def page_captures(spark: SparkSession, sf_dir: str, link_graph: bool = False) ->
         .when(F.col("page_id") % 11 == 0, F.lit(304))
         .otherwise(F.lit(200))
     )
-    return sp.select(
+    return pages.select(
         F.col("url_nf").alias("url"),
         status.alias("status_code"),
         _headers("text/html; charset=utf-8", F.md5(F.col("html"))).alias("headers"),
@@ -535,7 +541,8 @@ def validators(spark: SparkSession, sf_dir: str) -> DataFrame:
     sp = site_pages(spark, sf_dir)
     latest = sp.groupBy("url_nf").agg(F.max("page_id").alias("page_id"))
     sp = sp.join(latest, ["url_nf", "page_id"], "left_semi")
-    etag = F.when(F.col("page_id") % 3 == 0, F.md5("html")).otherwise(
+    sp = sp.join(read_table(spark, sf_dir, "pages").select("page_id", F.md5("html").alias("md5")), "page_id")
+    etag = F.when(F.col("page_id") % 3 == 0, F.col("md5")).otherwise(
         F.concat(F.lit("stale-"), F.col("page_id").cast("string"))
     )
     return sp.filter(F.col("page_id") % 3 != 2).select(
