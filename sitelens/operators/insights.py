@@ -40,6 +40,16 @@ def link_audit(links: DataFrame, extensions) -> DataFrame:
     )
 
 
+def scan_skips(visited: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """Links found by a bounded scan whose target it never visited:
+    ``depth_exceeded`` from pages at the last depth, else ``page_budget``."""
+    src = visited.select("site", F.col("url_key").alias("src"), F.col("depth").alias("src_depth"))
+    seen = visited.select("site", F.col("url_key").alias("dst"))
+    out = edges.select("site", "src", "dst").join(seen, ["site", "dst"], "left_anti").join(src, ["site", "src"])
+    reason = F.when(F.col("src_depth") >= max_depth, "depth_exceeded").otherwise("page_budget")
+    return out.select("site", "src", "dst", reason.alias("reason"))
+
+
 # ---------------------------------------------------------------------------
 # Robots.txt rules
 # ---------------------------------------------------------------------------
@@ -120,6 +130,15 @@ def strategy_rates(log: DataFrame) -> DataFrame:
 _STRATEGY_ORDER = ("direct_llms", "robots_hints", "sitemap", "spider")
 
 
+def fallback_depth(log: DataFrame) -> DataFrame:
+    """Per run the strategies tried and the place of the first one that
+    succeeded in the fixed order (NULL when none did)."""
+    place = F.array_position(F.array(*[F.lit(s) for s in _STRATEGY_ORDER]), F.col("strategy"))
+    return log.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("attempts"), F.min(F.when(F.col("success"), place)).cast("long").alias("fallback_depth")
+    )
+
+
 def strategy_ranking(log: DataFrame, sites: DataFrame) -> DataFrame:
     """Per host, strategies ordered by past success rate (then the
     default tier order)."""
@@ -193,6 +212,20 @@ def entry_diff(published: DataFrame, generated: DataFrame) -> DataFrame:
     )
 
 
+def run_compare(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The pages of two runs of a site (site, url, title, description):
+    added, removed, changed (title or description) or same."""
+    keys = ["site", "url"]
+    cols = ["title", "description"]
+    a = before.select(*keys, F.struct(*cols).alias("a"))
+    b = after.select(*keys, F.struct(*cols).alias("b"))
+    change = (
+        F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed")
+        .when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("changed")
+    )
+    return a.join(b, keys, "full_outer").select(*keys, change.alias("change"))
+
+
 # ---------------------------------------------------------------------------
 # Recency and stale runs
 # ---------------------------------------------------------------------------

@@ -21,6 +21,7 @@ recomputes one round at most.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -68,6 +69,7 @@ def filtered_links(expanding: DataFrame, signals: DataFrame, extensions) -> Data
 class ScanResult:
     visited: DataFrame  # site, url_key, depth, rank, expanded
     edges: DataFrame  # site, src, src_rank, dst, pos  (from expanded pages)
+    seconds: float = 0.0  # wall time of the scan (all sites together)
 
 
 def bfs_scan(
@@ -82,6 +84,7 @@ def bfs_scan(
     (url_key, status_code, content_type).  ``signals``: url_key, links.
     """
     b = bounds or SpiderBounds()
+    began = time.monotonic()
     ensure_checkpoint_dir(seeds.sparkSession)
     ctype = F.coalesce(F.col("content_type"), F.lit(""))
     expands = (F.col("status_code") == 200) & (ctype.contains("text/html") | ctype.contains("text/plain"))
@@ -126,7 +129,8 @@ def bfs_scan(
     )
     sources = visited.filter("expanded").select("site", F.col("url_key").alias("src"), F.col("rank").alias("src_rank"))
     edges = links.join(sources, ["site", "src"]).select("site", "src", "src_rank", "dst", "pos")
-    return ScanResult(visited=materialize(visited, "bfs-visited"), edges=materialize(edges, "bfs-edges"))
+    visited, edges = materialize(visited, "bfs-visited"), materialize(edges, "bfs-edges")
+    return ScanResult(visited=visited, edges=edges, seconds=time.monotonic() - began)
 
 
 def inlink_counts(scan: ScanResult) -> DataFrame:
@@ -178,7 +182,8 @@ def page_scan_audit(scan: ScanResult) -> DataFrame:
 
 
 def scan_summary(scan: ScanResult, bounds: SpiderBounds | None = None) -> DataFrame:
-    """Pages scanned and unique link targets per site, with bounds."""
+    """Pages scanned and unique link targets per site, with bounds and
+    the duration of the scan its sites shared."""
     b = bounds or SpiderBounds()
     pages = scan.visited.groupBy("site").agg(F.count(F.lit(1)).cast("long").alias("pages_scanned"))
     uniq = scan.edges.groupBy("site").agg(F.countDistinct("dst").cast("long").alias("unique_links_found"))
@@ -188,4 +193,5 @@ def scan_summary(scan: ScanResult, bounds: SpiderBounds | None = None) -> DataFr
         F.coalesce("unique_links_found", F.lit(0)).cast("long").alias("unique_links_found"),
         F.lit(b.max_depth).alias("max_depth"),
         F.lit(b.max_scan_pages).alias("max_scan_pages"),
+        F.lit(round(scan.seconds, 3)).alias("duration_seconds"),
     )

@@ -198,7 +198,7 @@ def q_g6_scan_audit(spark, sf):
 def q_g7_scan_summary(spark, sf):
     """Pages scanned and unique link targets per scanned site."""
     scan = full_run(spark, sf).discovery.scan
-    return linkgraph.scan_summary(scan).withColumnRenamed("site", "run_id")
+    return linkgraph.scan_summary(scan).withColumnRenamed("site", "run_id").drop("duration_seconds")
 
 
 def q_l11_batch_spans(spark, sf):
@@ -1118,6 +1118,28 @@ def q_x2_link_audit(spark, sf):
     return insights.link_audit(h, [".html", ".htm", ".txt", ".md", ""])
 
 
+def q_x2_scan_skips(spark, sf):
+    """Links of scanned pages beyond the depth or page bound."""
+    scan = full_run(spark, sf).discovery.scan
+    return insights.scan_skips(scan.visited, scan.edges, PipelineParams().spider.max_depth).withColumnRenamed("site", "run_id")
+
+
+def q_x4_fallback_depth(spark, sf):
+    """Strategies tried per run and the first that succeeded."""
+    return insights.fallback_depth(full_run(spark, sf).discovery.strategy_log)
+
+
+def q_x10_run_compare(spark, sf):
+    """Canonical pages of a site against those of a later run, in which
+    pages are gone, renamed or new by the length of their URL."""
+    p = full_run(spark, sf).stages.canonical_pages.select(F.col("run_id").alias("site"), "url", "title", "description")
+    k = F.length("url") % 3
+    later = p.filter(k != 0).withColumn("title", F.when(k == 1, F.concat(F.lit("new "), F.coalesce("title", F.lit("")))).otherwise(F.col("title")))
+    added = p.select("site").distinct().select(
+        "site", F.concat(F.lit("https://new.example.org/"), "site").alias("url"), F.lit("n").alias("title"), F.lit(None).cast("string").alias("description"))
+    return insights.run_compare(p, later.unionByName(added)).withColumnRenamed("site", "run_id")
+
+
 def q_x3_robots_allowed(spark, sf):
     """Discovered URLs checked against each site's robots.txt rules."""
     st = full_run(spark, sf)
@@ -1203,7 +1225,10 @@ INSIGHT_QUERIES = {
     "x1_url_clusters": q_x1_url_clusters,
     "x1_dedup_summary": q_x1_dedup_summary,
     "x2_link_audit": q_x2_link_audit,
+    "x2_scan_skips": q_x2_scan_skips,
     "x3_robots_allowed": q_x3_robots_allowed,
+    "x4_fallback_depth": q_x4_fallback_depth,
+    "x10_run_compare": q_x10_run_compare,
     "x4_strategy_rates": q_x4_strategy_rates,
     "x5_strategy_ranking": q_x5_strategy_ranking,
     "x6_completeness": q_x6_completeness,

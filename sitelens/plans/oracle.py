@@ -1072,6 +1072,19 @@ FROM (SELECT page_url, pos, link,
              WHEN {d_suffix(d_path('link'))} NOT IN ('', '.htm', '.html', '.md', '.txt') THEN 'extension_filtered'
              WHEN {d_non_content(d_path('link'))} THEN 'non_content_path' END AS reason
       FROM ph)""",
+    "x2_scan_skips": f"""
+SELECT e.run_id, e.src, e.dst, CASE WHEN s.depth >= 3 THEN 'depth_exceeded' ELSE 'page_budget' END AS reason
+FROM ({STAGE_ORACLES["g1_page_links"]}) e
+JOIN ({STAGE_ORACLES["g2_bfs_visited"]}) s ON s.run_id = e.run_id AND s.url = e.src
+LEFT JOIN ({STAGE_ORACLES["g2_bfs_visited"]}) t ON t.run_id = e.run_id AND t.url = e.dst
+WHERE t.url IS NULL""",
+    "x4_fallback_depth": f"""
+SELECT run_id, CAST(count(*) AS BIGINT) AS attempts,
+       CAST(min(CASE WHEN success THEN list_position(['direct_llms', 'robots_hints', 'sitemap', 'spider'], strategy) END) AS BIGINT) AS fallback_depth
+FROM ({STAGE_ORACLES["d10_strategy_log"]}) GROUP BY run_id""",
+    "x10_run_compare": _pipe("""
+SELECT run_id, url, CASE length(url) % 3 WHEN 0 THEN 'removed' WHEN 1 THEN 'changed' ELSE 'same' END AS change FROM canon_pages
+UNION ALL SELECT DISTINCT run_id, 'https://new.example.org/' || run_id, 'added' FROM canon_pages"""),
     "x3_robots_allowed": _pipe(f"""
 SELECT d.run_id, d.url,
   CASE WHEN length(s.hostname) % 4 = 1 THEN NOT ((starts_with({d_path('d.url')}, '/de/') AND NOT starts_with({d_path('d.url')}, '/de/1'))
