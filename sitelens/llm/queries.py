@@ -113,6 +113,27 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        sha256(coalesce(joined, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN pos ON doc.doc_id = pos.doc_id LEFT JOIN ids ON doc.doc_id = ids.doc_id
+""",
+    # Bytes as two hexadecimal digits each; p is the 0-based start of a string.
+    "op10_bwt_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM n WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+hit AS (SELECT w.doc_id, p FROM w JOIN f ON w.s = f.s WHERE w.doc_id > f.m),
+isl AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k
+  FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hit)),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM isl GROUP BY doc_id, k),
+pieces AS (
+  SELECT n.doc_id, a, substr(h, 2 * coalesce(lag(b) OVER o, 0) + 1, 2 * (a - coalesce(lag(b) OVER o, 0))) AS piece
+  FROM n JOIN spans ON n.doc_id = spans.doc_id WINDOW o AS (PARTITION BY n.doc_id ORDER BY a)),
+kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS head FROM pieces GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS e FROM spans GROUP BY doc_id)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN cut ON n.doc_id = cut.doc_id LEFT JOIN kept ON n.doc_id = kept.doc_id
 """,
 }
 
