@@ -48,9 +48,9 @@ from sitelens.llm.common import doc_fields, materialize
 K = 16
 #: Bytes of text that one vectorised step works on; longer texts are cut into
 #: overlapping slices.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Bytes of segments searched in one transform.
-BATCH = 1 << 20
+BATCH = 1 << 18
 #: Rows buffered by a task while it looks for the end of a minimizer's group.
 BUFFER = 1 << 18
 _POS = 24
@@ -293,9 +293,14 @@ def shared_strings(texts: list[bytes], docs: np.ndarray, length: int) -> list[np
     inside[starts + sizes] = False
     symbol[inside] = joined.astype(np.int64) + 1
 
-    # Suffixes in order of their first 64 symbols (at least ``length``).
-    rank = symbol
-    width = 1
+    # Suffixes in order of at least their first ``length`` symbols: seven
+    # 9-bit symbols make one number, then prefixes are doubled.
+    rank = symbol.copy()
+    for ahead in range(1, 7):
+        rank <<= 9
+        rank[:-ahead] |= symbol[ahead:]
+    width = 7
+    _, rank = np.unique(rank, return_inverse=True)
     while width < length:
         after = np.zeros(n, np.int64)
         after[:-width] = rank[width:]
@@ -304,33 +309,48 @@ def shared_strings(texts: list[bytes], docs: np.ndarray, length: int) -> list[np
     order = np.argsort(rank, kind="stable")
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    # The transform: symbol before each suffix.  step[k] is the row of the
-    # suffix that follows the first symbol of row k; a run of rows k that come
-    # from one interval and begin with one symbol is the backward extension of
-    # that interval by the symbol.
-    step = place[np.minimum(order + 1, n - 1)]
-    head = symbol[order]
+    # The transform, as the row each suffix moves to when it is extended
+    # backward by the symbol before it (-1 at the start of a text).  Rows of
+    # one interval that move to consecutive rows under one symbol are the
+    # backward extension of the interval by that symbol.
+    back = place[order - 1]
+    back[symbol[order - 1] == 0] = -1
+    head = symbol[order].astype(np.int16)
 
     value = np.full(n + 1, -1, np.int16)
     value[0] = value[n] = 0
-    owner = np.zeros(n, np.int32)  # interval of each row, -1 if not open
-    for prefix in range(length):
-        rows = np.flatnonzero((owner[step] >= 0) & (head > 0)) if prefix else np.arange(n)
-        if not len(rows):
+    # The single symbols first: prefixes of length 1.
+    first = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1])))
+    value[first] = 0
+    owner = np.zeros(n, np.int32)  # interval of each row that is still open
+    owner[first] = 1
+    owner = np.cumsum(owner, dtype=np.int32)
+    rows = np.arange(n)
+    for prefix in range(1, length):
+        moved = back[rows]
+        come = moved >= 0
+        moved, source = moved[come], owner[rows[come]]
+        if not len(moved):
             break
-        source = owner[step[rows]]
+        if len(moved) > n >> 4:  # put in row order by position, else by sorting
+            at = np.full(n, -1, np.int32)
+            at[moved] = source
+            rows = np.flatnonzero(at >= 0)
+            source = at[rows]
+        else:
+            by = np.argsort(moved, kind="stable")
+            rows, source = moved[by], source[by]
         new = np.ones(len(rows), bool)
-        new[1:] = (head[rows][1:] != head[rows][:-1]) | (source[1:] != source[:-1]) | (rows[1:] != rows[:-1] + 1)
+        new[1:] = (source[1:] != source[:-1]) | (head[rows[1:]] != head[rows[:-1]]) | (rows[1:] != rows[:-1] + 1)
         first = np.flatnonzero(new)
-        right = rows[np.append(first[1:], len(rows)) - 1] + 1
-        left = rows[first]
+        left, right = rows[first], rows[np.append(first[1:], len(rows)) - 1] + 1
         fresh = (value[right] < 0) | (value[left] < 0)
         value[right[value[right] < 0]] = prefix
         value[left[value[left] < 0]] = prefix
-        owner[:] = -1
         run = np.cumsum(new) - 1
         kept = fresh[run]
-        owner[rows[kept]] = run[kept]
+        rows = rows[kept]
+        owner[rows] = run[kept]
 
     group = np.cumsum(value[:n] >= 0) - 1
     of = np.repeat(np.arange(len(texts)), sizes + 1)
