@@ -35,11 +35,14 @@ class Memo(dict):
             value = self.fn(piece)
             if len(piece) > MEMO_PIECE:
                 return value
+        self.store(piece, value)
+        return value
+
+    def store(self, piece, value) -> None:
         if len(self) >= MEMO_ENTRIES:
             self.old = dict(self)
             self.clear()
         self[piece] = value
-        return value
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

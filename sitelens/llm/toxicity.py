@@ -5,9 +5,9 @@
    best ``lexicon_size`` words are kept and broadcast).
 2. Matching: a word of a text is matched against the lexicon by walking the
    trie of the lexicon and the Levenshtein automaton of the word together
-   (distance 1, or 2 for long words).  Words without a shared
-   deletion variant cannot match and are passed over; results are memoised
-   per worker (bounded).
+   (distance 1, or 2 for long words).  Transitions of the automata are shared
+   between words, branches without a term of fitting length, letters and
+   letter pairs are left out, and results are memoised per worker (bounded).
 3. Context: a window of words around each hit tells a quoted mention
    (quotation marks, reporting words) from direct abuse; quoted hits weigh
    less.
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.llm.common import Memo, doc_fields, materialize
+from sitelens.llm.common import MEMO_PIECE, Memo, doc_fields, materialize
 
 WORD = r"\p{L}+"
 QUOTES = "\"'“”„«»‘’‹›`"
@@ -53,13 +53,59 @@ def max_distance(length: int) -> int:
     return 0 if length < 4 else 1 if length < 9 else 2
 
 
-def deletions(word: str, distance: int) -> set[str]:
-    """The word and all its variants with up to ``distance`` letters left out."""
-    out, last = {word}, {word}
-    for _ in range(distance):
-        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
-        out |= last
-    return out
+def signatures(words: list[str]) -> np.ndarray:
+    """Letters (row 0, 64 bins) and pairs of neighbouring letters (rows 1 and
+    2, 128 bins) of words of one length, as bit sets: an edit changes at most
+    two letter bits and four pair bits."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(np.uint64)
+    one, low = np.uint64(1), np.uint64(63)
+    pairs = codes[:, :-1] * np.uint64(31) + codes[:, 1:]
+    bits, upper = one << (pairs & low), pairs & np.uint64(64) != 0
+    parts = (one << (codes & low), np.where(upper, 0, bits), np.where(upper, bits, 0))
+    return np.stack([np.bitwise_or.reduce(p.astype(np.uint64), axis=1) for p in parts])
+
+
+#: Transitions of the Levenshtein automata seen so far.  A state is a set of
+#: (letters of the word read beyond the offset, edits so far); its successor
+#: depends only on which of the next letters of the word match, so the same
+#: few transitions serve every word: (state, matches, letters left, limit) ->
+#: (offset moved by, new state).
+_STEPS: dict[tuple, tuple[int, tuple]] = {}
+
+
+def closed(states: set, left: int, limit: int) -> tuple[int, tuple]:
+    """A state with the letters that may be skipped, without entries that
+    cost more than others, as (smallest offset, state relative to it)."""
+    best: dict[int, int] = {}
+    for i, e in states:
+        for k in range(min(limit - e, left - i) + 1):
+            if e + k < best.get(i + k, limit + 1):
+                best[i + k] = e + k
+    if not best:
+        return 0, ()
+    low = min(best)
+    return low, tuple(sorted((i - low, e) for i, e in best.items()))
+
+
+def step(state: tuple, matches: int, left: int, limit: int) -> tuple[int, tuple]:
+    """One letter through the automaton; bit i of ``matches`` tells whether
+    it equals the word's letter i places behind the offset."""
+    key = (state, matches, left, limit)
+    known = _STEPS.get(key)
+    if known is None:
+        out = set()
+        for i, e in state:
+            if i < left and matches >> i & 1:
+                out.add((i + 1, e))
+            if e < limit:
+                out.add((i, e + 1))
+                if i < left:
+                    out.add((i + 1, e + 1))
+        known = _STEPS[key] = closed(out, left, limit)
+    return known
+
+
+_STARTS = {k: closed({(0, 0)}, k, k)[1] for k in (1, 2)}
 
 
 class Lexicon:
@@ -67,65 +113,87 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, float]):
         self.terms = terms
-        self.root: dict = {}
-        self.variants: dict[int, set[str]] = {1: set(), 2: set()}
-        for term in terms:
-            node = self.root
-            for letter in term:
-                node = node.setdefault(letter, {})
-            node[""] = term
-            d = max_distance(len(term))
-            for k in (1, 2):
-                self.variants[k] |= deletions(term, min(d, k))
+        names = sorted(terms)
+        self.limits = np.array([max_distance(len(t)) for t in names], np.int64)
+        self.lengths = np.array([len(t) for t in names], np.int64)
+        self.bits = np.concatenate([signatures([t]) for t in names], axis=1) if names else np.zeros((3, 0), np.uint64)
+        self.names = names  # in order: neighbours share their trie path
         self.memo = Memo(self.find)
 
-    @staticmethod
-    def step(states: frozenset, letter: str, word: str, limit: int) -> frozenset:
-        """One letter through the Levenshtein automaton of ``word``; a state
-        is (letters of the word read, edits so far)."""
-        out = set()
-        for i, e in states:
-            if i < len(word) and word[i] == letter:
-                out.add((i + 1, e))
-            if e < limit:
-                out.add((i, e + 1))
-                if i < len(word):
-                    out.add((i + 1, e + 1))
-        return Lexicon.closed(out, word, limit)
-
-    @staticmethod
-    def closed(states: set, word: str, limit: int) -> frozenset:
-        """With the letters of the word that may be skipped; dominated states
-        are left out."""
-        best: dict[int, int] = {}
-        for i, e in states:
-            for k in range(min(limit - e, len(word) - i) + 1):
-                if e + k < best.get(i + k, limit + 1):
-                    best[i + k] = e + k
-        return frozenset(best.items())
+    def candidates(self, words: list[str]) -> list[int]:
+        """Per word (all of one length) the terms whose length, letters and
+        letter pairs allow them to be near, as a bit set; every term that is
+        near is among them."""
+        fit = np.flatnonzero(np.abs(self.lengths - len(words[0])) <= self.limits)
+        out = [0] * len(words)
+        if not len(fit):
+            return out
+        limit = self.limits[fit]
+        for at in range(0, len(words), 4096):
+            apart = np.bitwise_count(signatures(words[at:at + 4096])[:, :, None] ^ self.bits[:, None, fit])
+            near = (apart[0] <= 2 * limit) & (apart[1] + apart[2] <= 4 * limit)
+            for row, k in zip(*(z.tolist() for z in np.nonzero(near))):
+                out[at + row] |= 1 << int(fit[k])
+        return out
+
+    def prepare(self, words: set[str]) -> None:
+        """Look up many words at once, for the memo."""
+        memo = self.memo
+        by_length: dict[int, list[str]] = {}
+        for word in words:
+            if word not in memo and word not in memo.old and 3 <= len(word) <= MEMO_PIECE and word not in self.terms:
+                by_length.setdefault(len(word), []).append(word)
+        for group in by_length.values():
+            for word, wanted in zip(group, self.candidates(group)):
+                memo.store(word, self.walk(word, wanted) if wanted else ())
 
     def find(self, word: str) -> tuple:
         """(term, distance) of the nearest term, heaviest and then first in
         order on ties; () if none is near."""
         if word in self.terms:
             return word, 0
-        # A term may be longer than the word by its own distance.
-        limit = max_distance(len(word) + 2)
-        if not limit or self.variants[limit].isdisjoint(deletions(word, limit)):
-            return ()
+        wanted = self.candidates([word])[0] if len(word) >= 3 else 0
+        return self.walk(word, wanted) if wanted else ()
+
+    def walk(self, word: str, wanted: int) -> tuple:
+        """The automaton of a word along the trie paths of ``wanted`` terms.
+
+        Terms are visited in order, so the states of a common prefix are
+        computed once; a path is left as soon as its state is empty.
+        """
+        n, limit = len(word), 1 if len(word) < 7 else 2
+        width = 2 * limit + 1
+        window = (1 << width) - 1
+        masks: dict[str, int] = {}
+        for i, letter in enumerate(word):
+            masks[letter] = masks.get(letter, 0) | 1 << i
+        seen = masks.get
         found = []
-        stack = [(self.root, self.closed({(0, 0)}, word, limit))]
-        while stack:
-            node, states = stack.pop()
-            for letter, child in node.items():
-                if letter == "":
-                    d = min((e for i, e in states if i == len(word)), default=9)
-                    if d <= max_distance(len(child)):
-                        found.append((d, -self.terms[child], child))
-                    continue
-                after = self.step(states, letter, word, limit)
-                if after:
-                    stack.append((child, after))
+        # Before any letter: up to ``limit`` letters of the word may be skipped.
+        path, last = [(0, _STARTS[min(n, limit)])], ""
+        while wanted:
+            low = wanted & -wanted
+            wanted ^= low
+            term = self.names[low.bit_length() - 1]
+            shared = 0
+            for a, b in zip(term, last[:len(path) - 1]):
+                if a != b:
+                    break
+                shared += 1
+            del path[shared + 1:]
+            offset, state = path[-1]
+            for letter in term[shared:]:
+                left = n - offset
+                moved, state = step(state, seen(letter, 0) >> offset & window, left if left < width else width, limit)
+                if not state:
+                    break
+                offset += moved
+                path.append((offset, state))
+            else:
+                d = min((e for i, e in state if offset + i == n), default=9)
+                if d <= max_distance(len(term)):
+                    found.append((d, -self.terms[term], term))
+            last = term
         if not found:
             return ()
         d, _, term = min(found)
@@ -151,7 +219,18 @@ FEATURES = 6
 def features(text: str, lexicon: Lexicon) -> list[float]:
     """Hit features of one text."""
     low = text.lower()
-    words = _WORDS.findall(low)
+    return hit_features(low, _WORDS.findall(low), lexicon)
+
+
+def batch_features(texts: list[str | None], lexicon: Lexicon):
+    """Hit features of many texts; their words are looked up together."""
+    lows = [(t or "").lower() for t in texts]
+    words = [_WORDS.findall(low) for low in lows]
+    lexicon.prepare(set().union(*words))
+    return [hit_features(low, w, lexicon) for low, w in zip(lows, words)]
+
+
+def hit_features(low: str, words: list[str], lexicon: Lexicon) -> list[float]:
     hits = [(i, m) for i, m in enumerate(map(lexicon.memo.__getitem__, words)) if m]
     if not hits:
         return [0.0] * FEATURES
@@ -229,11 +308,11 @@ class Scorer:
     def __init__(self, terms: dict[str, float], beta: list[float] | None):
         self.lexicon, self.beta = Lexicon(terms), beta
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str | None]) -> list[float]:
         if self.beta is None:
-            return 0.0
-        z = sum(b * v for b, v in zip(self.beta, [*features(text or "", self.lexicon), 1.0]))
-        return round(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 9)
+            return [0.0] * len(texts)
+        sums = (sum(b * v for b, v in zip(self.beta, [*x, 1.0])) for x in batch_features(texts, self.lexicon))
+        return [round(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 9) for z in sums]
 
 
 def fit(
@@ -253,7 +332,7 @@ def fit(
     def run(batches):
         lexicon = Lexicon(terms)
         for batch in batches:
-            x = [features(t, lexicon) for t in batch.column(0).to_pylist()]
+            x = batch_features(batch.column(0).to_pylist(), lexicon)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
@@ -273,7 +352,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     def run(batches):
         scorer = Scorer(*model.value)
         for batch in batches:
-            scores = [scorer.score(t) for t in batch.column(1).to_pylist()]
+            scores = scorer.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([held_out(i) for i in batch.column(0).to_pylist()], pa.bool_()),
                  pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
