@@ -3,12 +3,14 @@ log-likelihood ratio, in DataFrame operations only.
 
 One model describes random strings, the other ordinary identifiers; both are
 first-order chains over the characters of tokens, trained from labelled
-samples.  A token of at least ``min_length`` characters that no base pattern
-touches is a secret when its log-likelihood ratio reaches ``margin``.
+samples.  A token with a letter and at least ``min_length`` characters that no base pattern
+touches is a secret when its log-likelihood ratio reaches ``margin`` per
+pair of characters.
 
 The default samples are labelled by rule: values of base matches anywhere in
 the corpus and ``generated`` hexadecimal / base64 digests are random; all
-other tokens of the corpus are ordinary.  Training is one pass with a partial
+other tokens of the corpus without a digit are ordinary (tokens with digits
+get no label, as unknown secrets are among them).  Training is one pass with a partial
 aggregate over pairs of characters (67 x 67 counts), so neither size nor skew
 of the corpus matters; the pair weights are a fixed number of literals in the
 scoring expression, which needs no shuffle.
@@ -62,7 +64,7 @@ def generated_samples(spark, generated: int) -> DataFrame:
 
 
 def corpus_samples(found: DataFrame) -> DataFrame:
-    """(value, secret) of all base matches and of all other tokens."""
+    """(value, secret) of all base matches and of all other tokens without a digit."""
     base = F.concat("assign", "access", "hex")
     known = F.transform(base, lambda s: F.struct(s["value"].alias("value"), F.lit(True).alias("secret")))
     token = f"{TOKEN}{{{SAMPLE_LENGTH},}}"
@@ -71,51 +73,61 @@ def corpus_samples(found: DataFrame) -> DataFrame:
     apart = F.transform(
         F.filter(match_spans(F.col("text"), token), lambda s: ~overlaps(s, base)), lambda s: s["value"]
     )
+    tokens = F.when(F.size(base) == 0, plain).otherwise(apart)
     other = F.transform(
-        F.when(F.size(base) == 0, plain).otherwise(apart), lambda v: F.struct(v.alias("value"), F.lit(False).alias("secret"))
+        F.filter(tokens, lambda v: ~v.rlike("[0-9]")), lambda v: F.struct(v.alias("value"), F.lit(False).alias("secret"))
     )
     return found.select(F.inline(F.concat(known, other)))
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
-    """(secret, pair, n): adjacent character pairs of the samples."""
+    """(secret, pair, n): adjacent character pairs of the samples.  A random
+    string counts each of its pairs once however often it occurs, so one
+    leaked key in many documents does not become the model; ordinary tokens
+    count by occurrence."""
     pairs = F.transform(F.sequence(F.lit(1), F.char_length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)))
     return (
-        samples.filter(F.char_length("value") >= 2).select("secret", F.explode(pairs).alias("pair"))
-        .groupBy("secret", "pair").agg(F.count("*").alias("n"))
+        samples.filter(F.char_length("value") >= 2)
+        .select("secret", F.when(F.col("secret"), F.col("value")).alias("own"), F.explode(pairs).alias("pair"))
+        .groupBy("secret", "own", "pair").agg(F.count("*").alias("n"))
+        .groupBy("secret", "pair").agg(F.sum(F.when(F.col("secret"), 1).otherwise(F.col("n"))).alias("n"))
     )
 
 
-def pair_weights(counts: DataFrame, smoothing: float = 0.5) -> list[float]:
+def pair_weights(counts: DataFrame, backoff: float = 5.0) -> list[float]:
     """log P(b | a, random) - log P(b | a, ordinary) of every pair, in
-    alphabet order (at most 2 x 67 x 67 rows are fetched)."""
+    alphabet order (at most 2 x 67 x 67 rows are fetched).  A pair backs off
+    to how often its second character follows any other in its class, mixed
+    with 5 % of an even share, so a few digits do not decide alone."""
     seen = {(r.secret, r.pair): r.n for r in counts.filter(F.col("pair").rlike(f"^{TOKEN}{{2}}$")).collect()}
-    size = len(ALPHABET)
-    out = []
-    for a in ALPHABET:
-        row = {label: [seen.get((label, a + b), 0) + smoothing for b in ALPHABET] for label in (True, False)}
-        sums = {label: sum(v) for label, v in row.items()}
-        out += [
-            math.log(row[True][i] / sums[True]) - math.log(row[False][i] / sums[False]) for i in range(size)
-        ]
-    return out
+    log_p = {}
+    for label in (True, False):
+        follows = {b: sum(seen.get((label, a + b), 0) for a in ALPHABET) for b in ALPHABET}
+        total = sum(follows.values())
+        share = {b: 0.05 / len(ALPHABET) + 0.95 * (n / total if total else 1 / len(ALPHABET)) for b, n in follows.items()}
+        for a in ALPHABET:
+            row = sum(seen.get((label, a + b), 0) for b in ALPHABET)
+            for b in ALPHABET:
+                log_p[label, a + b] = math.log((seen.get((label, a + b), 0) + backoff * share[b]) / (row + backoff))
+    return [log_p[True, a + b] - log_p[False, a + b] for a in ALPHABET for b in ALPHABET]
 
 
 def ratio(value: Column, weights: Column) -> Column:
-    """Log-likelihood ratio of a token."""
+    """Log-likelihood ratio of a token, per pair of characters."""
     place = lambda i: F.position(F.substring(value, i, F.lit(1)), F.lit(ALPHABET)) - 1
     size = F.lit(len(ALPHABET))
-    return F.aggregate(
+    total = F.aggregate(
         F.sequence(F.lit(1), F.char_length(value) - 1), F.lit(0.0),
         lambda acc, i: acc + F.coalesce(F.get(weights, place(i) * size + place(i + 1)), F.lit(0.0)),
     )
+    return F.round(total / (F.char_length(value) - 1), 9)
 
 
 def secret_spans(
     docs: DataFrame,
     samples: DataFrame | None = None,
     min_length: int = 20,
-    margin: float = 5.0,
+    margin: float = 3.0,
     generated: int = 2000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -135,7 +147,9 @@ def secret_spans(
     tokens = match_spans(F.col("text"), f"{TOKEN}{{{min_length},}}")
     found = found.withColumn(
         "markov",
-        F.filter(tokens, lambda s: ~overlaps(s, base) & (ratio(s["value"], table) >= margin)).cast(SPAN),
+        F.filter(
+            tokens, lambda s: s["value"].rlike("[A-Za-z]") & ~overlaps(s, base) & (ratio(s["value"], table) >= margin)
+        ).cast(SPAN),
     )
 
     def ranked(kind):
