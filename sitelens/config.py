@@ -12,10 +12,7 @@ from dataclasses import dataclass, field
 # ---------------------------------------------------------------------------
 # Discovery sources, stages and states
 # ---------------------------------------------------------------------------
-SOURCES = ("llms", "robots", "sitemap", "crawl")
 STAGES = ("discovery", "extraction", "canonicalization", "scoring", "generation")
-RUN_STATUSES = ("queued", "running", "completed", "failed")
-ITEM_STATES = ("queued", "processing", "completed", "failed")
 
 # Legal work-item transitions (from_state, to_state).  Terminal states have
 # no outgoing edge.

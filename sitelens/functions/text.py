@@ -24,16 +24,3 @@ def split_lines(col: Column | str) -> Column:
     c = _c(col)
     body = F.regexp_replace(c, rf"({_LINE_BREAK})\z", "")
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, _LINE_BREAK))
-
-
-def human_duration(seconds: Column | str) -> Column:
-    """V15: '<n> ms' under one second, '<x.y> s' under a minute,
-    '<m>m <s>s' under an hour, else '<h>h <m>m'."""
-    s = _c(seconds)
-    return (
-        F.when(s.isNull(), F.lit(None).cast("string"))
-        .when(s < 1, F.format_string("%d ms", F.round(s * 1000).cast("long")))
-        .when(s < 60, F.format_string("%.1f s", s))
-        .when(s < 3600, F.format_string("%dm %ds", F.floor(s / 60).cast("long"), F.floor(s % 60).cast("long")))
-        .otherwise(F.format_string("%dh %dm", F.floor(s / 3600).cast("long"), F.floor((s % 3600) / 60).cast("long")))
-    )

@@ -241,11 +241,6 @@ def is_home(url: str, hostname: str) -> Column:
     return F.expr(is_home_sql(url, hostname))
 
 
-def origin(url: str) -> Column:
-    """scheme://netloc of a URL."""
-    return F.expr(f"concat({scheme_sql(url)}, '://', {netloc_sql(url)})")
-
-
 # ---------------------------------------------------------------------------
 # Reference resolution
 # ---------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelens.config import RECENT_WINDOW_HOURS
 from sitelens.functions.text import py_strip, split_lines
 from sitelens.functions.urls import netloc_sql, non_content_sql, part_sql, path_sql, raw_path_sql, strip_fragment_sql, suffix_sql
 from sitelens.operators.audit import duration_seconds
@@ -229,7 +230,7 @@ def run_compare(before: DataFrame, after: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Recency and stale runs
 # ---------------------------------------------------------------------------
-def run_recency(runs: DataFrame, now: str, hours: int = 24) -> DataFrame:
+def run_recency(runs: DataFrame, now: str, hours: int = RECENT_WINDOW_HOURS) -> DataFrame:
     """X11: runs created within ``hours`` before ``now`` are recent."""
     age = duration_seconds("created_at", f"TIMESTAMP_NTZ'{now}'")
     return runs.select("run_id", F.when(age <= hours * 3600, "recent").otherwise("older").alias("recency"))

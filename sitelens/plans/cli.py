@@ -26,7 +26,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from sitelens.config import PipelineParams  # noqa: E402
 from sitelens.operators import document  # noqa: E402
 from sitelens.plans import jobs  # noqa: E402
-from sitelens.session import prepare_session  # noqa: E402
+from sitelens.session import clear_stages, prepare_session  # noqa: E402
 from sitelens.sources import store  # noqa: E402
 from sitelens.sources.captures import read_captures  # noqa: E402
 
@@ -83,6 +83,7 @@ def main(argv: list[str] | None = None) -> None:
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("sitelens").getOrCreate()
     written = run(spark, args.sites, args.captures, args.out, args.validators, args.incremental, args.generated_at, args.files)
+    clear_stages(spark)
     for name, path in written.items():
         print(f"{name}\t{path}")
 

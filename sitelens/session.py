@@ -126,6 +126,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """Folder of this application's stage tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sitelens/{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete this application's stage tables; for the end of a job, when no
+    DataFrame that reads them is used any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df, name: str = "stage"):
     """Cut lineage by writing ``df`` once as Parquet under the session's
     reliable checkpoint folder and reading it back.
@@ -136,8 +148,7 @@ def materialize(df, name: str = "stage"):
     import uuid
 
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/sitelens/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
     t0 = time.time()
     df.write.mode("overwrite").parquet(path)
     if os.environ.get("SITELENS_TRACE"):  # stage timing on stderr, opt-in
