@@ -119,22 +119,38 @@ def valid_http_sql(e: str) -> str:
     return f"({scheme_sql(e)} IN ('http', 'https') AND {host_sql(e)} <> '')"
 
 
+def _no_dots_sql(p: str) -> str:
+    """Path without ``.`` and ``..`` segments; a final one leaves its slash."""
+    segs = f"split(substring({p}, 2), '/')"
+    walked = (
+        f"aggregate({segs}, CAST(array() AS array<string>), (acc, x) -> CASE WHEN x = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0)) "
+        f"WHEN x = '.' THEN acc ELSE array_append(acc, x) END, acc -> "
+        f"concat('/', array_join(acc, '/'), CASE WHEN size(acc) > 0 AND {p} RLIKE r'/[.][.]?$' THEN '/' ELSE '' END))"
+    )
+    return f"CASE WHEN {p} RLIKE r'/[.][.]?(/|$)' THEN {walked} ELSE {p} END"
+
+
 def normalize_sql(e: str) -> str:
-    scheme = scheme_sql(e)
-    net = f"lower({netloc_sql(e)})"
+    """The URL is split once into a struct; the rest reads its fields."""
+    parts = (
+        f"named_struct('s', {scheme_sql(e)}, 'n', {netloc_sql(e)}, 'p', {raw_path_sql(e)}, "
+        f"'q', {query_sql(e)}, 'f', {fragment_sql(e)})"
+    )
+    host = r"lower(regexp_extract(u.n, r'^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)', 1))"
+    # User info keeps its case, the host does not.
+    net = "CASE WHEN contains(u.n, '@') THEN concat(regexp_extract(u.n, '^(.*@)', 1), lower(regexp_replace(u.n, '^.*@', ''))) ELSE lower(u.n) END"
     net = (
-        f"CASE WHEN ({scheme} = 'http' AND endswith({net}, ':80')) OR ({scheme} = 'https' AND endswith({net}, ':443')) "
+        f"CASE WHEN (u.s = 'http' AND endswith(u.n, ':80')) OR (u.s = 'https' AND endswith(u.n, ':443')) "
         f"THEN regexp_replace({net}, ':[0-9]+$', '') ELSE {net} END"
     )
-    rp = raw_path_sql(e)
-    path = f"CASE WHEN {rp} = '' THEN '/' ELSE {rp} END"
-    q, frag = query_sql(e), fragment_sql(e)
+    path = f"CASE WHEN u.p = '' THEN '/' ELSE {_no_dots_sql('u.p')} END"
     out = (
-        f"concat({scheme}, '://', {net}, {_percent_encode_sql(path)}, "
-        f"coalesce(concat('?', {_percent_encode_sql(q)}), ''), "
-        f"coalesce(concat('#', {_percent_encode_sql(frag)}), ''))"
+        f"concat(u.s, '://', {net}, {_percent_encode_sql(path)}, "
+        f"coalesce(concat('?', {_percent_encode_sql('u.q')}), ''), "
+        f"coalesce(concat('#', {_percent_encode_sql('u.f')}), ''))"
     )
-    return f"CASE WHEN {valid_http_sql(e)} THEN {out} END"
+    built = f"CASE WHEN u.s IN ('http', 'https') AND {host} <> '' THEN {out} END"
+    return f"get(transform(array({parts}), u -> {built}), 0)"
 
 
 def is_home_sql(url: str, hostname: str) -> str:
@@ -231,8 +247,8 @@ def valid_http_url(e: str) -> Column:
 
 def normalize_http_url(e: str) -> Column:
     """P9 serialisation: lower-case scheme and host, drop the default port,
-    '/' for an empty path, percent-encode spaces and non-ASCII; NULL for a
-    URL that is not http(s) with a host."""
+    '/' for an empty path, no dot segments, percent-encode spaces and
+    non-ASCII; NULL for a URL that is not http(s) with a host."""
     return F.expr(normalize_sql(e))
 
 

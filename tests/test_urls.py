@@ -120,7 +120,7 @@ def test_splitlines_and_strip(spark):
 def test_normalisation_edge_cases(spark):
     cases = {
         "http://[::1]:80/a": "http://[::1]/a",
-        "https://User@Example.com/x": "https://user@example.com/x",
+        "https://User@Example.com/x": "https://User@example.com/x",
         "https://example.com?q=1": "https://example.com/?q=1",
         "https://example.com/a%20b": "https://example.com/a%20b",
         "https://example.com/a b?c d#e f": "https://example.com/a%20b?c%20d#e%20f",
@@ -130,3 +130,19 @@ def test_normalisation_edge_cases(spark):
     for raw, want in cases.items():
         assert _one(spark, U.normalize_http_url("u"), raw) == want, raw
     assert _one(spark, U.url_host("u"), "http://[::1]:8080/") == "[::1]"
+
+
+def test_normalize_dot_segments_and_user_info(spark):
+    cases = {
+        "https://e.com/a/./b/../c": "https://e.com/a/c",
+        "https://e.com/../../x": "https://e.com/x",
+        "https://e.com/a/..": "https://e.com/",
+        "https://e.com/a/b/.": "https://e.com/a/b/",
+        "https://e.com/a/...//b": "https://e.com/a/...//b",
+        "https://e.com/.hidden/x..y": "https://e.com/.hidden/x..y",
+        "HTTP://User:Pa@E.com:80/p": "http://User:Pa@e.com/p",
+        "https://E.com:443?q=/../#/./": "https://e.com/?q=/../#/./",
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "u string")
+    got = {r.u: r.n for r in df.select("u", U.normalize_http_url("u").alias("n")).collect()}
+    assert got == cases
