@@ -72,7 +72,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """All rows; secrets in their texts are masked and n_chars follows."""
     prepare_session(spark)
     names = docs.columns
-    found = secret_scan.secret_spans(docs, columns=names)
+    found = secret_scan.secret_spans(docs, columns=names, folds=secret_scan.FOLDS)
     clean = F.when(F.col("in_text").isNull(), F.lit(None)).otherwise(redacted(F.col("text"), F.col("spans"), MASK))
     out = found.withColumn("clean", clean)
     changed = F.size("spans") > 0

@@ -33,7 +33,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text: base patterns and the two Markov models."""
-    return secret_scan.secret_digest(secret_scan.secret_spans(documents(spark, sf_dir)))
+    return secret_scan.secret_digest(secret_scan.secret_spans(documents(spark, sf_dir), folds=secret_scan.FOLDS))
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

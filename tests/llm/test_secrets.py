@@ -142,3 +142,71 @@ def test_edge_rows(edge_docs, no_docs, spark):
     assert all((r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == want[r.doc_id] for r in got if r.doc_id not in (None, 6))
     assert next(r for r in got if r.doc_id == 1).spans == ""
     assert S.secret_digest(S.secret_spans(no_docs)).count() == 0
+
+
+NAMES = "user_profile_picture_v2 readUserTableIndexCount2 x86_64-unknown-linux-gnu com/example/project/v1/api getHttp2ConnectionPool".split()
+FRESH = ["q9ZxT7bLw2KpVr4NsYd8Hc", "KcCBuDatKECmmbuMpbdkqIRW"]
+
+
+def found_in(spark, texts, repeats):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = docs.join(spark.range(repeats).withColumnRenamed("id", "again")).select("doc_id", "text").repartition(4)
+    spans = S.secret_spans(docs, folds=S.FOLDS).selectExpr("inline(markov)").select("value").distinct()
+    return {r.value for r in spans.collect()}
+
+
+def test_verdicts_do_not_depend_on_corpus_size(spark):
+    rnd = random.Random(12)
+    texts = [" ".join(identifiers(rnd, 40)) for _ in range(30)] + [f"see {v} now" for v in NAMES + FRESH]
+    assert [found_in(spark, texts, n) for n in (1, 30, 1000)] == [set(FRESH)] * 3
+
+
+def test_fold_models_equal_brute_force(spark):
+    rnd = random.Random(13)
+    letters = string.ascii_letters + string.digits
+    fresh = ["".join(rnd.choice(letters) for _ in range(24)) for _ in range(60)]
+    rows = [(i, " ".join([*identifiers(rnd, 20), fresh[i], rnd.choice(NAMES)])) for i in range(60)]
+    rows += [(100 + i, f"token = {fresh[i]}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folds, share = 3, 0.002
+    generated = {r.value for r in S.generated_samples(spark, 1000).collect()}
+    names = {r.value for r in S.generated_names(spark, 1000).collect()}
+    known = {b[4] for _, text in rows for b in brute_base(text)}
+    tokens = {
+        m[0] for _, text in rows for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text) if not touching(m.start(), m.end(), brute_base(text))
+    }
+    ordinary = {v for v in tokens if not re.search("[0-9]", v) or len(v) <= 128 and re.search(S.IDENTIFIER, v)}
+    assert set(NAMES) <= ordinary and not ordinary & set(fresh) - {v for v in fresh if not re.search("[0-9]", v)}
+    values = sorted(tokens | known | generated | names)
+    place = spark.createDataFrame([(v,) for v in values], "value string")
+    fold = {r.value: r.k for r in place.select("value", S.fold_of(place["value"], folds).alias("k")).collect()}
+
+    def chances(parts, k):
+        tables = []
+        for part, once in parts:
+            table = Counter()
+            for v in part:
+                pairs = [v[i:i + 2] for i in range(len(v) - 1) if all(c in S.ALPHABET for c in v[i:i + 2])]
+                if fold[v] != k:
+                    table.update(set(pairs) if once else pairs)
+            tables.append(table)
+        row = [{a: sum(t[a + b] for b in S.ALPHABET) for a in S.ALPHABET} for t in tables]
+        out = {}
+        for b in S.ALPHABET:
+            follows = sum(sum(t[a + b] for a in S.ALPHABET) / sum(t.values()) for t in tables) / len(tables)
+            back = 0.05 / 67 + 0.95 * follows
+            for a in S.ALPHABET:
+                own = [t[a + b] / r[a] for t, r in zip(tables, row) if r[a]]
+                out[a + b] = (1 - share) * sum(own) / len(own) + share * back if own else back
+        return out
+
+    models = [(chances([(known | generated, True)], k), chances([(ordinary, False), (names, False)], k)) for k in range(folds)]
+    want = set()
+    for v in tokens:
+        random_p, ordinary_p = models[fold[v]]
+        pairs = [v[i:i + 2] for i in range(len(v) - 1)]
+        score = sum(math.log(random_p[p]) - math.log(ordinary_p[p]) for p in pairs) / len(pairs)
+        if len(v) >= 20 and re.search("[A-Za-z]", v) and score >= 3:
+            want.add(v)
+    got = S.secret_spans(docs, generated=1000, folds=folds).selectExpr("inline(markov)").select("value").distinct().collect()
+    assert {r.value for r in got} == want and len(want & set(fresh)) >= 40
