@@ -47,10 +47,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated lines and sentences of every document that are removed, and a
+    """Repeated lines, sentences and runs of clauses of every document that are removed, and a
     digest of the text that stays."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = unit_dedup.removed_units(docs)
+    found = unit_dedup.removed_units(docs, windows=True)
     kept = unit_dedup.kept_texts(docs, found)
     spans = F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>"))
     return kept.select(

@@ -2,7 +2,12 @@
 
 Units are the lines of a text (or its paragraphs) and, inside them, the
 sentences of at least ``min_sentence`` words, so a passage that sits in the
-middle of a longer line is found by its whole sentences.  A unit is
+middle of a longer line is found by its whole sentences.  With ``windows``
+(the registered query) the clauses of a text are units too: those of
+``min_sentence`` words or more, and for every shorter one the runs of
+neighbouring clauses to its left and right that are just long enough, so a
+short sentence is removed only together with a neighbour that repeats with it
+in the same earlier place.  A unit is
 normalised (lower case, runs of white space as one space, ends trimmed) and
 hashed to 128 bits; units without a word are left alone.  Digests are grouped
 over the whole corpus with a partial aggregate that keeps the earliest
@@ -34,13 +39,38 @@ from sitelens.llm.common import materialize
 
 _PIECES = {"line": regex.compile(r"[^\n]+"), "paragraph": regex.compile(r"(?:[^\n]|\n(?!\s*\n))+")}
 _SENTENCE = regex.compile(r"\S[^.!?]*(?:[.!?](?!\s|$)[^.!?]*)*(?:[.!?]+(?=\s|$))?")
+_CLAUSE = regex.compile(r"\S[^,;:]*(?:[,;:](?!\s|$)[^,;:]*)*(?:[,;:]+(?=\s|$))?")
 
 
 def normalise(unit: str) -> str:
     return " ".join(unit.lower().split())
 
 
-def units_of(text: str, unit: str = "line", min_sentence: int = 8) -> list[tuple[int, int, str]]:
+def windows_of(text: str, sentences: list, min_words: int) -> set[tuple[int, int]]:
+    """Spans of the clauses of at least ``min_words`` words and, for every
+    shorter one, of the runs of clauses to its left and to its right that are
+    just long enough."""
+    parts = [c.span() for s in sentences for c in _CLAUSE.finditer(text, s.start(), s.end())]
+    sizes = [len(text[a:b].split()) for a, b in parts]
+    out = set()
+    for i, n in enumerate(sizes):
+        left = right = i
+        total = n
+        while total < min_words and right + 1 < len(parts):
+            right += 1
+            total += sizes[right]
+        if total >= min_words:
+            out.add((parts[i][0], parts[right][1]))
+        if n < min_words:
+            while n < min_words and left > 0:
+                left -= 1
+                n += sizes[left]
+            if n >= min_words:
+                out.add((parts[left][0], parts[i][1]))
+    return out
+
+
+def units_of(text: str, unit: str = "line", min_sentence: int = 8, windows: bool = False) -> list[tuple[int, int, str]]:
     """(start, end, normalised) of the units of a text."""
     out = []
     for m in _PIECES[unit].finditer(text):
@@ -54,23 +84,29 @@ def units_of(text: str, unit: str = "line", min_sentence: int = 8) -> list[tuple
                 part = normalise(s.group())
                 if part.count(" ") >= min_sentence - 1:
                     out.append((s.start(), s.end(), part))
+        if windows and inner:
+            known = {(m.start(), m.end())} | {(s.start(), s.end()) for s in inner if len(inner) > 1}
+            out += [(a, b, normalise(text[a:b])) for a, b in sorted(windows_of(text, inner, min_sentence) - known)]
     return out
 
 
-def unit_table(docs: DataFrame, unit: str, min_sentence: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_key, start, end, hi, lo): every unit with its digest; a
-    text without units gives one row with null start."""
+def unit_table(docs: DataFrame, unit: str, min_sentence: int, id_col: str, text_col: str, windows: bool = False) -> DataFrame:
+    """(doc_id, text_key, start, end, hi, lo, n_units): every unit with its
+    digest and the number of units of its text; a text without units gives one
+    row with null start."""
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_key", T.LongType()),
         *[T.StructField(n, T.IntegerType()) for n in ("start", "end")],
-        *[T.StructField(n, T.LongType()) for n in ("hi", "lo")],
+        *[T.StructField(n, T.LongType()) for n in ("hi", "lo", "n_units")],
     ])
 
     def run(batches):
         for batch in batches:
-            at, starts, ends, digests = [], [], [], []
+            at, starts, ends, digests, sizes = [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                found = units_of(text or "", unit, min_sentence) or [(None, None, "")]
+                found = units_of(text or "", unit, min_sentence, windows)
+                sizes += [len(found)] * max(1, len(found))
+                found = found or [(None, None, "")]
                 at += [i] * len(found)
                 starts += [u[0] for u in found]
                 ends += [u[1] for u in found]
@@ -79,7 +115,7 @@ def unit_table(docs: DataFrame, unit: str, min_sentence: int, id_col: str, text_
             rows = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts, pa.int32()),
-                 pa.array(ends, pa.int32()), pa.array(raw[:, 0]), pa.array(raw[:, 1])], names=schema.names)
+                 pa.array(ends, pa.int32()), pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array(sizes, pa.int64())], names=schema.names)
 
     return docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")
@@ -87,29 +123,33 @@ def unit_table(docs: DataFrame, unit: str, min_sentence: int, id_col: str, text_
 
 
 def removed_units(
-    docs: DataFrame, unit: str = "line", min_sentence: int = 8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, unit: str = "line", min_sentence: int = 8, id_col: str = "doc_id", text_col: str = "text",
+    windows: bool = False,
 ) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, text_key, n_units,
     n_removed, n_chars_removed and removed (ordered, disjoint spans of the
     original text)."""
-    table = materialize(unit_table(docs, unit, min_sentence, id_col, text_col).distinct(), "units")
+    table = materialize(unit_table(docs, unit, min_sentence, id_col, text_col, windows), "units")
     units = table.filter("start IS NOT NULL")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "text_key")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "text_key", "end")
     firsts = units.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select(
         "hi", "lo", "first"
     )
-    later = units.join(firsts, ["hi", "lo"]).filter(~place.eqNullSafe(F.col("first"))).select(
-        "doc_id", "text_key", "start", "end"
-    )
-    # A removed sentence inside a removed line is part of it: in order of
+    # A window that overlaps its own earliest occurrence is no repeat of it.
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    repeat = ~place.eqNullSafe(F.col("first")) & ~(own & (F.col("start") < F.col("first.end")))
+    later = units.join(firsts, ["hi", "lo"]).filter(repeat).select("doc_id", "text_key", "start", "end")
+    # Rows that repeat both id and text give the same spans, and a removed sentence inside a removed line is part of it: in order of
     # start (longest first), spans that end before the reach of the ones
-    # before them are left out.
+    # before them are left out, and windows begin behind that reach.
     before = Window.partitionBy("doc_id", "text_key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    outer = later.withColumn("reach", F.max("end").over(before)).filter("reach IS NULL OR end > reach")
+    outer = later.withColumn("reach", F.max("end").over(before)).filter("reach IS NULL OR end > reach").withColumn(
+        "start", F.greatest("start", "reach")
+    )
     spans = outer.groupBy("doc_id", "text_key").agg(
         F.count("*").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")
     )
-    counts = table.groupBy("doc_id", "text_key").agg(F.count("start").alias("n_units"))
+    counts = table.groupBy("doc_id", "text_key").agg(F.max("n_units").alias("n_units"))
     spans = spans.withColumnsRenamed({"doc_id": "d", "text_key": "t"})
     both = counts.join(spans, counts["doc_id"].eqNullSafe(spans["d"]) & (counts["text_key"] == spans["t"]), "left")
     removed = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))

@@ -64,3 +64,40 @@ def test_edge_rows(edge_docs, no_docs):
     assert by_id[1][0].kept_text is None and by_id[2][0].kept_text == ""
     assert sorted(r.kept_text for r in by_id[6]) == ["one id", "two texts"]
     assert U.removed_units(no_docs).count() == 0
+
+
+def brute_windows(rows):
+    """As brute(), for windows: they may overlap one another, but not their own earliest occurrence."""
+    first, out = {}, {}
+    for doc_id, text in sorted(rows):
+        spans, reach = [], 0
+        found = [(s, e) for s, e, u in sorted(U.units_of(text or "", windows=True))
+                 if (f := first.setdefault(u, (doc_id, s, e))) != (doc_id, s, e) and not (f[0] == doc_id and s < f[2])]
+        for s, e in sorted(found, key=lambda s: (s[0], -s[1])):
+            if e > reach:
+                spans.append((max(s, reach), e))
+                reach = e
+        kept, at = "", 0
+        for s, e in spans:
+            kept, at = kept + text[at:s], e
+        out[doc_id] = (spans, kept + (text or "")[at:])
+    return out
+
+
+def test_windows_equal_brute_force(llm_docs):
+    rows, df = llm_docs
+    assert result(df, windows=True) == brute_windows(rows)
+    assert result(df.unionByName(df), windows=True) == brute_windows(rows)
+
+
+def test_short_sentences_and_cuts_within_a_sentence(spark):
+    short = " ".join(f"Item {i} is short." for i in range(20))
+    cut = "the first part of it is here, the second part follows, then a third one comes, and it ends with this part"
+    rows = [
+        (1, f"Own start of one. {short} Own end."), (2, f"Another begin here. {short} Another end."),
+        (3, f"Somebody wrote that {cut}, as they say."), (4, f"It is said, {cut}, or so."), (5, "Item 3 is short. Not the rest."),
+    ]
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"), windows=True)
+    assert got[1][0] == [] and got[3][0] == [] and got[5][0] == []
+    assert sum(e - s for s, e in got[2][0]) > 0.9 * len(short) and "Another begin here." in got[2][1]
+    assert sum(e - s for s, e in got[4][0]) > 0.6 * len(cut) and got[4][1].startswith("It is said,")
