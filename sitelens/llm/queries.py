@@ -8,7 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import bpe_codec, bwt_dedup, decontaminate, pii, quality, secret_scan, simhash, token_count, toxicity, unit_dedup
+from sitelens.llm import (
+    bpe_codec,
+    bwt_dedup,
+    decontaminate,
+    pii,
+    quality,
+    ranked_search,
+    secret_scan,
+    simhash,
+    token_count,
+    toxicity,
+    unit_dedup,
+)
 from sitelens.llm.common import documents, table
 
 
@@ -76,6 +88,11 @@ def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.dedup_substrings(documents(spark, sf_dir), length=50, keep_text=False)
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search.ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -87,12 +104,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_bwt_dedup": op10_bwt_dedup,
+    "op13_ranked_search": op13_ranked_search,
 }
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _OP1_WORDS = (
     f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), "
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
+_OP13_TERMS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": f"""
 WITH item AS (SELECT item_id, {_OP1_WORDS} AS w FROM benchmark),
@@ -134,6 +156,22 @@ SELECT n.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGI
        CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
        sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
 FROM n LEFT JOIN cut ON n.doc_id = cut.doc_id LEFT JOIN kept ON n.doc_id = kept.doc_id
+""",
+    "op13_ranked_search": f"""
+WITH d AS (SELECT doc_id, {_OP13_TERMS} AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS big_n, sum(len(w)) AS big_l FROM d),
+q AS (SELECT item_id, t, count(*) AS reps FROM (SELECT item_id, unnest({_OP13_TERMS}) AS t FROM benchmark) GROUP BY item_id, t),
+p AS (
+  SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY doc_id, n, t),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+x AS (
+  SELECT item_id, doc_id,
+         sum(reps * CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT)
+             * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + CAST((75 * n * big_n) // big_l AS BIGINT))))) AS score
+  FROM q JOIN p ON q.t = p.t JOIN f ON q.t = f.t, s GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk FROM x WHERE score > 0)
+SELECT item_id, CAST(rk AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM r WHERE rk <= 10
 """,
 }
 
