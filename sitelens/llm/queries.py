@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sitelens.llm import (
     bpe_codec,
     bwt_dedup,
+    collocations,
     decontaminate,
     pii,
     quality,
@@ -88,6 +89,11 @@ def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.dedup_substrings(documents(spark, sf_dir), length=50, keep_text=False)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of two to four words in every lang."""
+    return collocations.collocations(documents(spark, sf_dir), max_words=4, min_count=30, top=2000)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return ranked_search.ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), k=10)
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_bwt_dedup": op10_bwt_dedup,
+    "op11_collocations": op11_collocations,
     "op13_ranked_search": op13_ranked_search,
 }
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -156,6 +163,32 @@ SELECT n.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGI
        CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
        sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
 FROM n LEFT JOIN cut ON n.doc_id = cut.doc_id LEFT JOIN kept ON n.doc_id = kept.doc_id
+""",
+    "op11_collocations": f"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t),
+g AS (
+  SELECT lang, m, array_to_string(list_slice(w, s, s + m - 1), ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM w, range(1, 5) AS sizes(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS c, string_split(phrase, ' ') AS p FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+part AS (
+  SELECT lang, array_to_string(list_slice(p, s, s + k - 1), ' ') AS phrase, max(c) AS reach
+  FROM (SELECT *, unnest(range(1, m - k + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS k FROM f)) GROUP BY ALL),
+cand AS (SELECT f.* FROM f LEFT JOIN part USING (lang, phrase) WHERE m > 1 AND 100 * coalesce(reach, 0) < 80 * c),
+cut AS (
+  SELECT lang, m, phrase, c, k, array_to_string(p[:k], ' ') AS h, array_to_string(p[k + 1:], ' ') AS r
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)),
+sc AS (
+  SELECT cut.lang, cut.phrase, cut.c AS a, k, x.c AS l, y.c AS r, CAST(2000000 * CAST(cut.c AS HUGEINT) // (x.c + y.c) AS BIGINT) AS score
+  FROM cut JOIN f AS x ON cut.lang = x.lang AND h = x.phrase JOIN f AS y ON cut.lang = y.lang AND cut.r = y.phrase),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low WHERE nth = 1)
+SELECT rk.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM rk JOIN n ON rk.lang = n.lang WHERE rank <= 2000
 """,
     "op13_ranked_search": f"""
 WITH d AS (SELECT doc_id, {_OP13_TERMS} AS w FROM documents),
