@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import (
+    bottom_k,
     bpe_codec,
     bwt_dedup,
     collocations,
@@ -94,6 +95,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir), max_words=4, min_count=30, top=2000)
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of word pairs are 80 % alike."""
+    return bottom_k.near_duplicates(documents(spark, sf_dir), shingle=2, percent=80, k=64)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return ranked_search.ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), k=10)
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_bwt_dedup": op10_bwt_dedup,
     "op11_collocations": op11_collocations,
+    "op12_minhash": op12_minhash,
     "op13_ranked_search": op13_ranked_search,
 }
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -189,6 +196,22 @@ low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k
 rk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low WHERE nth = 1)
 SELECT rk.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
 FROM rk JOIN n ON rk.lang = n.lang WHERE rank <= 2000
+""",
+    "op12_minhash": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g
+  FROM d),
+g AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+link AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM g AS a JOIN g AS b ON a.x = b.x AND a.doc_id <> b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT reach.u, link.v FROM reach JOIN link ON reach.v = link.u)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, m AS component_id, s.doc_id = m AS kept
+FROM s JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) ON s.doc_id = u
 """,
     "op13_ranked_search": f"""
 WITH d AS (SELECT doc_id, {_OP13_TERMS} AS w FROM documents),
