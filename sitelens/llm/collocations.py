@@ -21,10 +21,12 @@ joins walk them in lockstep with the phrase stream:
 
 Counting goes by length: words first, then pairs, then longer phrases, each
 only where all parts one step shorter are frequent (they must be, if the
-phrase is).  The frequent parts reach the scan as a filter of fixed size that
-never misses one; what passes by chance is counted too and falls at
-``min_count``, so all counts are exact.  Every task combines its occurrences
-before the shuffle.
+phrase is).  Pairs of frequent words are first summed by their 64-bit hash (a
+sum is never below the count of any of its pairs), which keeps the strings of
+rare pairs out of the shuffle.  Frequent words and pairs reach the scan as a
+filter of fixed size that never misses one; what passes by chance is counted
+too and falls at ``min_count``, so all counts are exact and by string.  Every
+task combines its occurrences before the shuffle.
 
 Defined results: a null or empty text has no words; a null lang is ``und``
 (and counts with documents of that lang); repeated rows count as often as they
@@ -35,128 +37,162 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.functions.keyfilter import as_bytes, contains, filter_bits, key_filter
-from sitelens.llm.common import Memo, materialize
+from sitelens.functions.keyfilter import contains, filter_bits, filter_words, hash_filter, key_filter, key_hashes
+from sitelens.llm.common import materialize
 
-#: Distinct phrases a task holds before it hands them on (a memory bound).
-TASK_ENTRIES = 400_000
+#: Words a task counts at once (a memory bound).
+TASK_WORDS = 4_000_000
 SCHEMA = "lang string, phrase string, c long"
 
 #: A-Z is lower-cased; the separators of pieces become line feeds.
 _PIECES = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x0A if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 
 
-def pieces_of(text: str | None) -> list[list[bytes]]:
-    """The words of every piece, UTF-8 (split() knows space, tab and the
-    line breaks, which pieces no longer hold)."""
-    return [piece.split() for piece in (text or "").encode("utf-8").translate(_PIECES).split(b"\n")]
-
-
-def _words(pieces, lang):
-    for words in pieces:
-        yield from words
-
-
-def _pairs(word_filter):
-    frequent = Memo(lambda key: contains(word_filter, key))
-
-    def grams(pieces, lang):
-        for words in pieces:
-            if len(words) > 1:
-                ok = [frequent[lang + w] for w in words]
-                yield from (a + b" " + b for a, b, x, y in zip(words, words[1:], ok, ok[1:]) if x and y)
-
-    return grams
-
-
-def _longer(word_filter, pair_filter, max_words):
-    frequent, linked = Memo(lambda key: contains(word_filter, key)), Memo(lambda key: contains(pair_filter, key))
-
-    def grams(pieces, lang):
-        for words in pieces:
-            if len(words) < 3:
-                continue
-            ok = [frequent[lang + w] for w in words]
-            link = [x and y and linked[lang + a + b" " + b] for a, b, x, y in zip(words, words[1:], ok, ok[1:])]
-            run = 0  # pairs in a row up to here that are frequent
-            for i, good in enumerate(link):
-                run = run + 1 if good else 0
-                for m in range(3, min(run + 1, max_words) + 1):
-                    yield b" ".join(words[i + 2 - m:i + 2])
-
-    return grams
+class Words(dict):
+    """The words of one lang, numbered from 1, and the text so far as their
+    numbers with a 0 after every piece."""
+
+    def __init__(self):
+        super().__init__()
+        self.text = array("i")
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+    def add(self, text: str) -> None:
+        # split() knows space, tab and the line breaks, which pieces no longer hold.
+        for piece in text.encode("utf-8").translate(_PIECES).split(b"\n"):
+            words = piece.split()
+            if words:
+                self.text.extend(map(self.__getitem__, words))
+                self.text.append(0)
+
+    def numbers(self) -> np.ndarray:
+        return np.frombuffer(self.text, np.int32).astype(np.int64)
+
+    def hashes(self, lang: str) -> np.ndarray:
+        """By number; the lang is part of a word here (0 has none)."""
+        start = lang.encode("utf-8") + b"\t"
+        return np.concatenate((np.zeros(1, np.uint64), key_hashes(start + w for w in self)))
+
+
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a ^ (b << np.uint64(17) | b >> np.uint64(47))
+
+
+def _frequent_pairs(words: Words, lang: str, word_filter: np.ndarray):
+    """(text, hashes, positions of pairs of words that the filter knows)."""
+    text, h = words.numbers(), words.hashes(lang)
+    known = contains(word_filter, h)
+    known[0] = False
+    ok = known[text]
+    return text, h, np.flatnonzero(ok[:-1] & ok[1:])
+
+
+def _count_words(words: Words, lang: str):
+    """Counts of all words, and of the phrase null: occurrences in all."""
+    counts = np.bincount(words.numbers(), minlength=len(words) + 1)[1:]
+    yield _rows(lang, [*words, None], np.append(counts, counts.sum()))
+
+
+def _count_pair_hashes(words: Words, lang: str, word_filter: np.ndarray):
+    text, h, at = _frequent_pairs(words, lang, word_filter)
+    pairs, counts = np.unique(text[at] * len(h) + text[at + 1], return_counts=True)
+    both = _pair_hash(h[pairs // len(h)], h[pairs % len(h)])
+    yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(counts, pa.int64())], names=["h", "c"])
+
+
+def _count_phrases(words: Words, lang: str, word_filter: np.ndarray, pair_filter: np.ndarray, max_words: int):
+    """Counts of the phrases of 2 words and more all whose pairs the filter knows."""
+    text, h, at = _frequent_pairs(words, lang, word_filter)
+    at = at[contains(pair_filter, _pair_hash(h[text[at]], h[text[at + 1]]))]
+    names = [b"", *words]
+    # Phrases by the position of their first word; m + 1 words from those of m words and the pair at their end.
+    link = np.zeros(len(text), bool)
+    link[at] = True
+    distinct, own = np.unique(text[at] * len(h) + text[at + 1], return_inverse=True)
+    phrases = [names[a] + b" " + names[b] for a, b in zip((distinct // len(h)).tolist(), (distinct % len(h)).tolist())]
+    for m in range(2, max_words + 1):
+        if not len(at):
+            return
+        yield _rows(lang, phrases, np.bincount(own, minlength=len(phrases)))
+        more = (at + m < len(text)) & link[np.minimum(at + m - 1, len(text) - 1)]
+        at, own = at[more], own[more]
+        distinct, own = np.unique(own * len(h) + text[np.minimum(at + m, len(text) - 1)], return_inverse=True)
+        phrases = [phrases[a] + b" " + names[b] for a, b in zip((distinct // len(h)).tolist(), (distinct % len(h)).tolist())]
+
+
+def _rows(lang: str, phrases: list, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.repeat(lang, len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
+        names=["lang", "phrase", "c"],
+    )
 
 
-def _count(docs: DataFrame, make, with_total: bool = False) -> DataFrame:
-    """(lang, phrase, c) of the phrases that ``make()`` yields, combined in
-    every task; with a row of phrase null for all occurrences of a lang."""
+def _counted(docs: DataFrame, count, schema: str, task_words: int) -> DataFrame:
+    """The rows of ``count(words, lang)`` for bounded runs of the texts."""
 
     def run(batches):
-        grams, counts = make(), {}
-
-        def rows():
-            for lang, c in counts.items():
-                yield from ((lang, phrase, n) for phrase, n in c.items())
-                if with_total:
-                    yield lang, None, sum(c.values())
+        langs: dict[str, Words] = {}
 
         def flush():
-            langs, phrases, numbers = zip(*rows())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())],
-                names=["lang", "phrase", "c"],
-            )
+            for lang, words in langs.items():
+                if len(words):
+                    yield from count(words, lang)
+            langs.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = counts.setdefault(lang, Counter())
-                found.update(grams(pieces_of(text), lang.encode() + b"\t"))
-            if sum(map(len, counts.values())) >= TASK_ENTRIES:
+                langs.setdefault(lang, Words()).add(text or "")
+                if len(langs[lang].text) >= task_words:
+                    yield from flush()
+            if sum(len(w.text) for w in langs.values()) >= task_words:
                 yield from flush()
-                counts = {}
-        if any(counts.values()):
-            yield from flush()
+        yield from flush()
 
-    return docs.mapInArrow(run, SCHEMA).groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, schema)
 
 
-def _filter_of(stream: DataFrame) -> bytes:
-    bits = filter_bits(stream.count())
-    return as_bytes(key_filter(stream.select(F.concat_ws("\t", "lang", "phrase").alias("k")), "k", bits))
-
-
-def count_streams(docs: DataFrame, max_words: int, min_count: int, lang_col: str = "lang", text_col: str = "text"):
+def count_streams(
+    docs: DataFrame, max_words: int, min_count: int, lang_col: str = "lang", text_col: str = "text", task_words: int = TASK_WORDS,
+):
     """(frequent phrases of 1 to ``max_words`` words with counts; occurrences
     of all words per lang)."""
     spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    often = F.col("c") >= min_count
-    words = materialize(_count(own, lambda: _words, with_total=True).filter(F.col("phrase").isNull() | often), "phrase-words")
+    often, total = F.col("c") >= min_count, F.sum("c").alias("c")
+
+    def summed(count):
+        return _counted(own, count, SCHEMA, task_words).groupBy("lang", "phrase").agg(total)
+
+    words = materialize(summed(_count_words).filter(F.col("phrase").isNull() | often), "phrase-words")
     totals = words.filter("phrase IS NULL").select("lang", F.col("c").alias("n"))
     words = words.filter("phrase IS NOT NULL")
-    word_filter = spark.sparkContext.broadcast(_filter_of(words))
-    pairs = materialize(_count(own, lambda: _pairs(word_filter.value)).filter(often), "phrase-pairs")
-    streams = words.unionByName(pairs)
-    if max_words > 2:
-        pair_filter = spark.sparkContext.broadcast(_filter_of(pairs))
-        longer = _count(own, lambda: _longer(word_filter.value, pair_filter.value, max_words)).filter(often)
-        streams = streams.unionByName(materialize(longer, "phrase-longer"))
-    return streams, totals
+    bits = filter_bits(words.count())
+    known = key_filter(words.select(F.concat_ws("\t", "lang", "phrase").alias("k")), "k", bits)
+    word_filter = spark.sparkContext.broadcast(filter_words(known))
+    hashes = _counted(own, lambda w, lang: _count_pair_hashes(w, lang, word_filter.value), "h long, c long", task_words)
+    hashes = materialize(hashes.groupBy("h").agg(total).filter(often).select("h"), "phrase-pair-hashes")
+    pair_filter = spark.sparkContext.broadcast(filter_words(hash_filter(hashes, "h", filter_bits(hashes.count()))))
+    longer = summed(lambda w, lang: _count_phrases(w, lang, word_filter.value, pair_filter.value, max_words)).filter(often)
+    return words.unionByName(materialize(longer, "phrase-streams")), totals
 
 
 def collocations(
     docs: DataFrame, max_words: int = 4, min_count: int = 30, top: int = 2000, absorb: int = 80,
-    lang_col: str = "lang", text_col: str = "text",
+    lang_col: str = "lang", text_col: str = "text", task_words: int = TASK_WORDS,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` candidates of every
     lang that no longer candidate with ``absorb`` % of the count contains."""
-    streams, totals = count_streams(docs, max_words, min_count, lang_col, text_col)
+    streams, totals = count_streams(docs, max_words, min_count, lang_col, text_col, task_words)
     grams = streams.withColumn("m", F.size(F.split("phrase", " ")))
     long_ones = grams.filter("m > 1")
     # Prefix order: by the phrase without its last word; suffix order: by the one without its first.

@@ -62,16 +62,17 @@ def test_equals_brute_force(spark):
     assert got(C.collocations(df, max_words=2, min_count=30)) == brute(rows, max_words=2, min_count=30)
 
 
-def test_small_task_tables(spark, monkeypatch):
-    """Tasks that hand on their counts early give the same sums (the limit is read in the driver's closure)."""
+def test_small_task_tables(spark):
+    """Tasks that hand on their counts early give the same sums."""
     rows = made(6, 60)
-    monkeypatch.setattr(C, "TASK_ENTRIES", 1)
-    assert got(C.collocations(spark.createDataFrame(rows, "lang string, text string"), min_count=4)) == brute(rows, min_count=4)
+    assert got(C.collocations(spark.createDataFrame(rows, "lang string, text string"), min_count=4, task_words=1)) == brute(rows, min_count=4)
 
 
 def test_pieces_and_repeats():
     rows = [("en", "New York. new york, new york new york")] * 2
-    assert C.pieces_of("New York. new\tyork\r\nx") == [[b"new", b"york"], [b"new", b"york"], [], [b"x"]]
+    words = C.Words()
+    words.add("New York. new\tyork\r\nx")
+    assert list(words) == [b"new", b"york", b"x"] and words.text.tolist() == [1, 2, 0, 1, 2, 0, 3, 0]
     assert [r[2:6] for r in brute(rows, min_count=4)] == [("new york", 8, 8, 8)]
 
 
