@@ -102,6 +102,22 @@ def parse_sitemap(body: Column) -> Column:
     return F.when(ns_ok, F.struct(locs(x["sitemap"]).alias("children"), locs(x["url"]).alias("urls")))
 
 
+def _children(parsed: DataFrame, changed: DataFrame) -> DataFrame:
+    """(run_id, tier, node, key, fetch_url): the least path to each child over
+    the sitemaps whose own path has just changed."""
+    e = parsed.join(changed, ["run_id", "tier", "node"]).select("run_id", "tier", "key", F.posexplode("children").alias("pos", "child"))
+    paths = e.select(
+        "run_id", "tier", url_key("child").alias("node"),
+        F.concat("key", F.array(F.lit(0).cast("long"), F.col("pos").cast("long"))).alias("key"), F.col("child").alias("fetch_url"),
+    ).filter(F.col("node").isNotNull())
+    return _least_path(paths)
+
+
+def _least_path(paths: DataFrame) -> DataFrame:
+    m = paths.groupBy("run_id", "tier", "node").agg(F.min(F.struct("key", "fetch_url")).alias("m"))
+    return m.select("run_id", "tier", "node", "m.key", "m.fetch_url")
+
+
 def expand_sitemaps(
     roots: DataFrame, captures: DataFrame, index: DataFrame
 ) -> DataFrame:
@@ -109,49 +125,47 @@ def expand_sitemaps(
 
     ``roots``: (run_id, tier, key array<long>, sitemap_url).  Output:
     (run_id, loc, ord) with a child sitemap's URLs before the parent's own
-    (key + [0, child] < key + [1, url]).  A child that is one of its own
-    ancestors is skipped, so the frontier runs empty on any finite set of
-    sitemaps; one round per level of nesting.
+    (key + [0, child] < key + [1, url]).
+
+    A semi-naive fixpoint over the sitemap graph: each sitemap of a (run, tier)
+    is fetched and parsed once and keeps the least path key that reaches it,
+    which is its place in a sequential depth-first walk that visits every
+    sitemap once.  A round extends only the paths that became smaller in the
+    last one, so trees take one round per level, diamonds and cycles add no
+    rows, and the rounds end on any finite set of sitemaps.
     """
-    frontier = roots.select(
-        "run_id", "tier", "key", F.col("sitemap_url").alias("fetch_url"),
-        F.array(url_key("sitemap_url")).alias("ancestors"),
-    )
-    outs: list[DataFrame] = []
+    node = ["run_id", "tier", "node"]
+    changed = _least_path(roots.select(
+        "run_id", "tier", url_key("sitemap_url").alias("node"), "key", F.col("sitemap_url").alias("fetch_url")
+    ).filter(F.col("node").isNotNull()))
+    changed = materialize(changed, "sitemap-paths")
+    paths, parsed = changed, None
+    fresh, turn = changed, 0
+    # The arrays keep their blanks: positions in a sitemap are part of the path.
+    texts = lambda a: F.coalesce(a, F.array().cast("array<string>"))
     while True:
-        f = fetch_bodies(frontier, captures, index).filter(F.col("status_code") == 200)
-        p = f.select("run_id", "tier", "key", "ancestors", parse_sitemap(F.col("body")).alias("sm"))
-        urls = p.select(
-            "run_id", "tier", "key", F.posexplode(F.coalesce(F.col("sm.urls"), F.array().cast("array<string>"))).alias("pos", "loc")
-        ).filter(F.col("loc").isNotNull() & (F.col("loc") != ""))
-        outs.append(
-            urls.select(
-                "run_id",
-                F.col("loc").alias("raw_url"),
-                F.struct(
-                    F.col("tier"), F.concat("key", F.array(F.lit(1).cast("long"), F.col("pos").cast("long"))).alias("key")
-                ).alias("ord"),
+        if parsed is None or not fresh.isEmpty():
+            sm = fetch_bodies(fresh, captures, index).filter(F.col("status_code") == 200).select(
+                *node, parse_sitemap(F.col("body")).alias("sm")
             )
-        )
-        kids = p.select(
-            "run_id", "tier", "key", "ancestors",
-            F.posexplode(F.coalesce(F.col("sm.children"), F.array().cast("array<string>"))).alias("pos", "child"),
-        ).filter(F.col("child").isNotNull() & (F.col("child") != ""))
-        kids = kids.filter(~F.array_contains("ancestors", url_key("child")))
-        frontier = kids.select(
-            "run_id",
-            "tier",
-            F.concat("key", F.array(F.lit(0).cast("long"), F.col("pos").cast("long"))).alias("key"),
-            F.col("child").alias("fetch_url"),
-            F.concat("ancestors", F.array(url_key("child"))).alias("ancestors"),
-        )
-        frontier = materialize(frontier, "sitemap-frontier")
-        if frontier.isEmpty():
+            new = materialize(sm.select(*node, texts(F.col("sm.children")).alias("children"), texts(F.col("sm.urls")).alias("urls")), "sitemaps")
+            parsed = new if parsed is None else parsed.unionByName(new)
+        best = paths.groupBy(*node).agg(F.min("key").alias("best"))
+        found = _children(parsed, changed.select(*node, "key")).filter("fetch_url <> ''").join(best, node, "left")
+        changed = materialize(found.filter("best IS NULL OR key < best"), "sitemap-paths")
+        if changed.isEmpty():
             break
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+        fresh = changed.filter("best IS NULL")
+        paths = paths.unionByName(changed.drop("best"))
+        turn += 1
+        if turn % 4 == 0:  # a short union, however many rounds there are
+            paths = materialize(_least_path(paths), "sitemap-best")
+    best = paths.groupBy(*node).agg(F.min("key").alias("key"))
+    urls = parsed.join(best, node).select("run_id", "tier", "key", F.posexplode("urls").alias("pos", "loc"))
+    return urls.filter(F.col("loc") != "").select(
+        "run_id", F.col("loc").alias("raw_url"),
+        F.struct("tier", F.concat("key", F.array(F.lit(1).cast("long"), F.col("pos").cast("long"))).alias("key")).alias("ord"),
+    )
 
 
 # ---------------------------------------------------------------------------

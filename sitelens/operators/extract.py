@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sitelens.config import DESCRIPTION_TIERS, EXTRACT_EVENT_DESC_MAX, NO_SOURCE, TITLE_TIERS
 from sitelens.functions.html import extract_signals
+from sitelens.functions.keyfilter import filter_bits, hash_filter, may_contain_hash
 from sitelens.functions.urls import normalize_sql
 from sitelens.sources.captures import header
 
@@ -27,8 +28,10 @@ def capture_index(captures: DataFrame) -> DataFrame:
 
     Columns: url_key, fetched_at, status_code, content_type, etag,
     last_modified, body_bytes.  Partial aggregation combines repeated captures of a hot
-    URL before the shuffle.
+    URL before the shuffle.  A capture table that stores ``body_bytes`` spares
+    this scan the bodies; without the column they are measured.
     """
+    body_bytes = F.col("body_bytes") if "body_bytes" in captures.columns else F.octet_length("body")
     small = captures.select(
         url_key("url").alias("url_key"),
         F.struct(
@@ -37,33 +40,48 @@ def capture_index(captures: DataFrame) -> DataFrame:
             header("content-type").alias("content_type"),
             header("etag").alias("etag"),
             header("last-modified").alias("last_modified"),
-            F.octet_length("body").alias("body_bytes"),
+            body_bytes.cast("int").alias("body_bytes"),
         ).alias("c"),
     )
     return small.groupBy("url_key").agg(F.max("c").alias("c")).select("url_key", "c.*")
 
 
-#: Keys up to this number are broadcast, so pages that are not wanted are
-#: skipped before they are parsed; beyond it they are parsed and dropped after.
+#: Keys up to this number are broadcast to the scan; beyond it the scan gets a
+#: filter of fixed size (8 MB at most), and an exact join follows the parser.
 KEY_BROADCAST_ROWS = 2_000_000
 
 
+def wanted_pages(captures: DataFrame, keys: DataFrame, broadcast_rows: int = KEY_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """The successful captures named by ``keys`` (url_key, fetched_at), before
+    they are parsed, and whether the selection is exact.  Beyond
+    ``broadcast_rows`` it lets about 0.3 % of the other pages through (more
+    than that only when the keys outgrow the largest filter)."""
+    ok = captures.filter(F.col("status_code") == 200).select(
+        url_key("url").alias("url_key"), "fetched_at", "url", F.col("body").alias("html")
+    )
+    n = keys.count()
+    if n <= broadcast_rows:
+        return ok.join(F.broadcast(keys), ["url_key", "fetched_at"], "left_semi"), True
+    bits = filter_bits(n)
+    h = F.xxhash64("url_key", "fetched_at")
+    words = hash_filter(keys.select(h.alias("h")), "h", bits)
+    return ok.filter(may_contain_hash(words, h, bits)), False
+
+
 def page_signals(captures: DataFrame, keys: DataFrame | None = None, broadcast_rows: int = KEY_BROADCAST_ROWS) -> DataFrame:
     """E1 on the successful captures named by ``keys`` (url_key, fetched_at;
     default: the latest capture of every URL), a map-only pass.
 
     Returns url_key + the signal columns of ``sitelens.functions.html``.
-    Bodies cross no shuffle either way: with few keys they meet the broadcast
-    keys before the parser, otherwise their signals are joined to the keys.
+    Bodies cross no shuffle either way: unwanted pages are skipped before the
+    parser (``wanted_pages``); if that may let some through, their signals are
+    joined to the keys.
     """
-    ok = captures.filter(F.col("status_code") == 200).select(
-        url_key("url").alias("url_key"), "fetched_at", "url", F.col("body").alias("html")
-    )
     keys = (keys if keys is not None else capture_index(captures)).select("url_key", "fetched_at")
-    if keys.count() <= broadcast_rows:
-        wanted = ok.join(F.broadcast(keys), ["url_key", "fetched_at"], "left_semi")
+    wanted, exact = wanted_pages(captures, keys, broadcast_rows)
+    if exact:
         return extract_signals(wanted, keep=["url_key"]).drop("url")
-    sig = extract_signals(ok, keep=["url_key", "fetched_at"])
+    sig = extract_signals(wanted, keep=["url_key", "fetched_at"])
     return sig.join(keys, ["url_key", "fetched_at"], "left_semi").drop("fetched_at", "url")
 
 

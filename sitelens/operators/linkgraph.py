@@ -113,10 +113,13 @@ def bfs_scan(
         )
         first = new.groupBy("site", "dst").agg(F.min(F.struct("src_rank", "pos")).alias("k"))
         offset = seen.groupBy("site").agg((F.max("rank") + 1).alias("offset"))
+        # The plain limit on the row number runs before the shuffle (a task
+        # hands on at most the page budget per site), the offset comes after.
         w = Window.partitionBy("site").orderBy("k", "dst")
+        nearest = first.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= b.max_scan_pages)
         ranked = (
-            first.join(offset, "site")
-            .withColumn("rank", F.col("offset") + F.row_number().over(w) - 1)
+            nearest.join(offset, "site")
+            .withColumn("rank", F.col("offset") + F.col("nth") - 1)
             .filter(F.col("rank") < b.max_scan_pages)
             .select("site", F.col("dst").alias("url_key"), F.lit(depth + 1).alias("depth"), "rank")
         )

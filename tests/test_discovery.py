@@ -65,6 +65,51 @@ def test_sitemaps_nested_deeper_than_any_cap(spark):
     assert found["n.com"] == [("https://n.com/deep", "sitemap")]
 
 
+def _expand(spark, rows, root):
+    caps = captures_from_rows(spark, rows)
+    roots = spark.createDataFrame([("r", 3, [], root)], "run_id string, tier int, key array<long>, sitemap_url string")
+    found = discovery.expand_sitemaps(roots, caps, extract.capture_index(caps)).collect()
+    return [r.raw_url for r in sorted(found, key=lambda r: r.ord["key"])]
+
+
+def _walk(pages, url, seen):
+    """Depth-first walk that visits every sitemap once: children first, then the own URLs."""
+    seen.add(url)
+    children, own = pages[url]
+    return [u for c in children if c not in seen for u in _walk(pages, c, seen)] + own
+
+
+def _as_rows(pages):
+    body = lambda children, own: _index(*children).replace("</sitemapindex>", "") + "".join(f"<url><loc>{u}</loc></url>" for u in own) + "</sitemapindex>"
+    return [(u, 200, body(*p)) for u, p in pages.items()]
+
+
+def test_mutual_sitemaps_are_read_once(spark):
+    names = [f"https://m.com/s{i}.xml" for i in range(30)]
+    pages = {u: (names, [f"https://m.com/p{i}"]) for i, u in enumerate(names)}
+    assert _expand(spark, _as_rows(pages), names[0]) == _walk(pages, names[0], set())
+
+
+def test_twenty_levels_of_diamonds(spark):
+    pages = {}
+    for k in range(20):
+        low = [f"https://m.com/{s}{k + 1}.xml" for s in "ab"]
+        for s in "ab":
+            pages[f"https://m.com/{s}{k}.xml"] = (low[:: 1 if s == "a" else -1], [f"https://m.com/{s}{k}"])
+    pages |= {f"https://m.com/{s}20.xml": ([], [f"https://m.com/{s}20"]) for s in "ab"}
+    assert _expand(spark, _as_rows(pages), "https://m.com/a0.xml") == _walk(pages, "https://m.com/a0.xml", set())
+
+
+def test_random_sitemap_graphs_follow_the_walk(spark):
+    import random
+
+    for seed in (1, 2):
+        rnd = random.Random(seed)
+        names = [f"https://m.com/s{i}.xml" for i in range(9)]
+        pages = {u: (rnd.sample(names, rnd.randrange(5)), [f"https://m.com/p{i}"]) for i, u in enumerate(names)}
+        assert _expand(spark, _as_rows(pages), names[0]) == _walk(pages, names[0], set())
+
+
 def test_gating_skips_later_tiers(spark):
     rows = [
         ("https://d.com/llms.txt", 200, "- [A](/a)"),
