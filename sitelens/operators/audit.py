@@ -9,12 +9,11 @@ transitions.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.config import ALLOWED_TRANSITIONS, FAILURE_CODES
+from sitelens.session import materialize
 
 # Upper bounds (seconds) of the stage-duration histogram buckets.
 DURATION_BUCKETS = (1, 10, 60, 300)
@@ -72,48 +71,49 @@ def stage_outcomes(events: DataFrame) -> DataFrame:
 
 
 def quantized_percentiles(
-    df: DataFrame, keys: list[str], value: str, ps: dict[str, float], per_unit: int = 1_000_000, buckets: int = 1024
+    df: DataFrame, keys: list[str], value: str, ps: dict[str, float], per_unit: int = 1_000_000, buckets: int = 4096
 ) -> DataFrame:
     """Percentiles with linear interpolation (``percentile_cont``) over
     values in units of ``1 / per_unit`` (microseconds by default, what the
     audit log records, so nothing is rounded away).
 
-    Two histogram levels.  The first counts at most ``buckets`` equal ranges
-    per key (partial aggregation, a few rows per key afterwards) and finds
-    the ranges that hold the wanted ranks; the second counts distinct values
-    inside these ranges only, ordered per (key, range).  No task holds or
-    sorts all values of a key, also when there is a single key.
+    A distributed selection: every wanted rank starts with the whole range of
+    its key.  A round cuts each wanted range into at most ``buckets`` equal
+    parts, counts the values in them (partial aggregation) and goes on with the
+    part that holds the rank, until the parts are single values.  The rounds
+    follow from the widest range (two for ten seconds, four for a million, in
+    microseconds), wherever the values lie in it; no window sees more than
+    ``buckets`` rows and no task holds or sorts the values of a key.
     """
     from pyspark.sql import Window
 
     v = df.filter(F.col(value).isNotNull()).select(*keys, F.round(F.col(value) * per_unit).cast("long").alias("x"))
-    ends = v.groupBy(*keys).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n"))
-    ends = ends.withColumn("width", F.floor((F.col("high") - F.col("low")) / buckets) + 1).drop("high")
-    v = v.join(ends, keys).withColumn("b", F.floor((F.col("x") - F.col("low")) / F.col("width")))
-    coarse = v.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    upto = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    coarse = coarse.withColumn("base", F.sum("c").over(upto) - F.col("c"))
-    ranks = [f(F.lit(p) * (F.col("n") - 1)) for p in ps.values() for f in (F.floor, F.ceil)]
-    holds = [(r >= F.col("base")) & (r < F.col("base") + F.col("c")) for r in ranks]
-    wanted = coarse.filter(reduce(Column.__or__, holds)).select(*keys, "b", "base")
-    fine = v.groupBy(*keys, "b", "x").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).join(wanted, [*keys, "b"])
-    inside = Window.partitionBy(*keys, "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    fine = fine.withColumn("cum", F.col("base") + F.sum("c").over(inside))
-    aggs = []
-    for name, p in ps.items():
+    ends = materialize(v.groupBy(*keys).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n")), "value-ends")
+    widest = ends.agg(F.max(F.col("high") - F.col("low") + 1)).first()[0] or 0
+    rank_of = lambda p, f: f(F.lit(p) * (F.col("n") - 1)).cast("long")
+    ranks = F.array_distinct(F.array(*[rank_of(p, f) for p in ps.values() for f in (F.floor, F.ceil)]))
+    wanted = ends.select(*keys, F.explode(ranks).alias("rank"), F.col("low").alias("lo"), (F.col("high") - F.col("low") + 1).alias("width"),
+                         F.lit(0).cast("long").alias("base"))
+    upto = Window.partitionBy(*keys, "lo").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    while widest > 1:
+        ranges = wanted.select(*keys, "lo", "width").distinct().withColumn("step", F.ceil(F.col("width") / buckets).cast("long"))
+        inside = v.join(ranges, keys).filter((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("lo") + F.col("width")))
+        parts = inside.groupBy(*keys, "lo", "step", F.floor((F.col("x") - F.col("lo")) / F.col("step")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        parts = parts.withColumn("upto", F.sum("c").over(upto))
+        held = wanted.join(parts, [*keys, "lo"]).filter(
+            (F.col("rank") >= F.col("base") + F.col("upto") - F.col("c")) & (F.col("rank") < F.col("base") + F.col("upto"))
+        )
+        wanted = materialize(held.select(
+            *keys, "rank", (F.col("lo") + F.col("b") * F.col("step")).alias("lo"), F.col("step").alias("width"),
+            (F.col("base") + F.col("upto") - F.col("c")).alias("base")), "value-ranges")
+        widest = -(-widest // buckets)
+    chosen = wanted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at")).join(ends, keys)
+    cols = []
+    for k, p in ps.items():
+        lo, hi = (F.col("at")[rank_of(p, f)] for f in (F.floor, F.ceil))
         pos = F.lit(p) * (F.col("n") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        aggs += [
-            F.min(F.when(F.col("cum") > lo, F.col("x"))).alias(f"{name}_lo"),
-            F.min(F.when(F.col("cum") > hi, F.col("x"))).alias(f"{name}_hi"),
-            F.first(pos - lo).alias(f"{name}_frac"),
-        ]
-    out = fine.groupBy(*keys).agg(*aggs)
-    cols = [
-        ((F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * F.col(f"{k}_frac")) / float(per_unit)).alias(k)
-        for k in ps
-    ]
-    return out.select(*keys, *cols)
+        cols.append(((lo + (hi - lo) * (pos - F.floor(pos))) / float(per_unit)).alias(k))
+    return chosen.select(*keys, *cols)
 
 
 def stage_durations(events: DataFrame) -> DataFrame:

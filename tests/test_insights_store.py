@@ -135,3 +135,15 @@ def test_quantized_percentiles_microseconds(spark):
     df = spark.createDataFrame([("g", v) for v in vals], "k string, v double")
     r = audit.quantized_percentiles(df, ["k"], "v", {"p50": 0.5, "p25": 0.25}, per_unit=1_000_000).first()
     assert abs(r.p50 - np.percentile(vals, 50)) < 1e-12 and abs(r.p25 - np.percentile(vals, 25)) < 1e-12
+
+
+def test_percentiles_with_one_outlier(spark):
+    """One value of a million seconds among ten-second ones: still exact, in ranges that shrink to single values."""
+    import numpy as np
+
+    rows = [10.0 + i / 1000 for i in range(3000)] + [1_000_000.0]
+    df = spark.createDataFrame([("a", x) for x in rows] + [("b", 5.0), ("c", None)], "k string, v double")
+    out = {r.k: r for r in audit.quantized_percentiles(df, ["k"], "v", {"p50": 0.5, "p99": 0.99, "p100": 1.0}, buckets=64).collect()}
+    assert set(out) == {"a", "b"} and out["b"].p50 == 5.0
+    for name, p in (("p50", 50), ("p99", 99), ("p100", 100)):
+        assert abs(out["a"][name] - np.percentile(rows, p)) < 1e-6
