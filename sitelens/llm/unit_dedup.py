@@ -9,10 +9,12 @@ neighbouring clauses to its left and right that are just long enough, so a
 short sentence is removed only together with a neighbour that repeats with it
 in the same earlier place.  A unit is
 normalised (lower case, runs of white space as one space, ends trimmed) and
-hashed to 128 bits; units without a word are left alone.  Digests are grouped
-over the whole corpus with a partial aggregate that keeps the earliest
-occurrence by (doc_id, start); all later occurrences are removed, with their
-offsets in the original text (code points, end exclusive).
+hashed to 128 bits; units without a word are left alone.  The units of a text
+are one row of arrays.  The first halves of all digests are counted; only units
+whose half repeats go on, and their whole digests are grouped over the corpus
+with a partial aggregate that keeps the earliest occurrence by (doc_id,
+start); all later occurrences are removed, with their offsets in the original
+text (code points, end exclusive).
 
 The digest of a very common line is a hot key: the aggregate combines it on
 the map side, and the join that marks its occurrences carries only digests
@@ -35,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.functions.keyfilter import filter_bits, hash_filter, may_contain_hash
 from sitelens.llm.common import materialize
 
 _PIECES = {"line": regex.compile(r"[^\n]+"), "paragraph": regex.compile(r"(?:[^\n]|\n(?!\s*\n))+")}
@@ -91,37 +94,48 @@ def units_of(text: str, unit: str = "line", min_sentence: int = 8, windows: bool
 
 
 def unit_table(docs: DataFrame, unit: str, min_sentence: int, id_col: str, text_col: str, windows: bool = False) -> DataFrame:
-    """(doc_id, text_key, start, end, hi, lo, n_units): every unit with its
-    digest and the number of units of its text; a text without units gives one
-    row with null start."""
+    """(doc_id, text_key, n_units, start, end, hi, lo): one row per text, its
+    units and their digests as arrays."""
     schema = T.StructType([
-        T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_key", T.LongType()),
-        *[T.StructField(n, T.IntegerType()) for n in ("start", "end")],
-        *[T.StructField(n, T.LongType()) for n in ("hi", "lo", "n_units")],
+        T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_key", T.LongType()), T.StructField("n_units", T.LongType()),
+        *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("start", "end")],
+        *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("hi", "lo")],
     ])
 
     def run(batches):
         for batch in batches:
-            at, starts, ends, digests, sizes = [], [], [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
+            starts, ends, digests, offsets = [], [], [], [0]
+            for text in batch.column(2).to_pylist():
                 found = units_of(text or "", unit, min_sentence, windows)
-                sizes += [len(found)] * max(1, len(found))
-                found = found or [(None, None, "")]
-                at += [i] * len(found)
                 starts += [u[0] for u in found]
                 ends += [u[1] for u in found]
                 digests += [xxhash.xxh3_128_digest(u[2].encode("utf-8")) for u in found]
+                offsets.append(len(starts))
             raw = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-            rows = pa.array(at, pa.int32())
+            at = pa.array(offsets, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, values) for values in (
+                pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(raw[:, 0]), pa.array(raw[:, 1]))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts, pa.int32()),
-                 pa.array(ends, pa.int32()), pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array(sizes, pa.int64())], names=schema.names)
+                [batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), *lists], names=schema.names)
 
     return docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")
     ).mapInArrow(run, schema)
 
 
+def repeated_units(table: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, end, hi, lo) of the units whose first 64 bits
+    of digest occur twice or more, and of few others: the halves alone are
+    counted, and only what a fixed-size filter of the repeated ones lets
+    through goes on as rows."""
+    halves = table.select(F.explode("hi").alias("hi")).groupBy("hi").agg(F.count("*").alias("c")).filter("c > 1")
+    halves = materialize(halves.select("hi"), "unit-repeats")
+    bits = filter_bits(halves.count())
+    words = hash_filter(halves, "hi", bits)
+    units = table.select("doc_id", "text_key", F.explode(F.arrays_zip("start", "end", "hi", "lo")).alias("u"))
+    return units.filter(may_contain_hash(words, F.col("u.hi"), bits)).select("doc_id", "text_key", "u.start", "u.end", "u.hi", "u.lo")
+
+
 def removed_units(
     docs: DataFrame, unit: str = "line", min_sentence: int = 8, id_col: str = "doc_id", text_col: str = "text",
     windows: bool = False,
@@ -130,7 +144,7 @@ def removed_units(
     n_removed, n_chars_removed and removed (ordered, disjoint spans of the
     original text)."""
     table = materialize(unit_table(docs, unit, min_sentence, id_col, text_col, windows), "units")
-    units = table.filter("start IS NOT NULL")
+    units = repeated_units(table)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "text_key", "end")
     firsts = units.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select(
         "hi", "lo", "first"

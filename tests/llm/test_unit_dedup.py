@@ -101,3 +101,48 @@ def test_short_sentences_and_cuts_within_a_sentence(spark):
     assert got[1][0] == [] and got[3][0] == [] and got[5][0] == []
     assert sum(e - s for s, e in got[2][0]) > 0.9 * len(short) and "Another begin here." in got[2][1]
     assert sum(e - s for s, e in got[4][0]) > 0.6 * len(cut) and got[4][1].startswith("It is said,")
+
+
+def plain_parts(text, start, end, marks):
+    """Parts of text[start:end]: cut behind a run of marks that white space or the end follows, white space before a part left out."""
+    out, at = [], start
+    while at < end:
+        while at < end and text[at].isspace():
+            at += 1
+        if at == end:
+            break
+        begin = at
+        at += 1
+        while at < end:
+            if text[at - 1] in marks and at - 1 > begin and (text[at].isspace()):
+                break
+            at += 1
+        out.append((begin, at))
+    return out
+
+
+def test_clause_units_by_a_plain_splitter(spark):
+    """Units of simple texts (single marks, no blank ends) by a splitter of its own."""
+    rnd = __import__("random").Random(4)
+    for _ in range(60):
+        text = " ".join(rnd.choice("a bb ccc dd, e. f; gg! h? i:".split()) for _ in range(rnd.randrange(1, 60)))
+        sentences = plain_parts(text, 0, len(text), ".!?")
+        clauses = [c for a, b in sentences for c in plain_parts(text, a, b, ",;:")]
+        size = [len(text[a:b].split()) for a, b in clauses]
+        want = {(0, len(text))}
+        if len(sentences) > 1:
+            want |= {(a, b) for a, b in sentences if len(text[a:b].split()) >= 8}
+        for i in range(len(clauses)):
+            right = next((j for j in range(i, len(clauses)) if sum(size[i:j + 1]) >= 8), None)
+            left = next((j for j in range(i, -1, -1) if sum(size[j:i + 1]) >= 8), None)
+            want |= {(clauses[i][0], clauses[right][1])} if right is not None else set()
+            want |= {(clauses[left][0], clauses[i][1])} if left is not None else set()
+        assert {(a, b) for a, b, _ in U.units_of(text, windows=True)} == want, text
+
+
+def test_edge_rows_with_windows(edge_docs, no_docs):
+    rows = edge_docs.select("doc_id", "text").collect()
+    got = U.kept_texts(edge_docs, U.removed_units(edge_docs, windows=True)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((r.doc_id, r.text) for r in rows), key=str)
+    assert [r.kept_text for r in got if r.doc_id == 5] == ["same text of a repeated row"] * 2
+    assert U.removed_units(no_docs, windows=True).count() == 0
