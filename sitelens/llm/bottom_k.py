@@ -9,13 +9,16 @@ sets reaches ``percent``; components of links are the result.
   least ``least_shared`` values of their sketches, so they share one among the
   rarest ``size - least_shared + 1`` of each; only these are listed, ordered by
   the number of sketches that hold them.
-* **Leaders.**  In each round every list names one member; the others are
-  paired with it (as many pairs as members).  Pairs that are confirmed are
-  contracted to components and lists with a single component are done, so a
-  group of thousands of near copies falls together without its pairs.
-* **Blocks.**  When few rows are left, or rounds no longer halve them, all
-  pairs of different components in the lists that are left are compared inside
-  tasks, in blocks of bounded size, by the overlap of their sketches.
+  Lists with the same members count once.
+* **Leaders.**  In each of two rounds every list names one member; the others
+  are paired with it (as many pairs as members), after which it leaves the
+  list.  Pairs that are confirmed are contracted to components; lists with a
+  single component or member are done, so a group of thousands of near copies
+  falls together without its pairs.
+* **Blocks.**  All pairs of different components in the lists that are left
+  are compared inside tasks, in blocks of bounded size, by the overlap of their
+  sketches (31 bits of each value; one match less than needed is let through,
+  as two values of a set may agree in them).
 * **Union sketch.**  The k smallest values of both sketches together are the
   sketch of the union; the share of them in both estimates the similarity and
   drops pairs that cannot reach ``percent``.
@@ -55,6 +58,8 @@ from sitelens.llm.components import connected_components
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Members of a list compared at once in a task.
 BLOCK = 256
+#: Rounds of leaders before the blocks.
+LEADER_TURNS = 2
 #: Natural log of the probability that a bound misses a similar pair.
 LOG_MISS = math.log(1e-12)
 
@@ -145,59 +150,70 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(key, full) of the wanted (key, row_key); only the texts of these rows
-    leave the scan."""
+    """(sid, full) of the wanted (sid, key, row_key); only the texts of these
+    rows leave the scan."""
     bits = filter_bits(wanted.count())
     words = hash_filter(wanted, "row_key", bits)
-    own = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).filter(may_contain_hash(words, F.col("row_key"), bits))
+    own = docs.select("text", F.xxhash64("doc_id", "text").alias("row_key")).filter(may_contain_hash(words, F.col("row_key"), bits))
 
     def run(batches):
         for batch in batches:
-            parts = [hashed(shingle_set(text, shingle)) for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(p) for p in parts], pa.binary()), _lists(parts)], names=["key", "full"])
+            parts = [hashed(shingle_set(text, shingle)) for text in batch.column(2).to_pylist()]
+            own = pa.array([set_key(p) == key for p, key in zip(parts, batch.column(1).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(parts)], names=["sid", "full"]).filter(own)
 
-    texts = own.join(wanted.select("row_key").distinct(), "row_key", "left_semi").select("text")
-    return texts.mapInArrow(run, "key binary, full array<bigint>").dropDuplicates(["key"])
+    texts = own.join(wanted, "row_key").select("sid", "key", "text")
+    return texts.mapInArrow(run, "sid long, full array<bigint>").dropDuplicates(["sid"])
 
 
 def postings_of(sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """(value, key, n): inverted lists of the rarest retained values."""
-    entries = sets.select("key", "n", F.explode("sketch").alias("value"))
+    """(value, sid, n): inverted lists of the rarest retained values."""
+    entries = sets.select("sid", F.explode("sketch").alias("value"))
     counts = materialize(entries.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1"), "sketch-counts")
     often = skew_join(entries, counts, "value", counts=counts)
-    own = often.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("often"))
+    own = often.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("often")).join(sets.select("sid", "n"), "sid")
     size = F.least(F.col("n"), F.lit(k)).cast("int")
     # Values held by one sketch are the rarest: they take their places of the prefix first.
     places = size - least_shared(F.col("n"), k, percent) + 1 - (size - F.size("often"))
-    listed = own.select("key", "n", F.explode(F.slice("often", F.lit(1), F.greatest(places, F.lit(0)))).alias("v"))
-    return listed.select(F.col("v.value").alias("value"), "key", "n")
+    listed = own.select("sid", "n", F.explode(F.slice("often", F.lit(1), F.greatest(places, F.lit(0)))).alias("v"))
+    return listed.select(F.col("v.value").alias("value"), "sid", "n")
 
 
-def _sized(a: str, b: str, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _open_lists(lists: DataFrame) -> DataFrame:
+    """The lists with members of two components at least, once per set of members."""
+    h, g = F.xxhash64("sid"), F.xxhash64(F.lit(1), "sid")
+    states = lists.groupBy("value").agg(
+        F.count("*").alias("c"), (F.min("root") != F.max("root")).alias("open"), F.bit_xor(h).alias("h"), F.bit_xor(g).alias("g")
+    )
+    states = materialize(states.filter("c > 1"), "list-states")
+    first = states.filter("open").groupBy("c", "h", "g").agg(F.min("value").alias("value")).select("value")
+    return materialize(skew_join(lists, first, "value", counts=states.select("value", "c")), "open-lists")
 
 
-def _leader_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(a, b): every member with the member that its list names this turn."""
-    order = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", F.col("root").alias("lead_root"), F.col("n").alias("lead_n"))
+def _with_leaders(lists: DataFrame, turn: int) -> DataFrame:
+    """The lists with the member that each names this turn."""
+    order = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "root", "n")
     leads = lists.groupBy("value").agg(F.min(order).alias("lead"), F.count("*").alias("c"))
-    leads = materialize(leads, "list-leaders")
-    both = skew_join(lists, leads.select("value", "lead.lead_root", "lead.lead_n", F.col("lead.key").alias("lead")), "value",
-                     counts=leads.select("value", "c"))
-    return both.filter((F.col("root") != F.col("lead_root")) & _sized("n", "lead_n", percent)).select(
-        F.col("key").alias("a"), F.col("lead").alias("b")
-    ).distinct()
+    leads = materialize(leads.select("value", "c", F.struct("lead.sid", "lead.root", "lead.n").alias("lead")), "list-leaders")
+    return materialize(skew_join(lists, leads.select("value", "lead"), "value", counts=leads.select("value", "c")), "led-lists")
+
+
+def _leader_pairs(led: DataFrame, percent: int) -> DataFrame:
+    sized = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+    return led.filter((F.col("root") != F.col("lead.root")) & sized).select(F.col("sid").alias("a"), F.col("lead.sid").alias("b")).distinct()
 
 
 def _block_pairs(lists: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): pairs of different components in the lists whose sketches pass."""
-    size = materialize(lists.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")), "list-sizes")
-    members = skew_join(lists, size, "value").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    size = materialize(lists.groupBy("value").agg(F.count("*").alias("c")), "list-sizes")
+    chunks = size.select("value", F.ceil(F.col("c") / BLOCK).cast("int").alias("chunks"))
+    members = skew_join(lists, chunks, "value", counts=size).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = members.withColumn("o", other).select(
-        "value", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "key", "n", "root"
+        "value", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "sid", "n", "root"
     )
-    rows = dealt.join(sets.select("key", "sketch"), "key").select("value", "i", "j", "chunk", "key", "n", "root", "sketch")
+    small = F.transform("sketch", lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    rows = dealt.join(sets.select("sid", small.alias("sketch")), "sid").select("value", "i", "j", "chunk", "sid", "n", "root", "sketch")
 
     def run(batches):
         held, held_key = [], None
@@ -211,29 +227,29 @@ def _block_pairs(lists: DataFrame, sets: DataFrame, k: int, percent: int) -> Dat
         yield from _compare(held, held_key, k, percent)
 
     group = ["value", "i", "j"]
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a binary, b binary").distinct()
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
 
 
 def _compare(held, group, k, percent):
-    if len(held) < 2:
+    if len({m[3] for m in held}) < 2:
         return
-    chunk, keys, n, roots, parts = zip(*held)
-    n, (chunk_no, root_no) = np.array(n, np.int64), (np.unique(np.array(c, object), return_inverse=True)[1] for c in (chunk, roots))
-    shared, place, often = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    chunk, sid, n, root = (np.array(c, np.int64) for c in list(zip(*held))[:4])
+    parts = [np.unique(m[4]) for m in held]
+    _, place, often = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     cols = np.cumsum(often > 1) - 1
     owner = np.repeat(np.arange(len(held)), [len(p) for p in parts])
     keep = often[place] > 1
     grid = np.zeros((len(held), int(cols[-1]) + 1), np.float32)
     grid[owner[keep], cols[place[keep]]] = 1
-    least = least_shared(n, k, percent)
+    least = least_shared(n, k, percent) - 1
     ok = np.triu(grid @ grid.T >= np.maximum(least[:, None], least[None, :]), 1)
     ok &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-    ok &= root_no[:, None] != root_no[None, :]
+    ok &= root[:, None] != root[None, :]
     if group[1] != group[2]:
-        ok &= chunk_no[:, None] != chunk_no[None, :]
-    found = [(keys[x], keys[y]) for x, y in zip(*np.nonzero(ok))]
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["a", "b"])
+        ok &= chunk[:, None] != chunk[None, :]
+    x, y = np.nonzero(ok)
+    if len(x):
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[x], sid[y])), pa.array(np.maximum(sid[x], sid[y]))], names=["a", "b"])
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, k: int, percent: int) -> DataFrame:
@@ -241,8 +257,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     leader, a has few pairs."""
 
     def with_sides(table: DataFrame, side: DataFrame, *names: str) -> DataFrame:
-        left = table.join(side.select(F.col("key").alias("a"), *[F.col(c).alias(c + "_a") for c in names]), "a")
-        return skew_join(left, side.select(F.col("key").alias("b"), *[F.col(c).alias(c + "_b") for c in names]), "b", counts=counts)
+        left = table.join(side.select(F.col("sid").alias("a"), *[F.col(c).alias(c + "_a") for c in names]), "a")
+        return skew_join(left, side.select(F.col("sid").alias("b"), *[F.col(c).alias(c + "_b") for c in names]), "b", counts=counts)
 
     def estimate(batches):
         for batch in batches:
@@ -260,11 +276,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
 
     counts = materialize(pairs.groupBy("b").agg(F.count("*").alias("c")), "pair-counts")
     sides = with_sides(pairs, sets, "sketch", "n").select("a", "b", "sketch_a", "n_a", "sketch_b", "n_b")
-    likely = materialize(sides.mapInArrow(estimate, "a binary, b binary"), "likely-pairs")
+    likely = materialize(sides.mapInArrow(estimate, "a long, b long"), "likely-pairs")
     counts = materialize(likely.groupBy("b").agg(F.count("*").alias("c")), "pair-counts")
-    keys = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
-    full = materialize(full_sets(docs, sets.join(keys, "key", "left_semi").select("key", "row_key"), shingle), "full-sets")
-    return materialize(with_sides(likely, full, "full").select("a", "b", "full_a", "full_b").mapInArrow(exact, "a binary, b binary"), "set-links")
+    ids = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct()
+    wanted = materialize(sets.join(ids, "sid", "left_semi").select("sid", "key", "row_key"), "wanted-sets")
+    full = materialize(full_sets(docs, wanted, shingle), "full-sets")
+    return materialize(with_sides(likely, full, "full").select("a", "b", "full_a", "full_b").mapInArrow(exact, "a long, b long"), "set-links")
 
 
 def near_duplicates(
@@ -274,40 +291,34 @@ def near_duplicates(
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(sketches(own, shingle, k), "bottom-k")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    sets = materialize(
-        rows.filter("key IS NOT NULL").groupBy("key").agg(
-            F.min(place).alias("p"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")
-        ).select("key", F.col("p.doc_id").alias("doc_id"), F.col("p.row_key").alias("row_key"), "n", "sketch", "copies"), "set-classes")
-    lists = materialize(postings_of(sets, k, percent).withColumn("root", F.col("key")), "inverted-lists")
+    sets = rows.filter("key IS NOT NULL").groupBy("key").agg(
+        F.min(place).alias("p"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")
+    )
+    # A number per class, fixed by writing it once.
+    sets = materialize(sets.select(
+        F.monotonically_increasing_id().alias("sid"), "key", F.col("p.doc_id").alias("doc_id"), F.col("p.row_key").alias("row_key"),
+        "n", "sketch", "copies"), "set-classes")
+    lists = materialize(postings_of(sets, k, percent).withColumn("root", F.col("sid")), "inverted-lists")
     links, labels = None, None
-    turn, sizes = 0, []
-    while True:
-        # Lists with members of two components at least; the others are done.
-        many = lists.groupBy("value").agg((F.min("root") != F.max("root")).alias("open"), F.count("*").alias("c"))
-        many = materialize(many.filter("c > 1"), "list-states")
-        live = skew_join(lists, many.filter("open").select("value"), "value", counts=many.select("value", "c"))
-        lists = materialize(live, "open-lists")
-        size = lists.count()
-        if not size:
+    for turn in range(LEADER_TURNS + 1):
+        lists = _open_lists(lists)
+        if lists.isEmpty():
             break
-        # Few rows are left, or rounds no longer halve them.
-        final = turn > 0 and (10 * size <= sizes[0] or 2 * size > sizes[-1])
-        pairs = _block_pairs(lists, sets, k, percent) if final else _leader_pairs(lists, percent, turn)
+        if turn < LEADER_TURNS:
+            led = _with_leaders(lists, turn)
+            pairs, lists = _leader_pairs(led, percent), led.filter("sid <> lead.sid").drop("lead")
+        else:
+            pairs = _block_pairs(lists, sets, k, percent)
         new = confirmed(materialize(pairs, "pairs"), own, sets, shingle, k, percent)
         links = new if links is None else links.unionByName(new)
-        labels = materialize(connected_components(links, name="set-components"), "set-labels")
-        if final:
-            break
-        lists = lists.drop("root").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        lists = materialize(lists, "inverted-lists")
-        turn, sizes = turn + 1, [*sizes, size]
-    component = sets.select("key", F.col("doc_id").alias("component_id"), "copies")
+        labels = materialize(connected_components(links, name="set-components").withColumnRenamed("node", "sid"), "set-labels")
+        if turn < LEADER_TURNS:
+            lists = materialize(lists.drop("root").join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "inverted-lists")
+    component = sets.select("sid", "key", F.col("doc_id").alias("component_id"), "copies")
     if labels is not None:
-        of = labels.withColumnRenamed("node", "key")
-        both = materialize(component.join(of, "key", "left").withColumn("root", F.coalesce("root", "key")), "set-roots")
+        both = materialize(component.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "set-roots")
         least = both.groupBy("root").agg(F.min("component_id").alias("component_id"))
-        component = skew_join(both.select("root", "key", "copies"), least, "root").select("key", "component_id", "copies")
-        component = materialize(component, "set-components")
+        component = materialize(skew_join(both.select("root", "key", "copies"), least, "root").select("key", "component_id", "copies"), "components")
     found = skew_join(rows.select("key", "doc_id", "n"), component.select("key", "component_id"), "key", "left", component.select("key", "copies"))
     component_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select(
