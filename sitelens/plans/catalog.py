@@ -119,6 +119,17 @@ def q_d4_deep_sitemaps(spark, sf):
     return found.select("run_id", "raw_url", _key_text().alias("ord_key"))
 
 
+def q_d4_mutual_sitemaps(spark, sf):
+    """Five sitemap indexes per host that all list each other, each read once."""
+    prepare_session(spark)
+    files = materialize(fx.mutual_sitemap_captures(spark, sf), "mutual-sitemaps")
+    roots = site_bases(fx.sites(spark, sf)).select(
+        "run_id", F.lit(3).alias("tier"), F.array().cast("array<long>").alias("key"), F.concat("base", F.lit("/mutual-0.xml")).alias("sitemap_url")
+    )
+    found = expand_sitemaps(roots, files, materialize(extract.capture_index(files), "mutual-index"))
+    return found.select("run_id", "raw_url", _key_text().alias("ord_key"))
+
+
 def q_d6_tier_gate(spark, sf):
     """Strategies that ran per site under the tier gate."""
     log = full_run(spark, sf).discovery.strategy_log
@@ -367,6 +378,7 @@ STAGE_QUERIES = {
     "d2_robots_hints": q_d2_robots_hints,
     "d4_sitemap_urls": q_d4_sitemap_urls,
     "d4_deep_sitemaps": q_d4_deep_sitemaps,
+    "d4_mutual_sitemaps": q_d4_mutual_sitemaps,
     "d6_tier_gate": q_d6_tier_gate,
     "d8_discovered": q_d8_discovered,
     "d9_spider_top": q_d9_spider_top,

@@ -466,6 +466,10 @@ FROM cand WHERE source = 'sitemap'"""),
 SELECT substr(sha256(host), 1, 16) AS run_id, url_nf AS raw_url,
        repeat('0.0.', CAST(k AS INTEGER)) || CASE WHEN k < 7 THEN '0.1.1.' ELSE '0.0.1.' END || CAST((i - 1) // 8 AS VARCHAR) AS ord_key
 FROM (SELECT host, i, url_nf, (i - 1) % 8 AS k FROM site_pages)""",
+    "d4_mutual_sitemaps": _with() + """
+SELECT substr(sha256(host), 1, 16) AS run_id, url_nf AS raw_url,
+       array_to_string(list_transform(range(1, k + 1), lambda j: '0.' || j || '.'), '') || '0.5.1.' || CAST((i - 1) // 5 AS VARCHAR) AS ord_key
+FROM (SELECT host, i, url_nf, (i - 1) % 5 AS k FROM site_pages)""",
     "d6_tier_gate": _pipe("""
 SELECT run_id, CASE length(hostname) % 4
     WHEN 0 THEN 'direct_llms,robots_hints' WHEN 1 THEN 'direct_llms,robots_hints'

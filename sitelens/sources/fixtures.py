@@ -286,6 +286,24 @@ def deep_sitemap_captures(spark: SparkSession, sf_dir: str, levels: int = 8) ->
     )
 
 
+def mutual_sitemap_captures(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
+    """Sitemap indexes that all list each other, per host: ``/mutual-<k>.xml``
+    lists every ``/mutual-<j>.xml`` (itself too) and then ``/set-<k>.xml``,
+    which holds the pages with ``(i - 1) % n = k`` in order."""
+    sets = deep_sitemap_captures(spark, sf_dir, n).filter(F.col("url").contains("/set-"))
+    base = F.concat(F.lit("https://"), F.col("host"))
+    named = lambda name, k: F.concat(base, F.lit(f"/{name}-"), k.cast("string"), F.lit(".xml"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: named("mutual", j))
+    hosts = site_pages(spark, sf_dir).select("host").distinct()
+    index = hosts.select("host", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select(
+        named("mutual", F.col("k")).alias("url"), _sitemap_index(F.concat(every, F.array(named("set", F.col("k"))))).alias("body")
+    )
+    return sets.unionByName(index.select(
+        "url", F.lit(200).alias("status_code"), _headers(F.lit("application/xml"), F.md5("body")).alias("headers"), "body",
+        F.to_timestamp(F.lit(BASE_TIME)).alias("fetched_at"),
+    ))
+
+
 def crawl_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything a crawl of the driver hosts would have fetched."""
     return page_captures(spark, sf_dir, link_graph=True).unionByName(discovery_captures(spark, sf_dir))

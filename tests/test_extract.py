@@ -144,3 +144,26 @@ def test_single_page(spark):
     assert (r.title, r.provenance.discovery, r.provenance.title, r.confidence.title) == ("A", "manual", "title", 1.0)
     assert extract.index_page("https://e.com/b", caps, "r").count() == 0
     assert extract.index_page("https://e.com/none", caps, "r").count() == 0
+
+
+def test_key_filter_ahead_of_the_parser(spark):
+    """Above the broadcast bound the parser still sees the wanted pages and hardly any other."""
+    from pyspark.sql import functions as F
+
+    rows = [(f"https://k.com/p{i}", 200, f"<title>t{i}</title>") for i in range(1500)]
+    caps = captures_from_rows(spark, rows)
+    keys = extract.capture_index(caps).filter(F.col("url_key").rlike("p[0-9]?[0-9]$"))
+    wanted, exact = extract.wanted_pages(caps, keys, broadcast_rows=0)
+    assert not exact and 100 <= wanted.count() <= 100 + 0.01 * 1500
+    few = extract.page_signals(caps, keys, broadcast_rows=0)
+    assert sorted(map(str, few.collect())) == sorted(map(str, extract.page_signals(caps, keys).collect())) and few.count() == 100
+
+
+def test_stored_body_sizes_spare_the_bodies(spark):
+    from pyspark.sql import functions as F
+
+    caps = captures_from_rows(spark, [("https://k.com/a", 200, "abc"), ("https://k.com/b", 200, "")])
+    stored = caps.withColumn("body_bytes", F.octet_length("body"))
+    assert sorted(map(str, extract.capture_index(stored).collect())) == sorted(map(str, extract.capture_index(caps).collect()))
+    blank = stored.withColumn("body", F.lit(None).cast("string"))
+    assert sorted(r.body_bytes for r in extract.capture_index(blank).collect()) == [0, 3]
