@@ -21,9 +21,13 @@ from sitelens.session import materialize, prepare_session
 from sitelens.sources import fixtures as fx
 from sitelens.sources import sitelist, store
 from sitelens.sources.captures import CAPTURE_SCHEMA, header
+from sitelens.sources.keyed import KeyedTable
 from sitelens.sources.tables import read_table
 from sitelens.streaming import monitor
 
+#: Buckets of the keyed tables that the registered queries write.
+STORE_BUCKETS = 16
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -888,8 +892,8 @@ def q_r4_incremental_recrawl(spark, sf):
     even = F.unix_seconds("fetched_at") % 2 == 0  # page ids are seconds after the base time
     for part in (caps.filter(even), caps.filter(~even)):
         part.write.mode("append").parquet(src)
-        monitor.incremental_extract(monitor.file_stream(spark, src, CAPTURE_SCHEMA), vals, out_pages, out_vals, ckpt)
-    return monitor.read_table(spark, out_pages, "url string, title string", key=["url"]).select("url", "title")
+        monitor.incremental_extract(monitor.file_stream(spark, src, CAPTURE_SCHEMA), vals, out_pages, out_vals, ckpt, STORE_BUCKETS)
+    return KeyedTable(spark, out_pages, ["url"]).read().filter("outcome = 'extracted'").select("url", "title")
 
 
 def q_r5_latest_item_state(spark, sf):
@@ -898,10 +902,11 @@ def q_r5_latest_item_state(spark, sf):
     t = fx.work_item_transitions(spark, sf)
     mid = "2024-01-15 00:00:00"
     before = F.col("created_at") < F.lit(mid).cast("timestamp_ntz")
-    out = monitor.replay(
-        spark, [t.filter(before), t.filter(~before)], t.schema, "r5", lambda s: s, transform=monitor.latest_item_state
-    )
-    got = monitor.read_table(spark, out, "work_item_id string", key=["work_item_id"], order=["updated_at", "seq"])
+    src, out, ckpt = (monitor.scratch(spark, f"r5-{n}") for n in ("in", "out", "checkpoint"))
+    for part in (t.filter(~before), t.filter(before)):  # the later half arrives first
+        part.write.mode("append").parquet(src)
+        monitor.keep_latest_state(monitor.file_stream(spark, src, t.schema), out, ckpt, buckets=STORE_BUCKETS)
+    got = KeyedTable(spark, out, ["work_item_id"]).read()
     return got.select("work_item_id", "state")
 
 
@@ -946,6 +951,13 @@ def q_s3_site_list(spark, sf):
     return sitelist.read_site_list(spark, path, ["llms_txt", "robots_hints", "sitemap"]).select("category", "site_id", "url")
 
 
+def _upserted(existing, batch, key, **options):
+    """``existing`` as a stored keyed table after one upsert of ``batch``."""
+    table = KeyedTable.create(existing, monitor.scratch(existing.sparkSession, "keyed"), key, STORE_BUCKETS)
+    table.upsert(batch, **options)
+    return table.read()
+
+
 def q_s4_run_upsert(spark, sf):
     """Partial run updates (running runs get a score, then complete) and
     inserts applied as a keyed upsert; hosts and creation times stay."""
@@ -962,7 +974,7 @@ def q_s4_run_upsert(spark, sf):
                 F.to_timestamp(F.lit("2024-02-01 00:00:00")).cast("timestamp_ntz").alias("created_at"), F.lit(1).alias("save"))
     )
     batch = done.unionByName(scored).unionByName(new, allowMissingColumns=True)
-    out = store.upsert(runs, batch, ["run_id"], order="save", mutable=["status", "score", "completed_at", "notes"])
+    out = _upserted(runs, batch, ["run_id"], order=["save"], mutable=["status", "score", "completed_at", "notes"])
     return out.select("run_id", "hostname", "status", "score", "created_at", "completed_at")
 
 
@@ -1012,7 +1024,7 @@ def q_s7_page_upsert(spark, sf):
     third = p.filter(F.col("doc_id") % 3 == 0)
     first = third.withColumn("title", F.concat(F.lit("v2: "), "title")).withColumn("save", F.lit(1))
     again = third.filter(F.col("doc_id") % 2 == 0).withColumn("title", F.concat(F.lit("a later v3: "), "title")).withColumn("save", F.lit(2))
-    return store.upsert(p, again.unionByName(first), ["url"], order="save").select("url", "title")
+    return _upserted(p, again.unionByName(first), ["url"], order=["save"]).select("url", "title")
 
 
 def q_s8_validators(spark, sf):
@@ -1021,7 +1033,7 @@ def q_s8_validators(spark, sf):
     caps = fx.page_captures(spark, sf).drop("body")
     caps = store.latest_by_key(caps, ["url"], "fetched_at").filter(F.col("status_code") == 200)
     batch = caps.select("url", header("etag").alias("etag"), header("last-modified").alias("last_modified"))
-    return store.upsert(fx.validators(spark, sf), batch, ["url"]).select("url", "etag", "last_modified")
+    return _upserted(fx.validators(spark, sf), batch, ["url"]).select("url", "etag", "last_modified")
 
 
 def q_s9_artifact_replace(spark, sf):
@@ -1030,7 +1042,7 @@ def q_s9_artifact_replace(spark, sf):
     arts = fx.artifacts(spark, sf)
     num = F.substring_index("run_id", "-", -1).cast("long")
     batch = arts.filter(num % 2 == 0).withColumn("llms_txt", F.upper("llms_txt"))
-    out = store.upsert(arts, batch, ["run_id"])
+    out = _upserted(arts, batch, ["run_id"])
     return out.select("run_id", F.octet_length("llms_txt").cast("long").alias("size_bytes"),
                       F.substring_index("llms_txt", "\n", 1).alias("first_line"))
 

@@ -1,11 +1,13 @@
 """Structured Streaming over the event log and captured responses.
 
 Sources are file streams (Parquet directories).  Sinks are ``foreachBatch``
-writers: every micro-batch overwrites its own ``batch_id=<n>`` folder, so a
-replayed batch rewrites the same rows instead of adding copies, and readers
-keep the newest row per key.  The checkpoint is an argument: a query started
-again on the same checkpoint and output goes on where it stopped.  State is
-bounded by watermarks (R1-R3) or kept in the sink table (R4, R5).
+writers.  R1-R3 append: every micro-batch overwrites its own ``batch_id=<n>``
+folder, so a replayed batch rewrites the same rows instead of adding copies.
+R4 and R5 keep one row per key in a bucketed keyed table
+(``sources.keyed``): a batch reads and writes the buckets of its own keys,
+whatever came before it.  The checkpoint is an argument: a query started again
+on the same checkpoint and output goes on where it stopped.  State is bounded
+by watermarks (R1-R3) or is the sink table (R4, R5).
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.session import ensure_checkpoint_dir
+from sitelens.session import ensure_checkpoint_dir, materialize
 from sitelens.sources.captures import header
+from sitelens.sources.keyed import KeyedTable
 from sitelens.sources.store import latest_by_key
 
 
@@ -155,20 +158,32 @@ def activity_sessions(events: DataFrame, gap: str = "30 minutes", delay: str | N
 
 def latest_item_state(transitions: DataFrame) -> DataFrame:
     """Latest state of each work item in a batch of transitions.  Applied
-    per micro-batch: the keyed sink holds the states, the query itself none,
-    so nothing grows with the number of items ever seen."""
+    per micro-batch: the keyed sink (``keep_latest_state``) holds the states, the
+    query itself none."""
     latest = F.max(F.struct("created_at", "seq", "to_state"))
     return transitions.groupBy("work_item_id").agg(latest.alias("m")).select(
         "work_item_id", F.col("m.to_state").alias("state"), F.col("m.created_at").alias("updated_at"), F.col("m.seq").alias("seq")
     )
 
 
+def keep_latest_state(stream: DataFrame, out_path: str, checkpoint: str, buckets: int = 64) -> None:
+    """R5 as a table: the states of each micro-batch are upserted into a keyed
+    table (work_item_id, state, updated_at, seq); a transition that arrives after
+    a later one of its item changes nothing."""
+    table = KeyedTable(stream.sparkSession, out_path, ["work_item_id"])
+    if not table.exists():
+        none = stream.sparkSession.createDataFrame([], stream.schema)
+        KeyedTable.create(latest_item_state(none), out_path, ["work_item_id"], buckets)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        table.upsert(latest_item_state(batch), order=["updated_at", "seq"], newest=True, version=batch_id + 1)
+
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 # ---------------------------------------------------------------------------
 # Incremental recrawl
 # ---------------------------------------------------------------------------
-_VALIDATORS = "url string, etag string, last_modified string"
-
-
 def unchanged(etag: Column, last_modified: Column) -> Column:
     """Does the stored validator (``old_etag``, else ``old_last_modified``)
     equal the response's?"""
@@ -181,7 +196,7 @@ def unchanged(etag: Column, last_modified: Column) -> Column:
 
 
 def incremental_extract(
-    captures: DataFrame, validators: DataFrame, out_pages: str, out_validators: str, checkpoint: str
+    captures: DataFrame, validators: DataFrame, out_pages: str, out_validators: str, checkpoint: str, buckets: int = 64
 ) -> None:
     """For each micro-batch of captured responses, only rows whose
     validators changed (or that have none) reach extraction; their pages
@@ -190,36 +205,47 @@ def incremental_extract(
 
     ``captures`` is a streaming DataFrame of the capture schema;
     ``validators`` the (url, etag, last_modified) table before the first batch.
+    Both outputs are keyed tables: pages (url, title, description, outcome,
+    reason) and validators (url_key, etag, last_modified).  A batch reads and
+    writes the buckets of its own URLs, and is known by its number, so a replay
+    sees the validators before it.  A page that the parser gave up on is skipped
+    as ``parse_error``, as in the batch job: it leaves no validator, and a page
+    stored earlier keeps its title and description.
     """
     from sitelens.operators import extract
 
     spark = captures.sparkSession
-
-    def stored(batch_id: int) -> DataFrame:
-        """Validators as they were before this batch (also on a replay)."""
-        old = validators.select("url", "etag", "last_modified", F.lit(-1).alias("batch_id"))
-        if path_exists(spark, out_validators):
-            new = spark.read.parquet(out_validators).filter(F.col("batch_id") < batch_id)
-            old = old.unionByName(new.select("url", "etag", "last_modified", F.col("batch_id").cast("int")))
-        old = old.withColumn("url_key", extract.url_key("url"))
-        return latest_by_key(old, ["url_key"], "batch_id").select(
-            "url_key", F.col("etag").alias("old_etag"), F.col("last_modified").alias("old_last_modified")
-        )
+    known, pages = KeyedTable(spark, out_validators, ["url_key"]), KeyedTable(spark, out_pages, ["url"])
+    if not known.exists():
+        rows = validators.groupBy(extract.url_key("url").alias("url_key")).agg(F.max(F.struct("etag", "last_modified")).alias("v"))
+        KeyedTable.create(rows.select("url_key", "v.*"), out_validators, ["url_key"], buckets)
+    if not pages.exists():
+        empty = spark.createDataFrame([], "url string, title string, description string, outcome string, reason string")
+        KeyedTable.create(empty, out_pages, ["url"], buckets)
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        version = batch_id + 1
         b = batch.filter(F.col("status_code") == 200).withColumns(
             {"url_key": extract.url_key("url"), "etag": header("etag"), "last_modified": header("last-modified")}
         )
-        changed = b.join(stored(batch_id), "url_key", "left").filter(~unchanged(F.col("etag"), F.col("last_modified")))
-        # The body-free side is written first; the HTML pass reads the batch
-        # once more, restricted to its keys.
-        new = changed.groupBy("url_key").agg(F.max(F.struct("fetched_at", "url", "etag", "last_modified")).alias("m"))
-        new.select("url_key", "m.*").write.mode("overwrite").parquet(f"{out_validators}/batch_id={batch_id}")
-        keys = spark.read.parquet(f"{out_validators}/batch_id={batch_id}").select("url_key", "fetched_at")
-        sig = extract.page_signals(b.drop("etag", "last_modified"), keys)
-        extract.apply_cascades(sig).select(
-            F.col("url_key").alias("url"), F.col("title_value").alias("title"), F.col("description_value").alias("description")
-        ).write.mode("overwrite").parquet(f"{out_pages}/batch_id={batch_id}")
+        old = known.read_near(b.select("url_key"), before=version).withColumnsRenamed({"etag": "old_etag", "last_modified": "old_last_modified"})
+        changed = b.drop("body").join(old, "url_key", "left").filter(~unchanged(F.col("etag"), F.col("last_modified")))
+        newest = changed.groupBy("url_key").agg(F.max(F.struct("fetched_at", "etag", "last_modified")).alias("m"))
+        new = materialize(newest.select("url_key", "m.*"), "recrawl-keys")
+        # The body-free side comes first; the HTML pass reads the batch once
+        # more, restricted to its keys.
+        sig = extract.page_signals(b.drop("etag", "last_modified"), new.select("url_key", "fetched_at"))
+        sig = materialize(extract.apply_cascades(sig).select(
+            "url_key", F.col("title_value").alias("title"), F.col("description_value").alias("description"), "parse_error"
+        ), "recrawl-pages")
+        failed = F.col("parse_error").isNotNull()
+        good = sig.filter(~failed).select(
+            F.col("url_key").alias("url"), "title", "description", F.lit("extracted").alias("outcome"), F.lit(None).cast("string").alias("reason")
+        )
+        broken = sig.filter(failed).select(F.col("url_key").alias("url"), F.lit("skipped").alias("outcome"), F.lit("parse_error").alias("reason"))
+        held = pages.read_near(broken, before=version).select("url", "title", "description")
+        pages.upsert(good.unionByName(broken.join(held, "url", "left")), order=["title", "description"], version=version)
+        known.upsert(new.join(sig.filter(failed), "url_key", "left_anti").drop("fetched_at"), version=version)
 
     q = captures.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

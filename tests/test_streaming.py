@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from sitelens.sources.keyed import KeyedTable
 from sitelens.streaming import monitor
 
 EV = "id string, run_id string, name string, system string, started_at timestamp_ntz, completed_at timestamp_ntz, metadata string"
@@ -40,12 +43,20 @@ def test_latest_item_state_upserts(spark):
     schema = "work_item_id string, from_state string, to_state string, created_at timestamp_ntz, seq int"
     b1 = [("w", None, "queued", T0, 0), ("w", "queued", "processing", T0, 1)]
     b2 = [("w", "processing", "completed", T0 + dt.timedelta(seconds=5), 2), ("v", None, "queued", T0, 0)]
-    batches = [spark.createDataFrame(b, schema) for b in (b1, b2)]
-    out = monitor.replay(
-        spark, batches, batches[0].schema, "t", lambda s: s, transform=monitor.latest_item_state
-    )
-    got = monitor.read_table(spark, out, "x int", key=["work_item_id"], order=["updated_at", "seq"]).collect()
-    assert {r.work_item_id: r.state for r in got} == {"w": "completed", "v": "queued"}
+    src, out, ckpt = (monitor.scratch(spark, n) for n in ("t-in", "t-out", "t-ckpt"))
+    late = [("w", "queued", "processing", T0, 1)]
+    for rows in (b1, b2, late):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        monitor.keep_latest_state(monitor.file_stream(spark, src, spark.createDataFrame([], schema).schema), out, ckpt, buckets=4)
+    got = KeyedTable(spark, out, ["work_item_id"]).read().collect()
+    assert {r.work_item_id: r.state for r in got} == {"w": "completed", "v": "queued"} and len(got) == 2
+
+
+def _uncommit_last_batch(spark, ckpt):
+    """Forget that the last batch was committed, so that it is run again."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(ckpt).getFileSystem(spark._jsc.hadoopConfiguration())
+    commits = sorted(int(f.getPath().getName()) for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(ckpt + "/commits")) if f.getPath().getName().isdigit())
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{ckpt}/commits/{commits[-1]}"), False)
 
 
 def test_restart_and_replayed_batch_leave_no_duplicates(spark):
@@ -56,10 +67,7 @@ def test_restart_and_replayed_batch_leave_no_duplicates(spark):
         spark.createDataFrame(part, EV).write.mode("append").parquet(src)
         monitor.run_to_table(monitor.dedup_events(monitor.file_stream(spark, src, schema)), out, ckpt)
     assert sorted(r.id for r in monitor.read_table(spark, out, "id string").collect()) == ["e1", "e2", "e3"]
-    # Forget that the last batch was committed: it is run again into its own folder.
-    fs = spark._jvm.org.apache.hadoop.fs.Path(ckpt).getFileSystem(spark._jsc.hadoopConfiguration())
-    commits = sorted(int(f.getPath().getName()) for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(ckpt + "/commits")) if f.getPath().getName().isdigit())
-    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{ckpt}/commits/{commits[-1]}"), False)
+    _uncommit_last_batch(spark, ckpt)  # run again into its own folder
     monitor.run_to_table(monitor.dedup_events(monitor.file_stream(spark, src, schema)), out, ckpt)
     assert sorted(r.id for r in monitor.read_table(spark, out, "id string").collect()) == ["e1", "e2", "e3"]
 
@@ -77,5 +85,41 @@ def test_recrawl_compares_with_validators_of_earlier_batches(spark):
     for rows in batches:
         captures_from_rows(spark, rows).write.mode("append").parquet(src)
         monitor.incremental_extract(monitor.file_stream(spark, src, CAPTURE_SCHEMA), stored, pages, vals, ckpt)
-    got = {r.url: r.title for r in monitor.read_table(spark, pages, "url string, title string", key=["url"]).collect()}
-    assert got == {"https://e.com/a": "A", "https://e.com/b": "B2"}
+    read = lambda: sorted(map(tuple, KeyedTable(spark, pages, ["url"]).read().select("url", "title", "outcome").collect()))
+    want = [("https://e.com/a", "A", "extracted"), ("https://e.com/b", "B2", "extracted")]
+    assert read() == want
+    _uncommit_last_batch(spark, ckpt)
+    monitor.incremental_extract(monitor.file_stream(spark, src, CAPTURE_SCHEMA), stored, pages, vals, ckpt)
+    assert read() == want and KeyedTable(spark, vals, ["url_key"]).read().count() == 2
+
+
+def test_a_batch_reads_what_its_urls_need(spark):
+    """The files a batch opens do not grow with the batches before it."""
+    schema = "work_item_id string, from_state string, to_state string, created_at timestamp_ntz, seq int"
+    src, out, ckpt = (monitor.scratch(spark, n) for n in ("t-in", "t-out", "t-ckpt"))
+    opened = []
+    for i in range(5):
+        rows = spark.createDataFrame([("w", None, f"s{i}", T0, i)], schema)
+        rows.write.mode("append").parquet(src)
+        monitor.keep_latest_state(monitor.file_stream(spark, src, rows.schema), out, ckpt, buckets=4)
+        opened.append(len(KeyedTable(spark, out, ["work_item_id"]).read_near(rows).inputFiles()))
+    assert opened == [1] * 5
+
+
+def test_recrawl_skips_pages_with_a_parse_error(spark, monkeypatch):
+    from sitelens.operators import extract
+    from sitelens.sources.captures import CAPTURE_SCHEMA, captures_from_rows
+
+    def signals(captures, keys):
+        hit = F.when(F.col("url").endswith("/b"), F.lit("AssertionError"))
+        return captures.join(keys, ["url_key", "fetched_at"], "left_semi").select("url_key", "url", hit.alias("parse_error"))
+
+    monkeypatch.setattr(extract, "page_signals", signals)
+    monkeypatch.setattr(extract, "apply_cascades", lambda s: s.withColumns({"title_value": F.lit("T"), "description_value": F.lit("D")}))
+    stored = spark.createDataFrame([], "url string, etag string, last_modified string")
+    src, pages, vals, ckpt = (monitor.scratch(spark, n) for n in ("t-in", "t-pages", "t-vals", "t-ckpt"))
+    captures_from_rows(spark, [(f"https://e.com/{c}", 200, "x", {"etag": c}) for c in "ab"]).write.parquet(src)
+    monitor.incremental_extract(monitor.file_stream(spark, src, CAPTURE_SCHEMA), stored, pages, vals, ckpt, buckets=4)
+    got = sorted(map(tuple, KeyedTable(spark, pages, ["url"]).read().collect()), key=str)
+    assert got == [("https://e.com/a", "T", "D", "extracted", None), ("https://e.com/b", None, None, "skipped", "parse_error")]
+    assert [r.etag for r in KeyedTable(spark, vals, ["url_key"]).read().collect()] == ["a"]
