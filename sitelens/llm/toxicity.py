@@ -1,13 +1,14 @@
 """Toxicity scores from a lexicon matched through Levenshtein automata.
 
-1. Lexicon: words of labelled training documents whose document-frequency
-   log-odds for toxic documents are high (a partial aggregate over words; the
-   best ``lexicon_size`` words are kept and broadcast).
-2. Matching: a word of a text is matched against the lexicon by walking the
-   trie of the lexicon and the Levenshtein automaton of the word together
-   (distance 1, or 2 for long words).  Transitions of the automata are shared
-   between words, branches without a term of fitting length, letters and
-   letter pairs are left out, and results are memoised per worker (bounded).
+1. Lexicon: all words of labelled training documents whose document-frequency
+   log-odds for toxic documents are high for certain (a partial aggregate over
+   words, a lower bound of the log-odds; as many words as pass, which the sample
+   of labelled rows bounds, are broadcast).
+2. Matching: the Levenshtein automaton of a word of a text (distance 1, or 2
+   for long words) is intersected with a trie of the lexicon.  Transitions of the
+   automata are shared between words, branches of the trie without a term of
+   fitting length, letters and letter pairs are left out, and results are
+   memoised per worker (bounded).
 3. Context: a window of words around each hit tells a quoted mention
    (quotation marks, reporting words) from direct abuse; quoted hits weigh
    less.
@@ -28,12 +29,12 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +109,34 @@ def step(state: tuple, matches: int, left: int, limit: int) -> tuple[int, tuple]
 _STARTS = {k: closed({(0, 0)}, k, k)[1] for k in (1, 2)}
 
 
+class Node:
+    """A node of the trie: the terms below it are the numbers from its place
+    up to ``stop``; ``end`` is the number of the term that ends here, or -1."""
+
+    __slots__ = ("children", "stop", "end")
+
+    def __init__(self):
+        self.children: dict[str, Node] = {}
+        self.stop, self.end = 0, -1
+
+
+def trie(names: list[str]) -> Node:
+    """Trie of terms given in order."""
+    root = Node()
+    for number, name in enumerate(names):
+        node = root
+        node.stop = number + 1
+        for letter in name:
+            node = node.children.setdefault(letter, Node())
+            node.stop = number + 1
+        node.end = number
+    return root
+
+
+#: Cells of a table of words and terms that are compared at once.
+CELLS = 1 << 20
+
+
 class Lexicon:
     """Trie of weighted terms with approximate lookup."""
 
@@ -117,23 +146,23 @@ class Lexicon:
         self.limits = np.array([max_distance(len(t)) for t in names], np.int64)
         self.lengths = np.array([len(t) for t in names], np.int64)
         self.bits = np.concatenate([signatures([t]) for t in names], axis=1) if names else np.zeros((3, 0), np.uint64)
-        self.names = names  # in order: neighbours share their trie path
+        self.names, self.root = names, trie(names)
         self.memo = Memo(self.find)
 
-    def candidates(self, words: list[str]) -> list[int]:
-        """Per word (all of one length) the terms whose length, letters and
-        letter pairs allow them to be near, as a bit set; every term that is
-        near is among them."""
+    def candidates(self, words: list[str]) -> list[list[int]]:
+        """Per word (all of one length) the numbers of the terms whose length,
+        letters and letter pairs allow them to be near, ascending; every term that
+        is near is among them.  The walk leaves out branches without any."""
         fit = np.flatnonzero(np.abs(self.lengths - len(words[0])) <= self.limits)
-        out = [0] * len(words)
+        out: list[list[int]] = [[] for _ in words]
         if not len(fit):
             return out
-        limit = self.limits[fit]
-        for at in range(0, len(words), 4096):
-            apart = np.bitwise_count(signatures(words[at:at + 4096])[:, :, None] ^ self.bits[:, None, fit])
+        limit, rows = self.limits[fit], max(1, CELLS // len(fit))
+        for at in range(0, len(words), rows):
+            apart = np.bitwise_count(signatures(words[at:at + rows])[:, :, None] ^ self.bits[:, None, fit])
             near = (apart[0] <= 2 * limit) & (apart[1] + apart[2] <= 4 * limit)
             for row, k in zip(*(z.tolist() for z in np.nonzero(near))):
-                out[at + row] |= 1 << int(fit[k])
+                out[at + row].append(int(fit[k]))
         return out
 
     def prepare(self, words: set[str]) -> None:
@@ -152,14 +181,14 @@ class Lexicon:
         order on ties; () if none is near."""
         if word in self.terms:
             return word, 0
-        wanted = self.candidates([word])[0] if len(word) >= 3 else 0
+        wanted = self.candidates([word])[0] if len(word) >= 3 else []
         return self.walk(word, wanted) if wanted else ()
 
-    def walk(self, word: str, wanted: int) -> tuple:
-        """The automaton of a word along the trie paths of ``wanted`` terms.
+    def walk(self, word: str, wanted: list[int]) -> tuple:
+        """The intersection of the automaton of a word with the trie.
 
-        Terms are visited in order, so the states of a common prefix are
-        computed once; a path is left as soon as its state is empty.
+        Both are walked together from their roots: a child is entered if it
+        leads to a ``wanted`` term and the automaton has a state for its letter.
         """
         n, limit = len(word), 1 if len(word) < 7 else 2
         width = 2 * limit + 1
@@ -170,30 +199,24 @@ class Lexicon:
         seen = masks.get
         found = []
         # Before any letter: up to ``limit`` letters of the word may be skipped.
-        path, last = [(0, _STARTS[min(n, limit)])], ""
-        while wanted:
-            low = wanted & -wanted
-            wanted ^= low
-            term = self.names[low.bit_length() - 1]
-            shared = 0
-            for a, b in zip(term, last[:len(path) - 1]):
-                if a != b:
-                    break
-                shared += 1
-            del path[shared + 1:]
-            offset, state = path[-1]
-            for letter in term[shared:]:
-                left = n - offset
-                moved, state = step(state, seen(letter, 0) >> offset & window, left if left < width else width, limit)
-                if not state:
-                    break
-                offset += moved
-                path.append((offset, state))
-            else:
+        todo = [(self.root, 0, 0, _STARTS[min(n, limit)], 0, len(wanted))]
+        while todo:
+            node, depth, offset, state, a, b = todo.pop()
+            if node.end == wanted[a]:
+                term = self.names[node.end]
                 d = min((e for i, e in state if offset + i == n), default=9)
                 if d <= max_distance(len(term)):
                     found.append((d, -self.terms[term], term))
-            last = term
+                a += 1
+            left = n - offset
+            while a < b:
+                letter = self.names[wanted[a]][depth]
+                child = node.children[letter]
+                after = bisect_left(wanted, child.stop, a, b)
+                moved, reached = step(state, seen(letter, 0) >> offset & window, left if left < width else width, limit)
+                if reached:
+                    todo.append((child, depth + 1, offset + moved, reached, a, after))
+                a = after
         if not found:
             return ()
         d, _, term = min(found)
@@ -255,15 +278,16 @@ def hit_features(low: str, words: list[str], lexicon: Lexicon) -> list[float]:
             100.0 * total / (n + 50)]
 
 
-def held_out(doc_id) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == HELD_OUT
+def held_out(doc_id: Column) -> Column:
+    """Is a row held out, by the crc32 of its id as text?"""
+    rest = F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
+    return F.coalesce(rest == HELD_OUT, F.lit(False))
 
 
 def training_labels(labels: DataFrame, max_labelled: int) -> DataFrame:
     """(doc_id, toxic) of the rows that may be learned from; a document is
     toxic if any of its labels says so."""
-    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
-    own = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (rest != HELD_OUT)).groupBy("doc_id").agg(
+    own = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         (F.max("toxic") == 1).cast("int").alias("toxic")
     )
     own = materialize(own, "toxicity-labels")
@@ -271,9 +295,13 @@ def training_labels(labels: DataFrame, max_labelled: int) -> DataFrame:
     return own.filter(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
-def learn_lexicon(sample: DataFrame, lexicon_size: int, min_docs: int, min_odds: float) -> dict[str, float]:
-    """Term -> log-odds of the words that mark toxic documents (the best
-    ``lexicon_size`` are fetched)."""
+def learn_lexicon(sample: DataFrame, min_docs: int, min_odds: float, sureness: float) -> dict[str, float]:
+    """Term -> weight of every word that marks toxic documents.
+
+    The weight is a lower bound of the log-odds: ``sureness`` standard errors
+    below them.  A word counts from ``min_docs`` toxic documents on, or one in a
+    thousand of them if that is more.  The words are those of the bounded sample.
+    """
     n = sample.groupBy().agg(F.sum("toxic"), F.count("*")).first()
     toxic, clean = n[0] or 0, n[1] - (n[0] or 0)
     if not toxic or not clean:
@@ -282,12 +310,11 @@ def learn_lexicon(sample: DataFrame, lexicon_size: int, min_docs: int, min_odds:
     counts = sample.select(F.explode(words).alias("word"), "toxic").groupBy("word").agg(
         F.sum("toxic").alias("t"), F.count("*").alias("n")
     )
-    odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1.0))
-    rows = (
-        counts.filter((F.col("t") >= min_docs) & (F.char_length("word") >= 3)).withColumn("odds", F.round(odds, 6))
-        .filter(F.col("odds") >= min_odds).orderBy(F.desc("odds"), "word").limit(lexicon_size).collect()
-    )
-    return {r.word: r.odds for r in rows}
+    t, rest = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
+    odds = F.log(t / (toxic + 1.0)) - F.log(rest / (clean + 1.0)) - sureness * F.sqrt(1 / t + 1 / rest)
+    known = counts.filter((F.col("t") >= max(min_docs, -(-toxic // 1000))) & (F.char_length("word") >= 3))
+    rows = known.select("word", F.round(odds, 6).alias("odds")).filter(F.col("odds") >= min_odds).collect()
+    return {r.word: r.odds for r in sorted(rows)}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -316,8 +343,8 @@ class Scorer:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_size: int = 500, min_docs: int = 4,
-    min_odds: float = 3.0, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, min_docs: int = 4,
+    min_odds: float = 2.0, sureness: float = 1.0, id_col: str = "doc_id", text_col: str = "text",
 ) -> tuple[dict[str, float], list[float] | None]:
     """(lexicon, coefficients) learned from labelled rows that are not held out."""
     known = training_labels(labels, max_labelled)
@@ -325,7 +352,7 @@ def fit(
         docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .join(F.broadcast(known), "doc_id").select("text", "toxic"), "toxicity-sample",
     )
-    terms = learn_lexicon(sample, lexicon_size, min_docs, min_odds)
+    terms = learn_lexicon(sample, min_docs, min_odds, sureness)
     if not terms:
         return {}, None
 
@@ -354,9 +381,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
         for batch in batches:
             scores = scorer.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([held_out(i) for i in batch.column(0).to_pylist()], pa.bool_()),
-                 pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
+                [batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
                 names=schema.names,
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, held_out(F.col(id_col))).mapInArrow(run, schema)
