@@ -157,10 +157,12 @@ class Lexicon:
         out: list[list[int]] = [[] for _ in words]
         if not len(fit):
             return out
-        limit, rows = self.limits[fit], max(1, CELLS // len(fit))
+        # The difference in length takes insertions or deletions, which change
+        # one letter bit and three pair bits instead of two and four.
+        limit, longer, rows = self.limits[fit], np.abs(self.lengths[fit] - len(words[0])), max(1, CELLS // len(fit))
         for at in range(0, len(words), rows):
             apart = np.bitwise_count(signatures(words[at:at + rows])[:, :, None] ^ self.bits[:, None, fit])
-            near = (apart[0] <= 2 * limit) & (apart[1] + apart[2] <= 4 * limit)
+            near = (apart[0] <= 2 * limit - longer) & (apart[1] + apart[2] <= 4 * limit - longer)
             for row, k in zip(*(z.tolist() for z in np.nonzero(near))):
                 out[at + row].append(int(fit[k]))
         return out
@@ -208,6 +210,19 @@ class Lexicon:
                 if d <= max_distance(len(term)):
                     found.append((d, -self.terms[term], term))
                 a += 1
+            if b - a == 1:  # a single term is left: its path to the end
+                term = self.names[wanted[a]]
+                for letter in term[depth:]:
+                    left = n - offset
+                    moved, state = step(state, seen(letter, 0) >> offset & window, left if left < width else width, limit)
+                    if not state:
+                        break
+                    offset += moved
+                else:
+                    d = min((e for i, e in state if offset + i == n), default=9)
+                    if d <= max_distance(len(term)):
+                        found.append((d, -self.terms[term], term))
+                continue
             left = n - offset
             while a < b:
                 letter = self.names[wanted[a]][depth]
