@@ -2,8 +2,9 @@
 
 Tables are Parquet; there is no row-level MERGE, so every keyed write is a
 set operation: the newest batch row per key (a partial aggregate), joined
-to the old table on its key, written back with overwrite.  All of them
-shuffle on the table key and work for any batch size.
+to the old table on its key.  These are the set forms, for a whole table at
+hand; ``sources.keyed`` stores a table in buckets and rewrites only those that a
+batch touches.
 """
 
 from __future__ import annotations
