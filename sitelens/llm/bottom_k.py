@@ -12,10 +12,10 @@ sets reaches ``percent``; components of links are the result.
   Lists with the same members count once.
 * **Leaders.**  In each of two rounds every list names one member; the others
   are paired with it (as many pairs as members), after which it leaves the
-  list.  Pairs that are confirmed are contracted to components; lists with a
-  single component or member are done, so a group of thousands of near copies
-  falls together without its pairs.
-* **Blocks.**  All pairs of different components in the lists that are left
+  list.  Both ends of confirmed pairs take their first neighbour's first
+  neighbour as root; lists with a single root or member are done, so a group
+  of thousands of near copies falls together without its pairs.
+* **Blocks.**  All pairs of different roots in the lists that are left
   are compared inside tasks, in blocks of bounded size, by the overlap of their
   sketches (31 bits of each value; one match less than needed is let through,
   as two values of a set may agree in them).
@@ -56,6 +56,9 @@ from sitelens.llm.components import connected_components
 
 #: A-Z to lower case, in UTF-8 bytes.
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+#: Odd factors: of a shingle's polynomial and of the two steps that mix its bits.
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 #: Members of a list compared at once in a task.
 BLOCK = 256
 #: Rounds of leaders before the blocks.
@@ -64,16 +67,20 @@ LEADER_TURNS = 2
 LOG_MISS = math.log(1e-12)
 
 
-def shingle_set(text: str | None, shingle: int) -> set[bytes]:
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct hashes of the shingles, ascending: every word is hashed once,
+    a shingle is a polynomial of its words' hashes and their number, mixed."""
     words = (text or "").encode("utf-8").translate(_LOWER).split()
-    if len(words) < shingle:
-        return {b" ".join(words)} if words else set()
-    return set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-
-
-def hashed(shingles: set[bytes]) -> np.ndarray:
-    """Distinct hashes, ascending."""
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles)).view(np.int64))
+    if not words:
+        return np.zeros(0, np.int64)
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    h = np.full(len(words) - size + 1, size, np.uint64)
+    for i in range(size):
+        h = h * _FACTOR + each[i:i + len(h)]
+    for factor in _MIX:
+        h = (h ^ (h >> np.uint64(33))) * factor
+    return np.unique((h ^ (h >> np.uint64(33))).view(np.int64))
 
 
 def set_key(values: np.ndarray) -> bytes:
@@ -127,7 +134,7 @@ def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
         for batch in batches:
             keys, sizes, parts = [], [], []
             for text in batch.column(2).to_pylist():
-                values = hashed(shingle_set(text, shingle))
+                values = shingle_set(text, shingle)
                 keys.append(set_key(values) if len(values) else None)
                 sizes.append(len(values))
                 parts.append(values[:k])
@@ -158,7 +165,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            parts = [hashed(shingle_set(text, shingle)) for text in batch.column(2).to_pylist()]
+            parts = [shingle_set(text, shingle) for text in batch.column(2).to_pylist()]
             own = pa.array([set_key(p) == key for p, key in zip(parts, batch.column(1).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(parts)], names=["sid", "full"]).filter(own)
 
@@ -179,23 +186,31 @@ def postings_of(sets: DataFrame, k: int, percent: int) -> DataFrame:
     return listed.select(F.col("v.value").alias("value"), "sid", "n")
 
 
-def _open_lists(lists: DataFrame) -> DataFrame:
-    """The lists with members of two components at least, once per set of members."""
+def _open_lists(lists: DataFrame, turn: int) -> DataFrame:
+    """The lists with members of two roots at least, once per set of
+    members, with the member that each names this turn."""
     h, g = F.xxhash64("sid"), F.xxhash64(F.lit(1), "sid")
+    order = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "root", "n")
     states = lists.groupBy("value").agg(
-        F.count("*").alias("c"), (F.min("root") != F.max("root")).alias("open"), F.bit_xor(h).alias("h"), F.bit_xor(g).alias("g")
+        F.count("*").alias("c"), (F.min("root") != F.max("root")).alias("open"), F.bit_xor(h).alias("h"), F.bit_xor(g).alias("g"),
+        F.min(order).alias("lead"),
     )
-    states = materialize(states.filter("c > 1"), "list-states")
-    first = states.filter("open").groupBy("c", "h", "g").agg(F.min("value").alias("value")).select("value")
-    return materialize(skew_join(lists, first, "value", counts=states.select("value", "c")), "open-lists")
+    first = states.filter("c > 1 AND open").groupBy("c", "h", "g").agg(F.min(F.struct("value", "lead")).alias("f"))
+    lead = F.struct("f.lead.sid", "f.lead.root", "f.lead.n").alias("lead")
+    first = materialize(first.select("f.value", lead, "c"), "list-leaders")
+    return materialize(skew_join(lists, first.drop("c"), "value", counts=first.select("value", "c")), "open-lists")
 
 
-def _with_leaders(lists: DataFrame, turn: int) -> DataFrame:
-    """The lists with the member that each names this turn."""
-    order = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "root", "n")
-    leads = lists.groupBy("value").agg(F.min(order).alias("lead"), F.count("*").alias("c"))
-    leads = materialize(leads.select("value", "c", F.struct("lead.sid", "lead.root", "lead.n").alias("lead")), "list-leaders")
-    return materialize(skew_join(lists, leads.select("value", "lead"), "value", counts=leads.select("value", "c")), "led-lists")
+def _near_roots(links: DataFrame) -> DataFrame:
+    """(sid, root) of the ends of links: the first neighbour of the first
+    neighbour, in one fixed order.  Equal roots are connected; the converse
+    is left to the components of all links."""
+    both = links.select(F.col("a").alias("sid"), F.col("b").alias("o")).union(links.select("b", "a"))
+    place = F.struct(F.xxhash64("o", F.lit(0)).alias("h"), F.col("o").alias("id"))
+    own = F.struct(F.xxhash64("sid", F.lit(0)).alias("h"), F.col("sid").alias("id"))
+    first = both.groupBy("sid").agg(F.min(place).alias("p")).select("sid", F.least("p", own).getField("id").alias("near"))
+    first = materialize(first, "near-roots")
+    return skew_join(first, first.select(F.col("sid").alias("near"), F.col("near").alias("root")), "near").select("sid", "root")
 
 
 def _leader_pairs(led: DataFrame, percent: int) -> DataFrame:
@@ -204,7 +219,7 @@ def _leader_pairs(led: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_pairs(lists: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): pairs of different components in the lists whose sketches pass."""
+    """(a, b): pairs of different roots in the lists whose sketches pass."""
     size = materialize(lists.groupBy("value").agg(F.count("*").alias("c")), "list-sizes")
     chunks = size.select("value", F.ceil(F.col("c") / BLOCK).cast("int").alias("chunks"))
     members = skew_join(lists, chunks, "value", counts=size).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
@@ -299,23 +314,24 @@ def near_duplicates(
         F.monotonically_increasing_id().alias("sid"), "key", F.col("p.doc_id").alias("doc_id"), F.col("p.row_key").alias("row_key"),
         "n", "sketch", "copies"), "set-classes")
     lists = materialize(postings_of(sets, k, percent).withColumn("root", F.col("sid")), "inverted-lists")
-    links, labels = None, None
+    links = None
     for turn in range(LEADER_TURNS + 1):
-        lists = _open_lists(lists)
+        lists = _open_lists(lists, turn)
         if lists.isEmpty():
             break
         if turn < LEADER_TURNS:
-            led = _with_leaders(lists, turn)
-            pairs, lists = _leader_pairs(led, percent), led.filter("sid <> lead.sid").drop("lead")
+            pairs, lists = _leader_pairs(lists, percent), lists.filter("sid <> lead.sid")
         else:
             pairs = _block_pairs(lists, sets, k, percent)
+        lists = lists.drop("lead")
         new = confirmed(materialize(pairs, "pairs"), own, sets, shingle, k, percent)
         links = new if links is None else links.unionByName(new)
-        labels = materialize(connected_components(links, name="set-components").withColumnRenamed("node", "sid"), "set-labels")
         if turn < LEADER_TURNS:
-            lists = materialize(lists.drop("root").join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "inverted-lists")
+            roots = _near_roots(links)
+            lists = materialize(lists.drop("root").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "inverted-lists")
     component = sets.select("sid", "key", F.col("doc_id").alias("component_id"), "copies")
-    if labels is not None:
+    if links is not None:
+        labels = connected_components(links, name="set-components").withColumnRenamed("node", "sid")
         both = materialize(component.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "set-roots")
         least = both.groupBy("root").agg(F.min("component_id").alias("component_id"))
         component = materialize(skew_join(both.select("root", "key", "copies"), least, "root").select("key", "component_id", "copies"), "components")
