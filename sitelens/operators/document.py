@@ -1,10 +1,11 @@
 """llms.txt documents.
 
-``document_lines`` is the distributed form: one row per output line with a
-sort key, so a very large site spreads over many tasks and the text sink
-(``write_documents``) range-partitions the lines.  ``render_documents``
-builds the single string per site that the artifact table stores; its
-size is that of the site's document.
+``document_lines`` is the distributed form: one row per heading or entry with
+a sort key, so a very large site spreads over many tasks.  From these rows
+follow the place of every line (``document_offsets``, prefix sums), the sizes
+(``document_stats``, partial sums) and the previews (``document_previews``); no
+row or task holds a document.  ``render_documents`` builds the single string
+per site, an export for sites of moderate size.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.config import DOC_INTRO, DOC_NO_SECTIONS, DOC_TIME_FORMAT
+from sitelens.config import ARTIFACT_PREVIEW_LINES, DOC_INTRO, DOC_NO_SECTIONS, DOC_TIME_FORMAT
+from sitelens.functions.ordering import keyed_prefix_sums
 from sitelens.functions.text import py_strip, split_lines
 from sitelens.functions.urls import host_sql, is_home, normalize_http_url, section_name
 
@@ -158,25 +160,65 @@ def document_lines(
     return head.unionByName(heads).unionByName(body)
 
 
-def write_documents(lines: DataFrame, path: str) -> None:
-    """Document sink: (run_id, line) in document order, range-partitioned, so
-    a very large site spans several tasks and many small sites share a file."""
-    keys = ["run_id", "k0", "k1", "k2", "k3"]
-    (
-        lines.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .select("run_id", "line")
-        .write.mode("overwrite")
-        .parquet(path)
+def document_offsets(lines: DataFrame) -> DataFrame:
+    """(run_id, line_no, byte_start, line): every line of every document (cut
+    at line feeds) with its number from 1 and the bytes before it.
+
+    Both are prefix sums over a range partitioning, so a site spans tasks.
+    The document is the lines joined by line feeds, stripped, and a final
+    line feed.
+    """
+    # Entries of one URL are ordered by their text, as in the string form.
+    parts = lines.select(
+        "run_id", "k0", "k1", "k2", "k3", F.when(F.col("k2") == 1, F.col("line")).otherwise("").alias("k4"),
+        F.posexplode(F.split("line", "\n")).alias("k5", "line"),
     )
+    sums = {"line_no": F.lit(1), "byte_start": F.octet_length("line") + 1}
+    placed = keyed_prefix_sums(parts, ["run_id"], ["k0", "k1", "k2", "k3", "k4", "k5"], sums)
+    return placed.select("run_id", (F.col("line_no") + 1).alias("line_no"), "byte_start", "line")
+
+
+def write_documents(offsets: DataFrame, path: str) -> None:
+    """Document sink: (run_id, line_no, byte_start, line) in document order,
+    range-partitioned, so a very large site spans several tasks and many small
+    sites share a file."""
+    keys = ["run_id", "line_no"]
+    offsets.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def _sizes(text: Column) -> dict[str, Column]:
+    return {
+        "size_bytes": F.octet_length(text),
+        "line_count": F.size(split_lines(text)),
+        "word_count": F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")),
+    }
+
+
+def document_stats(lines: DataFrame, meta: DataFrame) -> DataFrame:
+    """C7 from ``document_lines`` and ``site_meta``: the sizes of each document
+    by partial sums; only the end of the last line, which is stripped, is
+    measured apart."""
+    text = F.concat("line", F.lit("\n"))
+    at = F.struct("k0", "k1", "k2", "k3", "line")
+    sums = lines.groupBy("run_id").agg(*[F.sum(c).alias(x) for x, c in _sizes(text).items()], F.max(at).getField("line").alias("last"))
+    whole, kept = (_sizes(F.concat(c, F.lit("\n"))) for c in (F.col("last"), py_strip("last")))
+    counted = sums.join(meta.select("run_id", F.col("pages_crawled").alias("entry_count")), "run_id")
+    size, line_count, word_count = ((F.col(x) - whole[x] + kept[x]).cast("long").alias(x) for x in whole)
+    return counted.select("run_id", size, "entry_count", line_count, word_count)
+
+
+def document_previews(offsets: DataFrame, max_lines: int = ARTIFACT_PREVIEW_LINES) -> DataFrame:
+    """V11 from ``document_offsets``: (run_id, line_count, truncated, preview);
+    a group collects ``max_lines`` lines at most."""
+    shown = F.collect_list(F.when(F.col("line_no") <= max_lines, F.struct("line_no", "line")))
+    out = offsets.groupBy("run_id").agg(F.count("*").alias("line_count"), F.array_sort(shown).alias("shown"))
+    text = F.array_join(F.transform("shown", lambda x: x["line"]), "\n")
+    truncated = F.col("line_count") > max_lines
+    preview = F.when(truncated, text).otherwise(F.concat(py_strip(text), F.lit("\n")))
+    return out.select("run_id", "line_count", truncated.alias("truncated"), preview.alias("preview"))
 
 
 def artifact_stats(artifacts: DataFrame) -> DataFrame:
-    """Bytes, entries, lines and words of each document."""
-    return artifacts.select(
-        "run_id",
-        F.octet_length("llms_txt").cast("long").alias("size_bytes"),
-        F.col("entry_count").cast("long").alias("entry_count"),
-        F.size(split_lines("llms_txt")).cast("long").alias("line_count"),
-        F.size(F.filter(F.split(F.col("llms_txt"), r"\s+"), lambda w: w != "")).cast("long").alias("word_count"),
-    )
+    """C7 / V11 of stored strings: bytes, entries, lines and words of each document."""
+    size, line_count, word_count = (c.cast("long").alias(x) for x, c in _sizes(F.col("llms_txt")).items())
+    return artifacts.select("run_id", size, F.col("entry_count").cast("long").alias("entry_count"), line_count, word_count)

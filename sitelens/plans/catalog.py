@@ -342,8 +342,19 @@ def q_c6_site_meta(spark, sf):
 
 
 def q_c7_artifact_stats(spark, sf):
-    """Bytes, entries, lines and words of each document."""
-    return document.artifact_stats(full_run(spark, sf).stages.artifacts)
+    """Bytes, entries, lines and words of each document, from its lines."""
+    st = full_run(spark, sf).stages
+    return document.document_stats(st.lines, st.site_meta)
+
+
+def q_c5_line_offsets(spark, sf):
+    """Number and first byte of every line of every document."""
+    return document.document_offsets(full_run(spark, sf).stages.lines)
+
+
+def q_v11_line_preview(spark, sf):
+    """Line count and the first 20 lines of every rendered document."""
+    return document.document_previews(document.document_offsets(full_run(spark, sf).stages.lines), max_lines=20)
 
 
 def q_l7_discovery_milestone(spark, sf):
@@ -410,6 +421,8 @@ STAGE_QUERIES = {
     "c5_document_lines": q_c5_document_lines,
     "c6_site_meta": q_c6_site_meta,
     "c7_artifact_stats": q_c7_artifact_stats,
+    "c5_line_offsets": q_c5_line_offsets,
+    "v11_line_preview": q_v11_line_preview,
     "l7_discovery_milestone": q_l7_discovery_milestone,
     "l8_extraction_milestone": q_l8_extraction_milestone,
     "l9_generation_milestone": q_l9_generation_milestone,

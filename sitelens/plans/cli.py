@@ -26,14 +26,17 @@ from pyspark.sql import functions as F  # noqa: E402
 from sitelens.config import PipelineParams  # noqa: E402
 from sitelens.operators import document  # noqa: E402
 from sitelens.plans import jobs  # noqa: E402
-from sitelens.session import clear_stages, prepare_session  # noqa: E402
+from sitelens.session import clear_stages, materialize, prepare_session  # noqa: E402
 from sitelens.sources import store  # noqa: E402
 from sitelens.sources.captures import read_captures  # noqa: E402
 
 
 def run(spark: SparkSession, sites_path: str, captures_path: str, out: str, validators_path: str | None = None,
-        incremental: bool = False, generated_at: str | None = None, files_path: str | None = None) -> dict[str, str]:
-    """All five stages for every site; returns the written paths."""
+        incremental: bool = False, generated_at: str | None = None, files_path: str | None = None,
+        documents: bool = False) -> dict[str, str]:
+    """All five stages for every site; returns the written paths.  The documents
+    are written as ordered lines; ``documents`` adds them as one string per
+    site."""
     prepare_session(spark)
     params = PipelineParams(incremental=incremental, **({"generated_at": generated_at} if generated_at else {}))
     sites = spark.read.parquet(sites_path)
@@ -42,6 +45,10 @@ def run(spark: SparkSession, sites_path: str, captures_path: str, out: str, vali
     files = read_captures(spark, files_path) if files_path else None
     res = jobs.run_all_stages(sites, captures, params, validators, files=files)
     st = res.stages
+    lines = materialize(st.lines, "document-lines")
+    offsets = materialize(document.document_offsets(lines), "document-offsets")
+    sizes = document.document_stats(lines, st.site_meta)
+    previews = document.document_previews(offsets)
     outputs = {
         "discovered": res.discovery.discovered.select("run_id", "url", "provenance", F.to_json("ord").alias("ord")),
         "strategy_log": res.discovery.strategy_log,
@@ -50,22 +57,22 @@ def run(spark: SparkSession, sites_path: str, captures_path: str, out: str, vali
         "pages": st.pages.drop("url_key").withColumn("ord", F.to_json("ord")),
         "canonical_pages": st.canonical_pages.withColumn("ord", F.to_json("ord")),
         "scores": st.scores,
-        "artifacts": st.artifacts,
+        "artifacts": sizes.join(previews.drop("line_count"), "run_id"),
         "validators": st.validators,
         "runs": res.trail.runs,
         "work_items": res.trail.work_items,
         "transitions": res.trail.transitions,
         "events": res.trail.events,
     }
+    if documents:
+        outputs["documents"] = st.artifacts
     written = {}
     for name, df in outputs.items():
         path = f"{out.rstrip('/')}/{name}"
         store.write_table(df, path, "run_id" if "run_id" in df.columns else None)
         written[name] = path
-    counts = res.discovery.discovered.groupBy("run_id").agg(F.count(F.lit(1)).cast("long").alias("links_discovered"))
-    lines = document.document_lines(st.canonical_pages, sites, counts, params.generated_at)
     written["llms_txt"] = f"{out.rstrip('/')}/llms_txt"
-    document.write_documents(lines, written["llms_txt"])
+    document.write_documents(offsets, written["llms_txt"])
     return written
 
 
@@ -80,9 +87,10 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--validators")
     r.add_argument("--incremental", action="store_true")
     r.add_argument("--generated-at")
+    r.add_argument("--documents", action="store_true", help="also write each document as one string")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("sitelens").getOrCreate()
-    written = run(spark, args.sites, args.captures, args.out, args.validators, args.incremental, args.generated_at, args.files)
+    written = run(spark, args.sites, args.captures, args.out, args.validators, args.incremental, args.generated_at, args.files, args.documents)
     clear_stages(spark)
     for name, path in written.items():
         print(f"{name}\t{path}")

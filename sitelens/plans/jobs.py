@@ -30,6 +30,8 @@ class StageResult:
     canonical_pages: DataFrame
     scores: DataFrame
     artifacts: DataFrame
+    lines: DataFrame
+    site_meta: DataFrame
     validators: DataFrame
     events: DataFrame
     signals: DataFrame
@@ -91,6 +93,8 @@ def finish_sites(
         canonical_pages=canon,
         scores=scores,
         artifacts=artifacts,
+        lines=document.document_lines(canon, sites, counts, params.generated_at),
+        site_meta=document.site_meta(canon, sites, counts),
         validators=extract.new_validators(outcomes),
         events=extract.page_events(outcomes, pages, params.generated_at),
         signals=signals,

@@ -625,6 +625,19 @@ FROM sites s LEFT JOIN discovered d USING (run_id) LEFT JOIN pipe_caps c ON c.ur
 docs AS (""" + _documents_select() + """)""", """
 SELECT run_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS line_no, unnest(l) AS line
 FROM (SELECT run_id, string_split(regexp_replace(llms_txt, '\n$', ''), chr(10)) AS l FROM docs)"""),
+    "c5_line_offsets": _pipe2(_document_sql("canon_pages", "pipe_links") + """,
+docs AS (""" + _documents_select() + """),
+ls AS (
+  SELECT run_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS line_no, unnest(l) AS line
+  FROM (SELECT run_id, string_split(regexp_replace(llms_txt, '\n$', ''), chr(10)) AS l FROM docs))""", """
+SELECT run_id, line_no, line,
+       CAST(sum(strlen(line) + 1) OVER (PARTITION BY run_id ORDER BY line_no) - strlen(line) - 1 AS BIGINT) AS byte_start
+FROM ls"""),
+    "v11_line_preview": _pipe2(_document_sql("canon_pages", "pipe_links") + """,
+docs AS (""" + _documents_select() + """)""", """
+SELECT run_id, CAST(len(l) AS BIGINT) AS line_count, len(l) > 20 AS truncated,
+       CASE WHEN len(l) > 20 THEN array_to_string(l[1:20], chr(10)) ELSE llms_txt END AS preview
+FROM (SELECT run_id, llms_txt, string_split(regexp_replace(llms_txt, '\n$', ''), chr(10)) AS l FROM docs)"""),
     "l9_generation_milestone": _pipe2(_document_sql("canon_pages", "pipe_links") + """,
 docs AS (""" + _documents_select() + """)""", """
 SELECT run_id, size_bytes AS llmstxt_size_bytes, entry_count, entry_count AS total_pages_indexed FROM docs"""),

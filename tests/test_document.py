@@ -1,5 +1,7 @@
 """C1-C7 on literal pages: dedup ties, scores, rendered layout."""
 
+from pyspark.sql import functions as F
+
 from sitelens.operators import canonical, document
 
 PAGE_SCHEMA = (
@@ -106,6 +108,41 @@ def test_distributed_lines_equal_rendered_text(spark, tmp_path):
         text = "\n".join(x.line for x in lines if x.run_id == run).strip() + "\n"
         assert text == docs[run]
     out = str(tmp_path / "docs")
-    document.write_documents(document.document_lines(p, sites), out)
-    written = spark.read.parquet(out).filter("run_id = 'q'").count()
-    assert written >= 3
+    document.write_documents(document.document_offsets(document.document_lines(p, sites)), out)
+    for run in ("r", "q"):
+        rows = spark.read.parquet(out).filter(F.col("run_id") == run).orderBy("line_no").collect()
+        text = "\n".join(x.line for x in rows)
+        assert text.strip() + "\n" == docs[run]
+        for x in rows:
+            assert text.encode()[x.byte_start:].startswith(x.line.encode())
+
+
+def test_sizes_and_previews_from_lines_equal_string_form(spark):
+    """Line breaks and blanks in titles, two pages of one entry URL, an end
+    that is stripped, a site without pages, a site over many partitions."""
+    names = ["r", "q", "none", "big"]
+    sites = spark.createDataFrame([(n, f"https://{n}.org", f"{n}.org") for n in names], SITES)
+    rows = [
+        ("r", "https://r.org/", "Home \u00e4\u4e2d", "two\nlines\rthree\r\nfour", 1.0, 1.0, 0),
+        ("r", "https://r.org/pages/b", "B\x0bB", "ends blank \u00a0\r\n ", 1.0, 0.0, 1),
+        ("q", "https://q.org/docs/a b", "second", None, 1.0, 0.0, 0),
+        ("q", "https://q.org/docs/a%20b", "first", "x\ny", 1.0, 0.0, 1),
+    ]
+    rows += [("big", f"https://big.org/s{i % 3}/{i}", f"Title {i}", "d" * (i % 50), 1.0, 1.0, i) for i in range(3000)]
+    p = _pages(spark, rows)
+    docs = document.render_documents(p, sites)
+    lines, meta = document.document_lines(p, sites), document.site_meta(p, sites)
+    stats = document.document_stats(lines, meta)
+    by_run = lambda df: {r.run_id: r for r in df.collect()}
+    assert by_run(stats) == by_run(document.artifact_stats(docs)) and len(by_run(stats)) == 4
+    offsets = document.document_offsets(lines)
+    text = {r.run_id: r.llms_txt for r in docs.collect()}
+    for r in document.document_previews(offsets, max_lines=15).collect():
+        all_lines = text[r.run_id].removesuffix("\n").split("\n")
+        assert r.truncated == (r.line_count > 15)
+        assert r.preview == ("\n".join(all_lines[:15]) if r.truncated else text[r.run_id])
+    big = offsets.filter("run_id = 'big'").orderBy("line_no").collect()
+    assert [r.line_no for r in big] == list(range(1, len(big) + 1)) and len(big) > 3000
+    assert ("\n".join(r.line for r in big)).strip() + "\n" == text["big"]
+    whole = text["big"].encode()
+    assert all(whole[r.byte_start:r.byte_start + len(r.line)] == r.line.encode() for r in big)
