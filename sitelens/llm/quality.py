@@ -10,12 +10,13 @@ number of floats.  A document's score is the summed ratio of its n-grams
 divided by their number; every document is kept exactly when it passes the
 base rules and its score reaches one threshold.
 
-Labels: three quarters of the labelled documents give the target, all of
-them however many there are; the last quarter gives the threshold, at most
-about ``max_labelled`` documents of it (a hash sample when there are more; the
-bound is a parameter).  Up to ``broadcast_ids`` trusted ids are broadcast to
-the counting pass; beyond that a shuffled semi join picks the trusted texts.
-Labels are used by id only.
+Labels: three quarters of the labelled documents give the target, the last
+quarter the threshold, all of them however many there are.  The threshold is
+exact: the held-out scores are counted per distinct score, ranges of scores
+get the counts below them as prefix sums, and the cheapest cut is a minimum
+over the rows.  Up to ``broadcast_ids`` ids of either kind are broadcast to
+their pass; beyond that a shuffled semi join picks the trusted texts, and the
+held-out ids meet the scores of all texts.  Labels are used by id only.
 
 Defined results: a null text has no words and is rejected; repeated rows give
 repeated results; rows with a null id are scored but never trusted; an empty
@@ -34,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.functions.ordering import keyed_prefix_sums
 from sitelens.llm.common import doc_fields, materialize
 
 #: Buckets are 2 ** BITS.
 BITS = 18
-#: Most trusted ids that are broadcast.
+#: Most trusted ids, and most held-out ids, that are broadcast.
 BROADCAST_IDS = 2_000_000
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -147,14 +149,19 @@ def score_of(words: list[bytes], ratio: np.ndarray, bits: int) -> float:
     return float(np.round(got.astype(np.float64).sum() / len(got), 9))
 
 
-def labelled_sample(labels: DataFrame, max_labelled: int) -> DataFrame:
-    """(doc_id, good, fold): all labelled documents, but of fold 0 at most
-    about ``max_labelled``, chosen by a hash of the id.  A document is good
+def labelled_documents(labels: DataFrame) -> DataFrame:
+    """(doc_id, good, fold) of every labelled document.  A document is good
     only if all its labels say so."""
     per_doc = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         (F.min("quality") == 1).alias("good")
     ).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)))
-    per_doc = materialize(per_doc, "quality-labels")
+    return materialize(per_doc, "quality-labels")
+
+
+def labelled_sample(labels: DataFrame, max_labelled: int) -> DataFrame:
+    """All labelled documents, but of fold 0 at most about ``max_labelled``,
+    chosen by a hash of the id; only for callers that ask for a bound."""
+    per_doc = labelled_documents(labels)
     share = min(1.0, max_labelled / max(1, per_doc.filter("fold = 0").count()))
     place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40))
     return per_doc.filter((F.col("fold") > 0) | (place < int(share * (1 << 40))))
@@ -176,30 +183,59 @@ def best_threshold(scores: np.ndarray, good: np.ndarray, clean_cost: float = 8.0
     return float(cuts[int(np.argmin(cost))])
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int = 100_000, id_col: str = "doc_id",
-    text_col: str = "text", broadcast_ids: int = BROADCAST_IDS,
-):
-    """(log ratio per bucket, threshold)."""
-    sample = labelled_sample(labels, max_labelled)
-    trusted = sample.filter("good AND fold > 0").select("doc_id")
-    ratio = log_ratio(bucket_counts(docs, trusted, bits, id_col, text_col, broadcast_ids), bits)
-    model = docs.sparkSession.sparkContext.broadcast(ratio)
-    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(
-        F.broadcast(sample.filter("fold = 0").select("doc_id", "good")), "doc_id"
-    )
+def exact_threshold(scores: DataFrame, clean_cost: float = 8.0) -> float:
+    """``best_threshold`` of the rows (score, good) of a table of any size."""
+    marks = {"good": F.col("good"), "poor": ~F.col("good")}
+    distinct = scores.groupBy("score").agg(*[F.sum(c.cast("long")).alias(x) for x, c in marks.items()])
+    distinct = materialize(distinct, "held-scores")
+    total = distinct.agg(F.sum("good").alias("good"), F.sum("poor").alias("poor")).first()
+    if not total.good or not total.poor:
+        return float("-inf")
+    below = keyed_prefix_sums(distinct, [], ["score"], {f"{x}_below": F.col(x) for x in marks})
+    lost, caught = (F.col(f"{x}_below").cast("double") / F.lit(float(total[x])) for x in marks)
+    best = below.agg(F.min(F.struct((F.lit(clean_cost) * lost - caught).alias("cost"), "score")).alias("b")).first().b
+    if clean_cost - 1.0 < best.cost:
+        return float("inf")
+    lower = distinct.filter(F.col("score") < best.score).agg(F.max("score")).first()[0]
+    return float("-inf") if lower is None else (best.score + lower) / 2
+
+
+def held_out_scores(
+    docs: DataFrame, held: DataFrame, model, bits: int, id_col: str, text_col: str, broadcast_ids: int = BROADCAST_IDS
+) -> DataFrame:
+    """(score, good) of every row of ``docs`` that ``held`` (doc_id, good) names."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
             scores = [score_of(words_of(t or ""), model.value, bits) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), batch.column(1)], names=["score", "good"])
+            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), batch.column(1)], names=["score", "key"])
+
+    if held.count() <= broadcast_ids:
+        chosen = own.join(F.broadcast(held), "doc_id")
+        return chosen.select("text", F.col("good").alias("key")).mapInArrow(run, "score double, key boolean").withColumnRenamed("key", "good")
+    # All texts are scored where they are; only scores meet the ids.
+    schema = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("key", own.schema["doc_id"].dataType)])
+    scored = own.select("text", "doc_id").mapInArrow(run, schema).withColumnRenamed("key", "doc_id")
+    return scored.join(held.hint("shuffle_merge"), "doc_id").select("score", "good")
+
 
-    table = held.select("text", "good").mapInArrow(run, "score double, good boolean").toArrow()
-    return ratio, best_threshold(table.column("score").to_numpy(), table.column("good").to_numpy(zero_copy_only=False).astype(bool))
+def fit(
+    docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int | None = None, id_col: str = "doc_id",
+    text_col: str = "text", broadcast_ids: int = BROADCAST_IDS,
+):
+    """(log ratio per bucket, threshold); ``max_labelled`` bounds the
+    documents behind the threshold, by default all held-out ones count."""
+    marked = labelled_documents(labels) if max_labelled is None else labelled_sample(labels, max_labelled)
+    trusted = marked.filter("good AND fold > 0").select("doc_id")
+    ratio = log_ratio(bucket_counts(docs, trusted, bits, id_col, text_col, broadcast_ids), bits)
+    model = docs.sparkSession.sparkContext.broadcast(ratio)
+    held = marked.filter("fold = 0").select("doc_id", "good")
+    return ratio, exact_threshold(held_out_scores(docs, held, model, bits, id_col, text_col, broadcast_ids))
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int = 100_000, id_col: str = "doc_id",
+    docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int | None = None, id_col: str = "doc_id",
     text_col: str = "text", columns: list[str] | None = None, broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """One row per input row: doc_id, the base counts, base_failed, score,

@@ -106,3 +106,31 @@ def test_every_trusted_document_is_counted(spark):
     assert sum(r.fold == 0 for r in sample) < 20 < sum(r.fold > 0 for r in sample) == sum(
         r.fold > 0 for r in Q.labelled_sample(l, 10**6).collect()
     )
+
+
+def test_threshold_of_a_table(spark):
+    rnd = random.Random(9)
+    for size, spread in ((0, 5), (1, 5), (40, 3), (60, 10**6), (400, 30), (400, 10**6)):
+        rows = [(round(rnd.gauss(0, 1) * spread) / spread, rnd.random() < 0.5) for _ in range(size)]
+        rows = [(s + (0.5 if g else 0.0), g) for s, g in rows]
+        table = spark.createDataFrame(rows, "score double, good boolean").repartition(5)
+        s, g = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], bool)
+        for cost in (0.5, 1.0, 8.0):
+            assert Q.exact_threshold(table, cost) == Q.best_threshold(s, g, cost)
+    assert Q.exact_threshold(spark.createDataFrame([(0.5, True)], "score double, good boolean")) == float("-inf")
+
+
+def test_every_held_out_document_counts_for_the_threshold(spark, monkeypatch):
+    docs, labels = labelled()
+    d = spark.createDataFrame(docs + [(docs[0][0], "repeated id"), (None, "abc")], "doc_id long, text string").repartition(4)
+    # Far more labels than documents: a bounded share of them would lose documents.
+    l = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").union(
+        spark.range(10**6, 10**6 + 900_000).selectExpr("id", "cast(id % 2 as int)", "0"))
+    seen = []
+    monkeypatch.setattr(Q, "exact_threshold", lambda scores: seen.append(sorted(map(tuple, scores.collect()))) or 0.0, raising=False)
+    monkeypatch.setattr(Q, "best_threshold", lambda s, g: seen.append(sorted(zip(s.tolist(), g.tolist()))) or 0.0)
+    for options in ({}, {"broadcast_ids": 0}):
+        Q.fit(d, l, bits=12, **options)
+    held = {r.doc_id for r in Q.labelled_sample(l, 10**9).filter("fold = 0 AND doc_id < 1000").collect()}
+    rows = sum(i in held for i, _ in docs + [docs[0]])
+    assert seen[0] == seen[1] and len(seen[0]) == rows
