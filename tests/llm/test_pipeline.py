@@ -95,3 +95,17 @@ def test_run_on_empty_tables(no_docs, few_labels, few_items, spark, tmp_path):
     for name, df in (("documents", no_docs), ("labels", few_labels.filter("false")), ("benchmark", few_items.filter("false"))):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_stage_uses_every_held_out_label(spark, tmp_path, monkeypatch):
+    from sitelens.llm import quality as Q
+
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 11} c{i}") for i in range(400)], "doc_id long, text string")
+    # Far more labels than documents: a bounded share of them would lose documents.
+    labels = spark.range(900_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality", "0 AS toxic")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    seen = []
+    monkeypatch.setattr(Q, "exact_threshold", lambda scores: seen.append(scores.count()) or 0.0, raising=False)
+    monkeypatch.setattr(Q, "best_threshold", lambda s, g: seen.append(len(s)) or 0.0)
+    C.keep_quality(spark, docs, str(tmp_path))
+    assert seen == [Q.labelled_sample(labels, 10**9).filter("fold = 0 AND doc_id < 400").count()]
