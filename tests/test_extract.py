@@ -1,6 +1,11 @@
 """E1-E8 cascades on literal HTML (reference worker / page-indexer cases
 plus the JSON-LD and meta edge cases it leaves untested)."""
 
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
 from sitelens.functions.html import jsonld_string, parse_signals
 from sitelens.operators import extract
 from sitelens.sources.captures import captures_from_rows
@@ -167,3 +172,35 @@ def test_stored_body_sizes_spare_the_bodies(spark):
     assert sorted(map(str, extract.capture_index(stored).collect())) == sorted(map(str, extract.capture_index(caps).collect()))
     blank = stored.withColumn("body", F.lit(None).cast("string"))
     assert sorted(r.body_bytes for r in extract.capture_index(blank).collect()) == [0, 3]
+
+
+def _stage_bytes(spark):
+    from sitelens.session import stage_folder
+
+    folder = stage_folder(spark).removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables not present")
+def test_signals_query_stores_no_texts(spark):
+    from sitelens.plans import catalog
+
+    before = _stage_bytes(spark)
+    got = catalog.q_e1_signals(spark, "/root/testdata/sf0.001")
+    rows = got.collect()
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert len(rows) == documents.count() and any(len(r.ld_description or "") > 1000 for r in rows)
+    assert _stage_bytes(spark) - before < 0.5 * documents.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
+def test_more_keys_than_are_broadcast(spark, monkeypatch):
+    rows = [(f"https://a.example.com/{i}", 200, f"2024-01-0{1 + j}", f"<title>{i} {j}</title>") for i in range(60) for j in range(3)]
+    rows.append((None, 200, "2024-01-01", "<title>none</title>"))
+    caps = spark.createDataFrame(rows, "url string, status_code int, at string, body string").withColumn("fetched_at", F.to_timestamp("at")).withColumn(
+        "headers", F.create_map(F.lit("Content-Type"), F.lit("text/html")))
+    signals = lambda **options: sorted((r.url_key, r.title) for r in extract.page_signals(caps, **options).collect())
+    want = [(f"https://a.example.com/{i}", f"{i} 2") for i in range(60)]
+    assert signals() == signals(broadcast_rows=0) == sorted(want)
+    # A filter that lets every page through: the others are still left out.
+    monkeypatch.setattr(extract, "may_contain_hash", lambda words, h, bits: F.lit(True))
+    assert signals(broadcast_rows=0) == sorted(want)
