@@ -1,6 +1,8 @@
 """D1-D10 on literal site captures: llms.txt, robots hints, sitemap
 indexes (cycle, malformed, prefixed), tier gating and first source."""
 
+import pytest
+
 from sitelens.config import SpiderBounds
 from sitelens.operators import discovery, extract
 from sitelens.sources.captures import captures_from_rows, sites_from_urls
@@ -119,3 +121,28 @@ def test_gating_skips_later_tiers(spark):
     found, res = _discover(spark, rows, ["https://d.com"])
     assert found["d.com"] == [("https://d.com/a", "llms")]
     assert sorted(r.strategy for r in res.strategy_log.collect()) == ["direct_llms", "robots_hints"]
+
+
+@pytest.fixture(scope="module")
+def many_links(spark, n=300):
+    sites = spark.createDataFrame([("r1", "https://a.com", "a.com"), ("r2", "https://b.com", "b.com")], "run_id string, target_url string, hostname string")
+    lines = "\n".join(f"- [p{i}](/p{i})" for i in range(n))
+    html = "".join(f'<a href="/p{i}">p</a>' for i in range(n))
+    rows = [("https://a.com/llms.txt", 200, lines), ("https://b.com", 200, html)] + [(f"https://b.com/p{i}", 200, f"<title>{i}</title>") for i in range(n)]
+    caps = captures_from_rows(spark, rows)
+    index = extract.capture_index(caps)
+    return index, discovery.discover(sites, caps, index)
+
+
+def test_small_tables_of_much_work_are_spread(many_links):
+    """A file of links is no single task, nor are the URLs found in it."""
+    _, found = many_links
+    urls = found.discovered.filter("run_id = 'r1'")
+    assert urls.count() == 300 and len(found.discovered.inputFiles()) > 1
+    assert len([f for f in found.candidates.inputFiles() if "cand-llms" in f]) > 1
+
+
+def test_strategy_log_is_not_computed_again(many_links):
+    _, found = many_links
+    assert found.strategy_log.inputFiles() and all("strategy-log" in f for f in found.strategy_log.inputFiles())
+    assert {(r.run_id, r.strategy, r.success, r.urls_found) for r in found.strategy_log.collect()} >= {("r1", "direct_llms", True, 300), ("r2", "spider", True, 50)}
