@@ -4,7 +4,8 @@ indexes (cycle, malformed, prefixed), tier gating and first source."""
 import pytest
 
 from sitelens.config import SpiderBounds
-from sitelens.operators import discovery, extract
+from sitelens.operators import discovery, extract, linkgraph
+from sitelens.session import materialize
 from sitelens.sources.captures import captures_from_rows, sites_from_urls
 
 NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
@@ -146,3 +147,17 @@ def test_strategy_log_is_not_computed_again(many_links):
     _, found = many_links
     assert found.strategy_log.inputFiles() and all("strategy-log" in f for f in found.strategy_log.inputFiles())
     assert {(r.run_id, r.strategy, r.success, r.urls_found) for r in found.strategy_log.collect()} >= {("r1", "direct_llms", True, 300), ("r2", "spider", True, 50)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_a_row_per_page_are_not_broadcast(many_links):
+    index, found = many_links
+    index = materialize(index, "test-index")
+    fetched = extract.fetch(found.discovered.select("run_id", "url"), index)
+    pages = found.signals.selectExpr("'r2' AS site", "'b.com' AS hostname", "url_key")
+    links = linkgraph.filtered_links(pages, found.signals, [""])
+    for df in (fetched, links):
+        assert "SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df)
