@@ -12,23 +12,29 @@ sets reaches ``percent``; components of links are the result.
   Lists with the same members count once.
 * **Leaders.**  In each of two rounds every list names one member; the others
   are paired with it (as many pairs as members), after which it leaves the
-  list.  Both ends of confirmed pairs take their first neighbour's first
-  neighbour as root; lists with a single root or member are done, so a group
-  of thousands of near copies falls together without its pairs.
+  list.  The components of the confirmed pairs give the roots; lists with a
+  single root or member are done, so a group of thousands of near copies falls
+  together without its pairs.
 * **Blocks.**  All pairs of different roots in the lists that are left
   are compared inside tasks, in blocks of bounded size, by the overlap of their
   sketches (31 bits of each value; one match less than needed is let through,
-  as two values of a set may agree in them).
+  as two values of a set may agree in them).  A block sends its pairs if they
+  are no more than its members.  Else it sends the members that have a pair:
+  they meet once more with their full sets (31 bits of each value; values of a
+  set that agree in them count as shared), and only pairs that these let
+  through leave the block.  So the rows between tasks grow with the members
+  of the lists, not with their pairs.
 * **Union sketch.**  The k smallest values of both sketches together are the
   sketch of the union; the share of them in both estimates the similarity and
   drops pairs that cannot reach ``percent``.
 * **Exact check.**  The full sets of the remaining pairs are read from the
   texts again (picked by a fixed-size filter of their rows) and compared.
 
-``least_shared``: if both sets fit into their sketches, and for sets up to a
-few k, the bound is certain (similar sets differ in few values); beyond, it is
-the count that a similar pair misses with a probability below 1e-12 (Chernoff
-bound for k draws).  Hot values, leaders and classes are joined with salts.
+``least_shared``: if both sets fit into their sketches the bound is certain;
+beyond, it is the count that a similar pair misses with a probability below
+1e-12.  The union sketch is k draws without replacement from the union, so up
+to ``16 * k`` values the hypergeometric law gives the count, for larger sets a
+Chernoff bound.  Hot values, leaders and classes are joined with salts.
 
 Defined results: a null or empty text or one without words has no set, is
 linked with nothing and keeps its own id; a text with fewer words than a
@@ -41,6 +47,7 @@ are ignored.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +66,12 @@ _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Odd factors: of a shingle's polynomial and of the two steps that mix its bits.
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
-#: Members of a list compared at once in a task.
-BLOCK = 256
+#: Members of a list, and values of their full sets, of one chunk; a task
+#: compares two chunks at once.
+BLOCK, BLOCK_VALUES = 4096, 1 << 22
+#: Values held by more members of a block than this are counted by products of
+#: matrices of so many columns, others pair by pair.
+FEW, COLUMNS = 32, 2048
 #: Rounds of leaders before the blocks.
 LEADER_TURNS = 2
 #: Natural log of the probability that a bound misses a similar pair.
@@ -87,6 +98,7 @@ def set_key(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
+@lru_cache
 def chernoff_count(k: int, percent: int) -> int:
     """The largest count c of k draws (each a hit with ``percent``) such that
     fewer than c hits have a probability below 1e-12; 1 at least."""
@@ -99,14 +111,33 @@ def chernoff_count(k: int, percent: int) -> int:
     return max(1, max((c for c in range(k) if c / k < t and log_tail(c) <= LOG_MISS), default=1))
 
 
+@lru_cache
+def shared_table(k: int, percent: int) -> list[int]:
+    """``least_shared`` of sets of 0 to ``16 * k`` values."""
+    top = 16 * k
+    most = top * 100 // percent
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, most + 1)))))
+
+    def log_choose(n, x):
+        return logs[n] - logs[x] - logs[n - x]
+
+    least = np.zeros(most + 1, np.int64)  # by the size of the union
+    for size in range(1, most + 1):
+        both, draws = -(-percent * size // 100), min(k, size)
+        hits = np.arange(max(0, draws - (size - both)), min(draws, both) + 1)
+        log_p = log_choose(both, hits) + log_choose(size - both, draws - hits) - log_choose(size, draws)
+        fewer = np.concatenate(([-np.inf], np.logaddexp.accumulate(log_p[:-1])))
+        least[size] = hits[np.flatnonzero(fewer <= LOG_MISS)[-1]]
+    return [0] + [min(-(-percent * n // 100), int(least[n:n * 100 // percent + 1].min())) for n in range(1, top + 1)]
+
+
 def least_shared(n, k: int, percent: int):
     """Values that the sketches of a set of ``n`` (number or column) and of
     any similar set share at least."""
-    whole, rest = (percent * n + 99) / 100, k - n * (100 - percent) / percent
+    table, beyond = shared_table(k, percent), chernoff_count(k, percent)
     if isinstance(n, Column):
-        n_whole, n_rest = F.floor(whole), F.ceil(rest)
-        return F.least(n_whole, F.greatest(F.lit(chernoff_count(k, percent)), n_rest)).cast("int")
-    return np.minimum(np.floor(whole), np.maximum(chernoff_count(k, percent), np.ceil(rest))).astype(np.int64)
+        return F.when(n < len(table), F.get(F.lit(table), n.cast("int"))).otherwise(F.lit(beyond)).cast("int")
+    return np.where(n < len(table), np.array(table)[np.minimum(n, len(table) - 1)], beyond).astype(np.int64)
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int, k: int, percent: int) -> bool:
@@ -118,8 +149,8 @@ def union_estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int, k: int, perce
         return 100 * shared >= percent * (na + nb - shared)
     union = np.concatenate((both[:1], both[1:][~twice]))
     shared = int((twice & (both[1:] <= union[min(k, len(union)) - 1])).sum())
-    need = max(chernoff_count(k, percent), math.ceil(k - min(na, nb) * (100 - percent) / percent))
-    return shared >= need
+    table = shared_table(k, percent)
+    return shared >= max(table[n] if n < len(table) else chernoff_count(k, percent) for n in (na, nb))
 
 
 def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
@@ -201,70 +232,144 @@ def _open_lists(lists: DataFrame, turn: int) -> DataFrame:
     return materialize(skew_join(lists, first.drop("c"), "value", counts=first.select("value", "c")), "open-lists")
 
 
-def _near_roots(links: DataFrame) -> DataFrame:
-    """(sid, root) of the ends of links: the first neighbour of the first
-    neighbour, in one fixed order.  Equal roots are connected; the converse
-    is left to the components of all links."""
-    both = links.select(F.col("a").alias("sid"), F.col("b").alias("o")).union(links.select("b", "a"))
-    place = F.struct(F.xxhash64("o", F.lit(0)).alias("h"), F.col("o").alias("id"))
-    own = F.struct(F.xxhash64("sid", F.lit(0)).alias("h"), F.col("sid").alias("id"))
-    first = both.groupBy("sid").agg(F.min(place).alias("p")).select("sid", F.least("p", own).getField("id").alias("near"))
-    first = materialize(first, "near-roots")
-    return skew_join(first, first.select(F.col("sid").alias("near"), F.col("near").alias("root")), "near").select("sid", "root")
-
-
 def _leader_pairs(led: DataFrame, percent: int) -> DataFrame:
     sized = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
     return led.filter((F.col("root") != F.col("lead.root")) & sized).select(F.col("sid").alias("a"), F.col("lead.sid").alias("b")).distinct()
 
 
-def _block_pairs(lists: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): pairs of different roots in the lists whose sketches pass."""
-    size = materialize(lists.groupBy("value").agg(F.count("*").alias("c")), "list-sizes")
-    chunks = size.select("value", F.ceil(F.col("c") / BLOCK).cast("int").alias("chunks"))
-    members = skew_join(lists, chunks, "value", counts=size).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+def _block_pairs(lists: DataFrame, sets: DataFrame, k: int, percent: int, read=None) -> DataFrame:
+    """(a, b): pairs of different roots in the lists whose sketches pass and,
+    in blocks of more such pairs than members, whose full sets pass; ``read``
+    gives the (sid, full) of rows of ``sets`` (without it, sketches decide)."""
+    size = materialize(lists.groupBy("value").agg(F.count("*").alias("c"), F.sum("n").alias("values")), "list-sizes")
+    chunks = size.select("value", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("values") / BLOCK_VALUES)).cast("int").alias("chunks"))
+    members = skew_join(lists, chunks, "value", counts=size.select("value", "c"))
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = members.withColumn("o", other).select(
         "value", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "sid", "n", "root"
     )
-    small = F.transform("sketch", lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
-    rows = dealt.join(sets.select("sid", small.alias("sketch")), "sid").select("value", "i", "j", "chunk", "sid", "n", "root", "sketch")
+    found = _compare_blocks(dealt, sets.select("sid", "sketch"), lambda *held: _sketch_pairs(*held, k, percent), members=read is not None)
+    if read is None:
+        return found.select("a", "b").distinct()
+    found = materialize(found, "block-pairs")
+    dense = found.filter("b IS NULL").select("value", "i", "j", "chunk", F.col("a").alias("sid"), "n", "root")
+    pairs = found.filter("b IS NOT NULL").select("a", "b")
+    if dense.isEmpty():
+        return pairs.distinct()
+    full = read(sets.join(dense.select("sid").distinct(), "sid", "left_semi"))
+    exact = _compare_blocks(dense, full, lambda *held: _full_pairs(*held, percent), members=False)
+    return pairs.unionByName(exact.select("a", "b")).distinct()
+
+
+_BLOCK_ROWS = "a long, b long, value long, i int, j int, chunk int, n long, root long"
+
+
+def _compare_blocks(dealt: DataFrame, arrays: DataFrame, compare, members: bool) -> DataFrame:
+    """Pairs (a, b) that ``compare`` finds in every block (value, i, j); with
+    ``members``, a block of more pairs than members gives the members that
+    have one instead (a, b null, with the other columns)."""
+    name = arrays.columns[1]
+    small = F.transform(name, lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    rows = dealt.join(arrays.select("sid", small.alias("small")), "sid").select("value", "i", "j", "chunk", "sid", "n", "root", "small")
+
+    def emit(held, group):
+        if len({m[0] for m in held}) < 1 + (group[1] != group[2]) or len(held) < 2:
+            return
+        chunk, sid, n, root = (np.array(c, np.int64) for c in list(zip(*held))[:4])
+        x, y = compare([m[4] for m in held], n, root, chunk if group[1] != group[2] else np.arange(len(held)))
+        if not len(x):
+            return
+        if not members or len(x) <= len(held):
+            a, b = np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
+            rest = [pa.nulls(len(x), kind) for kind in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *rest], names=_names(_BLOCK_ROWS))
+            return
+        own = np.unique(np.concatenate((x, y)))
+        same = [pa.array(np.full(len(own), v), kind) for v, kind in zip(group, (pa.int64(), pa.int32(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sid[own]), pa.nulls(len(own), pa.int64()), *same, pa.array(chunk[own], pa.int32()), pa.array(n[own]), pa.array(root[own])],
+            names=_names(_BLOCK_ROWS))
 
     def run(batches):
-        held, held_key = [], None
+        held, group = [], None
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in range(7)] + [_arrays(batch.column(7))]
             for value, i, j, *member in zip(*cols):
-                if (value, i, j) != held_key:
-                    yield from _compare(held, held_key, k, percent)
-                    held, held_key = [], (value, i, j)
+                if (value, i, j) != group:
+                    if held:
+                        yield from emit(held, group)
+                    held, group = [], (value, i, j)
                 held.append(member)
-        yield from _compare(held, held_key, k, percent)
+        if held:
+            yield from emit(held, group)
 
-    group = ["value", "i", "j"]
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
+    key = ["value", "i", "j"]
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, _BLOCK_ROWS)
 
 
-def _compare(held, group, k, percent):
-    if len({m[3] for m in held}) < 2:
-        return
-    chunk, sid, n, root = (np.array(c, np.int64) for c in list(zip(*held))[:4])
-    parts = [np.unique(m[4]) for m in held]
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _shared(parts: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Values that each of the sets ``rows`` shares with each set."""
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     _, place, often = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    cols = np.cumsum(often > 1) - 1
-    owner = np.repeat(np.arange(len(held)), [len(p) for p in parts])
-    keep = often[place] > 1
-    grid = np.zeros((len(held), int(cols[-1]) + 1), np.float32)
-    grid[owner[keep], cols[place[keep]]] = 1
+    order = np.argsort(place, kind="stable")
+    owner, starts = owner[order], np.cumsum(often) - often
+    at = np.full(len(parts), -1)
+    at[rows] = np.arange(len(rows))
+    shared = np.zeros((len(rows), len(parts)), np.float32)
+    for c in np.unique(often[(often > 1) & (often <= FEW)]):
+        first = starts[often == c]
+        step = max(1, (1 << 21) // (c * c))
+        for k in range(0, len(first), step):
+            sets = owner[first[k:k + step, None] + np.arange(c)]
+            x, y = np.repeat(at[sets], c, axis=1).ravel(), np.tile(sets, (1, c)).ravel()
+            np.add.at(shared.reshape(-1), x[x >= 0] * len(parts) + y[x >= 0], np.float32(1))
+    many = np.flatnonzero(often > FEW)
+    for k in range(0, len(many), COLUMNS):
+        grid = np.zeros((len(parts), min(COLUMNS, len(many) - k)), np.float32)
+        for column, value in enumerate(many[k:k + COLUMNS]):
+            grid[owner[starts[value]:starts[value] + often[value]], column] = 1
+        shared += grid[rows] @ grid.T
+    return shared
+
+
+def _pairs_of(parts, n, root, side, percent, passes):
+    """(x, y) of the pairs of different roots and sides that fit in size and
+    pass; each has a member outside the most frequent root."""
+    roots, place, times = np.unique(root, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(place != np.argmax(times))
+    if not len(rows):
+        return rows, rows
+    shared = _shared(parts, rows)
+    outside = place != np.argmax(times)
+    found = []
+    for k in range(0, len(rows), 256):
+        x = rows[k:k + 256, None]
+        ok = passes(shared[k:k + 256], x) & (root[x] != root) & (side[x] != side) & (~outside | (np.arange(len(n)) > x))
+        ok &= 100 * np.minimum(n[x], n) >= percent * np.maximum(n[x], n)
+        a, b = np.nonzero(ok)
+        found.append((rows[k + a], b))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _sketch_pairs(parts, n, root, side, k, percent):
     least = least_shared(n, k, percent) - 1
-    ok = np.triu(grid @ grid.T >= np.maximum(least[:, None], least[None, :]), 1)
-    ok &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-    ok &= root[:, None] != root[None, :]
-    if group[1] != group[2]:
-        ok &= chunk[:, None] != chunk[None, :]
-    x, y = np.nonzero(ok)
-    if len(x):
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[x], sid[y])), pa.array(np.maximum(sid[x], sid[y]))], names=["a", "b"])
+    return _pairs_of([np.unique(p) for p in parts], n, root, side, percent, lambda shared, x: shared >= np.maximum(least[x], least))
+
+
+def _full_pairs(parts, n, root, side, percent):
+    parts = [np.unique(p) for p in parts]
+    lost = n - np.array([len(p) for p in parts])
+
+    def passes(shared, x):
+        most = shared + np.minimum(lost[x], lost)
+        return 100 * most >= percent * (n[x] + n - most)
+
+    return _pairs_of(parts, n, root, side, percent, passes)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, k: int, percent: int) -> DataFrame:
@@ -322,12 +427,13 @@ def near_duplicates(
         if turn < LEADER_TURNS:
             pairs, lists = _leader_pairs(lists, percent), lists.filter("sid <> lead.sid")
         else:
-            pairs = _block_pairs(lists, sets, k, percent)
+            pairs = _block_pairs(lists, sets, k, percent, lambda wanted: materialize(
+                full_sets(own, materialize(wanted.select("sid", "key", "row_key"), "wanted-sets"), shingle), "full-sets"))
         lists = lists.drop("lead")
         new = confirmed(materialize(pairs, "pairs"), own, sets, shingle, k, percent)
         links = new if links is None else links.unionByName(new)
         if turn < LEADER_TURNS:
-            roots = _near_roots(links)
+            roots = connected_components(links, name="set-roots").withColumnRenamed("node", "sid")
             lists = materialize(lists.drop("root").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "inverted-lists")
     component = sets.select("sid", "key", F.col("doc_id").alias("component_id"), "copies")
     if links is not None:

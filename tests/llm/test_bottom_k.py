@@ -108,6 +108,69 @@ def test_least_shared_column_equals_numbers(spark):
     assert B.chernoff_count(64, 80) == 23
 
 
+def test_blocks_send_members_not_all_their_pairs(spark, monkeypatch):
+    """A large group whose texts are like a hub and less like each other: the
+    sketches of nearly all pairs pass, their full sets do not."""
+    rnd = random.Random(6)
+    hub = [f"w{rnd.randrange(3000)}" for _ in range(400)]
+    rows = []
+    for i in range(300):
+        text = list(hub)
+        for at in rnd.sample(range(400), 30 if i % 3 else 50):
+            text[at] = f"x{rnd.randrange(300)}"
+        rows.append((i * 7, " ".join(text)))
+    rows.append((9000, " ".join(hub)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sent = []
+    compared = B._block_pairs
+
+    def counted(lists, sets, k, percent, *read):
+        out = compared(lists, sets, k, percent, *read)
+        entries = lists.select("sid").distinct().count()
+        sent.append((out.count(), entries))
+        return out
+
+    monkeypatch.setattr(B, "_block_pairs", counted)
+    assert got(B.near_duplicates(df, shingle=2)) == brute(rows)
+    assert sent and all(pairs <= entries for pairs, entries in sent)
+
+
+def test_full_sets_decide_in_blocks_of_many_pairs(spark, monkeypatch):
+    """Without leaders all links come from the blocks, also from small ones."""
+    rows = near_copies(2)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(B, "LEADER_TURNS", 0)
+    want = brute(rows)
+    assert got(B.near_duplicates(df, shingle=2)) == want
+    monkeypatch.setattr(B, "BLOCK", 5)
+    monkeypatch.setattr(B, "FEW", 2)
+    monkeypatch.setattr(B, "COLUMNS", 7)
+    assert got(B.near_duplicates(df, shingle=2)) == want
+
+
+def test_shared_counts_of_a_block():
+    rnd = np.random.default_rng(5)
+    parts = [np.unique(rnd.integers(0, 300, int(rnd.integers(1, 80)))) for _ in range(90)]
+    rows = np.flatnonzero(rnd.random(90) < 0.4)
+    want = [[len(np.intersect1d(parts[x], p)) for p in parts] for x in rows]
+    got = B._shared(parts, rows)
+    off = rows[:, None] != np.arange(90)
+    assert (got[off] == np.array(want)[off]).all()
+
+
+def test_least_shared_is_never_above_the_law_of_the_union():
+    """Draws without replacement: exact tails, by integers."""
+    from math import comb
+
+    for n in (30, 64, 65, 90, 130, 250, 600):
+        c = B.shared_table(64, 80)[n]
+        assert c >= min(B.chernoff_count(64, 80), -(-80 * n // 100))
+        for size in range(n, n * 100 // 80 + 1):
+            both, draws = -(-80 * size // 100), min(64, size)
+            fewer = sum(comb(both, x) * comb(size - both, draws - x) for x in range(c) if draws - x <= size - both)
+            assert fewer * 10**12 <= comb(size, draws) * 1.000001
+
+
 def test_edge_rows(edge_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
     assert got(B.near_duplicates(edge_docs, shingle=2)) == brute(rows)
