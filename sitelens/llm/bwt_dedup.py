@@ -373,10 +373,11 @@ def _runs(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return positions[at], np.diff(np.append(at, len(positions)))
 
 
-def search(open_rows: DataFrame, docs: DataFrame, length: int, hot_rows: int, broadcast_rows: int) -> DataFrame:
-    """Covered runs (doc_id, text_key, first, count) of the segments in question."""
-    hot = open_rows.groupBy("mini").count().filter(F.col("count") > hot_rows).select("mini", F.lit(True).alias("hot"))
-    marked = open_rows.join(hot, "mini", "left")
+def search(open_rows: DataFrame, docs: DataFrame, length: int, hot_rows: int, broadcast_rows: int, repeated: bool = True) -> DataFrame:
+    """Covered runs (doc_id, text_key, first, count) of the segments in
+    question; ``repeated``: rows of ``docs`` may repeat id and text."""
+    hot = materialize(open_rows.groupBy("mini").count().filter(F.col("count") > hot_rows).select("mini", F.lit(True).alias("hot")), "bwt-hot")
+    marked = open_rows.join(F.broadcast(hot) if hot.count() <= broadcast_rows else hot, "mini", "left")
     per_doc = materialize(
         marked.groupBy("doc_id", "text_key").agg(
             F.collect_list(F.struct("mini", "first", "count", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("cuts")
@@ -385,7 +386,9 @@ def search(open_rows: DataFrame, docs: DataFrame, length: int, hot_rows: int, br
     ids = per_doc.select("doc_id").distinct()
     if ids.count() <= broadcast_rows:  # else the join alone finds the texts
         docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    texts = docs.distinct().join(per_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "cuts")
+    # Without repeated ids no text is shuffled but for the join.
+    docs = docs.distinct() if repeated else docs
+    texts = docs.join(per_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "cuts")
 
     def cut(batches):
         for batch in batches:
@@ -460,10 +463,11 @@ def covered_runs(docs: DataFrame, length: int = 50, hot_rows: int = 20_000, broa
     own = docs.filter(F.col(id_col).isNotNull() & (F.octet_length(text_col) >= length)).select(
         F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_key"), F.col(text_col).alias("text")
     )
-    if repeated_ids(docs, id_col):
+    repeated = repeated_ids(docs, id_col)
+    if repeated:
         own = own.withColumn("text_key", F.xxhash64("text"))
     found = materialize(settle(segment_rows(own, length)), "bwt-segments")
-    more = search(found.filter("open").drop("open"), own, length, hot_rows, broadcast_rows)
+    more = search(found.filter("open").drop("open"), own, length, hot_rows, broadcast_rows, repeated)
     return found.filter("NOT open").select("doc_id", "text_key", "first", "count").unionByName(more)
 
 

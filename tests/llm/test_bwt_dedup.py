@@ -81,3 +81,16 @@ def test_same_id_is_one_document(spark):
     text = "a passage that is longer than fifty bytes and repeats in the corpus, "
     rows = [(1, text + "one"), (1, text + "two"), (2, "zero " + text), (None, text + "none")]
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute([(i, t.encode()) for i, t in rows])
+
+
+def test_whole_texts_are_aggregated_only_if_ids_repeat(spark, llm_docs):
+    """Texts with segments in question go to one join, not to a distinct before it."""
+    rows, df = llm_docs
+
+    def aggregates(docs):
+        plan = B.covered_runs(docs)._jdf.queryExecution().optimizedPlan().toString()
+        return [line for line in plan.split("\n") if "Aggregate [" in line and " text#" in line]
+
+    assert not aggregates(df)
+    assert aggregates(df.union(df.limit(3)))
+    assert result(df.union(df.limit(3))) == brute([(r.doc_id, r.text.encode()) for r in df.union(df.limit(3)).collect()])
