@@ -51,8 +51,9 @@ K = 16
 SLICE = 1 << 20
 #: Bytes of segments searched in one transform.
 BATCH = 1 << 18
-#: Rows buffered by a task while it looks for the end of a minimizer's group.
-BUFFER = 1 << 18
+#: Rows buffered by a task while it looks for the end of a minimizer's group; a
+#: group that fills two buffers is settled in parts.
+BUFFER = 1 << 16
 _POS = 24
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -209,76 +210,80 @@ def _shared(group: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle(rows: DataFrame) -> DataFrame:
-    """Covered segments (open = false) and segments in question (open =
-    true): mini, doc_id, text_key, first, count."""
-    parts = rows.repartition("mini").sortWithinPartitions("mini", "digest", "doc_id")
+def _decide(table: pa.Table, carry, forced: bool):
+    mini, digest, doc, key, place = (table.column(i).to_numpy() for i in range(5))
+    new = np.ones(len(mini), bool)
+    new[1:] = (mini[1:] != mini[:-1]) | (digest[1:] != digest[:-1])
+    smallest = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    if carry is not None and (mini[0], digest[0]) == carry[:2]:
+        same = np.cumsum(new) == 1
+        smallest = np.where(same, carry[2], smallest)
+    covered = (digest == _SETTLED) | (doc > smallest)
+    left = np.flatnonzero(~covered)
+    question = np.zeros(len(mini), bool)
+    if len(left):
+        if forced:  # part of a group beyond the buffer: all stay in question
+            question[left] = True
+        else:
+            sides = place[left] >> 38
+            question[left] = _shared(mini[left], (sides >> 13) & 8191, doc[left]) | _shared(mini[left], sides & 8191, doc[left])
+    take = np.flatnonzero(covered | question)
+    return (mini[-1], digest[-1], smallest[-1]), pa.RecordBatch.from_arrays(
+        [pa.array(question[take]), pa.array(mini[take]), pa.array(doc[take]), pa.array(key[take]),
+         pa.array(((place[take] >> 6) & 0xFFFFFFFF).astype(np.int32)), pa.array((place[take] & 63).astype(np.int32))],
+        names=["open", "mini", "doc_id", "text_key", "first", "count"],
+    )
 
-    def decide(table: pa.Table, carry, forced: bool):
-        mini, digest, doc, key, place = (table.column(i).to_numpy() for i in range(5))
-        new = np.ones(len(mini), bool)
-        new[1:] = (mini[1:] != mini[:-1]) | (digest[1:] != digest[:-1])
-        smallest = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        if carry is not None and (mini[0], digest[0]) == carry[:2]:
-            same = np.cumsum(new) == 1
-            smallest = np.where(same, carry[2], smallest)
-        covered = (digest == _SETTLED) | (doc > smallest)
-        left = np.flatnonzero(~covered)
-        question = np.zeros(len(mini), bool)
-        if len(left):
-            if forced:  # part of a group beyond the buffer: all stay in question
-                question[left] = True
-            else:
-                sides = place[left] >> 38
-                question[left] = _shared(mini[left], (sides >> 13) & 8191, doc[left]) | _shared(mini[left], sides & 8191, doc[left])
-        take = np.flatnonzero(covered | question)
-        return (mini[-1], digest[-1], smallest[-1]), pa.RecordBatch.from_arrays(
-            [pa.array(question[take]), pa.array(mini[take]), pa.array(doc[take]), pa.array(key[take]),
-             pa.array(((place[take] >> 6) & 0xFFFFFFFF).astype(np.int32)), pa.array((place[take] & 63).astype(np.int32))],
-            names=["open", "mini", "doc_id", "text_key", "first", "count"],
-        )
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        size, carry, forced = 0, None, False
-        for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size < BUFFER:
-                continue
-            table = pa.Table.from_batches(held)
-            mini = table.column(0).to_numpy()
-            ends = np.flatnonzero(mini[1:] != mini[:-1])
+def settled_batches(batches):
+    """Decides on rows in order of mini, digest and doc_id; holds two buffers at most."""
+    held: list[pa.RecordBatch] = []
+    size, due, carry, forced = 0, BUFFER, None, False
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size < due:
+            continue
+        table = pa.Table.from_batches(held)
+        mini = table.column(0).to_numpy()
+        ends = np.flatnonzero(mini[1:] != mini[:-1])
+        if len(ends):
+            if forced:  # the rest of the oversized group comes first
+                cut = int(ends[0]) + 1
+                carry, out = _decide(table.slice(0, cut), carry, True)
+                yield out
+                table, forced = table.slice(cut), False
+                ends = ends[1:] - cut
             if len(ends):
-                if forced:  # the rest of the oversized group comes first
-                    cut = int(ends[0]) + 1
-                    carry, out = decide(table.slice(0, cut), carry, True)
-                    yield out
-                    table, forced = table.slice(cut), False
-                    ends = ends[1:] - cut
-                if len(ends):
-                    cut = int(ends[-1]) + 1
-                    carry, out = decide(table.slice(0, cut), None, False)
-                    yield out
-                    table = table.slice(cut)
-            elif size >= 8 * BUFFER:
-                carry, out = decide(table, carry, True)
+                cut = int(ends[-1]) + 1
+                carry, out = _decide(table.slice(0, cut), None, False)
                 yield out
-                table, forced = table.slice(len(table)), True
-            held = table.combine_chunks().to_batches()
-            size = len(table)
-        if size:
-            table = pa.Table.from_batches(held)
-            if forced:
-                mini = table.column(0).to_numpy()
-                ends = np.flatnonzero(mini[1:] != mini[:-1])
-                cut = int(ends[0]) + 1 if len(ends) else len(table)
-                yield decide(table.slice(0, cut), carry, True)[1]
                 table = table.slice(cut)
-            if len(table):
-                yield decide(table, None, False)[1]
+        elif size >= 2 * BUFFER:
+            carry, out = _decide(table, carry, True)
+            yield out
+            table, forced = table.slice(len(table)), True
+        held = table.combine_chunks().to_batches()
+        size = len(table)
+        # A group that fills the buffer is not searched for its end at every batch.
+        due = BUFFER if size < BUFFER else 2 * BUFFER
+    if size:
+        table = pa.Table.from_batches(held)
+        if forced:
+            mini = table.column(0).to_numpy()
+            ends = np.flatnonzero(mini[1:] != mini[:-1])
+            cut = int(ends[0]) + 1 if len(ends) else len(table)
+            yield _decide(table.slice(0, cut), carry, True)[1]
+            table = table.slice(cut)
+        if len(table):
+            yield _decide(table, None, False)[1]
 
-    return parts.mapInArrow(run, _FOUND)
+
+def settle(rows: DataFrame) -> DataFrame:
+    """Covered segments (open = false) and segments in question (open =
+    true): mini, doc_id, text_key, first, count."""
+    parts = rows.repartition("mini").sortWithinPartitions("mini", "digest", "doc_id")
+    return parts.mapInArrow(settled_batches, _FOUND)
 
 
 def shared_strings(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from sitelens.llm import bwt_dedup as B
 
@@ -94,3 +95,27 @@ def test_whole_texts_are_aggregated_only_if_ids_repeat(spark, llm_docs):
     assert not aggregates(df)
     assert aggregates(df.union(df.limit(3)))
     assert result(df.union(df.limit(3))) == brute([(r.doc_id, r.text.encode()) for r in df.union(df.limit(3)).collect()])
+
+
+def test_settling_a_large_group_holds_two_buffers(monkeypatch):
+    monkeypatch.setattr(B, "BUFFER", 1024)
+    n = 40 * 1024
+    digest = np.repeat(np.arange(n // 4), 4)  # four rows a digest, of documents 0 to 3
+    mini = np.where(digest < n // 4 - 500, 7, 9)
+    columns = mini, digest, np.tile(np.arange(4), n // 4), np.zeros(n, np.int64), B._place(np.arange(n), np.full(n, 3))
+    taken = given = 0
+
+    def batches():
+        nonlocal taken
+        for at in range(0, n, 256):
+            taken += len(columns[0][at:at + 256])
+            yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 256]) for c in columns], names=["mini", "digest", "doc_id", "text_key", "place"])
+
+    found = []
+    for out in B.settled_batches(batches()):
+        assert taken - given <= 2 * B.BUFFER + 256
+        given = taken
+        found += out.to_pylist()
+    covered = [r["first"] for r in found if not r["open"]]
+    assert sorted(covered) == [i for i in range(n) if i % 4]
+    assert {r["first"] for r in found if r["open"] and r["mini"] == 7} == {i for i in range(n) if i % 4 == 0 and mini[i] == 7}
