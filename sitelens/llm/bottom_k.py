@@ -19,11 +19,12 @@ sets reaches ``percent``; components of links are the result.
   are compared inside tasks, in blocks of bounded size, by the overlap of their
   sketches (31 bits of each value; one match less than needed is let through,
   as two values of a set may agree in them).  A block sends its pairs if they
-  are no more than its members.  Else it sends the members that have a pair:
+  are fewer than the members that have one.  Else it sends these members:
   they meet once more with their full sets (31 bits of each value; values of a
   set that agree in them count as shared), and only pairs that these let
   through leave the block.  So the rows between tasks grow with the members
   of the lists, not with their pairs.
+  Two members meet in the list of their smallest common value only.
 * **Union sketch.**  The k smallest values of both sketches together are the
   sketch of the union; the share of them in both estimates the similarity and
   drops pairs that cannot reach ``percent``.
@@ -60,6 +61,7 @@ from sitelens.functions.keyfilter import filter_bits, hash_filter, may_contain_h
 from sitelens.functions.skew import skew_join
 from sitelens.llm.common import materialize
 from sitelens.llm.components import connected_components
+from sitelens.session import discard
 
 #: A-Z to lower case, in UTF-8 bytes.
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -141,14 +143,17 @@ def least_shared(n, k: int, percent: int):
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int, k: int, percent: int) -> bool:
-    """False if the union sketch rules the pair out."""
-    both = np.sort(np.concatenate((a, b)))
-    twice = both[1:] == both[:-1]
+    """False if the union sketch rules the pair out.  Sketches in their order,
+    whole values or some bits of each: values that agree in these count as
+    shared, and none as greater than it is."""
+    same = a[:, None] == b
+    hit = same.any(axis=1)
     if na <= k and nb <= k:
-        shared = int(twice.sum())
+        shared = int(hit.sum())
         return 100 * shared >= percent * (na + nb - shared)
-    union = np.concatenate((both[:1], both[1:][~twice]))
-    shared = int((twice & (both[1:] <= union[min(k, len(union)) - 1])).sum())
+    # Values of the union below a shared one: those before it in both, shared ones once.
+    below = np.arange(len(a)) + same.argmax(axis=1) - (np.cumsum(hit) - hit)
+    shared = int((hit & (below < k)).sum())
     table = shared_table(k, percent)
     return shared >= max(table[n] if n < len(table) else chernoff_count(k, percent) for n in (na, nb))
 
@@ -200,8 +205,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             own = pa.array([set_key(p) == key for p, key in zip(parts, batch.column(1).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(parts)], names=["sid", "full"]).filter(own)
 
-    texts = own.join(wanted, "row_key").select("sid", "key", "text")
-    return texts.mapInArrow(run, "sid long, full array<bigint>").dropDuplicates(["sid"])
+    # Rows that repeat id and text, once: by the key of the join, so that no set is shuffled for it.
+    texts = own.join(wanted, "row_key").dropDuplicates(["row_key", "sid", "key", "text"]).select("sid", "key", "text")
+    return texts.mapInArrow(run, "sid long, full array<bigint>")
 
 
 def postings_of(sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -249,11 +255,15 @@ def _block_pairs(lists: DataFrame, sets: DataFrame, k: int, percent: int, read=N
     dealt = members.withColumn("o", other).select(
         "value", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "sid", "n", "root"
     )
+    # Two members that share several lists are a pair in the list of their smallest value alone.
+    listed = lists.groupBy("sid").agg(F.collect_list("value").alias("listed"))
+    earlier = F.filter("listed", lambda x: x < F.col("value"))
+    dealt = dealt.join(listed, "sid").withColumn("earlier", earlier).drop("listed")
     found = _compare_blocks(dealt, sets.select("sid", "sketch"), lambda *held: _sketch_pairs(*held, k, percent), members=read is not None)
     if read is None:
         return found.select("a", "b").distinct()
     found = materialize(found, "block-pairs")
-    dense = found.filter("b IS NULL").select("value", "i", "j", "chunk", F.col("a").alias("sid"), "n", "root")
+    dense = found.filter("b IS NULL").select("value", "i", "j", "chunk", F.col("a").alias("sid"), "n", "root", "earlier")
     pairs = found.filter("b IS NOT NULL").select("a", "b")
     if dense.isEmpty():
         return pairs.distinct()
@@ -262,39 +272,42 @@ def _block_pairs(lists: DataFrame, sets: DataFrame, k: int, percent: int, read=N
     return pairs.unionByName(exact.select("a", "b")).distinct()
 
 
-_BLOCK_ROWS = "a long, b long, value long, i int, j int, chunk int, n long, root long"
+_BLOCK_ROWS = "a long, b long, value long, i int, j int, chunk int, n long, root long, earlier array<bigint>"
 
 
 def _compare_blocks(dealt: DataFrame, arrays: DataFrame, compare, members: bool) -> DataFrame:
     """Pairs (a, b) that ``compare`` finds in every block (value, i, j); with
-    ``members``, a block of more pairs than members gives the members that
-    have one instead (a, b null, with the other columns)."""
+    ``members``, a block of no fewer pairs than members that have one gives
+    these members instead (a, b null, with the other columns).  ``earlier`` of
+    ``dealt``: smaller values of a member's lists, where its other pairs meet."""
     name = arrays.columns[1]
     small = F.transform(name, lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
-    rows = dealt.join(arrays.select("sid", small.alias("small")), "sid").select("value", "i", "j", "chunk", "sid", "n", "root", "small")
+    rows = dealt.join(arrays.select("sid", small.alias("small")), "sid").select("value", "i", "j", "chunk", "sid", "n", "root", "small", "earlier")
 
     def emit(held, group):
         if len({m[0] for m in held}) < 1 + (group[1] != group[2]) or len(held) < 2:
             return
         chunk, sid, n, root = (np.array(c, np.int64) for c in list(zip(*held))[:4])
-        x, y = compare([m[4] for m in held], n, root, chunk if group[1] != group[2] else np.arange(len(held)))
+        x, y = compare([m[4] for m in held], [m[5] for m in held], n, root, chunk if group[1] != group[2] else np.arange(len(held)))
         if not len(x):
             return
-        if not members or len(x) <= len(held):
+        own = np.unique(np.concatenate((x, y)))
+        if not members or len(x) < len(own):
             a, b = np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
-            rest = [pa.nulls(len(x), kind) for kind in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+            kinds = pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())
+            rest = [pa.nulls(len(x), kind) for kind in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *rest], names=_names(_BLOCK_ROWS))
             return
-        own = np.unique(np.concatenate((x, y)))
         same = [pa.array(np.full(len(own), v), kind) for v, kind in zip(group, (pa.int64(), pa.int32(), pa.int32()))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sid[own]), pa.nulls(len(own), pa.int64()), *same, pa.array(chunk[own], pa.int32()), pa.array(n[own]), pa.array(root[own])],
+            [pa.array(sid[own]), pa.nulls(len(own), pa.int64()), *same, pa.array(chunk[own], pa.int32()), pa.array(n[own]), pa.array(root[own]),
+             _lists([held[m][5] for m in own])],
             names=_names(_BLOCK_ROWS))
 
     def run(batches):
         held, group = [], None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(7)] + [_arrays(batch.column(7))]
+            cols = [batch.column(c).to_pylist() for c in range(7)] + [_arrays(batch.column(c)) for c in (7, 8)]
             for value, i, j, *member in zip(*cols):
                 if (value, i, j) != group:
                     if held:
@@ -337,31 +350,33 @@ def _shared(parts: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     return shared
 
 
-def _pairs_of(parts, n, root, side, percent, passes):
-    """(x, y) of the pairs of different roots and sides that fit in size and
-    pass; each has a member outside the most frequent root."""
+def _pairs_of(parts, earlier, n, root, side, percent, passes):
+    """(x, y) of the pairs of different roots and sides that share no earlier
+    list, fit in size and pass; each has a member outside the most frequent
+    root."""
     roots, place, times = np.unique(root, return_inverse=True, return_counts=True)
     rows = np.flatnonzero(place != np.argmax(times))
     if not len(rows):
         return rows, rows
+    met = _shared(earlier, rows) > 0
     shared = _shared(parts, rows)
     outside = place != np.argmax(times)
     found = []
     for k in range(0, len(rows), 256):
         x = rows[k:k + 256, None]
-        ok = passes(shared[k:k + 256], x) & (root[x] != root) & (side[x] != side) & (~outside | (np.arange(len(n)) > x))
+        ok = passes(shared[k:k + 256], x) & ~met[k:k + 256] & (root[x] != root) & (side[x] != side) & (~outside | (np.arange(len(n)) > x))
         ok &= 100 * np.minimum(n[x], n) >= percent * np.maximum(n[x], n)
         a, b = np.nonzero(ok)
         found.append((rows[k + a], b))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _sketch_pairs(parts, n, root, side, k, percent):
+def _sketch_pairs(parts, earlier, n, root, side, k, percent):
     least = least_shared(n, k, percent) - 1
-    return _pairs_of([np.unique(p) for p in parts], n, root, side, percent, lambda shared, x: shared >= np.maximum(least[x], least))
+    return _pairs_of([np.unique(p) for p in parts], earlier, n, root, side, percent, lambda shared, x: shared >= np.maximum(least[x], least))
 
 
-def _full_pairs(parts, n, root, side, percent):
+def _full_pairs(parts, earlier, n, root, side, percent):
     parts = [np.unique(p) for p in parts]
     lost = n - np.array([len(p) for p in parts])
 
@@ -369,7 +384,7 @@ def _full_pairs(parts, n, root, side, percent):
         most = shared + np.minimum(lost[x], lost)
         return 100 * most >= percent * (n[x] + n - most)
 
-    return _pairs_of(parts, n, root, side, percent, passes)
+    return _pairs_of(parts, earlier, n, root, side, percent, passes)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, k: int, percent: int) -> DataFrame:
@@ -395,13 +410,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     counts = materialize(pairs.groupBy("b").agg(F.count("*").alias("c")), "pair-counts")
-    sides = with_sides(pairs, sets, "sketch", "n").select("a", "b", "sketch_a", "n_a", "sketch_b", "n_b")
+    bits = F.transform("sketch", lambda x: x.bitwiseAND(F.lit(2**15 - 1)).cast("smallint"))
+    sides = with_sides(pairs, sets.select("sid", "n", bits.alias("sketch")), "sketch", "n").select("a", "b", "sketch_a", "n_a", "sketch_b", "n_b")
     likely = materialize(sides.mapInArrow(estimate, "a long, b long"), "likely-pairs")
     counts = materialize(likely.groupBy("b").agg(F.count("*").alias("c")), "pair-counts")
     ids = likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct()
     wanted = materialize(sets.join(ids, "sid", "left_semi").select("sid", "key", "row_key"), "wanted-sets")
     full = materialize(full_sets(docs, wanted, shingle), "full-sets")
-    return materialize(with_sides(likely, full, "full").select("a", "b", "full_a", "full_b").mapInArrow(exact, "a long, b long"), "set-links")
+    links = materialize(with_sides(likely, full, "full").select("a", "b", "full_a", "full_b").mapInArrow(exact, "a long, b long"), "set-links")
+    discard(full)
+    return links
 
 
 def near_duplicates(
@@ -418,8 +436,15 @@ def near_duplicates(
     sets = materialize(sets.select(
         F.monotonically_increasing_id().alias("sid"), "key", F.col("p.doc_id").alias("doc_id"), F.col("p.row_key").alias("row_key"),
         "n", "sketch", "copies"), "set-classes")
+    wide, rows = rows, materialize(rows.select("doc_id", "key", "n"), "set-rows")
+    discard(wide)
     lists = materialize(postings_of(sets, k, percent).withColumn("root", F.col("sid")), "inverted-lists")
-    links = None
+    links, read = None, []
+
+    def block_sets(wanted):
+        read.append(materialize(full_sets(own, materialize(wanted.select("sid", "key", "row_key"), "wanted-sets"), shingle), "full-sets"))
+        return read[-1]
+
     for turn in range(LEADER_TURNS + 1):
         lists = _open_lists(lists, turn)
         if lists.isEmpty():
@@ -427,10 +452,11 @@ def near_duplicates(
         if turn < LEADER_TURNS:
             pairs, lists = _leader_pairs(lists, percent), lists.filter("sid <> lead.sid")
         else:
-            pairs = _block_pairs(lists, sets, k, percent, lambda wanted: materialize(
-                full_sets(own, materialize(wanted.select("sid", "key", "row_key"), "wanted-sets"), shingle), "full-sets"))
-        lists = lists.drop("lead")
-        new = confirmed(materialize(pairs, "pairs"), own, sets, shingle, k, percent)
+            pairs = _block_pairs(lists, sets, k, percent, block_sets)
+        lists, pairs = lists.drop("lead"), materialize(pairs, "pairs")
+        while read:
+            discard(read.pop())
+        new = confirmed(pairs, own, sets, shingle, k, percent)
         links = new if links is None else links.unionByName(new)
         if turn < LEADER_TURNS:
             roots = connected_components(links, name="set-roots").withColumnRenamed("node", "sid")

@@ -175,3 +175,51 @@ def test_edge_rows(edge_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
     assert got(B.near_duplicates(edge_docs, shingle=2)) == brute(rows)
     assert B.near_duplicates(no_docs).count() == 0
+
+
+def test_a_pair_leaves_the_blocks_of_one_list_only(spark, monkeypatch):
+    """Near copies share many lists; without leaders all their pairs come from blocks."""
+    rows = near_copies(4, groups=1, copies=60)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(B, "LEADER_TURNS", 0)
+    sent = []
+    compared = B._compare_blocks
+
+    def counted(*args, **options):
+        out = B.materialize(compared(*args, **options), "test-blocks")
+        pairs = out.filter("b IS NOT NULL")
+        sent.append((pairs.count(), pairs.select("a", "b").distinct().count()))
+        return out
+
+    monkeypatch.setattr(B, "_compare_blocks", counted)
+    assert got(B.near_duplicates(df, shingle=2)) == brute(rows)
+    assert sum(n for n, _ in sent) and all(n == distinct for n, distinct in sent)
+
+
+def test_estimate_of_some_bits_loses_no_pair_of_whole_values():
+    rnd = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(rnd.integers(1, 400))
+        both = rnd.permutation(np.unique(rnd.integers(-2**62, 2**62, n)))
+        a, b = np.sort(both[int(rnd.integers(0, n // 2 + 1)):]), np.sort(both[:n - int(rnd.integers(0, n // 2 + 1))])
+        x, y = a[:64], b[:64]
+        union = np.union1d(x, y)[:64]
+        shared = len(np.intersect1d(np.intersect1d(x, y), union))
+        if max(len(a), len(b)) > 64:
+            want = shared >= max(B.least_shared(np.array([len(a), len(b)]), 64, 80))
+        else:
+            want = 100 * shared >= 80 * (len(a) + len(b) - shared)
+        assert B.union_estimate(x, y, len(a), len(b), 64, 80) == want
+        assert B.union_estimate(x & 32767, y & 32767, len(a), len(b), 64, 80) >= want
+
+
+def test_read_stage_tables_are_deleted(spark, llm_docs):
+    import glob
+
+    from sitelens.session import stage_folder
+
+    folder = stage_folder(spark).removeprefix("file:")
+    before = {*glob.glob(f"{folder}/*")}
+    assert B.near_duplicates(llm_docs[1], shingle=2).count()
+    names = {p.rsplit("/", 1)[1].rpartition("-")[0][:9] for p in {*glob.glob(f"{folder}/*")} - before}
+    assert names and not [n for n in names if n.startswith(("bottom-k", "full-sets"))]
